@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 512) -> DataFram
         for batch in batches:
             for part, texts in blocks(batch, "text"):
                 n = counter.counts(texts)
-                n_bytes = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
+                n_bytes = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), n_bytes, pa.array(n, pa.int64()), pa.array(n > limit)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
