@@ -239,6 +239,7 @@ class Codec:
         self.vocab = vocabulary(path)
         self.coder = PrefixCoder(self.vocab)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known_ids: dict[str, bytes] = {}
 
     def encode_units(self, units: list[str]) -> list[list[int]]:
         parts = [[] if u in self.vocab.special else pretokens(u) for u in units]
@@ -254,6 +255,18 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def id_arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the number of ids of each text."""
+        cut = [self.vocab.units(t) for t in texts]
+        if len(self.known_ids) > self.LIMIT:
+            self.known_ids.clear()
+        known = self.known_ids
+        new = [*{u for us in cut for u in us}.difference(known)]
+        for unit, ids in zip(new, self.encode_units(new), strict=True):
+            known[unit] = np.array(ids, np.int32).tobytes()
+        joined = [b"".join([known[u] for u in units]) for units in cut]
+        return np.frombuffer(b"".join(joined), np.int32), np.fromiter(map(len, joined), np.int64, len(joined)) // 4
+
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, and the hashes of the ids and of the decoded text."""
         cut = [self.vocab.units(t) for t in texts]
@@ -277,19 +290,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """docs with a column ids (array of int): each whole text's tokens. A null text has none."""
-    others = [f for f in docs.schema.fields if f.name != "ids"]
+def encode(docs: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
+    """docs with a column of the tokens of each whole text (array of int). A null text has none.
+
+    A column of that name is replaced. One pass without a shuffle.
+    """
+    others = [f for f in docs.schema.fields if f.name != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocab_path)
         for batch in batches:
             for part, texts in blocks(batch, "text"):
-                ids = pa.array([coder.encode(t) for t in texts], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+                flat, counts = coder.id_arrays(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return docs.select(*[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, schema + ", ids array<int>")
+    return docs.select(*[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, f"{schema}, `{ids}` array<int>")
 
 
 def digests(docs: DataFrame, vocab_path: str) -> DataFrame:

@@ -95,9 +95,8 @@ def prefix_load(docs: DataFrame, bits: int) -> np.ndarray:
 def exact_groups(docs: DataFrame, bits: int = 16, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row.
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
-    row with the largest doc_id stays (rows that share that id stay together; a null id is below any
-    other). One row out for each row in; other columns are not read; an empty table gives none.
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts one
+    row with the largest doc_id stays (a null id is below any other). One row out for each row in; other columns are not read; an empty table gives none.
 
     bits: hash bits that the directory may use (at most MAX_DEPTH); buckets grow beyond bucket_bytes
     only when these are used up. Texts are folded in each task first: the owner of a text gets its
@@ -114,6 +113,7 @@ def exact_groups(docs: DataFrame, bits: int = 16, bucket_bytes: int = BUCKET_BYT
 
         task = TaskContext.get().partitionId() << 36
         sent: dict[bytes, int] = {}  # digest of each text that this task has sent
+        rows = 0
         for batch in batches:
             for part, texts in blocks(batch, "text"):
                 groups: dict[bytes, list] = {}
@@ -125,23 +125,30 @@ def exact_groups(docs: DataFrame, bits: int = 16, bucket_bytes: int = BUCKET_BYT
                 local = [task | sent.setdefault(d.digest(), len(sent)) for d in digests]
                 hashes = _hashes(keys)
                 ids = part.schema.field("doc_id").type
+                best = [max((i for i in x if i is not None), default=None) for x in groups.values()]
+                for x, top in zip(groups.values(), best, strict=True):  # the row that may stay comes first
+                    k = x.index(top)
+                    x[0], x[k] = x[k], x[0]
+                page = [task | rows + k for k in range(len(keys))]
+                rows += len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(page, pa.int64()),
                         pa.array(local, pa.int64()),
                         pa.array(directory.value.lookup(hashes)),
                         pa.array(hashes.view(np.int64)),
                         pa.array([k if new else None for k, new in zip(keys, first, strict=True)], pa.binary()),
                         pa.array([d.hexdigest() for d in digests]),
-                        pa.array([max((i for i in x if i is not None), default=None) for x in groups.values()], ids),
+                        pa.array(best, ids),
                         pa.array([*map(len, groups.values())], pa.int64()),
                         pa.array([*groups.values()], pa.list_(ids)),
                     ],
-                    ["local", "bucket", "hash", "data", "text_sha256", "best", "n", "ids"],
+                    ["page", "local", "bucket", "hash", "data", "text_sha256", "best", "n", "ids"],
                 )
 
     folded = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         fold,
-        f"local bigint, bucket bigint, hash bigint, data binary, text_sha256 string, best {kind}, n bigint, ids array<{kind}>",
+        f"page bigint, local bigint, bucket bigint, hash bigint, data binary, text_sha256 string, best {kind}, n bigint, ids array<{kind}>",
     )
     pages = saved(folded, "exact-index")
 
@@ -149,22 +156,21 @@ def exact_groups(docs: DataFrame, bits: int = 16, bucket_bytes: int = BUCKET_BYT
         chain, key = Chain(), None
         for batch in batches:
             out = []
-            for hash_, local, data, best, n in zip(*(batch.column(c).to_pylist() for c in ("hash", "local", "data", "best", "n")), strict=True):
+            for hash_, page, local, data, best, n in zip(*(batch.column(c).to_pylist() for c in ("hash", "page", "local", "data", "best", "n")), strict=True):
                 if hash_ != key:
                     out += chain.rows()
                     chain, key = Chain(), hash_
-                chain.add(local, data, best, n)
+                chain.add(page, local, data, best, n)
             yield _resolved(out, kind)
         yield _resolved(chain.rows(), kind)
 
     # an owner's rows come sorted by hash, texts before the short rows that refer to them
-    entries = pages.select("bucket", "hash", "local", "data", "best", "n")
-    owned = entries.repartition("bucket").sortWithinPartitions("hash", "local", F.col("data").isNull())
-    resolved = owned.select("hash", "local", "data", "best", "n").mapInArrow(own, f"local bigint, keep_id {kind}, group_size bigint")
-    members = pages.select("local", "text_sha256", F.explode("ids").alias("doc_id"))
-    return members.join(resolved, "local").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    entries = pages.select("bucket", "hash", "page", "local", "data", "best", "n")
+    owned = entries.repartition("bucket").sortWithinPartitions("hash", "local", F.col("data").isNull(), "page")
+    resolved = owned.select("hash", "page", "local", "data", "best", "n").mapInArrow(own, f"local bigint, keep_id {kind}, keep_page bigint, group_size bigint")
+    members = pages.select("page", "local", "text_sha256", F.posexplode("ids").alias("pos", "doc_id"))
+    kept = (F.col("page") == F.col("keep_page")) & (F.col("pos") == 0)
+    return members.join(resolved, "local").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 class Chain:
@@ -174,25 +180,28 @@ class Chain:
         self.slot: dict[bytes, int] = {}
         self.of_local: dict[int, int] = {}
         self.best: list = []
+        self.page: list[int] = []  # of the row that holds the best
         self.n: list[int] = []
 
-    def add(self, local: int, data: bytes | None, best, n: int) -> None:
+    def add(self, page: int, local: int, data: bytes | None, best, n: int) -> None:
         if data is not None:
             k = self.of_local[local] = self.slot.setdefault(data, len(self.slot))
             if k == len(self.best):
-                self.best.append(None)
+                self.best.append(best)
+                self.page.append(page)
                 self.n.append(0)
         k = self.of_local[local]
         self.n[k] += n
         if best is not None and (self.best[k] is None or best > self.best[k]):
-            self.best[k] = best
+            self.best[k], self.page[k] = best, page
 
     def rows(self) -> list[tuple]:
-        return [(local, self.best[k], self.n[k]) for local, k in self.of_local.items()]
+        return [(local, self.best[k], self.page[k], self.n[k]) for local, k in self.of_local.items()]
 
 
 def _resolved(rows: list[tuple], kind: str) -> pa.RecordBatch:
-    local, keep, n = zip(*rows, strict=True) if rows else ((), (), ())
+    local, keep, page, n = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(local, pa.int64()), pa.array(keep, ID_TYPES[kind]), pa.array(n, pa.int64())], ["local", "keep_id", "group_size"]
+        [pa.array(local, pa.int64()), pa.array(keep, ID_TYPES[kind]), pa.array(page, pa.int64()), pa.array(n, pa.int64())],
+        ["local", "keep_id", "keep_page", "group_size"],
     )

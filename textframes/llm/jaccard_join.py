@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textframes.llm.components import components
-from textframes.llm.shared import WORD, WordHashes, blocks, mix, saved
+from textframes.llm.shared import BROADCAST_ROWS, WORD, WordHashes, blocks, mix, saved
 
 #: Runs of a key with at most so many sets are paired by a plain join; larger ones are cut into chunks.
 SMALL_RUN = 16
-#: Ids that are broadcast at most; beyond, the texts are joined by a shuffle.
-BROADCAST_IDS = 500_000
 GROUPS = 64
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _U = np.uint64
@@ -248,7 +246,7 @@ def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fracti
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("id")).distinct()
     ids = saved(ids, "jaccard-ids")
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_ROWS
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)

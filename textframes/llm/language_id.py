@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import blocks, mix
+from textframes.llm.shared import blocks, fold, mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -147,8 +147,6 @@ def train(docs: DataFrame, per_language: int = 300, languages: int = 200, hold_o
     2, the per_language lowest by hash of the id in each language, whole texts. lang, source and
     doc_id serve to choose rows and as labels only.
     """
-    from textframes.llm.shared import fold
-
     rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
     if hold_out:
         rows = rows.where(fold("doc_id", 4) != 2)
@@ -164,8 +162,8 @@ def train(docs: DataFrame, per_language: int = 300, languages: int = 200, hold_o
     return fit([r[0] for r in got], [r[1] for r in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred, score and rejected.
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with three columns, by default lang_pred, score and rejected.
 
     lang_pred is a learned language, or `und` if the text is null or has no letter; score is the
     cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or farther
@@ -173,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     names of the new ones are replaced; other columns, lang, source and doc_id are carried, never
     used. One pass without a shuffle; the model's size depends on languages and n-gram slots only.
     """
-    new = ["lang_pred", "score", "rejected"]
+    new = [*names]
     fields = [f for f in docs.schema.fields if f.name not in new]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     grams: list[GramTable] = []
@@ -182,7 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m = shared.value
         if not grams:
             grams.append(GramTable(m.size))
-        names = np.array([*m.languages, UNKNOWN], object)
+        labels = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
             for part, texts in blocks(batch, "text"):
                 tf, n_words = grams[0].vectors(texts)
@@ -194,11 +192,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 best = np.where(none, len(m.languages), best)
                 score = np.where(none, 0.0, np.clip(score, 0, 1)).astype(float)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(none | far)],
+                    [*part.columns, pa.array(labels[best].tolist(), pa.string()), pa.array(score), pa.array(none | far)],
                     [*part.schema.names, *new],
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(
-        run, schema + ", lang_pred string, score double, rejected boolean"
+        run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"
     )

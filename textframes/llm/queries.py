@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, token_counts
+from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, token_counts
 from textframes.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, block=16, alpha=0.5, total=100)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -48,11 +59,13 @@ def queries() -> dict[str, Query]:
         "op4_language_id": op4_language_id,
         "op5_jaccard_join": op5_jaccard_join,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_source_mixing": op8_source_mixing,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5, "op7_exact_dedup": OP7}
+    return {"op5_jaccard_join": OP5, "op7_exact_dedup": OP7, "op8_source_mixing": OP8}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,3 +92,28 @@ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n.n
 """
+
+OP8 = """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS k FROM d),
+c AS (SELECT s, count(*) AS rows FROM d GROUP BY s),
+v AS (SELECT s, CAST(greatest(1, round(pow(rows, 0.5) * 100 / sum(pow(rows, 0.5)) OVER ())) AS BIGINT) AS w, CAST(ceil(rows / 16) AS BIGINT) AS n FROM c),
+q AS (SELECT s, w, n, n // w AS f, row_number() OVER (ORDER BY s) AS i FROM v),
+b AS (SELECT DISTINCT unnest([0, f, f + 1]) AS b FROM q),
+p AS (SELECT b, lead(b) OVER (ORDER BY b) - b AS times FROM b),
+m AS (SELECT b, times, list(CASE WHEN b < f THEN w WHEN b = f THEN n - f * w ELSE 0 END ORDER BY i) AS c,
+             CAST(sum(CASE WHEN b < f THEN w WHEN b = f THEN n - f * w ELSE 0 END) AS BIGINT) AS p FROM p CROSS JOIN q GROUP BY b, times),
+z AS (SELECT *, coalesce(sum(p * times) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM m WHERE p > 0),
+e AS (
+  SELECT b, c, p, CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, list_transform(c, lambda x: CAST(0 AS BIGINT)) AS done FROM z
+  UNION ALL
+  SELECT b, c, p, t + 1, k, done[k], list_transform(done, lambda x, y: CASE WHEN y = k THEN x + 1 ELSE x END) FROM (
+    SELECT *, list_sort(list_filter(list_transform(range(1, len(c) + 1), lambda y:
+      {'late': CASE WHEN done[y] < c[y] THEN -((-(done[y] + 1) * p - c[y] + 1) // c[y]) ELSE 0 END,
+       'y': y, 'ok': done[y] < c[y] AND done[y] * p // greatest(c[y], 1) <= t + 1}), lambda x: x.ok))[1].y AS k
+    FROM e WHERE t + 1 < p)),
+a AS (SELECT r.doc_id, r.source, r.s, r.k // 16 AS block, CAST(r.k % 16 AS INTEGER) AS place, least(r.k // 16 // q.w, q.f) AS frame, q.w, q.i FROM r JOIN q USING (s))
+SELECT a.doc_id, a.source, CAST(z.base + (a.frame - z.b) * z.p + e.t AS BIGINT) AS slot, CAST(a.block AS BIGINT) AS block, a.place
+FROM a JOIN z ON z.b <= a.frame AND a.frame < z.b + coalesce(z.times, 1)
+JOIN e ON e.b = z.b AND e.i = a.i AND e.j = a.block - a.frame * a.w
+"""

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Upper-case ASCII bytes to lower case; other bytes stay.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Rows of ids that are broadcast at most, once counted; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Rows that Python handles together; bounds a worker's memory.
 BLOCK_ROWS = 512
 #: Characters that Python handles together; a longer text stands alone.
