@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, token_counts
+from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, token_counts, topk_bitslice
 from textframes.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_bitslice.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe_codec": op3_bpe_codec,
         "op4_language_id": op4_language_id,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_exact_top_k": op6_exact_top_k,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mixing": op8_source_mixing,
         "pipeline": pipeline,
@@ -65,7 +70,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5, "op7_exact_dedup": OP7, "op8_source_mixing": OP8}
+    return {"op5_jaccard_join": OP5, "op6_exact_top_k": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,3 +122,14 @@ SELECT a.doc_id, a.source, CAST(z.base + (a.frame - z.b) * z.p + e.t AS BIGINT)
 FROM a JOIN z ON z.b <= a.frame AND a.frame < z.b + coalesce(z.times, 1)
 JOIN e ON e.b = z.b AND e.i = a.i AND e.j = a.block - a.frame * a.w
 """
+
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+"""
