@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, token_counts, topk_bitslice
+from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, token_counts, topk_bitslice, toxicity
 from textframes.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocab_path(), limit=512)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), vocab_path())
 
@@ -59,6 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_toxicity": op2_toxicity,
         "op3_bpe_codec": op3_bpe_codec,
         "op4_language_id": op4_language_id,
         "op5_jaccard_join": op5_jaccard_join,
