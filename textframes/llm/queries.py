@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframes.llm import bpe_codec, exact_dedup, jaccard_join, language_id, mixing, token_counts, topk_bitslice, toxicity
+from textframes.llm import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, topk_bitslice, toxicity
 from textframes.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, block=16, alpha=0.5, total=100)
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         "op6_exact_top_k": op6_exact_top_k,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mixing": op8_source_mixing,
+        "op9_html_extract": op9_html_extract,
         "pipeline": pipeline,
     }
 
