@@ -13,71 +13,27 @@ from pyspark.sql import functions as F
 
 from textframes.llm.byte_bpe import ByteVocabulary, pretokens, vocabulary
 from textframes.llm.shared import blocks
+from textframes.llm.suffix_automaton import SuffixAutomaton
 from textframes.llm.token_counts import NO_RANK, RankMerger
 
 
-class SuffixAutomaton:
-    """Of all the strings of a vocabulary: states stand for their substrings.
+class TokenAutomaton(SuffixAutomaton):
+    """Suffix automaton of a vocabulary, with the token that a state's longest string is, if any.
 
     A string that is a whole token starts at a token's first byte, so no longer string shares its
     state: it is the longest of its state, and a state stands for one token at most.
     """
 
     def __init__(self, strings: dict[bytes, int]) -> None:
-        self.go: dict[int, int] = {}  # (state << 8 | byte) -> state
-        self.out: list[list[int]] = [[]]  # the bytes that leave a state
-        self.length, self.link = [0], [-1]
-        go, length, link, out = self.go, self.length, self.link, self.out
-        token = {}
-        for string, i in strings.items():
-            last = 0
-            for b in string:
-                last = self._extend(last, b)
-            token[last] = i
-        del self.out
-        self.token = [token.get(s, -1) for s in range(len(length))]
+        super().__init__(8)
+        token = {self.add(string)[-1]: i for string, i in strings.items()}
+        self.token = [token.get(s, -1) for s in range(len(self.length))]
         #: The nearest state up the suffix links, itself excluded, that is a token.
-        self.above = [0] * len(length)
-        for s in sorted(range(1, len(length)), key=length.__getitem__):
-            up = link[s]
+        self.above = [0] * len(self.length)
+        for s in self.by_length():
+            up = self.link[s]
             self.above[s] = up if self.token[up] >= 0 else self.above[up]
 
-    def _extend(self, last: int, b: int) -> int:
-        go, length, link = self.go, self.length, self.link
-        q = go.get(last << 8 | b)
-        if q is not None:
-            return q if length[q] == length[last] + 1 else self._clone(last, b, q)
-        new = self._state(length[last] + 1, 0)
-        p = last
-        while p >= 0 and (p << 8 | b) not in go:
-            self._edge(p, b, new)
-            p = link[p]
-        if p >= 0:
-            q = go[p << 8 | b]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, b, q)
-        return new
-
-    def _state(self, length: int, link: int) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.out.append([])
-        return len(self.length) - 1
-
-    def _edge(self, p: int, b: int, q: int) -> None:
-        if (p << 8 | b) not in self.go:
-            self.out[p].append(b)
-        self.go[p << 8 | b] = q
-
-    def _clone(self, p: int, b: int, q: int) -> int:
-        copy = self._state(self.length[p] + 1, self.link[q])
-        for x in self.out[q]:
-            self._edge(copy, x, self.go[q << 8 | x])
-        self.link[q] = copy
-        while p >= 0 and self.go.get(p << 8 | b) == q:
-            self.go[p << 8 | b] = copy
-            p = self.link[p]
-        return copy
-
 
 class IntTable:
     """A hash table of non-negative integers in arrays, filled once; absent keys give -1."""
@@ -137,7 +93,7 @@ class PrefixCoder:
         # a token that its own bytes aren't encoded to never occurs
         counts = self.merger.encode([vocab.token_bytes[i] for i in ids])[1]
         kept = [i for i, c in zip(ids, counts.tolist(), strict=True) if c == 1]
-        sam = SuffixAutomaton({vocab.token_bytes[i]: i for i in kept})
+        sam = TokenAutomaton({vocab.token_bytes[i]: i for i in kept})
         self.edges = IntTable(sam.go)
         self.length, self.link = np.array(sam.length), np.array(sam.link)
         self.token, self.above = np.array(sam.token), np.array(sam.above)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframes.llm import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, topk_bitslice, toxicity
+from textframes.llm import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, mixing, substring_dedup, token_counts, topk_bitslice, toxicity
 from textframes.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -78,12 +83,13 @@ def queries() -> dict[str, Query]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_source_mixing": op8_source_mixing,
         "op9_html_extract": op9_html_extract,
+        "op10_substring_dedup": op10_substring_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5, "op6_exact_top_k": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8}
+    return {"op5_jaccard_join": OP5, "op6_exact_top_k": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8, "op10_substring_dedup": OP10}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -146,3 +152,16 @@ s AS (
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """
+
+OP10 = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
+x AS (SELECT r, i, sha256(array_to_string(w.w[i : i + 34], ' ')) AS x FROM p JOIN w USING (r)),
+d AS (SELECT x FROM x GROUP BY x HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, i + k.k AS i FROM x JOIN d USING (x) CROSS JOIN (SELECT unnest(range(0, 35)) AS k) k),
+m AS (SELECT r, list(i) AS gone FROM c GROUP BY r),
+o AS (SELECT w.doc_id, w.w, m.gone FROM w LEFT JOIN m USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
+FROM o
+"""
