@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textframes.llm.components import components
-from textframes.llm.shared import BROADCAST_ROWS, WORD, WordHashes, blocks, mix, saved
-
-#: Runs of a key with at most so many sets are paired by a plain join; larger ones are cut into chunks.
-SMALL_RUN = 16
-GROUPS = 64
+from textframes.llm.exact_dedup import ID_TYPES
+from textframes.llm.shared import BROADCAST_ROWS, WORD, BitFilter, WordHashes, blocks, mix, saved
+
+#: Bits of a key by which repeated keys are counted first.
+PREFIX_BITS = 40
+#: Groups that elements are hashed to: the coordinates of a point.
+GROUPS = 128
+#: Sets of a run that are compared together.
+RUN_CHUNK = 256
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _U = np.uint64
 
@@ -156,43 +161,97 @@ class CountTree:
         return self.order[nodes[self._may(q, n, self.points[nodes], self.sizes[nodes], self.sizes[nodes])]]
 
 
-def count_vector(values: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(values ^ _U(0xD1342543DE82EF95)) % _U(GROUPS)).astype(np.int64), minlength=GROUPS)
+def count_vectors(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Elements of each of n sets in each of GROUPS groups."""
+    group = (mix(values ^ _U(0xD1342543DE82EF95)) % _U(GROUPS)).astype(np.int64)
+    return np.bincount(owner * GROUPS + group, minlength=n * GROUPS).reshape(n, GROUPS)
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets `left` and the sets `right` (positions)."""
-    vocab = np.unique(np.concatenate(sets))
-    ids = [np.searchsorted(vocab, s) for s in sets]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    points = np.stack([count_vector(s) for s in sets])
-    tree = CountTree(points[right], sizes[right], threshold)
-    parent = np.arange(len(sets))
+class Forest:
+    """Union-find over positions; join tells whether it connected something."""
+
+    def __init__(self, n: int) -> None:
+        self.parent = [*range(n)]
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def may_link(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs, of `left` and `right`, whose counts allow a link."""
+    num, den = threshold.numerator, threshold.denominator
+    forest, out = Forest(len(points)), []
+    if len(right) <= RUN_CHUNK:  # a tree of one leaf: all its points at once, for as many queries as fit
+        size, at = sizes[right], points[right].astype(np.uint32 if points.max(initial=0) > 0xFFFF else np.uint16)
+        rows = max(1, (1 << 20) // (len(right) * GROUPS))
+        for k in range(0, len(left), rows):
+            own = left[k : k + rows]
+            bound = np.minimum(at[None, :, :], points[own].astype(at.dtype)[:, None, :]).sum(axis=2, dtype=np.int64)
+            both = sizes[own][:, None] + size[None, :]
+            x, y = np.nonzero((num + den) * bound >= num * both)
+            out += [(a, b) for a, b in zip(own[x].tolist(), right[y].tolist(), strict=True) if a != b and forest.join(a, b)]
+        return out
+    tree = CountTree(points[right], sizes[right], threshold)
+    for x in left.tolist():
+        out += [(x, y) for y in right[tree.search(points[x], int(sizes[x]))].tolist() if forest.join(x, y)]
+    return out
+
+
+def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets `left` and the sets `right` (positions)."""
+    vocab = np.unique(np.concatenate(sets))
+    ids = [np.searchsorted(vocab, s) for s in sets]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    points = count_vectors(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
+    tree, forest = CountTree(points[right], sizes[right], threshold), Forest(len(sets))
     marks, out = np.zeros(len(vocab), np.int64), []
     num, den = threshold.numerator, threshold.denominator
     for x in left.tolist():
-        found = right[tree.search(points[x], int(sizes[x]))]
-        own = root(x)
-        found = np.array([y for y in found.tolist() if root(y) != own], np.int64)
+        own = forest.root(x)
+        found = np.array([y for y in right[tree.search(points[x], int(sizes[x]))].tolist() if forest.root(y) != own], np.int64)
         if not len(found):
             continue
         marks[ids[x]] = 1
         both = np.add.reduceat(marks[np.concatenate([ids[y] for y in found])], np.cumsum(sizes[found]) - sizes[found])
         marks[ids[x]] = 0
-        for y in found[(num + den) * both >= num * (sizes[x] + sizes[found])].tolist():
-            if (a := root(x)) != (b := root(y)):
-                parent[max(a, b)] = min(a, b)
-                out.append((x, y))
+        out += [(x, y) for y in found[(num + den) * both >= num * (sizes[x] + sizes[found])].tolist() if forest.join(x, y)]
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of the same first three columns, which come one after the other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _pairs(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], kind: str) -> Callable:
+    """The pairs that make yields, as batches of a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = make(batches)
+        while part := [*itertools.islice(found, 4096)]:
+            a, b = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, ID_TYPES[kind]), pa.array(b, ID_TYPES[kind])], ["a", "b"])
+
+    return run
+
+
 def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """doc_id, n_shingles and component_id of each row.
 
@@ -203,10 +262,11 @@ def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fracti
     sets, but doesn't lead or bridge; rows of one id are one document each. Other columns are not
     read. Elements are 64-bit hashes.
 
-    Sets that are equal become one. The rest are dealt to keys (Bands): a key with few sets gives
-    their pairs; a key with many is cut into chunks, and each pair of chunks is searched by an
-    R-tree over count vectors (CountTree). Survivors are verified on whole sets, and only a
-    spanning forest of the links leaves a task.
+    Sets that are equal become one. The rest are dealt to keys (Bands). Sets with a common key are
+    compared by an R-tree over count vectors (CountTree): pairs whose counts allow a link connect
+    clusters, outside of which nothing links. A cluster's sets are searched by such a tree and
+    verified whole. Large runs and clusters are cut into chunks, searched pair by pair of chunks;
+    only spanning forests leave a task.
     """
     spark, bands = docs.sparkSession, Bands(threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -227,26 +287,57 @@ def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fracti
                 order = np.argsort(of, kind="stable")
                 ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(rows)))]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
+                points = count_vectors(value, owner, len(rows)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists],
-                    ["doc_id", "n", "s1", "s2", "keys"],
+                    [part.column("doc_id"), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists, pa.array([x.tobytes() for x in points], pa.binary())],
+                    ["doc_id", "n", "s1", "s2", "keys", "point"],
                 )
 
-    signed = saved(texts.mapInArrow(sign, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, keys array<bigint>"), "jaccard-keys")
-    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    single = signed.where(F.size("keys") > 0).join(reps, "doc_id", "left_semi")
-    keyed = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "n")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("run")).where("run > 1")
-    runs = saved(keyed.join(counts, "key"), "jaccard-runs")
+    signed = saved(texts.mapInArrow(sign, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, keys array<bigint>, point binary"), "jaccard-keys")
+    classes = saved(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
-    a, b = (runs.where(F.col("run") <= SMALL_RUN).select("key", F.col("id").alias(x)) for x in "ab")
-    pairs = saved(a.join(b, "key").where("a < b").select("a", "b").distinct(), "jaccard-pairs")
-    large = runs.where(F.col("run") > SMALL_RUN)
+    # most keys occur once: a filter of the rest, made of short prefixes, stops them before they are shuffled
+    prefix = signed.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 64 - PREFIX_BITS).alias("p"))
+    repeated = saved(prefix.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p"), "jaccard-prefixes")
+    known = spark.sparkContext.broadcast(BitFilter(repeated, "p", PREFIX_BITS))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("id")).distinct()
-    ids = saved(ids, "jaccard-ids")
-    few = ids.count() <= BROADCAST_ROWS
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
+            at = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            keep = known.value.holds(values)
+            row = pa.array(at[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), batch.column("doc_id").take(row)], ["key", "id"])
+
+    reps = classes.select(F.col("rep").alias("id"))
+    thinned = signed.where(F.size("keys") > 0).select("doc_id", "keys").mapInArrow(thin, f"key bigint, id {kind}")
+    keyed = saved(thinned.join(reps, "id", "left_semi").distinct(), "jaccard-keyed")
+    # keys with the same sets are one run; a run is cut into chunks, and its points travel once for each
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    runs = keyed.groupBy("key").agg(F.count("*").alias("run"), *mark).where("run > 1").groupBy("run", "m0", "m1").agg(F.min("key").alias("key"))
+    runs = saved(runs.select("key", F.ceil(F.col("run") / RUN_CHUNK).cast("int").alias("chunks")), "jaccard-runs")
+    points = signed.select(F.col("doc_id").alias("id"), "n", "point").join(reps, "id", "left_semi")
+    held = keyed.join(runs, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.select("id", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(points, "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _groups(batches, ("key", "i", "j", "id", "mine", "n", "point")):
+            own = {x[3]: x for x in rows}
+            ids, mine = [*own], np.array([x[4] for x in own.values()])
+            left, right = np.flatnonzero(mine == rows[0][1]), np.flatnonzero(mine == rows[0][2])
+            if len(left) and len(right):
+                points = np.frombuffer(b"".join([x[6] for x in own.values()]), np.uint32).astype(np.int64).reshape(-1, GROUPS)
+                for x, y in may_link(points, np.array([x[5] for x in own.values()]), left, right, threshold):
+                    yield ids[x], ids[y]
+
+    groups = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").select("key", "i", "j", "id", "mine", "n", "point")
+    near = saved(groups.mapInArrow(_pairs(compare, kind), f"a {kind}, b {kind}").distinct(), "jaccard-near")
+
+    # sets that such pairs connect form a cluster; each is searched whole, its sets travel once for each chunk
+    cluster = components(near, "jaccard-clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    few = cluster.count() <= BROADCAST_ROWS
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
@@ -255,44 +346,34 @@ def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fracti
                 value, owner = shingles.sets(rows)
                 ends = np.searchsorted(owner, np.arange(len(rows) + 1))
                 data = [value[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], ["id", "data"])
-
-    chosen = texts.join(F.broadcast(ids) if few else ids, "doc_id")
-    sets = saved(chosen.dropDuplicates(["doc_id"]).mapInArrow(collect_sets, f"id {kind}, data binary"), "jaccard-sets")
-    num, den = threshold.numerator, threshold.denominator
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                need = num * (len(p) + len(q))
-                bound = int(np.minimum(count_vector(p), count_vector(q)).sum())
-                keep.append((num + den) * bound >= need and (num + den) * len(np.intersect1d(p, q, assume_unique=True)) >= need)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("data").alias("y")), "b").select("a", "b", "x", "y")
-    small_links = with_b.mapInArrow(verify, f"a {kind}, b {kind}")
-
-    per_chunk = F.greatest(F.lit(32), F.least(F.lit(256), F.floor(F.lit(65536) / F.col("n"))))
-    # n differs in a run by one band at most; the run's size decides, so that all members agree
-    runs_n = large.groupBy("key").agg(F.max("n").alias("n"), F.max("run").alias("run"))
-    cuts = runs_n.select("key", F.ceil(F.col("run") / per_chunk).cast("int").alias("chunks"))
-    dealt = large.select("key", "id").join(cuts, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), pa.array(data, pa.binary())], ["id", "cluster", "data"])
+
+    members = cluster.withColumnRenamed("id", "doc_id")
+    chosen = texts.join(F.broadcast(members) if few else members, "doc_id")
+    sets = saved(chosen.mapInArrow(collect_sets, f"id {kind}, cluster {kind}, data binary"), "jaccard-sets")
+    sizes = sets.groupBy("cluster").agg(F.count("*").alias("rows"), F.max(F.octet_length("data") / 8).alias("most"))
+    per_chunk = F.greatest(F.lit(32), F.least(F.lit(256), F.floor(F.lit(131072) / F.col("most"))))
+    cuts = saved(sizes.select("cluster", F.ceil(F.col("rows") / per_chunk).cast("int").alias("chunks")), "jaccard-cuts")
+    single, several = (cuts.where(c) for c in ("chunks = 1", "chunks > 1"))
+    if cuts.count() <= BROADCAST_ROWS:
+        single, several = F.broadcast(single), F.broadcast(several)
+    whole = sets.join(single.select("cluster"), "cluster").select("id", "cluster", "data", *(F.lit(0).alias(c) for c in ("mine", "i", "j")))
+    dealt = sets.join(several, "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", "id", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id").sort_values("id")
-        members = [np.frombuffer(x, _U) for x in group["data"]]
-        mine, i, j = group["mine"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
-        found = links(members, np.flatnonzero(mine == i), np.flatnonzero(mine == j), threshold) if (mine == i).any() and (mine == j).any() else []
-        at = group["id"].to_numpy()
-        return pd.DataFrame({"a": [at[x] for x, _ in found], "b": [at[y] for _, y in found]}, columns=["a", "b"])
-
-    large_links = dealt.join(sets, "id").groupBy("key", "i", "j").applyInPandas(search, f"a {kind}, b {kind}")
-    comp = components(small_links.union(large_links), "jaccard-components")
+    dealt = dealt.select("id", "cluster", "data", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _groups(batches, ("cluster", "i", "j", "id", "mine", "data")):
+            own = {x[3]: x for x in rows}  # rows of one id are one set
+            ids, mine = [*own], np.array([x[4] for x in own.values()])
+            left, right = np.flatnonzero(mine == rows[0][1]), np.flatnonzero(mine == rows[0][2])
+            if len(left) and len(right):
+                for x, y in links([np.frombuffer(x[5], _U) for x in own.values()], left, right, threshold):
+                    yield ids[x], ids[y]
+
+    groups = whole.union(dealt).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    found = groups.select("cluster", "i", "j", "id", "mine", "data").mapInArrow(_pairs(search, kind), f"a {kind}, b {kind}")
+    comp = components(found, "jaccard-components")
     named = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     return signed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space is the only separator of words.
@@ -57,6 +57,41 @@ def fold(doc_id: str, k: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def lowest(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """The n rows of each value of `by` that have the lowest hash of `key`; `by` has few values.
+
+    Each is ranked in 64 parts first, so that no task sees more than 64 n rows of a value.
+    """
+    hash_ = F.xxhash64(key)
+    part = rows.withColumns({"_h": hash_, "_part": F.pmod(hash_, F.lit(64))})
+    for keys in ([by, "_part"], [by]):
+        order = Window.partitionBy(*keys).orderBy("_h", key)
+        part = part.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
+    return part.drop("_h", "_part")
+
+
+#: Bits of a filter at most: 8 MB to broadcast. A fuller filter lets more through, and loses nothing.
+FILTER_BITS = 26
+
+
+class BitFilter:
+    """A set of 64-bit hashes by their first bits: holds all that were put in, and some others."""
+
+    def __init__(self, found: DataFrame, prefix: str, width: int) -> None:
+        """found: rows of `prefix`, the first `width` bits of hashes as a long. 2^FILTER_BITS / 64 words are gathered at most."""
+        self.bits = max(16, min(FILTER_BITS, width, (16 * found.count()).bit_length()))
+        bit = F.shiftrightunsigned(prefix, width - self.bits)
+        words = found.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({prefix}, {width - self.bits}) % 64 as int))")).alias("set"))
+        got = words.toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.int64)
+        self.words[got.column("word").to_numpy()] = got.column("set").to_numpy()
+        self.words = self.words.view(np.uint64)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> np.uint64(64 - self.bits)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with their texts (null: empty), bounded in rows and characters."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
