@@ -11,15 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import WORD, WordHashes, blocks, mix, saved
+from textframes.llm.shared import WORD, BitFilter, WordHashes, blocks, mix, saved
 from textframes.llm.suffix_automaton import SuffixAutomaton
 
 #: Words of a k-gram; a window is represented by one of its k-grams.
 GRAM = 8
 #: k-grams that are known as common; only the order of preference depends on them.
 COMMON = 100_000
-#: Bits of the filter of repeated anchors at most: 8 MB to broadcast. A fuller filter lets more through.
-FILTER_BITS = 26
 #: Texts with repeats that are broadcast at most, once counted; more are joined by a shuffle.
 BROADCAST_TEXTS = 200_000
 #: Words in an automaton.
@@ -93,8 +91,8 @@ def _common_grams(texts: DataFrame, window: int) -> np.ndarray:
     return np.sort(top.column("gram").to_numpy().view(_U))
 
 
-def _repeated_filter(texts: DataFrame, window: int, common) -> tuple[np.ndarray, int]:
-    """A bit for each anchor that occurs more than once (and some others): bits of a hash's prefix."""
+def _repeated_filter(texts: DataFrame, window: int, common) -> BitFilter:
+    """The anchors that occur more than once, and some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(window, common.value)
@@ -106,13 +104,7 @@ def _repeated_filter(texts: DataFrame, window: int, common) -> tuple[np.ndarray,
 
     counted = texts.select("text").mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     repeated = saved(counted.where("n > 1").select("anchor"), "passage-anchors")
-    bits = max(16, min(FILTER_BITS, (16 * repeated.count()).bit_length()))
-    bit = F.shiftrightunsigned("anchor", 64 - bits)
-    words = repeated.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - bits}) % 64 as int))")).alias("bits"))
-    got = words.toArrow()  # 2^bits / 64 rows at most
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(_U), bits
+    return BitFilter(repeated, "anchor", 64)
 
 
 def shard_repeats(contexts: list[tuple[int, np.ndarray, int]], window: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -177,8 +169,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     texts = texts.withColumns({"k1": F.xxhash64("text"), "k2": F.hash("text")})
     common = spark.sparkContext.broadcast(_common_grams(texts, window))
-    bitset, bits = _repeated_filter(texts, window, common)
-    known = spark.sparkContext.broadcast(bitset)
+    known = spark.sparkContext.broadcast(_repeated_filter(texts, window, common))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(window, common.value)
@@ -187,8 +178,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             for part, rows in blocks(batch, "text"):
                 _, flat, n = passages.words(rows)
                 start, size, _, anchor = passages.anchors(flat, n)
-                bit = anchor >> _U(64 - bits)
-                some = np.flatnonzero(known.value[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63)) & _U(1))
+                some = np.flatnonzero(known.value.holds(anchor))
                 data = [flat[s : s + k + window - 1].tobytes() for s, k in zip(start[some].tolist(), size[some].tolist(), strict=True)]
                 name = np.fromiter(map(xxhash.xxh3_64_intdigest, data), _U, len(data)).view(np.int64)
                 row = np.searchsorted(np.cumsum(n), start[some], "right")
