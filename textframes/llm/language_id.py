@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import blocks, fold, mix
+from textframes.llm.shared import blocks, fold, lowest, mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -151,8 +151,7 @@ def train(docs: DataFrame, per_language: int = 300, languages: int = 200, hold_o
     if hold_out:
         rows = rows.where(fold("doc_id", 4) != 2)
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.join(F.broadcast(top), "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    chosen = lowest(rows.join(F.broadcast(top), "lang"), "lang", "doc_id", per_language)
     ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]  # per_language x languages at most
     if not ids:
         return fit([], [])
