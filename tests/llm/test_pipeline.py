@@ -30,11 +30,11 @@ def sf_dir(spark, tmp_path_factory):
     for k in range(60):
         lang = "en" if k % 2 else "de"
         rows.append((k, " ".join(r.choice(english if k % 2 else german) + str(r.randrange(40)) for _ in range(80)), lang, f"s{k % 3}", 1, "extra"))
-    copy = rows[10][1]
+    copy = rows[13][1]
     words = rows[11][1].split(" ")
     words[40] = "changed"
-    rows += [(100, copy.upper(), "de", "s0", 1, "x"), (101, copy, "de", "s1", 1, "x"), (102, " ".join(words), "en", "s1", 1, "x"), (103, None, "en", None, None, None),
-             (104, "12345", None, "s2", 1, "x"), (105, "Привет как дела сегодня вечером", None, "s2", 1, "x"), (101, copy, "de", "s1", 1, "x")]
+    rows += [(100, copy.upper(), "en", "s0", 1, "x"), (101, copy, "en", "s1", 1, "x"), (102, " ".join(words), "en", "s1", 1, "x"), (103, None, "en", None, None, None),
+             (104, "12345", None, "s2", 1, "x"), (105, "Привет как дела сегодня вечером", None, "s2", 1, "x"), (101, copy, "en", "s1", 1, "x")]
     path = tmp_path_factory.mktemp("sf")
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string"
     spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
