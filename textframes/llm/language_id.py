@@ -15,6 +15,9 @@ from textframes.llm.shared import blocks, fold, lowest, mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: A text whose cosine to the nearest centroid is lower belongs to no language. A single letter of a
+#: known language has about 0.13, another alphabet 0.03.
+FLOOR = 0.08
 
 
 class GramTable:
@@ -106,12 +109,8 @@ class LanguageModel:
         return best, value, value < self.floor[best]
 
 
-def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3, seed: int = 7) -> LanguageModel:
-    """Spherical k-means in each language. Without texts the model has no centroid and rejects all.
-
-    The floor of a centroid is half the lowest similarity of its own training texts: far enough to
-    keep short texts, near enough to turn away other alphabets.
-    """
+def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3, seed: int = 7, floor: float = FLOOR) -> LanguageModel:
+    """Spherical k-means in each language. Without texts the model has no centroid and rejects all."""
     grams = GramTable(size)
     names = sorted(set(langs))
     if not names:
@@ -136,7 +135,7 @@ def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3,
             if (nearest == k).any():
                 labels.append(name)
                 centres.append(c[k])
-                floors.append(0.5 * cosine[nearest == k, k].min())
+                floors.append(floor)
     return LanguageModel(labels, idf, np.array(centres, np.float32).reshape(-1, size), np.array(floors, np.float32))
 
 
@@ -165,8 +164,8 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
     """docs with three columns, by default lang_pred, score and rejected.
 
     lang_pred is a learned language, or `und` if the text is null or has no letter; score is the
-    cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or farther
-    from that centroid than its texts are. Equal texts get equal answers; columns of docs with the
+    cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or nearer
+    to no centroid than FLOOR. Equal texts get equal answers; columns of docs with the
     names of the new ones are replaced; other columns, lang, source and doc_id are carried, never
     used. One pass without a shuffle; the model's size depends on languages and n-gram slots only.
     """
