@@ -75,7 +75,7 @@ def test_toxicity_odd_rows(spark):
     model = toxicity.fit(["you idiot", "fine day", "idiot there", "good day"] * 10, [1, 0, 1, 0] * 10, ["en", None] * 20, epochs=3)
     rows = toxicity.toxicity(docs, model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
-    assert rows[4]["score"] == rows[5]["score"]
+    assert len({r["score"] for r in rows if r["text"] == "x"}) == 1
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
     none = toxicity.toxicity(docs, toxicity.fit([], [], [])).collect()
     assert {r["predicted"] for r in none} == {0}
