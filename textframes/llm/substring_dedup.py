@@ -200,23 +200,33 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     contexts = counted.join(bodies, ["anchor", "context"]).select("anchor", "context", "n", "data")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, np.ndarray, int]] = []
+        shard: list[tuple[int, np.ndarray, int]] = []  # of anchors that have several contexts
+        group: list[tuple[int, np.ndarray, int]] = []
         words, key = 0, None
 
-        def judged() -> pa.RecordBatch:
-            rows = [(name, a, b) for name, runs in shard_repeats(shard, window) for a, b in runs] if shard else []
+        def judged(contexts: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int, int]]:
+            return [(name, a, b) for name, runs in shard_repeats(contexts, window) for a, b in runs] if contexts else []
+
+        def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
             name, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["context", "a", "b"])
 
         for batch in batches:
+            out = []
             for anchor, name, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != key and (words >= SHARD_WORDS or len(shard) == 1):
-                    yield judged()
-                    shard, words = [], 0
-                key = anchor
-                shard.append((name, np.frombuffer(data, _U), n))
-                words += len(data) // 8
-        yield judged()
+                if anchor != key:
+                    if len(group) == 1:  # nothing else has this anchor: the number of occurrences decides
+                        out += judged(group)
+                    else:
+                        shard += group
+                        words += sum(len(w) for _, w, _ in group)
+                    group, key = [], anchor
+                    if words >= SHARD_WORDS:
+                        out += judged(shard)
+                        shard, words = [], 0
+                group.append((name, np.frombuffer(data, _U), n))
+            yield batch_of(out)
+        yield batch_of((judged(group) if len(group) == 1 else judged(shard + group)) + (judged(shard) if len(group) == 1 else []))
 
     shards = contexts.repartition("anchor").sortWithinPartitions("anchor", "context")
     repeats = saved(shards.mapInArrow(judge, "context bigint, a bigint, b bigint"), "passage-repeats")
