@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import random
+import re
+import string
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from textframes.llm import language_id, queries, toxicity
@@ -39,6 +43,22 @@ def test_language_odd_rows(spark):
     assert all(r["lang_pred"] == "und" for r in nothing)
 
 
+def test_rejection_at_any_length():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    docs = [r for r in docs if r["text"] and r["lang"]]
+    model = language_id.fit([r["text"] for r in docs], [r["lang"] for r in docs])
+    table, rng = language_id.GramTable(model.size), random.Random(3)
+    words = [w for r in docs for w in r["text"].split()]
+    for n in (5, 20, 60, 200, 600, 2000, 5000):
+        own = [" ".join(words[k : k + n]) for k in rng.sample(range(len(words) - n), 20)]
+        foreign = [t.lower().translate({c: first + c % 26 for c in range(97, 123)}) for t in own for first in (0x3B1, 0x430, 0x5D0, 0x905)]
+        foreign = [re.sub(r"[a-zà-ÿ]", "", t) for t in foreign]
+        if n >= 20:
+            foreign += [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(n)) for _ in range(20)]
+        assert model.predict(table.vectors(foreign)[0])[2].all()
+        assert not model.predict(table.vectors(own)[0])[2].any()
+
+
 def test_grams_by_brute_force():
     table = language_id.GramTable(1 << 12)
     words = ["ab", "é", "straße", "abab"]

@@ -15,9 +15,13 @@ from textframes.llm.shared import blocks, fold, lowest, mix
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-#: A text whose cosine to the nearest centroid is lower belongs to no language. A single letter of a
-#: known language has about 0.13, another alphabet 0.03.
+#: A text belongs to no language if its cosine to the nearest centroid exceeds what hash collisions
+#: alone give by less. A single letter of a known language has about 0.13 more, another alphabet
+#: 0.02 at any length.
 FLOOR = 0.08
+#: Distinct n-grams up to which FLOOR holds. It rises by RISE for each doubling from there, twice at
+#: most: foreign texts in a known alphabet stay below 0.2, known languages have over 0.4 at 128.
+SHORT, RISE = 32, 0.06
 
 
 class GramTable:
@@ -87,12 +91,12 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """Centroids by language, and the similarity below which a text belongs to none."""
+    """Centroids by language, and how far above chance a text must be to belong to one."""
 
     languages: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    floor: np.ndarray
+    floor: np.ndarray  # of short texts
 
     @property
     def size(self) -> int:
@@ -106,7 +110,14 @@ class LanguageModel:
         cosine = self.weigh(tf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         value = cosine[np.arange(len(tf)), best]
-        return best, value, value < self.floor[best]
+        doublings = np.log2(np.maximum(np.minimum((tf > 0).sum(axis=1), (self.centroids > 0).sum(axis=1)[best]), SHORT) / SHORT)
+        return best, value, value - self.chance(tf, best) < self.floor[best] + RISE * np.minimum(doublings, 2)
+
+    def chance(self, tf: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Expected cosine to centroid `best` of n-grams that are strange to it: of the same counts in any slots."""
+        w = np.log1p(tf)
+        norm = np.sqrt((w * w).sum(axis=1) * (self.idf**2).mean())
+        return w.mean(axis=1) * (self.centroids @ self.idf)[best] / np.maximum(norm, 1e-12)
 
 
 def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3, seed: int = 7, floor: float = FLOOR) -> LanguageModel:
@@ -164,8 +175,8 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
     """docs with three columns, by default lang_pred, score and rejected.
 
     lang_pred is a learned language, or `und` if the text is null or has no letter; score is the
-    cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or nearer
-    to no centroid than FLOOR. Equal texts get equal answers; columns of docs with the
+    cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or that this
+    cosine is hardly above what collisions of n-grams give (FLOOR, RISE). Equal texts get equal answers; columns of docs with the
     names of the new ones are replaced; other columns, lang, source and doc_id are carried, never
     used. One pass without a shuffle; the model's size depends on languages and n-gram slots only.
     """
