@@ -74,6 +74,12 @@ def test_training_uses_other_folds_only(spark):
     assert set(language_id.train(docs).languages) == {"de"}
 
 
+def test_training_learns_every_language(spark):
+    docs = spark.createDataFrame([(i // 2, f"wort{i} und", f"l{i % 230}") for i in range(690)], "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, hold_out=False)
+    assert set(model.languages) == {f"l{i}" for i in range(230)}
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     return queries.op2_toxicity(spark, DATA).toPandas()

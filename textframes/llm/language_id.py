@@ -126,13 +126,19 @@ def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3,
     names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.float32))
-    tf = np.concatenate([grams.vectors(texts[k : k + 256])[0] for k in range(0, len(texts), 256)])
-    idf = (np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = unit_rows(np.log1p(tf) * idf)
+    rows: dict[str, list[str]] = {name: [] for name in names}
+    for text, lang in zip(texts, langs, strict=True):
+        rows[lang].append(text)
+
+    def blocks_of(own: list[str]) -> Iterator[np.ndarray]:  # dense vectors of one language are held at most
+        return (grams.vectors(own[k : k + 256])[0] for k in range(0, len(own), 256))
+
+    found = sum((tf > 0).sum(axis=0) for tf in blocks_of(texts))
+    idf = (np.log((1 + len(texts)) / (1 + found)) + 1).astype(np.float32)
     rng = np.random.default_rng(seed)
     labels, centres, floors = [], [], []
     for name in names:
-        own = x[np.array([lang == name for lang in langs])]
+        own = unit_rows(np.log1p(np.concatenate([*blocks_of(rows[name])])) * idf)
         own = own[np.linalg.norm(own, axis=1) > 0]
         if not len(own):
             continue
@@ -150,8 +156,8 @@ def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3,
     return LanguageModel(labels, idf, np.array(centres, np.float32).reshape(-1, size), np.array(floors, np.float32))
 
 
-def train(docs: DataFrame, per_language: int = 300, languages: int = 200, hold_out: bool = True) -> LanguageModel:
-    """Fits on at most per_language documents of each of the languages with most documents.
+def train(docs: DataFrame, per_language: int = 300, hold_out: bool = True) -> LanguageModel:
+    """Fits on at most per_language documents of each language; the driver's part grows with their number.
 
     Bounded sample (documented parameters): of the rows with a lang whose crc32(doc_id) mod 4 is not
     2, the per_language lowest by hash of the id in each language, whole texts. lang, source and
@@ -160,14 +166,13 @@ def train(docs: DataFrame, per_language: int = 300, languages: int = 200, hold_o
     rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
     if hold_out:
         rows = rows.where(fold("doc_id", 4) != 2)
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    chosen = lowest(rows.join(F.broadcast(top), "lang"), "lang", "doc_id", per_language)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]  # per_language x languages at most
+    chosen = lowest(rows, "lang", "doc_id", per_language)
+    ids = [tuple(r) for r in chosen.select("doc_id", "lang").distinct().collect()]  # per_language x languages at most
     if not ids:
         return fit([], [])
-    keys = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    picked = docs.select("doc_id", "lang", "text").join(F.broadcast(keys), "doc_id").where("lang is not null and text is not null")
-    got = picked.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "lang").collect()
+    keys = docs.sparkSession.createDataFrame(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string")
+    picked = docs.select("doc_id", "lang", "text").join(F.broadcast(keys), ["doc_id", "lang"]).where("text is not null")
+    got = picked.dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").select("text", "lang").collect()
     return fit([r[0] for r in got], [r[1] for r in got])
 
 
