@@ -31,6 +31,27 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert topk_bitslice.top_k(df.where("vec_id = 50")).collect() == []
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk_bitslice, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in np.float32(r.normal(0, 0.2, 8))]) for k in range(60)]
+    for k in (3, 20, 50, 51):  # sums of large products that cancel
+        rows[k][1][:2] = [float(np.float32(x)) for x in (262_144.5 + k, -262_144.5 + k)]
+    rows[9][1][:3] = [2.0**40, 2.0**40, 0.25]
+    far = [0.0] * 8
+    far[5] = -1e38 if rows[0][1][5] > 0 else 1e38  # a score beyond a bigint, but the lowest
+    odd = [(100, [1e30, math.nan] + [0.0] * 6), (101, [1e30, None] + [0.0] * 6), (102, far)]
+    rows[50][1][5] = rows[0][1][5]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>")
+    valid = {i: [math.floor(float(np.float32(x)) * 256) for x in v] for i, v in [*rows, odd[2]]}
+    want = {}
+    for q in (0, 50):
+        scores = sorted((-sum(x * y for x, y in zip(valid[q], w, strict=True)), i) for i, w in valid.items() if i != q)[:5]
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scores)}
+    found = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk_bitslice.top_k(df).collect()}
+    assert found == want
+
+
 def test_slices_add_up():
     r = np.random.default_rng(1)
     values = r.integers(-200, 200, (130, 9))

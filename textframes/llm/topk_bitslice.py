@@ -16,12 +16,12 @@ from textframes.llm.shared import saved
 BLOCK, QUERIES = 16_384, 128
 #: Low bits that the slices leave out; rows near the boundary are scored with all bits.
 DROPPED = 3
-#: Components from here on could overflow a score of 64 bits.
+#: Components from here on could overflow a score of 64 bits; their vectors stand in blocks of their own.
 LARGEST = 1 << 26
 
 
-def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """floor(scale x) of each vector, shorter ones filled with 0, and whether a vector takes part."""
+def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x and floor(scale x) of each vector, shorter ones filled with 0; whether it takes part, and whether it is large."""
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = pc.list_flatten(column)
     x = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
@@ -29,12 +29,23 @@ def quantise(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     good = ~pc.is_null(column).to_numpy(zero_copy_only=False)
     good[row[~np.isfinite(x)]] = False
-    value = np.floor(np.where(np.isfinite(x), x, 0.0) * scale)
-    if (np.abs(value) >= LARGEST).any():
-        raise OverflowError("a component is too large for exact scores")
-    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
-    out[row, place] = value
-    return out, good
+    raw = np.zeros((len(lengths), int(lengths.max(initial=0))))
+    raw[row, place] = np.where(np.isfinite(x), x, 0.0)
+    value = floor(raw, scale)
+    large = (np.abs(value) >= LARGEST).any(axis=1)
+    return raw, np.where(large[:, None], 0, value).astype(np.int64), good, large
+
+
+def floor(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale x) as float64, infinite where it is beyond."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * scale)
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale x) as Python integers."""
+    out = [int(v) if np.isfinite(v) else int(w) * scale for v, w in zip(floor(x, scale).ravel().tolist(), x.ravel().tolist(), strict=True)]
+    return np.array([*out, None], object)[:-1].reshape(x.shape)
 
 
 class SliceIndex:
@@ -134,6 +145,23 @@ def search(index: SliceIndex, ids: np.ndarray, query: np.ndarray, query_id: int,
     return ids[rows][best], score[best]
 
 
+def search_large(x: np.ndarray, scale: int, ids: np.ndarray, query: np.ndarray, query_scale: int, query_id: int, k: int) -> tuple[np.ndarray, list[int]]:
+    """As search, for components of any size: float64 leaves few rows, which Python integers score."""
+    dims = min(len(query), x.shape[1])
+    x, query = x[:, :dims], query[:dims]
+    with np.errstate(over="ignore", invalid="ignore"):
+        values, weights = floor(x, scale), floor(query, query_scale)
+        about, off = values @ weights, np.abs(values) @ np.abs(weights) * (dims + 2) * 2.0**-51
+        least, most = about - off, about + off
+    rows = np.flatnonzero(ids != query_id)
+    if len(rows) > k:
+        least = np.where(np.isfinite(least), least, -np.inf)[rows]
+        rows = rows[~(most[rows] < np.partition(least, len(rows) - k)[len(rows) - k])]
+    score = (whole(x[rows], scale) * whole(query, query_scale)).sum(axis=1).tolist() if dims else [0] * len(rows)
+    best = sorted(range(len(rows)), key=lambda r: (-score[r], ids[rows[r]]))[:k]
+    return ids[rows[best]], [int(score[r]) for r in best]
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each query.
 
@@ -141,7 +169,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     own (all rows with their vec_id). Score: inner product of floor(scale x), as integers; ties to
     the smaller vec_id. Vectors that are null or hold a null or non-finite component take no part,
     nor do rows without a vec_id; a shorter vector is filled with 0. Of several rows with a query's
-    vec_id the smallest vector asks. Other columns are not read.
+    vec_id the smallest vector asks. Other columns are not read. Components may have any finite
+    size; only a score among the k best that a bigint can't hold is an error.
 
     Index blocks and blocks of queries, each of bounded size, are written to the shared folder and
     paired; each pair gives k rows for a query at most.
@@ -154,59 +183,73 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
         yield from _cut(batches, QUERIES, scale)
 
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
-    schema = "ids binary, data binary"
+    schema = "ids binary, data binary, large boolean"
     index = saved(rows.mapInArrow(build, schema), "slice-index")
     asked = rows.where(F.col("vec_id") % every == 0)
     plain = asked.where("not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     queries = plain.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(gather, schema)
-    queries = saved(queries.select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data")), "slice-queries")
+    queries = saved(queries.select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.col("large").alias("query_large")), "slice-queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, data, query_ids, query_data = (batch.column(c)[at].as_py() for c in range(4))
+                ids, data, large, query_ids, query_data, query_large = (batch.column(c)[at].as_py() for c in range(6))
                 ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
-                if last is None or not np.array_equal(last, ids):
-                    last, block = ids, SliceIndex(np.frombuffer(data, np.int32).astype(np.int64).reshape(len(ids), -1))
-                asks = np.frombuffer(query_data, np.int32).astype(np.int64).reshape(len(query_ids), -1)
-                found = [search(block, ids, q, i, k) for q, i in zip(asks, query_ids.tolist(), strict=True)]
+                asks = np.frombuffer(query_data, np.float64 if query_large else np.int32).reshape(len(query_ids), -1)
+                if large or query_large:
+                    x = np.frombuffer(data, np.float64 if large else np.int32).astype(np.float64).reshape(len(ids), -1)
+                    scales = scale if large else 1, scale if query_large else 1
+                    found = [search_large(x, scales[0], ids, q, scales[1], i, k) for q, i in zip(asks.astype(np.float64), query_ids.tolist(), strict=True)]
+                else:
+                    if last is None or not np.array_equal(last, ids):
+                        last, block = ids, SliceIndex(np.frombuffer(data, np.int32).astype(np.int64).reshape(len(ids), -1))
+                    found = [search(block, ids, q, i, k) for q, i in zip(asks.astype(np.int64), query_ids.tolist(), strict=True)]
                 sizes = [len(x) for x, _ in found]
+                score = [s for _, part in found for s in (part if isinstance(part, list) else part.tolist())]
+                over = [(s >= 1 << 63) - (s < -1 << 63) for s in score]  # such scores need no order among themselves
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
-                    ["query_id", "vec_id", "score"],
-                )
+                    [
+                        pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([x for x, _ in found])),
+                        pa.array([0 if o else s for s, o in zip(score, over, strict=True)], pa.int64()), pa.array(over, pa.int32()),
+                    ],
+                    ["query_id", "vec_id", "score", "over"],
+                )
 
     # the query set against all rows, in blocks
     pairs = index.crossJoin(queries)
-    scored = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, over int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score of the k best is too large for a bigint")).cast("bigint"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], most: int, scale: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of quantised vectors; a task's batches are joined until a block is full."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Blocks of quantised vectors, and of large ones as they are; a task's batches are joined until a block is full."""
+    held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
 
-    def block(ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    def block(ids: np.ndarray, values: np.ndarray, large: bool) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids[order].tobytes()], pa.binary()), pa.array([values[order].astype(np.int32).tobytes()], pa.binary())], ["ids", "data"]
-        )
+        data = values[order] if large else values[order].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([ids[order].tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([large])], ["ids", "data", "large"])
 
-    def joined() -> tuple[np.ndarray, np.ndarray]:
-        width = max(v.shape[1] for _, v in held)
-        return np.concatenate([i for i, _ in held]), np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in held])
+    def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        width = max(v.shape[1] for _, v in parts)
+        return np.concatenate([i for i, _ in parts]), np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for _, v in parts])
 
     for batch in batches:
-        values, good = quantise(batch.column("embedding"), scale)
-        if good.any():
-            held.append((batch.column("vec_id").to_numpy(zero_copy_only=False)[good], values[good]))
-        if sum(len(i) for i, _ in held) >= most:
-            ids, values = joined()
-            full = len(ids) // most * most
-            for at in range(0, full, most):
-                yield block(ids[at : at + most], values[at : at + most])
-            held = [(ids[full:], values[full:])] if full < len(ids) else []
-    if held:
-        yield block(*joined())
+        raw, values, good, large = quantise(batch.column("embedding"), scale)
+        all_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+        for kind, use, data in ((False, good & ~large, values), (True, good & large, raw)):
+            if use.any():
+                held[kind].append((all_ids[use], data[use]))
+            if sum(len(i) for i, _ in held[kind]) >= most:
+                ids, data = joined(held[kind])
+                full = len(ids) // most * most
+                for at in range(0, full, most):
+                    yield block(ids[at : at + most], data[at : at + most], kind)
+                held[kind] = [(ids[full:], data[full:])] if full < len(ids) else []
+    for kind, parts in held.items():
+        if parts:
+            yield block(*joined(parts), kind)
