@@ -164,6 +164,24 @@ def test_linked_sets_share_a_key():
             assert np.intersect1d(key[of == 0], key[of == 1]).size
 
 
+def test_sets_that_link_bands_apart_share_a_key():
+    r = np.random.default_rng(6)
+    for t in (Fraction(4, 5), Fraction(1, 2), Fraction(1, 3)):
+        for a in range(1, 41):
+            for b in range(a + 1, int(a / t) + 1):
+                x = r.integers(0, 1 << 63, b, dtype=np.uint64)
+                key, of = jaccard_join.Bands(t).keys(np.r_[np.sort(x[:a]), np.sort(x)], np.repeat([0, 1], [a, b]), np.array([a, b]))
+                assert np.intersect1d(key[of == 0], key[of == 1]).size
+
+
+def test_similar_groups_at_one_half(spark):
+    rows = [(1, " ".join("abcdefgh")), (2, " ".join("abcdefghijklmnop")), (3, " ".join("abcdefghijklmnopq"))]
+    found = jaccard_join.similar_groups(spark.createDataFrame([*rows[:2], (4, "x y z")], "doc_id bigint, text string"), 1, Fraction(1, 2)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {1: 1, 2: 1, 4: 4}
+    found = jaccard_join.similar_groups(spark.createDataFrame(rows[::2], "doc_id bigint, text string"), 1, Fraction(1, 2)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in found} == {1: 1, 3: 3}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (300, 300)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -66,8 +66,8 @@ class Bands:
 
     Two sets that link differ in at most d = (a + b)(1 - t) / (1 + t) elements. Dealt to more than d
     groups by hash, at least one group holds the same elements in both. So each set emits one key
-    for each group's contents; sets that link share a key. A set near a band's upper end also emits
-    the keys of the next band.
+    for each group's contents; sets that link share a key. A set also emits the keys of every higher
+    band that a set which it links with can lie in.
     """
 
     def __init__(self, threshold: Fraction, most: int = 1 << 28) -> None:
@@ -93,15 +93,15 @@ class Bands:
         """Keys and the set of each key. Sets that can link with equal ones only emit none."""
         differ, band = self.differ(n), self.of(np.maximum(n, 1))
         out_key, out_owner = [], []
-        for up in (0, 1):
+        use = (n > 0) & (differ > 0)
+        for up in itertools.count():
             tag = band + up
-            use = (n > 0) & (differ > 0)
             if up:
-                use &= n * self.t.denominator // self.t.numerator >= self.edges[tag]
+                use = use & (n * self.t.denominator // self.t.numerator >= self.edges[np.minimum(tag, len(self.edges) - 1)])
             at = use[owner]
             v, o = value[at], owner[at]
             if not len(v):
-                continue
+                break
             k = self.groups[tag]
             group = (mix(v ^ _U(0x5851F42D4C957F2D)) % k[o].astype(_U)).astype(np.int64)
             place = o << 32 | group
