@@ -116,14 +116,101 @@ def brute_components(rows, width, t):
     return sorted(map(str, out))
 
 
-@pytest.mark.parametrize(("width", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
-def test_similar_groups_by_brute_force(docs, width, t, monkeypatch):
-    if width == 5:
-        monkeypatch.setattr(jaccard_join, "RUN_CHUNK", 3)  # chunks of runs
+@pytest.mark.parametrize(("width", "t", "chunk"), [(3, Fraction(9, 10), 256), (5, Fraction(4, 5), 256), (5, Fraction(4, 5), 3), (3, Fraction(1, 2), 5)])
+def test_similar_groups_by_brute_force(docs, width, t, chunk, monkeypatch):
+    if chunk < 256:  # runs that are not compared, chunks of clusters, guests
+        monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(jaccard_join, "RUN_ROWS", chunk + 1)
+        monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
     rows = jaccard_join.similar_groups(docs, width, t).collect()
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in rows) == brute_components(corpus(1), width, t)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    """Links of every text count, also of texts that share an id."""
+    r = random.Random(8)
+    a, b = (" ".join(r.choice("abcdefghij") + str(r.randrange(90)) for _ in range(120)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b + " z"), (3, a + " y"), (5, b + " z"), (7, "alone in here")]
+    for order in (rows, rows[::-1]):
+        found = jaccard_join.similar_groups(spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)).collect()
+        assert sorted((x["doc_id"], x["component_id"]) for x in found) == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (7, 7)]
+
+
+def test_ids_of_other_types(spark):
+    rows = [(1, "a b c d"), (2, "A b c d"), (3, "x")]
+    for kind in ("smallint", "string", "decimal(10,0)"):
+        df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+        found = sorted((str(x["doc_id"]), str(x["component_id"])) for x in jaccard_join.similar_groups(df).collect())
+        assert found == [("1", "1"), ("2", "1"), ("3", "3")]
+        kept = sorted((str(x["doc_id"]), str(x["keep_id"])) for x in exact_dedup.exact_groups(df, bits=4).collect())
+        assert kept == [("1", "2"), ("2", "2"), ("3", "3")]
+
+
+def test_words_and_shingles_by_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    from textframes.llm import words
+
+    monkeypatch.setattr(words, "PIECE", 40)
+    r = random.Random(4)
+    texts = [None, "", " a", "a b", "x" * 300 + " y"] + ["".join(r.choice("abAB \t\né日ü😀\x0b\x0c\x1c") for _ in range(r.randint(0, 60))) for _ in range(500)]
+    column = pa.array(["zz", *texts]).slice(1)
+    for fold in (True, False):
+        cut = [WORD.findall(lower(t) if fold else t or "") for t in texts]
+        hashes, n = words.WordCutter(fold).hashes(column)
+        assert n.tolist() == [*map(len, cut)]
+        names: dict[str, int] = {}
+        for w, h in zip([w for ws in cut for w in ws], hashes.tolist(), strict=True):
+            assert names.setdefault(w, h) == h
+        assert len({*names.values()}) == len(names)
+    value, owner, n = jaccard_join.Shingles(3).sets(column)
+    sets = [{tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set() for w in ([WORD.findall(lower(t)) for t in texts])]
+    assert n.tolist() == [*map(len, sets)] and owner.tolist() == np.repeat(np.arange(len(sets)), n).tolist()
+    own = np.split(value, np.cumsum(n)[:-1])
+    for a in range(0, len(sets), 7):
+        for b in range(len(sets)):
+            assert len(np.intersect1d(own[a], own[b])) == len(sets[a] & sets[b])
+
+
+def test_census_by_brute_force(spark):
+    import pyarrow as pa
+
+    from textframes.llm import census
+
+    r = np.random.default_rng(9)
+    pool = r.integers(0, 1 << 64, 400, dtype=np.uint64)
+    rows = [(k, r.choice(pool, 30).tobytes()) for k in range(40)]
+
+    def ask(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for k, data in enumerate(batch.column("data").to_pylist()):
+                q, flush = census.Question(np.frombuffer(data, np.uint64)), census.flush_number(task + k, 0)
+                columns = [[*c, x] for c, x in zip(q.rows(flush, 4, np.arange(len(q.value), dtype=np.uint32), True), (flush, census.luggage_part(flush), None, None, None), strict=True)]
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, [None] * (len(columns[0]) - 1) + [data]], types, strict=True)], ["flush", "part", "hashes", "who", "n", "data"])
+
+    def settle(batches):
+        for luggage, answers in census.flushes(batches):
+            data = luggage.column("data")[0].as_py()
+            q = census.Question(np.frombuffer(data, np.uint64))
+            often = np.ones(len(q.value), np.int64)
+            for x in answers:
+                who, n = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32) for c in ("who", "n"))
+                often[who] = n
+            yield pa.RecordBatch.from_arrays([pa.array([data]), pa.array([q.spread(often).tolist()])], ["data", "often"])
+
+    asked = spark.createDataFrame(rows, "k int, data binary").mapInArrow(ask, census.ASK + ", data binary")
+    found = census.census(asked, np.uint32, settle, "data binary, often array<bigint>").collect()
+    every = np.concatenate([np.frombuffer(d, np.uint64) for _, d in rows])
+    value, n = np.unique(every, return_counts=True)
+    assert len(found) == len(rows)
+    for x in found:
+        assert x["often"] == n[np.searchsorted(value, np.frombuffer(x["data"], np.uint64))].tolist()
+
+
 def test_tree_loses_no_link():
     r = np.random.default_rng(2)
     sets = []
@@ -148,30 +235,23 @@ def test_tree_loses_no_link():
 
 
 def test_linked_sets_share_a_key():
+    """Whatever the order of elements, linked sets share an element of both prefixes."""
     r = np.random.default_rng(3)
-    for t in (Fraction(9, 10), Fraction(4, 5)):
-        bands = jaccard_join.Bands(t)
-        for _ in range(300):
-            n = int(r.integers(5, 200))
+    for t in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2), Fraction(1, 3)):
+        linked = 0
+        for _ in range(400):
+            n = int(r.integers(1, 200))
             a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
-            b = a[r.random(len(a)) > r.random() * 0.2]
+            b = a[r.random(len(a)) > r.random() * 1.5 * (1 - t)]
             b = np.unique(np.r_[b, r.integers(0, 1 << 62, r.integers(0, n // 10 + 1)).astype(np.uint64)])
             both = len(np.intersect1d(a, b))
-            if not len(b) or both < t * (len(a) + len(b) - both) or np.array_equal(a, b):
+            if not len(b) or both < t * (len(a) + len(b) - both):
                 continue
-            value, owner = np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)])
-            key, of = bands.keys(value, owner, np.array([len(a), len(b)]))
-            assert np.intersect1d(key[of == 0], key[of == 1]).size
-
-
-def test_sets_that_link_bands_apart_share_a_key():
-    r = np.random.default_rng(6)
-    for t in (Fraction(4, 5), Fraction(1, 2), Fraction(1, 3)):
-        for a in range(1, 41):
-            for b in range(a + 1, int(a / t) + 1):
-                x = r.integers(0, 1 << 63, b, dtype=np.uint64)
-                key, of = jaccard_join.Bands(t).keys(np.r_[np.sort(x[:a]), np.sort(x)], np.repeat([0, 1], [a, b]), np.array([a, b]))
-                assert np.intersect1d(key[of == 0], key[of == 1]).size
+            linked += 1
+            often = lambda x: np.where(np.isin(x, a) & np.isin(x, b), 2 + x % np.uint64(3), x % np.uint64(4) + np.uint64(1)).astype(np.int64)
+            keys = [jaccard_join.prefix(x, often(x), t) for x in (a, b)]
+            assert np.intersect1d(*keys).size
+        assert linked > 50
 
 
 def test_similar_groups_at_one_half(spark):

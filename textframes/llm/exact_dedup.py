@@ -16,8 +16,6 @@ from textframes.llm.shared import ASCII_LOWER, blocks, saved
 
 #: Hash bits that the directory may use at most: a million entries.
 MAX_DEPTH = 20
-#: Arrow's types of the ids that documents may have.
-ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 #: A bucket with more bytes than this is split, as long as its keys differ.
 BUCKET_BYTES = 256 << 10
 
@@ -92,16 +90,24 @@ def prefix_load(docs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def exact_groups(docs: DataFrame, bits: int = 16, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def depth_for(docs: DataFrame, bucket_bytes: int) -> int:
+    """Hash bits with which buckets of that size hold all texts, and one more; MAX_DEPTH at most."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0
+    return max(8, min(MAX_DEPTH, (total // bucket_bytes).bit_length() + 1))
+
+
+def exact_groups(docs: DataFrame, bits: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of each row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts one
     row with the largest doc_id stays (a null id is below any other). One row out for each row in; other columns are not read; an empty table gives none.
 
-    bits: hash bits that the directory may use (at most MAX_DEPTH); buckets grow beyond bucket_bytes
+    bits: hash bits that the directory may use (at most MAX_DEPTH; None: as many as the texts' bytes
+    need); buckets grow beyond bucket_bytes
     only when these are used up. Texts are folded in each task first: the owner of a text gets its
     bytes once from each task, and one short row from each block, however many copies there are.
     """
+    bits = depth_for(docs, bucket_bytes) if bits is None else bits
     if not 1 <= bits <= MAX_DEPTH:
         raise ValueError(f"bits must be 1 to {MAX_DEPTH}")
     spark = docs.sparkSession
@@ -153,16 +159,17 @@ def exact_groups(docs: DataFrame, bits: int = 16, bucket_bytes: int = BUCKET_BYT
     pages = saved(folded, "exact-index")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, key = Chain(), None
+        chain, key, ids = Chain(), None, None
         for batch in batches:
-            out = []
+            out, ids = [], batch.column("best").type
             for hash_, page, local, data, best, n in zip(*(batch.column(c).to_pylist() for c in ("hash", "page", "local", "data", "best", "n")), strict=True):
                 if hash_ != key:
                     out += chain.rows()
                     chain, key = Chain(), hash_
                 chain.add(page, local, data, best, n)
-            yield _resolved(out, kind)
-        yield _resolved(chain.rows(), kind)
+            yield _resolved(out, ids)
+        if ids is not None:
+            yield _resolved(chain.rows(), ids)
 
     # an owner's rows come sorted by hash, texts before the short rows that refer to them
     entries = pages.select("bucket", "hash", "page", "local", "data", "best", "n")
@@ -199,9 +206,9 @@ class Chain:
         return [(local, self.best[k], self.page[k], self.n[k]) for local, k in self.of_local.items()]
 
 
-def _resolved(rows: list[tuple], kind: str) -> pa.RecordBatch:
+def _resolved(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
     local, keep, page, n = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
-        [pa.array(local, pa.int64()), pa.array(keep, ID_TYPES[kind]), pa.array(page, pa.int64()), pa.array(n, pa.int64())],
+        [pa.array(local, pa.int64()), pa.array(keep, ids), pa.array(page, pa.int64()), pa.array(n, pa.int64())],
         ["local", "keep_id", "keep_page", "group_size"],
     )

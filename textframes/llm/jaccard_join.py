@@ -3,124 +3,88 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textframes.llm import census
 from textframes.llm.components import components
-from textframes.llm.exact_dedup import ID_TYPES
-from textframes.llm.shared import BROADCAST_ROWS, WORD, BitFilter, WordHashes, blocks, mix, saved
+from textframes.llm.shared import dropped, mix, saved, slices, small
+from textframes.llm.words import WordCutter
 
-#: Bits of a key by which repeated keys are counted first.
-PREFIX_BITS = 40
 #: Groups that elements are hashed to: the coordinates of a point.
-GROUPS = 128
-#: Sets of a run that are compared together.
-RUN_CHUNK = 256
-_LOWER = {c: c + 32 for c in range(65, 91)}
+GROUPS = 64
+#: Sets with a key in common that are compared as points; more are one cluster without that.
+RUN_ROWS = 1024
+#: Sets, and elements, of a chunk of a cluster.
+CHUNK_ROWS, CHUNK_ELEMENTS = 256, 1 << 20
+#: Growth of set sizes from band to band of a cluster.
+BAND = 1.25
+#: Sets of each band, on average, that every chunk of a cluster is compared with, so that its parts meet.
+PIVOTS = 16
 _U = np.uint64
 
 
 class Shingles:
-    """Shingle sets of blocks of texts, as sorted 64-bit hashes."""
+    """Shingle sets of a column of texts, as sorted 64-bit hashes."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.hashes = width, WordHashes()
-
-    def sets(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All sets in a row (sorted, distinct in each text), and the text of each element."""
-        cut = [WORD.findall(t.translate(_LOWER) if not t.isascii() else t.lower()) for t in texts]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.fromiter((h for ws in cut for h in map(self.hashes.__getitem__, ws)), _U, int(n.sum()))
-        owner = np.repeat(np.arange(len(cut)), n)
-        width = self.width
+        self.width, self.cutter = width, WordCutter(fold=True)
+        self.factor = np.random.default_rng(31).integers(1, 1 << 64, width, dtype=_U) | _U(1)
+
+    def sets(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All sets in a row (sorted and distinct in each text), the text of each element, and the sets' sizes."""
+        flat, n = self.cutter.hashes(texts)
+        width, ends = self.width, np.cumsum(n)
         value = np.zeros(len(flat), _U)
         for k in range(width):
-            value[: len(flat) - k] += mix(flat[k:] + _U(k + 1))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            value[: len(flat) - k] += flat[k:] * self.factor[k]
         value = mix(value)
-        keep = place + width <= n[owner]
-        short = np.flatnonzero((n > 0) & (n < width))
-        starts = (np.cumsum(n) - n)[short]
-        for s, at, size in zip(short, starts, n[short], strict=True):  # the whole sequence as one shingle
-            total = _U(0x9E37)
-            for k in range(size):
-                total = mix(flat[at + k : at + k + 1] + total)[0]
-            value[at], keep[at] = total, True
-            keep[at + 1 : at + size] = False
-        value, owner = value[keep], owner[keep]
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
+        last = np.repeat(ends, n)  # of each word, the end of its text
+        keep = np.arange(len(flat)) + width <= last
+        for x in np.flatnonzero((n > 0) & (n < width)).tolist():  # the whole sequence as one shingle
+            at, total = int(ends[x] - n[x]), np.array([0x9E37], _U)
+            for k in range(int(n[x])):
+                total = mix(flat[at + k : at + k + 1] + total)
+            value[at], keep[at] = total[0], True
+        owner = np.repeat(np.arange(len(n)), n)[keep]
+        value = value[keep]
+        size = np.bincount(owner, minlength=len(n))
+        at = 0
+        for k in size.tolist():
+            value[at : at + k].sort()
+            at += k
         first = np.ones(len(value), bool)
         first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        return value[first], owner[first]
+        owner = owner[first]
+        return value[first], owner, np.bincount(owner, minlength=len(n))
 
 
-class Bands:
-    """Bands of set sizes, and the number of groups that sets in a band are dealt to.
+def signatures(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums of each set: with its size they name it."""
+    out, some = np.zeros((2, len(n)), np.int64), np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[some]
+    for k in range(2):
+        if len(starts):
+            out[k, some] = np.add.reduceat(mix(value ^ mix(np.array([k + 11], _U))), starts).view(np.int64)
+    return out
 
-    Two sets that link differ in at most d = (a + b)(1 - t) / (1 + t) elements. Dealt to more than d
-    groups by hash, at least one group holds the same elements in both. So each set emits one key
-    for each group's contents; sets that link share a key. A set also emits the keys of every higher
-    band that a set which it links with can lie in.
-    """
 
-    def __init__(self, threshold: Fraction, most: int = 1 << 28) -> None:
-        self.t = threshold
-        edges = [1]
-        while edges[-1] < most:
-            edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
-        self.edges = np.array(edges, np.int64)
-        per = (1 - threshold) / (1 + threshold)
-        self.per = per
-        k = np.array([int(2 * (e - 1) * per) + 1 for e in edges[1:]], np.int64)
-        self.groups = k + np.where(k < 8, 1, 2)  # spare groups, as some stay empty
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, n, "right") - 1
-
-    def differ(self, n: np.ndarray) -> np.ndarray:
-        """The most elements in which a set of size n differs from one that it links with."""
-        largest = n * self.t.denominator // self.t.numerator
-        return (n + largest) * self.per.numerator // self.per.denominator
-
-    def keys(self, value: np.ndarray, owner: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and the set of each key. Sets that can link with equal ones only emit none."""
-        differ, band = self.differ(n), self.of(np.maximum(n, 1))
-        out_key, out_owner = [], []
-        use = (n > 0) & (differ > 0)
-        for up in itertools.count():
-            tag = band + up
-            if up:
-                use = use & (n * self.t.denominator // self.t.numerator >= self.edges[np.minimum(tag, len(self.edges) - 1)])
-            at = use[owner]
-            v, o = value[at], owner[at]
-            if not len(v):
-                break
-            k = self.groups[tag]
-            group = (mix(v ^ _U(0x5851F42D4C957F2D)) % k[o].astype(_U)).astype(np.int64)
-            place = o << 32 | group
-            order = np.argsort(place, kind="stable")
-            place, content = place[order], mix(v[order] ^ _U(0x14057B7EF767814F))
-            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            sums, place = np.add.reduceat(content, starts), place[starts]
-            o, group = place >> 32, place & 0xFFFFFFFF
-            salt = (tag[o].astype(_U) << _U(32)) + group.astype(_U)
-            out_key.append(mix(sums ^ mix(salt)))
-            out_owner.append(o)
-            filled = np.bincount(o, minlength=len(n))
-            for s in np.flatnonzero(use & (filled <= differ)):  # equal groups may be the empty ones only
-                empty = np.setdiff1d(np.arange(k[s]), group[o == s])
-                out_key.append(mix(mix((_U(tag[s]) << _U(32)) + empty.astype(_U))))
-                out_owner.append(np.full(len(empty), s))
-        if not out_key:
-            return np.zeros(0, _U), np.zeros(0, np.int64)
-        return np.concatenate(out_key), np.concatenate(out_owner)
+def prefix(value: np.ndarray, often: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Of a set's elements, which of the rarest it may share with any set that it links with.
+
+    Linked sets share t of the elements of either at least, so they share one of the n - ceil(t n) + 1
+    that come first in any common order; here by number of sets, then by hash. One that no other set
+    has can't be it.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    first = np.lexsort((value, often))[: len(value) + num * len(value) // -den + 1]
+    return value[first[often[first] > 1]]
 
 
 class CountTree:
@@ -186,53 +150,45 @@ class Forest:
         return x != y
 
 
-def may_link(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs, of `left` and `right`, whose counts allow a link."""
-    num, den = threshold.numerator, threshold.denominator
-    forest, out = Forest(len(points)), []
-    if len(right) <= RUN_CHUNK:  # a tree of one leaf: all its points at once, for as many queries as fit
-        size, at = sizes[right], points[right].astype(np.uint32 if points.max(initial=0) > 0xFFFF else np.uint16)
-        rows = max(1, (1 << 20) // (len(right) * GROUPS))
-        for k in range(0, len(left), rows):
-            own = left[k : k + rows]
-            bound = np.minimum(at[None, :, :], points[own].astype(at.dtype)[:, None, :]).sum(axis=2, dtype=np.int64)
-            both = sizes[own][:, None] + size[None, :]
-            x, y = np.nonzero((num + den) * bound >= num * both)
-            out += [(a, b) for a, b in zip(own[x].tolist(), right[y].tolist(), strict=True) if a != b and forest.join(a, b)]
-        return out
-    tree = CountTree(points[right], sizes[right], threshold)
-    for x in left.tolist():
-        out += [(x, y) for y in right[tree.search(points[x], int(sizes[x]))].tolist() if forest.join(x, y)]
+def may_link(points: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose counts allow a link."""
+    tree, forest, out = CountTree(points, sizes, threshold), Forest(len(points)), []
+    for x in range(len(points)):
+        out += [(x, y) for y in tree.search(points[x], int(sizes[x])).tolist() if forest.join(x, y)]
     return out
 
 
-def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets `left` and the sets `right` (positions)."""
-    vocab = np.unique(np.concatenate(sets))
-    ids = [np.searchsorted(vocab, s) for s in sets]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    points = count_vectors(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
-    tree, forest = CountTree(points[right], sizes[right], threshold), Forest(len(sets))
-    marks, out = np.zeros(len(vocab), np.int64), []
-    num, den = threshold.numerator, threshold.denominator
-    for x in left.tolist():
-        own = forest.root(x)
-        found = np.array([y for y in right[tree.search(points[x], int(sizes[x]))].tolist() if forest.root(y) != own], np.int64)
-        if not len(found):
-            continue
-        marks[ids[x]] = 1
-        both = np.add.reduceat(marks[np.concatenate([ids[y] for y in found])], np.cumsum(sizes[found]) - sizes[found])
-        marks[ids[x]] = 0
-        out += [(x, y) for y in found[(num + den) * both >= num * (sizes[x] + sizes[found])].tolist() if forest.join(x, y)]
-    return out
+class Searched:
+    """Sets with a tree of their points; others are searched in it and verified whole."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: Fraction) -> None:
+        self.sets, self.threshold = sets, threshold
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.tree = CountTree(count_vectors(np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes), len(sets)), self.sizes, threshold)
+
+    def links(self, others: list[np.ndarray], forest: Forest) -> list[tuple[int, int]]:
+        """A spanning forest of the links; forest: over these sets, then the others, and what is known to be connected."""
+        sizes = np.fromiter(map(len, others), np.int64, len(others))
+        points = count_vectors(np.concatenate(others), np.repeat(np.arange(len(others)), sizes), len(others))
+        num, den, out = self.threshold.numerator, self.threshold.denominator, []
+        for k, own in enumerate(others):
+            x = len(self.sets) + k
+            for y in self.tree.search(points[k], int(sizes[k])).tolist():
+                if forest.root(x) != forest.root(y):
+                    other = self.sets[y]
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    if (num + den) * int((own[at] == other).sum()) >= num * (len(own) + len(other)):
+                        forest.join(x, y)
+                        out.append((x, y))
+        return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[tuple]]:
-    """Rows of the same first three columns, which come one after the other."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of the same first columns, which come one after the other."""
     held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            if held and held[0][:3] != row[:3]:
+    for rows in batches:
+        for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if held and held[0][:keys] != row[:keys]:
                 yield held
                 held = []
             held.append(row)
@@ -240,142 +196,315 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield held
 
 
-def _pairs(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], kind: str) -> Callable:
+def _pairs(make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]) -> Callable:
     """The pairs that make yields, as batches of a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = make(batches)
         while part := [*itertools.islice(found, 4096)]:
             a, b = zip(*part, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, ID_TYPES[kind]), pa.array(b, ID_TYPES[kind])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row.
+    """doc_id, n_shingles, component_id, group_id and text_hash of each row.
 
     Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set holds the distinct shingles of `width`
     words, of a shorter text the whole sequence as one, of a null or wordless text nothing. Two
     documents link when intersection >= threshold x union; component_id is the smallest doc_id that
     links reach. Empty sets link with nothing. A row without a doc_id takes the component of equal
-    sets, but doesn't lead or bridge; rows of one id are one document each. Other columns are not
-    read. Elements are 64-bit hashes.
-
-    Sets that are equal become one. The rest are dealt to keys (Bands). Sets with a common key are
-    compared by an R-tree over count vectors (CountTree): pairs whose counts allow a link connect
-    clusters, outside of which nothing links. A cluster's sets are searched by such a tree and
-    verified whole. Large runs and clusters are cut into chunks, searched pair by pair of chunks;
-    only spanning forests leave a task.
+    sets, but doesn't lead or bridge. Rows that share a doc_id but not the set are judged apart,
+    each by its own set: group_id (null for an empty set) tells groups apart, and with doc_id the hash
+    of the text tells rows apart. Other columns are not read. Elements are 64-bit hashes.
+
+    Sets that are equal become one class. A class can link only if the threshold's share of its
+    elements occurs elsewhere (_signed), which a census of all elements tells. Those that are left
+    emit their rarest elements as keys (prefix). Classes with a key in common are compared as points
+    of an R-tree (CountTree); pairs whose counts allow a link make clusters, outside of which nothing
+    links, and clusters are searched by such trees and verified on whole sets (_links). Only spanning
+    forests leave a task.
     """
-    spark, bands = docs.sparkSession, Bands(threshold)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    signed = saved(_signed(docs, width, threshold), "jaccard-signed")
+    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("row.doc_id").alias("rep"), F.max("alive").alias("alive"))
+    classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    sets = _sets(docs, classes.where("alive and rep is not null"), width)
+    keyed = _keyed(sets, threshold)
+    cluster = _clusters(keyed, threshold)
+    placed = sets.withColumn("band", F.floor(F.log(BAND, F.col("n"))).cast("int"))
+    placed = saved(placed.join(small(cluster), "cid"), "jaccard-placed")
+    dropped(sets, keyed, cluster)
+    links = _links(placed, threshold)
+    comp = components(links, "jaccard-components")
+    dropped(placed, links)
+    linked = comp.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid")
+    linked = linked.join(linked.groupBy("component").agg(F.min("rep").alias("least")), "component").select("cid", "least", "component")
+    named = classes.join(linked, "cid", "left").select("n", "s1", "s2", F.coalesce("least", "rep").alias("_least"), F.coalesce("component", "cid").alias("group_id"))
+    return signed.join(named, ["n", "s1", "s2"], "left").select(
+        "row.doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "row.doc_id").alias("component_id"), "group_id", "row.text_hash"
+    )
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _signed(docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """row (doc_id, text_hash), n, s1, s2 (the set's name) of each row, and alive: whether enough of its elements occur elsewhere to link."""
+    kind = f"struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, text_hash: bigint>"
+    bits = census.parts_bits(docs)
+    names = ["flush", "part", "hashes", "who", "n", "ids", "sizes", "s1", "s2", "local"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shingles, task, k = Shingles(width), TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        elements = rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            value, sizes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            ids = pa.concat_arrays([x[2] for x in held])
+            s1, s2 = signatures(value, sizes)
+            q = census.Question(value)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            local = np.bincount(owner[q.spread(q.n) > 1], minlength=len(sizes))
+            who = np.where(q.n > 1, census.FLUSH_ROWS, owner[q.order[q.starts]]).astype(np.uint16) if len(value) else np.zeros(0, np.uint16)
+            name = census.flush_number(task, k)
+            columns = q.rows(name, bits, who, False)
+            flushes, parts, hashes, whos, ns = ([*x, y] for x, y in zip(columns, (name, census.luggage_part(name), None, None, None), strict=True))
+            more = len(flushes) - 1
+            lists = pa.ListArray.from_arrays(pa.array([0] * (more + 1) + [len(ids)], pa.int32()), ids)
+            luggage = [pa.array([None] * more + [x.astype(np.int64).tobytes()], pa.binary()) for x in (sizes, s1, s2, local)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flushes, pa.int64()), pa.array(parts, pa.int32()), *(pa.array(x, pa.binary()) for x in (hashes, whos, ns)), lists, *luggage], names
+            )
+            held.clear()
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, _, n = shingles.sets(part.column("text"))
+                if held and (elements + len(value) > census.FLUSH or rows + len(n) > census.FLUSH_ROWS):
+                    yield from flush()
+                    elements, rows, k = 0, 0, k + 1
+                held.append((value, n, part.column("row")))
+                elements, rows = elements + len(value), rows + len(n)
+        if held:
+            yield from flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for luggage, answers in census.flushes(batches):
+            sizes, s1, s2, local = (np.frombuffer(luggage.column(c)[0].as_py(), np.int64) for c in ("sizes", "s1", "s2", "local"))
+            found = local.copy()
+            for rows in answers:
+                who = np.frombuffer(b"".join(rows.column("who").to_pylist()), np.uint16)
+                found += np.bincount(who[who < census.FLUSH_ROWS], minlength=len(sizes))
+            alive = found * threshold.denominator >= threshold.numerator * sizes
+            yield pa.RecordBatch.from_arrays([luggage.column("ids").flatten(), *map(pa.array, (sizes, s1, s2, alive & (sizes > 0)))], ["row", "n", "s1", "s2", "alive"])
+
+    schema = f"{census.ASK}, ids array<{kind}>, sizes binary, s1 binary, s2 binary, local binary"
+    text = F.col("text").cast("string")
+    asked = docs.select(F.struct("doc_id", F.xxhash64(text).alias("text_hash")).alias("row"), text.alias("text")).mapInArrow(ask, schema)
+    return census.census(asked, np.uint16, settle, f"row {kind}, n bigint, s1 bigint, s2 bigint, alive boolean")
+
+
+def _sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """cid, n, data (the elements) of each class, once, from a row that its rep names; written."""
+    reps = small(classes.select(F.col("rep").alias("doc_id"), "cid", F.col("n").alias("size"), "s1", "s2"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(reps, "doc_id").select("cid", "size", "s1", "s2", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            for part, rows in blocks(batch, "text"):
-                value, owner = shingles.sets(rows)
-                n = np.bincount(owner, minlength=len(rows))
-                starts, some = (np.cumsum(n) - n)[n > 0], np.flatnonzero(n)
-                sums = np.zeros((len(rows), 2), _U)
-                for k in range(2):
-                    if len(starts):
-                        sums[some, k] = np.add.reduceat(mix(value ^ mix(np.array([k + 11], _U))), starts)
-                key, of = bands.keys(value, owner, n)
-                order = np.argsort(of, kind="stable")
-                ends = np.r_[0, np.cumsum(np.bincount(of, minlength=len(rows)))]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
-                points = count_vectors(value, owner, len(rows)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists, pa.array([x.tobytes() for x in points], pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "keys", "point"],
-                )
-
-    signed = saved(texts.mapInArrow(sign, f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, keys array<bigint>, point binary"), "jaccard-keys")
-    classes = saved(signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-
-    # most keys occur once: a filter of the rest, made of short prefixes, stops them before they are shuffled
-    prefix = signed.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 64 - PREFIX_BITS).alias("p"))
-    repeated = saved(prefix.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p"), "jaccard-prefixes")
-    known = spark.sparkContext.broadcast(BitFilter(repeated, "p", PREFIX_BITS))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batch, "text"):
+                value, _, n = shingles.sets(part.column("text"))
+                own = np.stack([n, *signatures(value, n)])
+                same = (own == np.stack([part.column(c).to_numpy() for c in ("size", "s1", "s2")])).all(axis=0)
+                ends = np.cumsum(n)
+                data = [value[b - k : b].tobytes() for b, k in zip(ends[same].tolist(), n[same].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("cid").filter(pa.array(same)), pa.array(n[same]), pa.array(data, pa.binary())], ["cid", "n", "data"])
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            lists = batch.column("keys")
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(_U)
-            at = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            keep = known.value.holds(values)
-            row = pa.array(at[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), batch.column("doc_id").take(row)], ["key", "id"])
-
-    reps = classes.select(F.col("rep").alias("id"))
-    thinned = signed.where(F.size("keys") > 0).select("doc_id", "keys").mapInArrow(thin, f"key bigint, id {kind}")
-    keyed = saved(thinned.join(reps, "id", "left_semi").distinct(), "jaccard-keyed")
-    # keys with the same sets are one run; a run is cut into chunks, and its points travel once for each
-    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    runs = keyed.groupBy("key").agg(F.count("*").alias("run"), *mark).where("run > 1").groupBy("run", "m0", "m1").agg(F.min("key").alias("key"))
-    runs = saved(runs.select("key", F.ceil(F.col("run") / RUN_CHUNK).cast("int").alias("chunks")), "jaccard-runs")
-    points = signed.select(F.col("doc_id").alias("id"), "n", "point").join(reps, "id", "left_semi")
-    held = keyed.join(runs, "key").withColumn("mine", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    held = held.select("id", "key", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(points, "id")
+            cid = batch.column("cid").to_numpy(zero_copy_only=False)
+            new = np.r_[True, cid[1:] != cid[:-1]] if len(cid) else np.zeros(0, bool)
+            if len(cid):
+                new[0], last = cid[0] != last, cid[-1]
+            yield batch.filter(pa.array(new))
+
+    found = texts.mapInArrow(cut, "cid bigint, n bigint, data binary")
+    return saved(found.repartition("cid").sortWithinPartitions("cid").mapInArrow(once, "cid bigint, n bigint, data binary"), "jaccard-sets")
+
+
+def _keyed(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """cid, n, point and keys of the classes that can still link; written."""
+    bits = census.parts_bits(sets)
+    names = ["flush", "part", "hashes", "who", "n", "cids", "sizes", "data"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get().partitionId(), 0
+        held: list[tuple[int, int, bytes]] = []
+        elements = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cids, sizes, data = zip(*held, strict=True)
+            joined = b"".join(data)
+            q, name = census.Question(np.frombuffer(joined, _U)), census.flush_number(task, k)
+            columns = q.rows(name, bits, np.arange(len(q.value), dtype=np.uint32), True)
+            flushes, parts, hashes, whos, ns = ([*x, y] for x, y in zip(columns, (name, census.luggage_part(name), None, None, None), strict=True))
+            more = len(flushes) - 1
+            luggage = [pa.array([None] * more + [x], pa.binary()) for x in (np.array(cids, np.int64).tobytes(), np.array(sizes, np.int64).tobytes(), joined)]
+            yield pa.RecordBatch.from_arrays([pa.array(flushes, pa.int64()), pa.array(parts, pa.int32()), *(pa.array(x, pa.binary()) for x in (hashes, whos, ns)), *luggage], names)
+            held.clear()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rows in _groups(batches, ("key", "i", "j", "id", "mine", "n", "point")):
-            own = {x[3]: x for x in rows}
-            ids, mine = [*own], np.array([x[4] for x in own.values()])
-            left, right = np.flatnonzero(mine == rows[0][1]), np.flatnonzero(mine == rows[0][2])
-            if len(left) and len(right):
-                points = np.frombuffer(b"".join([x[6] for x in own.values()]), np.uint32).astype(np.int64).reshape(-1, GROUPS)
-                for x, y in may_link(points, np.array([x[5] for x in own.values()]), left, right, threshold):
-                    yield ids[x], ids[y]
-
-    groups = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").select("key", "i", "j", "id", "mine", "n", "point")
-    near = saved(groups.mapInArrow(_pairs(compare, kind), f"a {kind}, b {kind}").distinct(), "jaccard-near")
-
-    # sets that such pairs connect form a cluster; each is searched whole, its sets travel once for each chunk
-    cluster = components(near, "jaccard-clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    few = cluster.count() <= BROADCAST_ROWS
-
-    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(width)
         for batch in batches:
-            for part, rows in blocks(batch, "text"):
-                value, owner = shingles.sets(rows)
-                ends = np.searchsorted(owner, np.arange(len(rows) + 1))
-                data = [value[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("cluster"), pa.array(data, pa.binary())], ["id", "cluster", "data"])
-
-    members = cluster.withColumnRenamed("id", "doc_id")
-    chosen = texts.join(F.broadcast(members) if few else members, "doc_id")
-    sets = saved(chosen.mapInArrow(collect_sets, f"id {kind}, cluster {kind}, data binary"), "jaccard-sets")
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("rows"), F.max(F.octet_length("data") / 8).alias("most"))
-    per_chunk = F.greatest(F.lit(32), F.least(F.lit(256), F.floor(F.lit(131072) / F.col("most"))))
-    cuts = saved(sizes.select("cluster", F.ceil(F.col("rows") / per_chunk).cast("int").alias("chunks")), "jaccard-cuts")
-    single, several = (cuts.where(c) for c in ("chunks = 1", "chunks > 1"))
-    if cuts.count() <= BROADCAST_ROWS:
-        single, several = F.broadcast(single), F.broadcast(several)
-    whole = sets.join(single.select("cluster"), "cluster").select("id", "cluster", "data", *(F.lit(0).alias(c) for c in ("mine", "i", "j")))
-    dealt = sets.join(several, "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("id", "cluster", "data", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "data")), strict=True):
+                if held and elements + row[1] > census.FLUSH:
+                    yield from flush()
+                    elements, k = 0, k + 1
+                held.append(row)
+                elements += row[1]
+        if held:
+            yield from flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for luggage, answers in census.flushes(batches):
+            cids, sizes = (np.frombuffer(luggage.column(c)[0].as_py(), np.int64) for c in ("cids", "sizes"))
+            value = np.frombuffer(luggage.column("data")[0].as_py(), _U)
+            q = census.Question(value)
+            often = np.ones(len(q.value), np.int64)
+            for rows in answers:
+                who, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32) for c in ("who", "n"))
+                often[who] = n
+            often = q.spread(often)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            found = np.bincount(owner[often > 1], minlength=len(sizes))
+            ends = np.cumsum(sizes)
+            some = np.flatnonzero(found * threshold.denominator >= threshold.numerator * sizes)
+            for at in range(0, len(some), 1024):
+                part = some[at : at + 1024]
+                cut = [slice(b - k, b) for b, k in zip(ends[part].tolist(), sizes[part].tolist(), strict=True)]
+                keys = [prefix(value[s], often[s], threshold) for s in cut]
+                points = count_vectors(np.concatenate([value[s] for s in cut]), np.repeat(np.arange(len(part)), sizes[part]), len(part)).astype(np.uint32)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([*map(len, keys)])], pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(cids[part]), pa.array(sizes[part]), pa.array([p.tobytes() for p in points], pa.binary()), lists], ["cid", "n", "point", "keys"])
+
+    asked = sets.mapInArrow(ask, f"{census.ASK}, cids binary, sizes binary, data binary")
+    return saved(census.census(asked, np.uint32, settle, "cid bigint, n bigint, point binary, keys array<bigint>"), "jaccard-keyed")
+
+
+def _clusters(keyed: DataFrame, threshold: Fraction) -> DataFrame:
+    """cid, cluster: classes connected by pairs with a key in common whose counts allow a link; written."""
+    flat = keyed.select("cid", F.explode("keys").alias("key"))
+    # keys with the same classes are one run
+    mark = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"m{k}") for k in range(2)]
+    runs = flat.groupBy("key").agg(F.count("*").alias("run"), F.min("cid").alias("hub"), *mark).where("run > 1")
+    runs = saved(runs.groupBy("run", "m0", "m1").agg(F.min(F.struct("key", "hub")).alias("x")).select("run", "x.key", "x.hub"), "jaccard-runs")
+    held = flat.join(runs, "key")
+    large = held.where(F.col("run") > RUN_ROWS).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for rows in _groups(batches, 1):
+            cids = [x[1] for x in rows]
+            points = np.frombuffer(b"".join([x[3] for x in rows]), np.uint32).astype(np.int64).reshape(-1, GROUPS)
+            for x, y in may_link(points, np.array([x[2] for x in rows]), threshold):
+                yield cids[x], cids[y]
+
+    few = held.where(F.col("run") <= RUN_ROWS).select("key", "cid").join(keyed.select("cid", "n", "point"), "cid")
+    few = few.select("key", "cid", "n", "point").repartition("key").sortWithinPartitions("key", "cid")
+    near = saved(few.mapInArrow(_pairs(compare), "a bigint, b bigint").union(large).distinct(), "jaccard-near")
+    found = components(near, "jaccard-clusters").select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    dropped(runs, near)
+    return found
+
+
+def _links(placed: DataFrame, threshold: Fraction) -> DataFrame:
+    """a, b: links that connect what is connected; written. placed: cid, n, data, cluster, band.
+
+    A cluster that fits a chunk is searched there. A larger one is cut into chunks of each band of
+    sizes. Each chunk is searched alone and with the cluster's pivots. Most of a large group of near
+    copies is then one component, whose members needn't be compared any more; all other sets visit
+    every chunk of the bands that they can link with. So no pair is left out but those that are
+    connected already.
+    """
+    size = [F.count("*").alias("rows"), F.sum("n").alias("elements")]
+    one = placed.groupBy("cluster").agg(*size).select("cluster", ((F.col("rows") <= CHUNK_ROWS) & (F.col("elements") <= CHUNK_ELEMENTS)).alias("one"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("rows") / CHUNK_ROWS), F.ceil(F.col("elements") / CHUNK_ELEMENTS)).cast("int")
+    one = saved(one, "jaccard-sizes")
+    parted = placed.select("cid", "n", "band", "cluster").join(small(one.where("not one")), "cluster")
+    bands = saved(parted.groupBy("cluster", "band").agg(*size).select("cluster", "band", "rows", chunks.alias("chunks")), "jaccard-bands")
+    row = ["cluster", "band", "home", "visits", "cid", "data", "known"]
+    whole = placed.join(small(one.where("one")), "cluster").select("cluster", F.lit(-1).alias("band"), F.lit(0).alias("home"), F.lit(False).alias("visits"), "cid", "data", F.lit(None).cast("bigint").alias("known"))
+    dealt = placed.join(small(bands), ["cluster", "band"])
+    at_home = dealt.withColumns({"home": F.pmod(F.xxhash64("cid"), "chunks").cast("int"), "visits": F.lit(False)}).drop("rows", "chunks")
+    reach = int(math.log(1 / threshold) / math.log(BAND) + 1e-9) + 1
+
+    def visiting(rows: DataFrame) -> DataFrame:
+        to = bands.select("cluster", F.col("band").alias("to"), "chunks")
+        met = rows.join(small(to), "cluster").where(F.abs(F.col("band") - F.col("to")) <= reach)
+        met = met.withColumn("home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("visits", F.lit(True))
+        return met.drop("band", "chunks").withColumnRenamed("to", "band")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for rows in _groups(batches, ("cluster", "i", "j", "id", "mine", "data")):
-            own = {x[3]: x for x in rows}  # rows of one id are one set
-            ids, mine = [*own], np.array([x[4] for x in own.values()])
-            left, right = np.flatnonzero(mine == rows[0][1]), np.flatnonzero(mine == rows[0][2])
-            if len(left) and len(right):
-                for x, y in links([np.frombuffer(x[5], _U) for x in own.values()], left, right, threshold):
-                    yield ids[x], ids[y]
-
-    groups = whole.union(dealt).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
-    found = groups.select("cluster", "i", "j", "id", "mine", "data").mapInArrow(_pairs(search, kind), f"a {kind}, b {kind}")
-    comp = components(found, "jaccard-components")
-    named = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    return signed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+        key, residents, visitors = None, [], []
+        searched = None
+
+        def met() -> Iterator[tuple]:
+            nonlocal searched
+            rows = [*residents, *visitors]
+            if searched is None:
+                searched = Searched([np.frombuffer(x[5], _U) for x in residents], threshold)
+                others = rows  # residents among themselves, too
+            else:
+                others = visitors
+            forest = Forest(len(residents) + len(others))
+            known: dict[int, int] = {}
+            named = [*residents, *others]
+            for i, x in enumerate(named):  # one set, or what is connected already
+                for mark in (x[4], x[6]):
+                    if mark is not None and (j := known.setdefault(mark, i)) != i:
+                        forest.join(i, j)
+            for x, y in searched.links([np.frombuffer(x[5], _U) for x in others], forest):
+                yield named[x][4], named[y][4]
+            visitors.clear()
+
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if x[:3] != key:
+                    if residents and (visitors or searched is None):
+                        yield from met()
+                    key, searched = x[:3], None
+                    residents, visitors = [], []
+                if x[3]:
+                    visitors.append(x)
+                    if len(visitors) >= CHUNK_ROWS and residents:
+                        yield from met()
+                else:
+                    residents.append(x)
+        if residents and (visitors or searched is None):
+            yield from met()
+
+    def searched(rows: DataFrame) -> DataFrame:
+        groups = rows.select(*row).repartition("cluster", "band", "home").sortWithinPartitions("cluster", "band", "home", "visits", "cid")
+        return groups.mapInArrow(_pairs(search), "a bigint, b bigint")
+
+    if bands.isEmpty():
+        out = saved(searched(whole), "jaccard-links")
+        dropped(bands, one)
+        return out
+    unknown = F.lit(None).cast("bigint").alias("known")
+    place = F.shiftrightunsigned(F.xxhash64("cid", F.lit(1)), 11) / F.lit(float(1 << 53))
+    pivots = visiting(placed.drop("n").join(small(bands.drop("chunks")), ["cluster", "band"]).where(place * F.col("rows") < PIVOTS).drop("rows"))
+    alone = whole.union(at_home.withColumn("known", unknown).select(*row)).union(pivots.withColumn("known", unknown).select(*row))
+    first = saved(searched(alone), "jaccard-links")
+
+    label = components(first, "jaccard-parts").select(F.col("node").alias("cid"), "component")
+    label = parted.select("cid", "cluster").join(label, "cid", "left").select("cid", "cluster", F.coalesce("component", "cid").alias("known"))
+    label = saved(label, "jaccard-labels")
+    largest = label.groupBy("cluster", "known").count().groupBy("cluster").agg(F.max(F.struct("count", "known"))["known"].alias("largest"))
+    rest = saved(label.join(largest, "cluster").where("known <> largest").select("cid", "known"), "jaccard-rest")
+    guests = visiting(placed.drop("n").join(small(rest), "cid"))
+    second = searched(at_home.join(small(label.select("cid", "known")), "cid").select(*row).union(guests.select(*row)))
+    out = saved(first.union(second), "jaccard-links")
+    dropped(bands, one, first, label, rest)
+    return out

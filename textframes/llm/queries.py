@@ -41,7 +41,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

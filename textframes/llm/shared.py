@@ -20,6 +20,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows of ids that are broadcast at most, once counted; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes that are broadcast at most, once summed.
+BROADCAST_BYTES = 32 << 20
 #: Rows that Python handles together; bounds a worker's memory.
 BLOCK_ROWS = 512
 #: Characters that Python handles together; a longer text stands alone.
@@ -52,22 +54,43 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes what saved() wrote for tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            for path in df.inputFiles()[:1]:
+                jvm = df.sparkSession._jvm
+                folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its counted rows and bytes are few; else left to a shuffle."""
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    rows, total = df.agg(F.count("*"), F.sum(size)).head()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
+
+
 def fold(doc_id: str, k: int) -> F.Column:
     """crc32 of the id as text, modulo k; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % k
 
 
 def lowest(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
-    """The n rows of each value of `by` that have the lowest hash of `key`; `by` has few values.
+    """About the n rows of each value of `by` with the lowest hash of `key`, n at most: a bounded sample.
 
-    Each is ranked in 64 parts first, so that no task sees more than 64 n rows of a value.
+    Rows are counted first; then only the share of the hash space that should hold twice as many
+    as wanted is looked at, so that no task sees more of a value, however frequent it is.
     """
-    hash_ = F.xxhash64(key)
-    part = rows.withColumns({"_h": hash_, "_part": F.pmod(hash_, F.lit(64))})
-    for keys in ([by, "_part"], [by]):
-        order = Window.partitionBy(*keys).orderBy("_h", key)
-        part = part.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
-    return part.drop("_h", "_part")
+    counts = rows.groupBy(by).agg(F.count("*").alias("_rows"))
+    hashed = rows.withColumn("_h", F.xxhash64(key)).join(small(counts), by)
+    place = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
+    few = hashed.where(place * F.col("_rows") < 2.0 * n + 64)
+    order = Window.partitionBy(by).orderBy(F.shiftrightunsigned("_h", 11), key)
+    return few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_rows", "_k")
 
 
 #: Bits of a filter at most: 8 MB to broadcast. A fuller filter lets more through, and loses nothing.
@@ -92,18 +115,23 @@ class BitFilter:
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts (null: empty), bounded in rows and characters."""
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded in rows and characters of a column."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = 0
     while start < batch.num_rows:
         total = np.cumsum(lengths[start : start + BLOCK_ROWS])
         n = max(1, int(np.searchsorted(total, BLOCK_CHARS, "right")))
-        part = batch.slice(start, n)
-        yield part, [t or "" for t in part.column(column).to_pylist()]
+        yield batch.slice(start, n)
         start += n
 
 
+def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts (null: empty)."""
+    for part in slices(batch, column):
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+
+
 def hash_word(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
