@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 
 from textframes.llm.shared import blocks, fold, lowest, mix
 
+
+
+#: Words: letters, and numerals that are no digits (fractions, circled digits); add() takes the latter out.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: A text belongs to no language if its cosine to the nearest centroid exceeds what hash collisions
-#: alone give by less. A single letter of a known language has about 0.13 more, another alphabet
-#: 0.02 at any length.
-FLOOR = 0.08
-#: Distinct n-grams up to which FLOOR holds. It rises by RISE for each doubling from there, twice at
-#: most: foreign texts in a known alphabet stay below 0.2, known languages have over 0.4 at 128.
-SHORT, RISE = 32, 0.06
+#: alone give by less than the centroid's floor. Floors are shares of low quantiles of the centroid's own
+#: texts: SHORT_SHARE for texts of a word, LONG_SHARE for long ones, and of at most so many of its texts are below.
+SHORT_SHARE, LONG_SHARE, QUANTILE = 0.6, 0.45, 0.01
+#: Distinct n-grams up to which a text counts as short; from SHORT << DOUBLINGS on it is long.
+SHORT, DOUBLINGS = 32, 2
 
 
 class GramTable:
@@ -34,6 +36,7 @@ class GramTable:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.grams, self.offsets, self.used = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64), 0
+        self.lettered = np.zeros(0, bool)
 
     def add(self, words: list[str]) -> None:
         """Hashes the n-grams of new words in one go."""
@@ -41,6 +44,8 @@ class GramTable:
             return
         for w in words:
             self.index[w] = len(self.index)
+        words = [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]
+        self.lettered = np.r_[self.lettered, np.fromiter(map(bool, words), bool, len(words))]
         text = "\n" + "\n".join(words) + "\n"  # a word's border is the line end on either side
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         border = code == 10
@@ -68,13 +73,14 @@ class GramTable:
         self.offsets = np.r_[self.offsets, self.offsets[-1] + np.cumsum(counts)]
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Term frequencies (texts x size) and the number of words of each text."""
+        """Term frequencies (texts x size) and the number of words with a letter of each text."""
         cut = [LETTERS.findall(t.lower()) for t in texts]
         if len(self.index) > self.limit:
             self.clear()
         self.add([*{w for ws in cut for w in ws}.difference(self.index)])
         n_words = np.fromiter(map(len, cut), np.int64, len(cut))
         ids = np.fromiter((i for ws in cut for i in map(self.index.__getitem__, ws)), np.int64, int(n_words.sum()))
+        lettered = np.bincount(np.repeat(np.arange(len(cut)), n_words)[self.lettered[ids]], minlength=len(cut))
         pair, n = np.unique(np.repeat(np.arange(len(cut)), n_words) * (1 << 32) + ids, return_counts=True)
         doc, word = pair >> 32, pair & 0xFFFFFFFF
         sizes = self.offsets[word + 1] - self.offsets[word]
@@ -82,7 +88,7 @@ class GramTable:
         place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.offsets[word], sizes)
         flat = np.repeat(doc, sizes) * self.size + self.grams[place]
         tf = np.bincount(flat, weights=np.repeat(n, sizes).astype(np.float64), minlength=len(cut) * self.size)
-        return tf.reshape(len(cut), self.size).astype(np.float32), n_words
+        return tf.reshape(len(cut), self.size).astype(np.float32), lettered
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -96,7 +102,8 @@ class LanguageModel:
     languages: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    floor: np.ndarray  # of short texts
+    floor: np.ndarray  # of each centroid: of short texts
+    rise: np.ndarray  # of each centroid: for each doubling of a text's n-grams up to a long text
 
     @property
     def size(self) -> int:
@@ -107,11 +114,16 @@ class LanguageModel:
 
     def predict(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest centroid, cosine, and whether it is too far from that centroid."""
+        best, value, margin, doublings = self.measure(tf)
+        return best, value, margin < self.floor[best] + self.rise[best] * doublings
+
+    def measure(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest centroid, cosine, how far that is above chance, and how often a short text's n-grams are doubled."""
         cosine = self.weigh(tf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         value = cosine[np.arange(len(tf)), best]
-        doublings = np.log2(np.maximum(np.minimum((tf > 0).sum(axis=1), (self.centroids > 0).sum(axis=1)[best]), SHORT) / SHORT)
-        return best, value, value - self.chance(tf, best) < self.floor[best] + RISE * np.minimum(doublings, 2)
+        grams = np.minimum((tf > 0).sum(axis=1), (self.centroids > 0).sum(axis=1)[best])
+        return best, value, value - self.chance(tf, best), np.minimum(np.log2(np.maximum(grams, SHORT) / SHORT), DOUBLINGS)
 
     def chance(self, tf: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Expected cosine to centroid `best` of n-grams that are strange to it: of the same counts in any slots."""
@@ -120,12 +132,12 @@ class LanguageModel:
         return w.mean(axis=1) * (self.centroids @ self.idf)[best] / np.maximum(norm, 1e-12)
 
 
-def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3, seed: int = 7, floor: float = FLOOR) -> LanguageModel:
+def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3, seed: int = 7) -> LanguageModel:
     """Spherical k-means in each language. Without texts the model has no centroid and rejects all."""
     grams = GramTable(size)
     names = sorted(set(langs))
     if not names:
-        return LanguageModel([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0, np.float32))
+        return LanguageModel([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0), np.zeros(0))
     rows: dict[str, list[str]] = {name: [] for name in names}
     for text, lang in zip(texts, langs, strict=True):
         rows[lang].append(text)
@@ -136,7 +148,7 @@ def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3,
     found = sum((tf > 0).sum(axis=0) for tf in blocks_of(texts))
     idf = (np.log((1 + len(texts)) / (1 + found)) + 1).astype(np.float32)
     rng = np.random.default_rng(seed)
-    labels, centres, floors = [], [], []
+    labels, centres = [], []
     for name in names:
         own = unit_rows(np.log1p(np.concatenate([*blocks_of(rows[name])])) * idf)
         own = own[np.linalg.norm(own, axis=1) > 0]
@@ -146,21 +158,40 @@ def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3,
         for _ in range(10):
             nearest = (own @ c.T).argmax(axis=1)
             c = unit_rows(np.stack([own[nearest == k].sum(axis=0) if (nearest == k).any() else c[k] for k in range(len(c))]))
-        cosine = own @ c.T
-        nearest = cosine.argmax(axis=1)
-        for k in range(len(c)):
-            if (nearest == k).any():
-                labels.append(name)
-                centres.append(c[k])
-                floors.append(floor)
-    return LanguageModel(labels, idf, np.array(centres, np.float32).reshape(-1, size), np.array(floors, np.float32))
+        labels += [name] * len(c)
+        centres += [*c]
+    model = LanguageModel(labels, idf, np.array(centres, np.float32).reshape(-1, size), np.zeros(len(labels)), np.zeros(len(labels)))
+    _set_floors(model, grams, texts)
+    return model
+
+
+def _set_floors(model: LanguageModel, grams: GramTable, texts: list[str]) -> None:
+    """From the distances of the training texts, and of single words of them, to the centroids nearest to them."""
+    short: list[np.ndarray] = []
+    long: list[np.ndarray] = []
+    for at in range(0, len(texts), 256):
+        part = texts[at : at + 256]
+        words = [w[len(w) // 2] for w in map(LETTERS.findall, part) if w]
+        for kind, tf in ((long, grams.vectors(part)[0]), (short, grams.vectors(words)[0] if words else None)):
+            if tf is not None:
+                best, _, margin, doublings = model.measure(tf)
+                use = (tf.sum(axis=1) > 0) & ((doublings == DOUBLINGS) if kind is long else True)
+                kind.append(np.stack([best[use], margin[use]]))
+    ends = []
+    for found, share in ((short, SHORT_SHARE), (long, LONG_SHARE)):
+        best, margin = np.concatenate(found, axis=1) if found else np.zeros((2, 0))
+        every = np.quantile(margin, QUANTILE) if len(margin) else 0.0
+        own = [margin[best == k] for k in range(len(model.languages))]
+        # a centroid with few such texts has the floor of all
+        ends.append(np.array([max(0.0, share * (np.quantile(m, QUANTILE) if len(m) >= 30 else every)) for m in own]))
+    model.floor, model.rise = ends[0], np.maximum(0, ends[1] - ends[0]) / DOUBLINGS
 
 
 def train(docs: DataFrame, per_language: int = 300, hold_out: bool = True) -> LanguageModel:
     """Fits on at most per_language documents of each language; the driver's part grows with their number.
 
     Bounded sample (documented parameters): of the rows with a lang whose crc32(doc_id) mod 4 is not
-    2, the per_language lowest by hash of the id in each language, whole texts. lang, source and
+    2, about the per_language lowest by hash of the id in each language, whole texts. lang, source and
     doc_id serve to choose rows and as labels only.
     """
     rows = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
@@ -172,7 +203,8 @@ def train(docs: DataFrame, per_language: int = 300, hold_out: bool = True) -> La
         return fit([], [])
     keys = docs.sparkSession.createDataFrame(ids, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string")
     picked = docs.select("doc_id", "lang", "text").join(F.broadcast(keys), ["doc_id", "lang"]).where("text is not null")
-    got = picked.dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").select("text", "lang").collect()
+    picked = picked.groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))  # of several texts one, always the same
+    got = picked.orderBy("doc_id", "lang").select("text", "lang").collect()
     return fit([r[0] for r in got], [r[1] for r in got])
 
 
@@ -181,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
 
     lang_pred is a learned language, or `und` if the text is null or has no letter; score is the
     cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or that this
-    cosine is hardly above what collisions of n-grams give (FLOOR, RISE). Equal texts get equal answers; columns of docs with the
+    cosine exceeds what collisions of n-grams give by less than the centroid's floor (_set_floors). Equal texts get equal answers; columns of docs with the
     names of the new ones are replaced; other columns, lang, source and doc_id are carried, never
     used. One pass without a shuffle; the model's size depends on languages and n-gram slots only.
     """
