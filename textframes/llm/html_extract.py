@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import html as html_lib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,101 +33,162 @@ SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+#: A comment, a declaration, or a tag with its quoted values. Where a quote is never closed, a tag ends at the next `>`;
+#: what is cut off by the end of the page is markup, too.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
+#: The same for the rest of a page in which a quote was left open: a value holds `<` or `>` but not both.
+LOOSE_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"<]*+"|"[^">]*+"|'[^'<]*+'|'[^'>]*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
+class Node:
+    """An open element that counts for features: its names, the nodes above it, and the slots that it adds to theirs."""
+
+    __slots__ = ("name", "up", "slots", "depth")
+
+    def __init__(self, name: str, up: Node | None, slots: tuple[int, ...]) -> None:
+        self.name, self.up, self.slots = name, up, slots
+        self.depth = up.depth + 1 if up else 1
+
+    def chain(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.up
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the elements above it, and the characters in links."""
+    """A leaf block: its text, the innermost element around it, and the characters in links."""
 
-    path: tuple[str, ...]
+    node: Node | None
     text: str
     linked: int
     label: int = -1
 
 
+class Stack:
+    """Open elements with what lookups need, so that a tag costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, Node | None, tuple[int, ...]]] = []  # tag, innermost node, slots it added
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag
+        self.blocks: list[int] = []  # places of those that begin a block
+        self.seen: set[int] = set()  # slots of all open elements
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, name: str) -> None:
+        node = self.open[-1][1] if self.open else None
+        new: tuple[int, ...] = ()
+        if tag in BLOCK_TAGS or name != tag:
+            new = tuple(s for s in name_slots(name) if s not in self.seen)
+            self.seen.update(new)
+            node = Node(name, node, new)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node, new))
+
+    def close(self, k: int) -> None:
+        """Closes the element at place k and all inside it."""
+        while len(self.open) > k:
+            tag, _, new = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+            self.seen.difference_update(new)
+
+    def end(self, tag: str) -> bool:
+        """Takes an end tag; whether a block ends. An inline element can't be closed from inside a block in it."""
+        k = self.last(tag)
+        if tag in BLOCK_TAGS or k >= 0 and not (self.blocks and self.blocks[-1] > k):
+            if k >= 0:
+                self.close(k)
+        return tag in BLOCK_TAGS
+
+    def begin_block(self, tag: str) -> None:
+        """What a new block closes: an open paragraph, and its like up to their container."""
+        if (k := self.last("p")) >= 0:
+            self.close(k)
+        if tag in SIBLINGS:
+            ends, within = SIBLINGS[tag]
+            k = max(map(self.last, ends))
+            if k > max(map(self.last, within)):
+                self.close(k)
+
+
 def leaf_blocks(html: str, marked: bool = False) -> list[Block]:
     """Blocks in page order. Open elements needn't be closed; markup never fails to parse.
 
     marked: NUL and a digit in the text give the label of what follows.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, tag with its names
-    pieces: list[str] = []
-    linked, label, at, links = 0, -1, 0, 0
-    path: tuple[str, ...] | None = None
+    stack, pieces = Stack(), []
+    linked, label, at = 0, -1, 0
+    node: Node | None = None
+    found, pattern = False, TAG
 
     def flush() -> None:
-        nonlocal linked, path
+        nonlocal linked, node, found
         text = " ".join(html_lib.unescape("".join(pieces)).split()) if pieces else ""
         if text:
-            out.append(Block(path or (), text, min(linked, len(text)), label))
+            out.append(Block(node, text, min(linked, len(text)), label))
         pieces.clear()
-        linked, path = 0, None
+        linked, node, found = 0, None, False
 
     def take(text: str) -> None:
-        nonlocal linked, path, label
+        nonlocal linked, node, found, label
         while marked and (k := text.find("\x00")) >= 0:
             take(text[:k])
             flush()
             label, text = int(text[k + 1]), text[k + 2 :]
         if text:
-            if path is None and not text.isspace():
-                path = tuple([name for tag, name in stack if tag in BLOCK_TAGS or name != tag])
+            if not found and not text.isspace():
+                node, found = (stack.open[-1][1] if stack.open else None), True
             pieces.append(text)
-            if links:
+            if stack.places.get("a"):
                 linked += len(text)
 
-    def close(k: int) -> None:
-        nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[k:])
-        del stack[k:]
-
-    while (m := TAG.search(html, at)) is not None:
+    while (m := pattern.search(html, at)) is not None:
         take(html[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        if m[5] and ('"' in m[6] or "'" in m[6]):
+            pattern = LOOSE_TAG
+        tag, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
         if not tag:
             continue
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+        if m[1] or m[4]:
             if tag in BLOCK_TAGS:
                 flush()
-                if k >= 0:
-                    close(k)
-            elif k >= 0 and not any(t in BLOCK_TAGS for t, _ in stack[k + 1 :]):
-                close(k)
+            stack.end(tag)
             continue
         if tag in HIDDEN_TAGS:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+            if not attributes.rstrip().endswith("/"):
+                end = closing(tag).search(html, at)
                 at = end.end() if end else len(html)
             continue
         if tag == "br":
             take(" ")
         if tag in BLOCK_TAGS:
             flush()
-            if (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), -1)) >= 0:
-                close(k)
-            if tag in SIBLINGS:
-                ends, within = SIBLINGS[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in within:
-                        break
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+            stack.begin_block(tag)
+        if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        stack.append((tag, _named(tag, m[3])))
-        links += tag == "a"
+        stack.push(tag, _named(tag, attributes))
     take(html[at:])
     flush()
     return out
 
 
+@functools.lru_cache(maxsize=64)
+def closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
+
+
 def _named(tag: str, attributes: str) -> str:
     if "=" not in attributes:
         return tag
@@ -142,22 +204,37 @@ def _slot(name: str) -> int:
 
 
 @functools.lru_cache(maxsize=20_000)
-def path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    names: set[str] = {"bias", f"depth {min(len(path), 3)}"}
-    for name in path:
-        tag, *words = name.split(" ")
-        names.add(f"above {tag}")
-        names.update(f"named {w}" for w in words)
-        names.update(f"joined {a}{b}" for a, b in zip(words, words[1:], strict=False))
-    for name in path[-1:]:
+def name_slots(name: str) -> tuple[int, ...]:
+    """Slots of an element that stands anywhere above a block."""
+    tag, *words = name.split(" ")
+    names = {f"above {tag}", *(f"named {w}" for w in words), *(f"joined {a}{b}" for a, b in zip(words, words[1:], strict=False))}
+    return tuple(sorted({_slot(n) for n in names}))
+
+
+@functools.lru_cache(maxsize=20_000)
+def near_slots(near: tuple[str, ...], depth: int) -> tuple[int, ...]:
+    """Slots of the innermost elements (the innermost first) and of the depth."""
+    names = {"bias", f"depth {min(depth, 3)}"}
+    for name in near[:1]:
         names.add(f"own {name.split(' ')[0]}")
-    for depth, name in enumerate(reversed(path[-3:])):
-        names.update(f"near{depth} {w}" for w in name.split(" "))
+    for k, name in enumerate(near):
+        names.update(f"near{k} {w}" for w in name.split(" "))
     return tuple(sorted({_slot(n) for n in names}))
 
 
-def features(block: Block) -> list[int]:
-    """Slots of a block's features: of the elements above it, and of its text."""
+@dataclass
+class Features:
+    """Slots of a block: of its text and the innermost elements, and those that the elements above it share."""
+
+    own: tuple[int, ...]
+    node: Node | None
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(sorted({*self.own, *(s for n in self.node.chain() for s in n.slots)} if self.node else self.own))
+
+
+def features(block: Block) -> Features:
+    """A block's features: of the elements above it, and of its text."""
     text = block.text
     n = text.count(" ") + 1
     names = [f"words {min(n, 64).bit_length()}", f"links {4 * block.linked // max(1, len(text))}", f"end {text[-1] if text[-1] in '.?!:,' else ''}"]
@@ -165,7 +242,8 @@ def features(block: Block) -> list[int]:
         names.append("mark")
     if n > 12 and text.count(",") * 20 > n:
         names.append("commas")
-    return [*path_features(block.path), *map(_slot, names)]
+    near = tuple(x.name for x in itertools.islice(block.node.chain(), 3)) if block.node else ()
+    return Features((*near_slots(near, block.node.depth if block.node else 0), *map(_slot, names)), block.node)
 
 
 @dataclass
@@ -176,10 +254,24 @@ class ChainField:
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        return np.array([self.weight[r].sum() for r in rows])
-
-    def decode(self, rows: list[list[int]]) -> list[int]:
+    def scores(self, rows: list[Features] | list[list[int]]) -> np.ndarray:
+        """A weight counts once for each slot; what elements share is summed once for each element."""
+        weight, above = self.weight.tolist() if len(rows) > 200 else self.weight, {None: 0.0}
+        out = []
+        for r in rows:
+            if not isinstance(r, Features):
+                out.append(sum([weight[s] for s in r]))
+                continue
+            chain, node = [], r.node
+            while node not in above:
+                chain.append(node)
+                node = node.up
+            for x in reversed(chain):
+                above[x] = above[x.up] + sum([weight[s] for s in x.slots])
+            out.append(above[r.node] + sum([weight[s] for s in {*r.own}]))
+        return np.array(out)
+
+    def decode(self, rows: list[Features]) -> list[int]:
         """The likeliest labels of all blocks together (Viterbi)."""
         if not rows:
             return []
@@ -224,7 +316,7 @@ def trained(n: int = 700, epochs: int = 4, seed: int = 11) -> ChainField:
     for html in pages(n, seed):
         found = [b for b in leaf_blocks(html, marked=True) if b.label >= 0]
         if found:
-            data.append(([features(b) for b in found], [b.label for b in found]))
+            data.append(([sorted({*features(b)}) for b in found], [b.label for b in found]))
     model = ChainField()
     sums = [np.full_like(x, 1e-6) for x in (model.weight, model.step, model.start)]
     rng = np.random.default_rng(seed)
