@@ -74,7 +74,7 @@ class PrefixCoder:
 
     The token is the one whose bytes end the prefix (the suffix automaton names the candidates)
     and which fits behind the last token of the prefix that it leaves over. encode_many advances
-    many pre-tokens byte by byte together.
+    many pre-tokens byte by byte together; long ones go alone, byte by byte in plain Python.
     """
 
     MEMO_BITS = 20
@@ -99,6 +99,7 @@ class PrefixCoder:
         self.token, self.above = np.array(sam.token), np.array(sam.above)
         self.memo_key = np.full(1 << self.MEMO_BITS, -1, np.int64)
         self.memo = np.zeros(1 << self.MEMO_BITS, bool)
+        self.alone: _Alone | None = None
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the bytes of each a and b are encoded to just these two tokens.
@@ -137,11 +138,12 @@ class PrefixCoder:
         return self.encode_many([word])[0]
 
     def encode_many(self, words: list[bytes]) -> list[list[int]]:
-        if len(words) > 1 and (long := [k for k, w in enumerate(words) if len(w) > self.TOGETHER]):
+        if (long := [k for k, w in enumerate(words) if len(w) > self.TOGETHER]):
             rest = [k for k, w in enumerate(words) if len(w) <= self.TOGETHER]
             out: list[list[int]] = [[]] * len(words)
+            self.alone = self.alone or _Alone(self)
             for k in long:
-                out[k] = self.encode(words[k])
+                out[k] = self.alone.encode(words[k])
             for k, ids in zip(rest, self.encode_many([words[k] for k in rest]), strict=True):
                 out[k] = ids
             return out
@@ -186,6 +188,64 @@ class PrefixCoder:
         return out
 
 
+class _Alone:
+    """The same coder over Python's own integers and dicts: a byte costs about a microsecond in a word of any length."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, coder: PrefixCoder) -> None:
+        self.n = coder.vocab.size
+        self.rank = {k: r for r, k in enumerate((coder.vocab.left * self.n + coder.vocab.right).tolist())}
+        self.made_at, self.left, self.right = coder.made_at.tolist(), coder.left.tolist(), coder.right.tolist()
+        self.length, self.link, self.token, self.above = coder.length.tolist(), coder.link.tolist(), coder.token.tolist(), coder.above.tolist()
+        used = np.flatnonzero(coder.edges.keys >= 0)
+        self.go = dict(zip(coder.edges.keys[used].tolist(), coder.edges.values[used].tolist(), strict=True))
+        self.known: dict[int, bool] = {}
+
+    def fits(self, a: int, b: int) -> bool:
+        """As PrefixCoder.fits."""
+        never = 1 << 60
+        until_a = until_b = never
+        while True:
+            across = self.rank.get(a * self.n + b, never)
+            if across < until_a and across <= until_b:
+                return False
+            ra, rb = self.made_at[a], self.made_at[b]
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                until_a, a = ra, self.right[a]
+            else:
+                until_b, b = rb, self.left[b]
+
+    def encode(self, word: bytes) -> list[int]:
+        go, link, length, token, above, known, n = self.go, self.link, self.length, self.token, self.above, self.known, self.n
+        last, back = [0] * len(word), [0] * len(word)
+        state = matched = 0
+        for k, b in enumerate(word):
+            while (to := go.get(state << 8 | b)) is None:
+                state = link[state]
+                matched = length[state]
+            state, matched = to, matched + 1
+            at = state if token[state] >= 0 and length[state] == matched else above[state]
+            while (begin := k + 1 - length[at]) > 0:
+                key = last[begin - 1] * n + token[at]
+                good = known.get(key)
+                if good is None:
+                    if len(known) >= self.LIMIT:
+                        known.clear()
+                    good = known[key] = self.fits(last[begin - 1], token[at])
+                if good:
+                    break
+                at = above[at]
+            last[k], back[k] = token[at], begin
+        out, end = [], len(word)
+        while end:
+            out.append(last[end - 1])
+            end = back[end - 1]
+        return out[::-1]
+
+
 class Codec:
     """Encodes and decodes whole texts; units that were met before are remembered up to a bound."""
 

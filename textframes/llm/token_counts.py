@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ class RankMerger:
     """
 
     SLOTS = 1 << 20
+    #: Longer byte strings go alone: rounds that look at the places of one rank only.
+    LONG = 2048
 
     def __init__(self, vocab: ByteVocabulary) -> None:
         self.vocab = vocab
@@ -67,6 +70,13 @@ class RankMerger:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in a row, and each word's number of tokens."""
+        if long := [k for k, w in enumerate(words) if len(w) > self.LONG]:
+            short = [k for k, w in enumerate(words) if len(w) <= self.LONG]
+            flat, n = self.encode([words[k] for k in short])
+            parts, counts = dict(zip(short, np.split(flat, np.cumsum(n)[:-1]), strict=True)) if short else {}, np.zeros(len(words), np.int64)
+            parts |= {k: self.encode_long(words[k]) for k in long}
+            counts[[*parts]] = [*map(len, parts.values())]
+            return np.concatenate([parts[k] for k in range(len(words))]), counts
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.vocab.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -102,6 +112,54 @@ class RankMerger:
         return symbols[order], counts
 
 
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """The same rounds over one string: places wait by rank, and a round touches those of the lowest rank and their neighbours."""
+        n, size = len(word), self.vocab.size
+        symbol = np.append(self.vocab.byte_id[np.frombuffer(word, np.uint8)], 0)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, NO_RANK)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            found = self.rank_of(symbol[places] * size + symbol[after[places]])
+            rank[places] = found
+            places, found = places[found < NO_RANK], found[found < NO_RANK]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else []
+            for r, own in zip(found[starts].tolist() if len(found) else [], np.split(places, starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(own)
+
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            run = np.r_[True, after[at[:-1]] != at[1:]]  # overlapping hits: a pair of equal symbols
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            symbol[at] = self.vocab.product[r]
+            rank[gone], rank[at] = NO_RANK, NO_RANK
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            wait(np.unique(np.concatenate([at, left[left >= 0]])))
+        kept, k = [], 0
+        steps = after.tolist()
+        while k < n:
+            kept.append(k)
+            k = steps[k]
+        return symbol[kept]
+
+
 class UnitCounter:
     """Tokens of each unit, remembered up to a bound."""
 
