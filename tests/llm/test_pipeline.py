@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from tokenizers import Tokenizer
 
-from textframes.llm import language_id, queries
+from textframes.llm import language_id, mixing, queries
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
@@ -95,3 +95,22 @@ def test_stages_keep_columns(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
     assert sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_the_mix_reaches_the_end(spark, sf_dir, tmp_path):
+    """Ordered by position, the encoded rows come in the order of the mix."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id <> 101")
+    want = [r["doc_id"] for r in mixing.mix(docs.drop("slot")).orderBy("slot", "place").collect()]
+    corpus_pipeline.mix_sources(spark, docs, sf_dir).write.parquet(str(tmp_path / "mixed"))
+    read = spark.read.option("maxPartitionBytes", 1000).parquet(str(tmp_path / "mixed"))
+    coded = corpus_pipeline.encode_tokens(spark, read, sf_dir).orderBy("position").collect()
+    assert [r["doc_id"] for r in coded] == want
+    assert corpus_pipeline.encode_tokens(spark, spark.createDataFrame([(1, "a", None, None)], "doc_id int, text string, lang string, source string"), sf_dir).count() == 1
+
+
+def test_near_copies_by_row(spark, sf_dir):
+    """Rows that share an id are judged by their own texts."""
+    words = [" ".join(f"w{k * 7 % 50 + s}" for k in range(40)) for s in (0, 100, 200)]
+    rows = [(1, words[0]), (1, words[1]), (2, words[1] + " z"), (3, words[2]), (None, words[2]), (None, ""), (4, "")]
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id int, text string"), sf_dir).collect()
+    assert sorted(map(str, left)) == sorted(map(str, spark.createDataFrame([rows[k] for k in (0, 1, 3, 5, 6)], "doc_id int, text string").collect()))
