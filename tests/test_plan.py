@@ -120,7 +120,7 @@ def test_extractor(spark):
     for s in result.segments:
         assert (s.rep_crop[..., 0] == g[s.rep_frame]).all()
         assert (s.text or "", s.confidence) == StandIn()([arrays.prepare(s.rep_crop)])[0]
-    assert set(e.timing_flat()) == {"total"}
+    assert set(e.timing_flat()) == {"total", "rss_mb"}
     bare = FieldExtractor(frames_of(spark, g), keep_frames=False, keep_crops=False).extract()
     assert bare.frames == [] and all(s.frames == () and s.rep_crop is None for s in bare.segments)
     with pytest.raises(ValueError):
@@ -202,3 +202,204 @@ def test_live_segments(spark, tmp_path):
         q.stop()
     want = brute(g, merge=False)
     assert [(r["start"], r["end"], r["rep_frame"], r["n"]) for r in rows] == [(a, b, rep, len(fs)) for a, b, rep, fs in want]
+
+
+def test_frames_are_read_once(spark, monkeypatch):
+    """All plans that a run needs, those of written tables included: one scan of the frames, few Python stages and shuffles."""
+    from textframes.plans import extractor
+
+    ran: list[str] = []
+
+    def recorded(df, name, write=extractor.saved):
+        ran.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(extractor, "saved", recorded)
+    frames = frames_of(spark, made(12, 60)).withColumn("data", F.expr("concat(data, x'')"))  # a mark to count
+    plan = SegmentPlan(frames, Options(merge=False), (60, 48))
+    out = plan.texts()
+    out.collect()
+    ran.append(out._jdf.queryExecution().optimizedPlan().toString())
+    text = "\n".join(ran)
+    assert text.count("LogicalRDD") + text.count("LocalRelation") <= 1
+    assert text.count("MapInArrow") <= 3
+    assert sum(text.count(x) for x in ("RepartitionByExpression", "Window [", "Join ")) <= 6
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7])
+def test_merge_by_ranges(spark, rows, monkeypatch):
+    """Ranges that are folded alone and repaired give what one fold gives."""
+    monkeypatch.setattr(segments, "MERGE_RANGE", rows)
+    for seed, g in ((13, made(13)), (14, np.repeat(made(14, 12), 7, axis=0)), (15, made(15)[:, :, ::-1])):
+        for limit in (3.0, 60.0, 254.0):
+            plan = SegmentPlan(frames_of(spark, g), Options(merge_threshold=limit, merge_separation="raw"), (600, 480))
+            want = brute_raw(g, limit)
+            assert got(plan) == want, (seed, limit)
+
+
+def brute_raw(g, limit):
+    threshold = int(np.median([int(arrays.otsu(arrays.histograms(x[None]))[0]) for x in g[:50]]))
+    groups, last = [], None
+    for f, x in enumerate(g):
+        bits = x > threshold
+        if last is None or arrays.cluster((bits != last)[None])[0] >= 5:
+            groups.append([])
+        groups[-1].append(f)
+        last = bits
+    out = []
+    for own in groups:
+        rep = max(own, key=lambda f: (float(arrays.sharpness(g[f][None])[0]), -f))
+        if out and arrays.similar(g[out[-1][1]], g[rep], "raw", threshold, limit, 2880):
+            out[-1][0].extend(own)
+        else:
+            out.append([list(own), rep])
+    return [(x[0], x[-1], rep, tuple(x)) for x, rep in out]
+
+
+def test_long_ranges(spark, monkeypatch):
+    """A segment that spans several ranges of samples is one."""
+    monkeypatch.setattr(segments, "RANGE", 4)
+    g = np.repeat(made(16, 30), 5, axis=0)
+    plan = SegmentPlan(frames_of(spark, g), Options(merge=False), (60, 48))
+    assert got(plan) == brute(g, merge=False)
+    scores = {r["k"]: r["score"] for r in plan.scores.collect()}
+    t = plan.thresholds.head()["threshold"]
+    assert scores[0] is None and all(scores[k] == arrays.cluster(((g[k] > t) != (g[k - 1] > t))[None])[0] for k in range(1, len(g)))
+
+
+def test_extractor_of_a_file(spark, tmp_path):
+    g = made(17, 70)
+    path = str(tmp_path / "clip.raw")
+    write_clip(path, np.stack([g] * 3, axis=-1), "rgb", fps=(25, 1))
+    said: list[float] = []
+    e = FieldExtractor(path, (2, 3, 51, 42), C=5.0, gray_output=True, frame_start=4, sample_stride=2, progress=lambda m, p: said.append(p), dual_backends=[("cpu", "auto")])
+    result = e.extract()
+    plane = arrays.gray(np.stack([g] * 3, axis=-1))[:, 3:43, 2:52]
+    assert [(s.start, s.end, s.rep_frame, s.frames) for s in result.segments] == brute(plane, start=4, stride=2)
+    assert result.fps == 25.0 and said[-1] == 100.0 and result.meta["codec"] == "rgb" and result.meta["asked"] == [("cpu", "auto")]
+    assert all(s.rep_crop.shape == (40, 50, 1) for s in result.segments)
+    chunks = FieldExtractor(path, dual_pipeline=True, dual_pipeline_chunks=3).extract()
+    assert chunks.meta["backend"] == "dual:spark"
+    want = []
+    for a, b in segments.chunk_bounds(len(g), 3):
+        want += [(s + a, e_ + a) for s, e_, *_ in brute(arrays.gray(np.stack([g] * 3, axis=-1))[a:b])]
+    assert [(s.start, s.end) for s in chunks.segments] == want
+
+    class Stop(Exception):
+        pass
+
+    calls: list[int] = []
+
+    def stop():
+        calls.append(1)
+        if len(calls) > 1:
+            raise Stop
+
+    with pytest.raises(Stop):
+        FieldExtractor(path, cancelled=stop).extract()
+
+
+def test_chunks_and_timings():
+    from textframes.plans.extractor import check_chunks, merged_timings
+
+    check_chunks({0, 1, 2, 3}, 100, 4)
+    with pytest.raises(RuntimeError):
+        check_chunks({0, 1, 3}, 100, 4)
+    assert merged_timings([{"ocr": 2, "a": 1.5, "x": "no"}, {"ocr": 3, "a": 1}]) == {"ocr": 3.0, "a": 2.5}
+
+
+def test_reader_of_folders_and_packed_regions(spark, tmp_path):
+    from textframes.sources.raw_clip import cut_packed, open_clip
+
+    packed = np.random.default_rng(18).integers(0, 255, (5, 12, 8)).astype(np.uint8)
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        write_clip(str(tmp_path / "in" / name), packed, "nv12", color_range=0)
+    rows = open_clip(spark, str(tmp_path / "in"), roi=(2, 2, 6, 6), yuv_output=True).orderBy("clip_id", "fi").collect()
+    assert [(r["clip_id"], r["fi"], r["w"], r["h"], r["fmt"]) for r in rows] == [(c, k, 5, 5, "nv12") for c in "ab" for k in range(5)]
+    assert all(bytes(r["data"]) == cut_packed(packed, 8, (2, 2, 6, 6))[r["fi"]].tobytes() for r in rows)
+    rgb = arrays.packed_to_rgb(packed)
+    assert (arrays.packed_to_rgb(cut_packed(packed, 8, (2, 2, 5, 5))) == rgb[:, 2:6, 2:6]).all()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        as_gray = open_clip(spark, str(tmp_path / "in"), roi=(1, 1, 6, 4), gray_output=True).where("clip_id = 'a' and fi >= 3").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sorted(r["fi"] for r in as_gray) == [3, 4]
+    assert all(bytes(r["data"]) == arrays.expand_range(packed[r["fi"], 1:5, 1:7], 0).tobytes() for r in as_gray)
+
+
+def test_filters_narrow_the_range(tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+
+    from textframes.sources.raw_clip import FilteringReader
+
+    path = str(tmp_path / "a.raw")
+    write_clip(path, np.zeros((50, 4, 4, 1), np.uint8), "gray")
+    reader = FilteringReader({"path": path, "start": "1", "stride": "3", "rows": "4"})
+    filters = [GreaterThan(("fi",), 10), LessThanOrEqual(("fi",), 30), EqualTo(("clip_id",), "x")]
+    assert [*reader.pushFilters(filters)] == filters
+    assert [fi for p in reader.partitions() for b in reader.read(p) for fi in b.column("fi").to_pylist()] == [*range(13, 31, 3)]
+
+
+def tiny_model(path: str, steps: int, weight: np.ndarray, bias: np.ndarray) -> None:
+    """A model file: mean of each of `steps` equal parts of the width over channels and rows, a linear layer, softmax."""
+
+    def field(n: int, kind: int, value) -> bytes:
+        head = varint(n << 3 | kind)
+        return head + (varint(value) if kind == 0 else varint(len(value)) + value)
+
+    def varint(x: int) -> bytes:
+        out = b""
+        while True:
+            out += bytes([x & 127 | (128 if x > 127 else 0)])
+            x >>= 7
+            if not x:
+                return out
+
+    def tensor(name: str, x: np.ndarray) -> bytes:
+        kind = 1 if x.dtype == np.float32 else 7
+        return b"".join(field(1, 0, d) for d in x.shape) + field(2, 0, kind) + field(8, 2, name.encode()) + field(9, 2, x.tobytes())
+
+    def node(op: str, ins: list[str], out: str, *attributes: bytes) -> bytes:
+        return b"".join(field(1, 2, i.encode()) for i in ins) + field(2, 2, out.encode()) + field(4, 2, op.encode()) + b"".join(field(5, 2, a) for a in attributes)
+
+    def ints(name: str, values: list[int]) -> bytes:
+        return field(1, 2, name.encode()) + b"".join(field(8, 0, v) for v in values) + field(20, 0, 7)
+
+    def integer(name: str, value: int) -> bytes:
+        return field(1, 2, name.encode()) + field(3, 0, value) + field(20, 0, 2)
+
+    def value(name: str, shape: list) -> bytes:
+        dims = b"".join(field(1, 2, field(1, 0, d) if isinstance(d, int) else field(2, 2, d.encode())) for d in shape)
+        return field(1, 2, name.encode()) + field(2, 2, field(1, 2, field(1, 0, 1) + field(2, 2, dims)))
+
+    graph = b"".join(
+        field(1, 2, x)
+        for x in (
+            node("Reshape", ["x", "shape"], "cut"), node("ReduceMean", ["cut"], "mean", ints("axes", [1, 2, 4]), integer("keepdims", 0)),
+            node("Unsqueeze", ["mean", "last"], "column"), node("MatMul", ["column", "w"], "scaled"), node("Add", ["scaled", "b"], "z"), node("Softmax", ["z"], "p"),
+        )
+    )
+    graph += field(2, 2, b"g") + b"".join(field(5, 2, tensor(n, x)) for n, x in (("shape", np.array([0, 3, 48, steps, -1], np.int64)), ("last", np.array([2], np.int64)), ("w", weight.astype(np.float32)[None]), ("b", bias.astype(np.float32))))
+    graph += field(11, 2, value("x", ["n", 3, 48, "w"])) + field(12, 2, value("p", ["n", steps, len(bias)]))
+    with open(path, "wb") as f:
+        f.write(field(1, 0, 8) + field(7, 2, graph) + field(8, 2, field(2, 0, 13)))
+
+
+def test_onnx_recogniser_runs_a_model(spark, tmp_path):
+    """Texts of the plan by a real CTC model, against numpy."""
+    path, steps, letters = str(tmp_path / "tiny.onnx"), 8, ["", "a", "b", "c", "d"]
+    weight, bias = np.array([0.0, 9, -9, 4, -4]), np.array([0.5, -3, -3, 0.4, 0.4])
+    tiny_model(path, steps, weight, bias)
+    g = made(19, 60)
+    got_ = SegmentPlan(frames_of(spark, g), Options(fill_width=64, input_gamma=0.0), (60, 48)).texts(lambda: OnnxRecogniser(path, letters)).collect()
+    assert len(got_) > 3 and len({r["text"] for r in got_}) > 1
+    for r in got_:
+        image = np.repeat(arrays.prepare(g[r["rep_frame"]][..., None], 0.0, 0.0), 3, axis=-1)
+        x = arrays.normalise(image, arrays.batch_ratio([image.shape[:2]], 64))
+        mean = x.reshape(3, 48, steps, -1).mean(axis=(0, 1, 3))
+        z = mean[:, None] * weight + bias
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        text, score = arrays.ctc(p, letters)
+        assert (r["text"] or "") == text and abs(r["confidence"] - score) < 2e-5

@@ -49,27 +49,32 @@ def luma(frames: np.ndarray, fmt: str, color_range: int = 0, gamma: float = 0.0)
     return curve(gray(frames), gamma)
 
 
-def nv12_to_rgb(packed: np.ndarray) -> np.ndarray:
-    """One packed 4:2:0 frame to (h, w, 3); three-dimensional input keeps its first three channels.
+def packed_to_rgb(packed: np.ndarray) -> np.ndarray:
+    """Packed 4:2:0 frames (..., rows, w) to (..., h, w, 3).
 
     Chroma counts for its 2 x 2 block; an odd last row or column has neutral chroma.
     """
-    if packed.ndim != 2:
-        return packed[..., :3] if packed.ndim == 3 else packed
-    w = packed.shape[1]
-    h = packed.shape[0] * 2 // 3
-    y = (packed[:h].astype(np.float32) - 16) / 255
-    pairs = packed[h : h + (h + 1) // 2, : w // 2 * 2].astype(np.float32)
-    chroma = np.full((2, h, w), 128, np.float32)
+    w = packed.shape[-1]
+    h = packed.shape[-2] * 2 // 3
+    y = (packed[..., :h, :].astype(np.float32) - 16) / 255
+    pairs = packed[..., h : h + (h + 1) // 2, : w // 2 * 2].astype(np.float32)
+    chroma = np.full((2, *y.shape), 128, np.float32)
     for k in range(2):
-        full = pairs[:, k::2].repeat(2, axis=0).repeat(2, axis=1)[:h, :w]
-        chroma[k, : full.shape[0], : full.shape[1]] = full
+        full = pairs[..., k::2].repeat(2, axis=-2).repeat(2, axis=-1)[..., :h, :w]
+        chroma[k, ..., : full.shape[-2], : full.shape[-1]] = full
     u, v = (chroma - 128) / 255
     base = np.float32(YUV_LUMA) * y
     channels = [base + np.float32(YUV_RED) * v, base + np.float32(YUV_GREEN[0]) * u + np.float32(YUV_GREEN[1]) * v, base + np.float32(YUV_BLUE) * u]
     return (np.clip(np.stack(channels, axis=-1), 0, 1) * 255).astype(np.uint8)
 
 
+def nv12_to_rgb(packed: np.ndarray) -> np.ndarray:
+    """One packed 4:2:0 frame to (h, w, 3); three-dimensional input keeps its first three channels."""
+    if packed.ndim != 2:
+        return packed[..., :3] if packed.ndim == 3 else packed
+    return packed_to_rgb(packed)
+
+
 def sharpness(g: np.ndarray) -> np.ndarray:
     """Population standard deviation of each frame (n, h, w)."""
     return g.reshape(len(g), -1).astype(np.float64).std(axis=1)
@@ -109,37 +114,62 @@ def mean_abs_diff(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float(np.abs(a.astype(np.float32) - b.astype(np.float32)).mean())
 
 
+def square_sums(g: np.ndarray, k: int) -> np.ndarray:
+    """Sums of the k x k square around each pixel of planes (..., h, w); the edge is repeated."""
+    edge = [(0, 0)] * (g.ndim - 2)
+    padded = np.pad(g, [*edge, (k // 2, k // 2), (k // 2, k // 2)], mode="edge").astype(np.int64 if g.dtype.kind in "iu" else np.float64)
+    sums = np.pad(padded.cumsum(axis=-2).cumsum(axis=-1), [*edge, (1, 0), (1, 0)])
+    return sums[..., k:, k:] - sums[..., :-k, k:] - sums[..., k:, :-k] + sums[..., :-k, :-k]
+
+
 def box_blur(g: np.ndarray, k: int) -> np.ndarray:
-    """Mean of the k x k square around each pixel of one plane; the edge is repeated."""
-    if k <= 1:
-        return g.astype(np.float32)
-    padded = np.pad(g, k // 2, mode="edge").astype(np.float64)
-    sums = np.pad(padded.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
-    return ((sums[k:, k:] - sums[:-k, k:] - sums[k:, :-k] + sums[:-k, :-k]) / (k * k)).astype(np.float32)
+    """Mean of the k x k square around each pixel of planes (..., h, w); the edge is repeated."""
+    return g.astype(np.float32) if k <= 1 else (square_sums(g, k) / (k * k)).astype(np.float32)
 
 
 def blur_size(height: int) -> int:
     return max(9, min(31, round(height * 0.6 / 2) * 2 + 1))
 
 
+def contrast(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each pixel of planes (..., h, w) from its surroundings as a fraction, exact for whole levels: numerator, denominator.
+
+    Scaled so that the 95th percentile (between its neighbours in proportion) of a plane is 255, if
+    that is above one level.
+    """
+    k = blur_size(g.shape[-2])
+    g = g.astype(np.int64) if g.dtype.kind in "iu" else g.astype(np.float64)
+    apart = np.abs(k * k * g - square_sums(g, k))
+    flat = np.sort(apart.reshape(*apart.shape[:-2], -1), axis=-1)
+    at, rest = divmod(95 * (flat.shape[-1] - 1), 100)
+    high = 100 * flat[..., at] + rest * (flat[..., min(at + 1, flat.shape[-1] - 1)] - flat[..., at])
+    strong = (high > 100 * k * k)[..., None, None]
+    return np.where(strong, 25500 * apart, apart), np.where(strong, high[..., None, None], k * k) + np.zeros_like(apart)
+
+
 def separate(g: np.ndarray, mode: str, threshold: int | None = None) -> np.ndarray:
-    """One plane with text apart from its background: `binary` or `contrast`; other modes keep it."""
-    g = g.astype(np.float32)
+    """Planes (..., h, w) with text apart from its background: `binary` or `contrast`; other modes keep them."""
     if mode == "binary":
-        return np.where(g > (int(g.mean()) if threshold is None else threshold), np.float32(255), np.float32(0))
+        mean = g.mean(axis=(-2, -1), keepdims=True, dtype=np.float64)
+        return np.where(g > (np.floor(mean) if threshold is None else threshold), np.float32(255), np.float32(0))
     if mode != "contrast":
-        return g
-    apart = np.abs(g - box_blur(g, blur_size(g.shape[0])))
-    high = float(np.percentile(apart, 95))
-    return np.clip(apart / high * 255, 0, 255).astype(np.float32) if high > 1 else apart
+        return g.astype(np.float32)
+    value, unit = contrast(g)
+    return np.clip(value / unit, 0, 255).astype(np.float32)
+
+
+def similar_planes(a: np.ndarray, b: np.ndarray, mode: str, threshold: np.ndarray | int | None, most_mean: float, most_changed: int) -> np.ndarray:
+    """For pairs of planes (n, h, w): little mean difference and few pixels that differ by more than 10, after separation by mode."""
+    limit = threshold if threshold is None or np.ndim(threshold) == 0 else np.asarray(threshold)[:, None, None]
+    diff = np.abs(separate(a, mode, limit) - separate(b, mode, limit))
+    return (diff.mean(axis=(-2, -1)) <= most_mean) & ((diff > 10).sum(axis=(-2, -1)) <= most_changed)
 
 
 def similar(a: np.ndarray | None, b: np.ndarray | None, mode: str, threshold: int | None, most_mean: float, most_changed: int) -> bool:
-    """Little mean difference and few pixels that differ by more than 10, after separation by mode."""
+    """The same for one pair; planes of different shapes, or none, are not similar."""
     if a is None or b is None or a.shape != b.shape:
         return False
-    diff = np.abs(separate(a, mode, threshold) - separate(b, mode, threshold))
-    return float(diff.mean()) <= most_mean and int((diff > 10).sum()) <= most_changed
+    return bool(similar_planes(a[None], b[None], mode, threshold, most_mean, most_changed)[0])
 
 
 @functools.lru_cache(maxsize=64)
@@ -149,19 +179,22 @@ def _axis(size: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.minimum(low + 1, size - 1), (at - low).astype(np.float32)
 
 
+def resize_planes(planes: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear, (..., h, w) to float32 (..., height, width)."""
+    planes = planes.astype(np.float32)
+    if planes.shape[-2:] == (height, width):
+        return planes
+    y0, y1, fy = _axis(planes.shape[-2], height)
+    x0, x1, fx = _axis(planes.shape[-1], width)
+    rows = planes[..., y0, :] * (1 - fy[:, None]) + planes[..., y1, :] * fy[:, None]
+    return rows[..., x0] * (1 - fx) + rows[..., x1] * fx
+
+
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear, (h, w) or (h, w, channels) to float32."""
-    image = image.astype(np.float32)
-    if image.shape[:2] == (height, width):
-        return image
-    y0, y1, fy = _axis(image.shape[0], height)
-    x0, x1, fx = _axis(image.shape[1], width)
-    if image.ndim == 3:
-        fy, fx = fy[:, None, None], fx[:, None]
-    else:
-        fy = fy[:, None]
-    rows = image[y0] * (1 - fy) + image[y1] * fy
-    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+    """Bilinear, one image (h, w) or (h, w, channels) to float32."""
+    if image.ndim == 2:
+        return resize_planes(image, width, height)
+    return np.ascontiguousarray(resize_planes(image.transpose(2, 0, 1), width, height).transpose(1, 2, 0))
 
 
 def prepare(crop: np.ndarray, aspect: float = 0.0, gamma: float = 2.0) -> np.ndarray:

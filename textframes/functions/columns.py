@@ -50,3 +50,10 @@ def most_changed(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def batch_width(widest: Column, floor: int = 224) -> Column:
     """Input width for a widest width-to-height ratio."""
     return F.floor(F.greatest(F.lit(floor / INPUT_HEIGHT), widest) * INPUT_HEIGHT).cast("int")
+
+
+def input_width(w: Column, h: Column, aspect: float = 0.0) -> Column:
+    """Width of a crop at the recogniser's height; aspect > 0 fixes it."""
+    if aspect > 0:
+        return F.lit(max(1, round(INPUT_HEIGHT * aspect)))
+    return F.greatest(F.lit(1), F.floor(w * INPUT_HEIGHT / h)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textframes.functions import arrays
@@ -54,34 +54,42 @@ class OnnxRecogniser:
         return found
 
 
-def recognise(reps: DataFrame, make: Callable[[], Recogniser], aspect: float = 0.0, gamma: float = 2.0, separation: str = "", color_range: int = 0) -> DataFrame:
-    """reps (clip_id, seg, w, h, fmt, data; one row for each segment) to clip_id, seg, text, confidence.
+def recognise(reps: DataFrame, make: Callable[[], Recogniser], aspect: float = 0.0, gamma: float = 2.0, separation: str = "",
+              fill_width: int = 0, batch_rows: int = BATCH) -> DataFrame:
+    """reps (w, h, fmt, data and other columns, which are carried; a row for each segment) with text and confidence.
 
-    make() builds the recogniser once in each Python worker. An empty text becomes null and keeps
-    its confidence; a row without data has neither.
+    make() builds the recogniser once in each Python worker. It gets batch_rows images at most,
+    those of like width together; fill_width is the width that it pads to at least, if it pads. Results
+    go back to their rows. An empty text becomes null and
+    keeps its confidence; a row without data has neither.
     """
     held: list[Recogniser] = []
+    fields = [f for f in reps.schema.fields if f.name not in ("text", "confidence")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from textframes.operators.features import shaped
 
         if not held:
             held.append(make())
-        for pdf in batches:
-            for at in range(0, len(pdf), BATCH):
-                part = pdf.iloc[at : at + BATCH]
-                images, which = [], []
-                for i, (w, h, fmt, data) in enumerate(zip(part["w"], part["h"], part["fmt"], part["data"], strict=True)):
-                    if data is None:
-                        continue
-                    crop = shaped([bytes(data)], w, h, fmt)[0]
+            if fill_width and hasattr(held[0], "fill_width"):
+                held[0].fill_width = fill_width
+        for batch in batches:
+            text: list[str | None] = [None] * batch.num_rows
+            score = [0.0] * batch.num_rows
+            data = batch.column("data")
+            kinds = [*zip(*(batch.column(c).to_pylist() for c in ("w", "h", "fmt")), strict=True)]
+            full = [i for i in range(batch.num_rows) if data[i].is_valid]
+            full.sort(key=lambda i: kinds[i][0] / max(1, kinds[i][1]))
+            for at in range(0, len(full), batch_rows):
+                rows, images = full[at : at + batch_rows], []
+                for i in rows:
+                    w, h, fmt = kinds[i]
+                    crop = shaped([data[i].as_py()], w, h, fmt)[0]
                     image = arrays.prepare(arrays.nv12_to_rgb(crop) if fmt == "nv12" else crop, aspect, gamma)
                     images.append(arrays.separate_input(image, separation) if separation else image)
-                    which.append(i)
-                text: list[str | None] = [None] * len(part)
-                score = [0.0] * len(part)
-                for i, (t, s) in zip(which, held[0](images), strict=True):
+                for i, (t, s) in zip(rows, held[0](images), strict=True):
                     text[i], score[i] = t or None, float(s)
-                yield pd.DataFrame({"clip_id": part["clip_id"], "seg": part["seg"], "text": text, "confidence": score})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(score)], [*batch.schema.names, "text", "confidence"])
 
-    return reps.select("clip_id", "seg", "w", "h", "fmt", "data").mapInPandas(run, "clip_id string, seg bigint, text string, confidence double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return reps.select(*[f"`{f.name}`" for f in fields]).mapInArrow(run, schema + ", text string, confidence double")

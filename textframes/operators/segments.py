@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textframes.functions import arrays
 from textframes.operators.ordered import running_total
+from textframes.sources.shared import few, saved
 
 #: Changed pixels in a 3 x 3 square from which a segment ends.
 CHANGE = 5.0
@@ -18,6 +19,47 @@ CHANGE = 5.0
 SIMILAR = 3.0
 #: Samples that one task compares in a row.
 RANGE = 1024
+#: Segments that are folded in a row.
+MERGE_RANGE = 1024
+
+
+def _ranges(features: DataFrame, thresholds: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    """Samples with their threshold, dealt by ranges of k; the last of a range also goes to the next one."""
+    part = F.floor(F.col("k") / RANGE)
+    twice = F.when(F.col("k") % RANGE == RANGE - 1, F.array(part, part + 1)).otherwise(F.array(part))
+    rows = features.join(thresholds, list(keys))
+    rows = rows.select(*keys, "fi", "k", "h", "w", "luma", "threshold", *more, F.explode(twice).alias("part"))
+    return rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "k")
+
+
+class Scorer:
+    """Scores of samples that come in order, batch after batch: pairs of the same size are compared together."""
+
+    def __init__(self, keys: tuple[str, ...]) -> None:
+        self.keys, self.last = keys, None
+
+    def scores(self, batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
+        """(keys, part, k) of each row, and its score: -1 without a sample before it."""
+        names = [*zip(*(batch.column(c).to_pylist() for c in (*self.keys, "part", "k")), strict=True)]
+        sizes = [*zip(*(batch.column(c).to_pylist() for c in ("h", "w", "threshold")), strict=True)]
+        luma = batch.column("luma").to_pylist()
+        before = [self.last, *zip(names, sizes, luma, strict=True)][: len(names)]
+        score = np.full(len(names), -1, np.int64)
+        alike: dict[tuple, list[int]] = {}
+        for i, (x, own, name) in enumerate(zip(before, sizes, names, strict=True)):
+            if x is not None and x[0][:-1] == name[:-1] and x[0][-1] == name[-1] - 1:
+                if x[1][:2] == own[:2]:
+                    alike.setdefault(own, []).append(i)
+                else:
+                    score[i] = 9  # another size is a change of everything
+        for (h, w, threshold), rows in alike.items():
+            for at in range(0, len(rows), max(1, (1 << 24) // (h * w))):
+                part = rows[at : at + max(1, (1 << 24) // (h * w))]
+                bits = [(np.frombuffer(b"".join(x), np.uint8) > threshold).reshape(-1, h, w) for x in ([luma[i] for i in part], [before[i][2] for i in part])]
+                score[part] = arrays.cluster(bits[0] != bits[1])
+        if names:
+            self.last = (names[-1], sizes[-1], luma[-1])
+        return names, score
 
 
 def change_scores(features: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
@@ -26,33 +68,85 @@ def change_scores(features: DataFrame, thresholds: DataFrame, keys: tuple[str, .
     The first sample of a key has no score. Samples are dealt by ranges of k, the last of a range
     also to the next one: one shuffle, and a long clip is many tasks.
     """
-    part = F.floor(F.col("k") / RANGE)
-    twice = F.when(F.col("k") % RANGE == RANGE - 1, F.array(part, part + 1)).otherwise(F.array(part))
-    rows = features.join(thresholds, list(keys))
-    rows = rows.select(*keys, "fi", "k", "h", "w", "luma", "threshold", F.explode(twice).alias("part"))
-    rows = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_k, last_bits = None, 0, None
+        scorer = Scorer(keys)
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            score: list[int | None] = []
-            keep = []
-            for i in range(batch.num_rows):
-                key = tuple(columns[c][i] for c in keys)
-                k, part_ = columns["k"][i], columns["part"][i]
-                bits = (np.frombuffer(columns["luma"][i], np.uint8) > columns["threshold"][i]).reshape(columns["h"][i], columns["w"][i])
-                near = last_key == key and last_k == k - 1 and last_bits is not None
-                score.append(int(arrays.cluster((bits != last_bits)[None])[0]) if near and bits.shape == last_bits.shape else 9 if near else None)
-                keep.append(k // RANGE == part_)  # a range's first row may be the last of the one before
-                last_key, last_k, last_bits = key, k, bits
-            out = [*(batch.column(c) for c in keys), batch.column("fi"), batch.column("k"), pa.array(score, pa.int32())]
+            names, score = scorer.scores(batch)
+            keep = [k // RANGE == part for *_, part, k in names]  # a range's first row may be the last of the one before
+            out = [*(batch.column(c) for c in keys), batch.column("fi"), batch.column("k"), pa.array(score.astype(np.int32), mask=score < 0)]
             yield pa.RecordBatch.from_arrays(out, [*keys, "fi", "k", "score"]).filter(pa.array(keep, pa.bool_()))
 
     types = {"clip_id": "string", "chunk": "int"}
+    rows = _ranges(features, thresholds, keys).drop("sharp")
     return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keys) + ", fi bigint, k bigint, score int")
 
 
+def range_segments(features: DataFrame, thresholds: DataFrame, change: float = CHANGE, keys: tuple[str, ...] = ("clip_id",), keep_frames: bool = True) -> DataFrame:
+    """keys, part, seg, changes, start, end, n, best, frames: the segments of each range of samples, in one pass over features.
+
+    seg counts the changes in the range up to the segment, changes are those of the whole range.
+    best: sharp and -fi of the sharpest sample, the first of equals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(keys)
+        name: tuple | None = None
+        held: list[list] = []  # segments of the range: start, end, n, sharp, fi, frames
+        changes = 0
+
+        def out() -> pa.RecordBatch:
+            n, first = len(held), changes - len(held) + 1
+            start, end, count, sharp, fi, frames = zip(*held, strict=True)
+            columns = [pa.array([x] * n) for x in name[: len(keys)]] + [pa.array([name[-1]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array([changes] * n, pa.int64())]
+            if "chunk" in keys:
+                columns[keys.index("chunk")] = columns[keys.index("chunk")].cast(pa.int32())
+            best = pa.StructArray.from_arrays([pa.array(sharp, pa.float64()), pa.array([-x for x in fi], pa.int64())], ["sharp", "at"])
+            columns += [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(count, pa.int64()), best, pa.array(frames, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, [*keys, "part", "seg", "changes", "start", "end", "n", "best", "frames"])
+
+        for batch in batches:
+            names, score = scorer.scores(batch)
+            for (*own, k), s, fi, sharp in zip(names, score.tolist(), batch.column("fi").to_pylist(), batch.column("sharp").to_pylist(), strict=True):
+                if k // RANGE != own[-1]:
+                    continue
+                if name != tuple(own):
+                    if held:
+                        yield out()
+                    name, held, changes = tuple(own), [], 0
+                if s >= change:
+                    changes += 1
+                if not held or s >= change:
+                    held.append([fi, fi, 0, -1.0, fi, []])
+                last = held[-1]
+                last[1], last[2] = fi, last[2] + 1
+                if sharp > last[3]:
+                    last[3], last[4] = sharp, fi
+                if keep_frames:
+                    last[5].append(fi)
+        if held:
+            yield out()
+
+    types = {"clip_id": "string", "chunk": "int"}
+    schema = ", ".join(f"{c} {types[c]}" for c in keys)
+    schema += ", part bigint, seg bigint, changes bigint, start bigint, end bigint, n bigint, best struct<sharp: double, at: bigint>, frames array<bigint>"
+    return _ranges(features, thresholds, keys, "sharp").mapInArrow(run, schema)
+
+
+def joined_segments(ranges: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """keys, seg (from 0), start, end, n, rep_frame, frames: segments of ranges, joined over their borders.
+
+    A range's segments are numbered on from the changes of the ranges before it: a sum over ranges, not frames.
+    """
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.select(*keys, "part", "changes").distinct()
+    sums = sums.select(*keys, "part", F.coalesce(F.sum("changes").over(before), F.lit(0)).alias("_before"))
+    rows = ranges.join(sums, [*keys, "part"]).withColumn("seg", F.col("seg") + F.col("_before"))
+    best = F.max("best")
+    out = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), (-best["at"]).alias("rep_frame")]
+    return rows.groupBy(*keys, "seg").agg(*out, F.array_sort(F.flatten(F.collect_list("frames"))).alias("frames"))
+
+
 def segment_ids(scores: DataFrame, change: float = CHANGE, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
     """scores with seg, from 0: a new segment starts where the score reaches change."""
     return running_total(scores, list(keys), "k", F.when(F.col("score") >= change, 1).otherwise(0), "seg")
@@ -96,27 +190,52 @@ def merged_ids(segs: DataFrame, features: DataFrame, thresholds: DataFrame, mode
     """keys, seg, first_seg: the segment that each one is folded into.
 
     In order, a segment whose representative is similar to that of the last one kept is folded into
-    it; the one kept stays the anchor. Only the representatives' luma moves, and a task holds two.
+    it; the one kept stays the anchor. Only the representatives' luma moves.
+
+    Segments are folded by ranges, each as if its first segment were kept. Then each range learns
+    the anchor that the range before ends with, and folds again; where that changes its own last
+    anchor, the next range follows, until none changes. A range of an unchanging picture costs a round.
     """
+    types = {"clip_id": "string", "chunk": "int"}
     luma = features.select(*keys, F.col("fi").alias("rep_frame"), "h", "w", "luma")
-    rows = segs.select(*keys, "seg", "rep_frame").join(luma, [*keys, "rep_frame"]).join(thresholds, list(keys))
-    rows = rows.select(*keys, "seg", "h", "w", "luma", "threshold").repartition(*keys).sortWithinPartitions(*keys, "seg")
+    named = segs.select(*keys, "seg", "rep_frame", F.floor(F.col("seg") / MERGE_RANGE).alias("part"))
+    rows = luma.join(few(named), [*keys, "rep_frame"]).join(thresholds, list(keys))
+    rows = saved(rows.select(*keys, "part", "seg", "h", "w", "luma", "threshold"), "merge-reps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, anchor, anchor_seg = None, None, 0
+        name, anchor, anchor_seg = None, None, -1
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             first = []
             for i in range(batch.num_rows):
-                key = tuple(columns[c][i] for c in keys)
+                own = tuple(columns[c][i] for c in (*keys, "part"))
                 g = np.frombuffer(columns["luma"][i], np.uint8).reshape(columns["h"][i], columns["w"][i])
-                if last_key != key or not arrays.similar(anchor, g, mode, columns["threshold"][i], most_mean, most_changed):
-                    last_key, anchor, anchor_seg = key, g, columns["seg"][i]
+                if name != own or not arrays.similar(anchor, g, mode, columns["threshold"][i], most_mean, most_changed):
+                    name, anchor, anchor_seg = own, g, columns["seg"][i]
                 first.append(anchor_seg)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), batch.column("seg"), pa.array(first, pa.int64())], [*keys, "seg", "first_seg"])
-
-    types = {"clip_id": "string", "chunk": "int"}
-    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keys) + ", seg bigint, first_seg bigint")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "part", "seg")), pa.array(first, pa.int64())], [*keys, "part", "seg", "first_seg"])
+
+    def folded(some: DataFrame) -> DataFrame:
+        order = [*keys, "part"]
+        dealt = some.repartition(*order).sortWithinPartitions(*order, "seg")
+        return dealt.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keys) + ", part bigint, seg bigint, first_seg bigint")
+
+    done = saved(folded(rows), "merge-folded")
+    last = F.max_by("first_seg", "seg").alias("anchor")
+    came = done.select(*keys, "part").distinct().select(*keys, "part", F.lit(None).cast("bigint").alias("anchor"))
+    while True:
+        ends = done.groupBy(*keys, "part").agg(last)
+        comes = ends.select(*keys, (F.col("part") + 1).alias("part"), F.col("anchor").alias("now"))
+        wrong = came.join(comes, [*keys, "part"]).where(~F.col("anchor").eqNullSafe(F.col("now"))).select(*keys, "part", "now")
+        wrong = saved(wrong, "merge-wrong")
+        if wrong.isEmpty():
+            return done.drop("part")
+        again = rows.join(few(wrong), [*keys, "part"]).drop("now")
+        anchors = rows.drop("part").join(few(wrong.withColumnRenamed("now", "seg")), [*keys, "seg"])
+        new = folded(again.unionByName(anchors)).where(F.floor(F.col("seg") / MERGE_RANGE) == F.col("part"))
+        done = saved(done.join(few(wrong.drop("now")), [*keys, "part"], "left_anti").unionByName(new), "merge-folded")
+        came = came.join(wrong, [*keys, "part"], "left").select(*keys, "part", F.coalesce("now", "anchor").alias("anchor"))
+        came = saved(came, "merge-anchors")
 
 
 def merge(segs: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:

@@ -36,6 +36,9 @@ ck AS (SELECT fi, i AS chunk, fi - i * n // c AS k FROM f, cn, range(0, 4) t(i)
 """
 
 
+CHUNK_FIRST = "SELECT chunk, CAST(floor(quantile_cont(CAST(threshold AS DOUBLE), 0.5)) AS INTEGER) AS threshold FROM o JOIN ck USING (fi) WHERE k < 50 GROUP BY chunk"
+
+
 def _segments(threshold: str, chunked: bool = False) -> str:
     """CTEs up to `sg` (chunk, seg, start_fi, end_fi, n, rep_frame) and `z` (fi, seg); threshold: rows of th."""
     chunks = CHUNKS if chunked else ", ck AS (SELECT fi, 0 AS chunk, fi AS k FROM f)"
@@ -53,20 +56,34 @@ sg AS (SELECT CAST(chunk AS INTEGER) AS chunk, seg, min(fi) AS start_fi, max(fi)
 """
 
 
-def _merged(limit: float) -> str:
-    """CTEs up to `mg` (seg, start_fi, end_fi, n, rep_frame): each segment against the last one kept."""
+def _merged(limit: float, chunked: bool = False) -> str:
+    """CTEs up to `mg` (chunk, seg, start_fi, end_fi, n, rep_frame): each segment against the last one kept in its chunk."""
     return f"""
-, bits AS (SELECT seg, list(CASE WHEN g > threshold THEN 1 ELSE 0 END ORDER BY y, x) AS b FROM sg JOIN px ON fi = rep_frame, th GROUP BY seg),
+, bits AS (SELECT chunk, seg, list(CASE WHEN g > threshold THEN 1 ELSE 0 END ORDER BY y, x) AS b FROM sg JOIN px ON fi = rep_frame JOIN th {"USING (chunk)" if chunked else "ON true"} GROUP BY chunk, seg),
 fold AS (
-  SELECT seg, seg AS first, b AS anchor FROM bits WHERE seg = 0
+  SELECT chunk, seg, seg AS first, b AS anchor FROM bits WHERE seg = 0
   UNION ALL
-  SELECT seg, CASE WHEN near THEN first ELSE seg END, CASE WHEN near THEN anchor ELSE b END FROM (
-    SELECT n.seg, n.b, p.first, p.anchor, d * 255.0 / 64 <= {limit} AND d <= 32 AS near
-    FROM fold p JOIN (SELECT * FROM bits) n ON n.seg = p.seg + 1, LATERAL (SELECT list_sum(list_transform(range(1, 65), lambda i: abs(n.b[i] - p.anchor[i]))) AS d) x)),
-mg AS (SELECT first AS seg, min(start_fi) AS start_fi, max(end_fi) AS end_fi, CAST(sum(n) AS BIGINT) AS n, max(rep_frame) FILTER (sg.seg = first) AS rep_frame FROM sg JOIN fold USING (seg) GROUP BY first)
+  SELECT chunk, seg, CASE WHEN near THEN first ELSE seg END, CASE WHEN near THEN anchor ELSE b END FROM (
+    SELECT n.chunk, n.seg, n.b, p.first, p.anchor, d * 255.0 / 64 <= {limit} AND d <= 32 AS near
+    FROM fold p JOIN (SELECT * FROM bits) n ON n.chunk = p.chunk AND n.seg = p.seg + 1, LATERAL (SELECT list_sum(list_transform(range(1, 65), lambda i: abs(n.b[i] - p.anchor[i]))) AS d) x)),
+mg AS (SELECT chunk, first AS seg, min(start_fi) AS start_fi, max(end_fi) AS end_fi, CAST(sum(n) AS BIGINT) AS n, max(rep_frame) FILTER (sg.seg = first) AS rep_frame FROM sg JOIN fold USING (chunk, seg) GROUP BY chunk, first)
 """
 
 
+#: Levels of each frame as a list, row by row.
+LEVELS = ", lv AS (SELECT fi, list(g ORDER BY y, x) AS g FROM px GROUP BY fi)"
+
+
+def _steps(name: str, to: int) -> str:
+    """CTE `name` (i, lo, hi, w): between which of 8 places the i-th of `to` lies, and the share of the second."""
+    return f""", {name} AS (SELECT i, CAST(floor(s) AS INTEGER) AS lo, least(CAST(floor(s) AS INTEGER) + 1, 7) AS hi, s - floor(s) AS w
+              FROM (SELECT i, greatest(0, least(7, (i + CAST(0.5 AS DOUBLE)) * 8 / {to} - CAST(0.5 AS DOUBLE))) AS s FROM range(0, {to}) r(i)))"""
+
+
+#: Bilinear value of list g at steps ty, tx.
+BETWEEN = "((1 - ty.w) * ((1 - tx.w) * g[ty.lo * 8 + tx.lo + 1] + tx.w * g[ty.lo * 8 + tx.hi + 1]) + ty.w * ((1 - tx.w) * g[ty.hi * 8 + tx.lo + 1] + tx.w * g[ty.hi * 8 + tx.hi + 1]))"
+
+
 def _plane(value: str, rows: int = 8) -> str:
     """SQL of a query that gives 1000 x a value of each pixel."""
     return f"WITH {CLIP} SELECT fi, y, x, CAST(floor(1000 * CAST({value} AS DOUBLE) + 0.5) AS BIGINT) AS v FROM px WHERE y < {rows}"
@@ -85,7 +102,7 @@ def oracle_sql() -> dict[str, str]:
         "seg_gamma": f"WITH {CLIP} SELECT fi, y, x, CAST(floor(pow(CAST(g AS DOUBLE) / 255, 2) * 255) AS INTEGER) AS \"out\" FROM px",
         "luma_plane": _plane("g", 5),
         "roi_crop": f"WITH {CLIP} SELECT fi, y - 2 AS y, x - 1 AS x, g FROM px WHERE y BETWEEN 2 AND 6 AND x BETWEEN 1 AND 5",
-        "sample_stride": f"WITH {CLIP} SELECT fi, (fi - 10) // 7 AS k FROM f WHERE fi >= 10 AND fi < 1000 AND (fi - 10) % 7 = 0",
+        "sample_stride": f"WITH {CLIP} SELECT fi, (fi - 10) // 7 AS k FROM f WHERE fi >= 10 AND (fi - 10) % 7 = 0",
         "stride_clamp": "SELECT vec_id, greatest(1, CAST(vec_id % 7 - 3 AS INTEGER)) AS stride FROM embeddings",
         "sharpness": f"WITH {FEATURES} SELECT fi, round(sharp, 6) AS sharp FROM sh",
         "histogram": f"WITH {FEATURES} SELECT fi, g, n FROM h",
@@ -99,7 +116,8 @@ def oracle_sql() -> dict[str, str]:
         "segments": f"WITH {FEATURES} {first} SELECT {row} FROM sg",
         "segments_serial": f"WITH {FEATURES} {_segments(STRIDED)} SELECT {row} FROM sg",
         "segments_pooled": f"WITH {FEATURES} {POOL} {_segments('SELECT threshold FROM po')} SELECT {row} FROM sg",
-        "segments_chunked": f"WITH {FEATURES} {_segments('SELECT chunk, CAST(floor(quantile_cont(CAST(threshold AS DOUBLE), 0.5)) AS INTEGER) AS threshold FROM o JOIN ck USING (fi) WHERE k < 50 GROUP BY chunk', True)} SELECT chunk, {row} FROM sg",
+        "segments_chunked": f"WITH {FEATURES} {_segments(CHUNK_FIRST, True)} SELECT chunk, {row} FROM sg",
+        "segments_chunked_merged": f"WITH RECURSIVE {FEATURES} {_segments(CHUNK_FIRST, True)} {_merged(90, True)} SELECT chunk, {row} FROM mg",
         "segment_frames": f"WITH {FEATURES} {first} SELECT seg, string_agg(CAST(fi AS VARCHAR), ',' ORDER BY fi) AS frames FROM z GROUP BY seg",
         "rep_frame": f"WITH {FEATURES} {first} SELECT seg, rep_frame FROM sg",
         "merge_anchored": f"WITH RECURSIVE {FEATURES} {first} {_merged(90)} SELECT {row} FROM mg",
@@ -109,21 +127,31 @@ def oracle_sql() -> dict[str, str]:
             FROM bp a JOIN bp b ON b.seg = a.seg + 1 AND a.y = b.y AND a.x = b.x GROUP BY a.seg""",
         "mean_abs_diff": f"WITH {CLIP} SELECT a.fi AS k, CAST(floor(1000 * avg(CAST(abs(a.g - b.g) AS DOUBLE)) + 0.5) AS BIGINT) AS diff FROM px a JOIN px b ON b.fi = a.fi + 1 AND a.y = b.y AND a.x = b.x GROUP BY a.fi",
         "text_sep_binary": f"WITH {CLIP}, m AS (SELECT fi, floor(avg(CAST(g AS DOUBLE))) AS m FROM px GROUP BY fi) SELECT fi, y, x, CAST(CASE WHEN g > m THEN 255000 ELSE 0 END AS BIGINT) AS v FROM px JOIN m USING (fi)",
-        "text_sep_contrast": f"""WITH {CLIP}, bl AS (SELECT p.fi, p.y, p.x, abs(p.g - CAST({blur} AS FLOAT)) AS a FROM {around} GROUP BY p.fi, p.y, p.x, p.g),
-            hi AS (SELECT fi, quantile_cont(CAST(a AS DOUBLE), 0.95) AS hi FROM bl GROUP BY fi)
-            SELECT fi, y, x, CAST(1000 * floor(CASE WHEN hi > 1 THEN greatest(0, least(255, CAST(a / hi * 255 AS FLOAT))) ELSE a END / 255 * 100 + 0.001) AS BIGINT) AS v FROM bl JOIN hi USING (fi)""",
+        "text_sep_contrast": f"""WITH {CLIP}, bl AS (SELECT p.fi, p.y, p.x, abs(81 * p.g - sum(n.g)) AS a FROM {around} GROUP BY p.fi, p.y, p.x, p.g),
+            hi AS (SELECT fi, list_sort(list(a)) AS a FROM bl GROUP BY fi), hh AS (SELECT fi, 100 * a[60] + 85 * (a[61] - a[60]) AS hi FROM hi)
+            SELECT fi, y, x, CAST(CASE WHEN hi > 8100 THEN least(255, 25500 * a // hi) ELSE a // 81 END AS BIGINT) AS v FROM bl JOIN hh USING (fi)""",
         "box_blur": f"WITH {CLIP} SELECT p.fi, p.y, p.x, CAST(sum(n.g) * 1000 AS BIGINT) AS v FROM {around3} GROUP BY p.fi, p.y, p.x",
-        "resize_bilinear": f"""WITH {CLIP}, t AS (SELECT i, CAST(floor(s) AS INTEGER) AS lo, least(CAST(floor(s) AS INTEGER) + 1, 7) AS hi, s - floor(s) AS w
-              FROM (SELECT i, greatest(0, least(7, (i + CAST(0.5 AS DOUBLE)) / 2 - CAST(0.5 AS DOUBLE))) AS s FROM range(0, 16) r(i)))
-            SELECT a.fi, CAST(ty.i AS INTEGER) AS y, CAST(tx.i AS INTEGER) AS x, CAST(floor(1000 * ((1 - ty.w) * ((1 - tx.w) * a.g + tx.w * b.g) + ty.w * ((1 - tx.w) * c.g + tx.w * d.g)) + 0.5) AS BIGINT) AS v
-            FROM t ty, t tx, px a, px b, px c, px d WHERE a.y = ty.lo AND b.y = ty.lo AND c.y = ty.hi AND d.y = ty.hi AND a.x = tx.lo AND c.x = tx.lo AND b.x = tx.hi AND d.x = tx.hi
-              AND a.fi = b.fi AND a.fi = c.fi AND a.fi = d.fi""",
-        "normalize_pad": f"""WITH {CLIP} SELECT fi, 0 AS y, CAST(c AS INTEGER) AS x, CAST(1000 * floor(255 * coalesce((CAST(g AS DOUBLE) / 255 - 0.5) / 0.5, 0) + 0.5) AS BIGINT) AS v
-            FROM f CROSS JOIN range(0, 12) t(c) LEFT JOIN (SELECT fi, x, g FROM px WHERE y = 0) p USING (fi) WHERE p.x = c
-            UNION ALL SELECT fi, 0, CAST(c AS INTEGER), 0 FROM f CROSS JOIN range(8, 12) t(c)""",
-        "nv12_to_rgb": f"""WITH {CLIP} SELECT p.fi, p.y, p.x, CAST(1000 * floor(255 * greatest(0, least(1, CAST(1.164383 AS FLOAT) * CAST((CAST(p.g AS FLOAT) - 16) / 255 AS FLOAT)
-              + CAST(1.596027 AS FLOAT) * CAST((CAST(c.g AS FLOAT) - 128) / 255 AS FLOAT)))) AS BIGINT) AS v
-            FROM px p JOIN px c ON c.fi = p.fi AND c.y = 5 + p.y // 2 AND c.x = p.x // 2 * 2 + 1 WHERE p.y < 5""",
+        "box_blur_wide": f"WITH {CLIP} SELECT p.fi, p.y, p.x, CAST(sum(n.g) AS BIGINT) AS v FROM {around.replace('range(-4, 5)', 'range(-2, 3)')} GROUP BY p.fi, p.y, p.x",
+        "luma_of_formats": f"""WITH {CLIP} SELECT fi, y, x, CAST(g AS BIGINT) AS gray,
+            CAST(floor(CAST(g AS DOUBLE) * CAST(0.299 AS DOUBLE) + CAST(255 - g AS DOUBLE) * CAST(0.587 AS DOUBLE) + CAST(g // 2 AS DOUBLE) * CAST(0.114 AS DOUBLE)) AS BIGINT) AS rgb,
+            CAST(floor(pow(CAST(g AS DOUBLE) / 255, 2) * 255) AS BIGINT) AS curved,
+            CAST(CASE WHEN y < 5 THEN greatest(0, least(255, floor((CAST(g AS DOUBLE) - 16) * 255 / 219 + 0.5))) ELSE 0 END AS BIGINT) AS nv12 FROM px""",
+        "resize_bilinear": f"""WITH {CLIP} {LEVELS} {_steps("t", 16)}
+            SELECT fi, CAST(ty.i AS INTEGER) AS y, CAST(tx.i AS INTEGER) AS x, CAST(floor(1000 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM lv, t ty, t tx""",
+        "ocr_prepare": f"""WITH {FEATURES} {first} {LEVELS} {_steps("ty_", 48)} {_steps("tx_", 16)}
+            SELECT seg, CAST(ty.i AS INTEGER) AS y, CAST(tx.i AS INTEGER) AS x, CAST(floor(48 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM sg JOIN lv ON fi = rep_frame, ty_ ty, tx_ tx""",
+        "ocr_separate": f"""WITH {FEATURES} {first} {LEVELS} {_steps("ty_", 48)} {_steps("tx_", 16)},
+            pr AS (SELECT seg, ty.i AS y, tx.i AS x, CAST(floor(48 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM sg JOIN lv ON fi = rep_frame, ty_ ty, tx_ tx),
+            mean AS (SELECT seg, sum(v) // 768 AS m FROM pr GROUP BY seg)
+            SELECT seg, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(CASE WHEN v > m THEN 255 ELSE 0 END AS BIGINT) AS v FROM pr JOIN mean USING (seg)""",
+        "normalize_pad": f"""WITH {CLIP} SELECT fi, y, x, CAST(2 * g - 255 AS BIGINT) AS r, CAST(2 * (255 - g) - 255 AS BIGINT) AS g, CAST(2 * (g // 2) - 255 AS BIGINT) AS b FROM px
+            UNION ALL SELECT fi, CAST(yy AS INTEGER), CAST(c AS INTEGER), 0, 0, 0 FROM f CROSS JOIN range(0, 8) u(yy) CROSS JOIN range(8, 12) t(c)""",
+        "nv12_to_rgb": f"""WITH {CLIP} {LEVELS},
+            c AS (SELECT px.fi, y, x, CAST(1.164383 AS FLOAT) * CAST((CAST(px.g AS FLOAT) - 16) / 255 AS FLOAT) AS l,
+              CAST((CAST(lv.g[(5 + y // 2) * 8 + x // 2 * 2 + 1] AS FLOAT) - 128) / 255 AS FLOAT) AS u, CAST((CAST(lv.g[(5 + y // 2) * 8 + x // 2 * 2 + 2] AS FLOAT) - 128) / 255 AS FLOAT) AS v
+              FROM px JOIN lv ON lv.fi = px.fi WHERE y < 5)
+            SELECT fi, y, x, {", ".join(f"CAST(floor(CAST(greatest(0, least(1, {e})) AS FLOAT) * CAST(255 AS FLOAT)) AS BIGINT) AS {n}" for n, e in (
+                ("r", "l + CAST(1.596027 AS FLOAT) * v"), ("g", "(l + CAST(-0.391762 AS FLOAT) * u) + CAST(-0.812968 AS FLOAT) * v"), ("b", "l + CAST(2.017232 AS FLOAT) * u")))} FROM c""",
         "ocr_input": """SELECT vec_id, CAST(greatest(1, (vec_id % 97 + 1) * 48 // (vec_id % 31 + 1)) AS INTEGER) AS width,
             CAST(floor(greatest(CAST(224 AS DOUBLE) / 48, CAST(vec_id % 97 + 1 AS DOUBLE) / (vec_id % 31 + 1)) * 48) AS INTEGER) AS padded FROM embeddings""",
         "ctc_decode": """WITH p AS (SELECT vec_id AS seg, s, c, embedding[s * 8 + c + 1] AS p FROM embeddings, range(0, 8) a(s), range(0, 8) b(c)),

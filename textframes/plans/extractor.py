@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import resource
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textframes.functions.arrays import nv12_to_rgb
@@ -15,6 +18,8 @@ from textframes.operators import segments as segs
 from textframes.operators.features import shaped
 from textframes.operators.recognise import Recogniser, StandIn, recognise
 from textframes.sources.clips import crop, sample
+from textframes.sources.raw_clip import Header, open_clip
+from textframes.sources.shared import few, saved
 
 
 @dataclass
@@ -62,6 +67,7 @@ class Options:
     keep_frames: bool = True
     keep_crops: bool = True
     force_aspect: float = 0.0
+    fill_width: int = 224
     input_gamma: float = 2.0
     input_separation: str = ""
 
@@ -86,60 +92,125 @@ class Options:
         return max(32, int(w * h * 0.01))
 
 
+def check_chunks(found: set[int], n: int, chunks: int) -> None:
+    """Raises if a chunk of a clip of n samples has no result."""
+    want = len(segs.chunk_bounds(n, chunks))
+    if found != set(range(want)):
+        raise RuntimeError(f"chunks without a result: {len(found)} of {want} are there")
+
+
+def merged_timings(parts: list[dict]) -> dict[str, float]:
+    """Timings of parts that ran beside each other: sums of what is a number, but of `ocr` the longest."""
+    out: dict[str, float] = {}
+    for part in parts:
+        for k, v in part.items():
+            if isinstance(v, (int, float)):
+                out[k] = max(out.get(k, 0.0), float(v)) if k == "ocr" else out.get(k, 0.0) + float(v)
+    return out
+
+
+def rss_mb() -> float:
+    """The driver's Python memory at its largest, in MB."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
 class SegmentPlan:
-    """Lazy DataFrames of each stage; nothing runs until a caller asks for rows."""
+    """DataFrames of each stage; nothing runs until one is asked for.
+
+    Frames are read and their features computed once: features and the segments of ranges are
+    written to the shared folder, and all later stages read these.
+    """
 
     def __init__(self, frames: DataFrame, options: Options | None = None, size: tuple[int, int] | None = None) -> None:
         self.options = o = options or Options()
         cut = crop(frames, o.roi) if o.roi is not None else frames
         self.samples = sample(cut, o.frame_start, o.frame_end, o.sample_stride)
-        self.features = feats.frame_features(self.samples, o.gamma)
-        self.keys = ("clip_id",)
-        if o.chunks:
-            self.features = segs.with_chunks(self.features, o.chunks)
-            self.keys = ("clip_id", "chunk")
+        self.keys = ("clip_id", "chunk") if o.chunks else ("clip_id",)
+        self._size = size or (0, 0)
+
+    @functools.cached_property
+    def features(self) -> DataFrame:
+        written = saved(feats.frame_features(self.samples, self.options.gamma, crops=True), "features")
+        return segs.with_chunks(written, self.options.chunks) if self.options.chunks else written
+
+    @functools.cached_property
+    def thresholds(self) -> DataFrame:
         kinds = {"strided": feats.clip_thresholds_strided, "pooled": feats.pooled_thresholds}
-        self.thresholds = feats.clip_thresholds(self.features, self.keys) if o.threshold == "first" else kinds[o.threshold](self.features)
-        self.scores = segs.change_scores(self.features, self.thresholds, self.keys)
-        numbered = segs.segment_ids(self.scores, o.change, self.keys)
-        joined = numbered.join(self.features.select(*self.keys, "fi", "sharp"), [*self.keys, "fi"])
-        self.raw_segments = segs.segments(joined, True, self.keys)
-        self.segments = self.raw_segments
-        if o.merge:
-            w, h = size or (0, 0)
-            ids = segs.merged_ids(self.raw_segments, self.features, self.thresholds, o.merge_separation, o.merge_threshold, o.most_changed(w, h), self.keys)
-            self.segments = segs.merge(self.raw_segments, ids, self.keys)
+        kind = self.options.threshold
+        return saved(feats.clip_thresholds(self.features, self.keys) if kind == "first" else kinds[kind](self.features), "thresholds")
+
+    @functools.cached_property
+    def scores(self) -> DataFrame:
+        return segs.change_scores(self.features, self.thresholds, self.keys)
+
+    @functools.cached_property
+    def raw_segments(self) -> DataFrame:
+        ranges = segs.range_segments(self.features, self.thresholds, self.options.change, self.keys)
+        return saved(segs.joined_segments(saved(ranges, "ranges"), self.keys), "segments")
+
+    @functools.cached_property
+    def segments(self) -> DataFrame:
+        o = self.options
+        if not o.merge:
+            return self.raw_segments
+        ids = segs.merged_ids(self.raw_segments, self.features, self.thresholds, o.merge_separation, o.merge_threshold, o.most_changed(*self._size), self.keys)
+        return segs.merge(self.raw_segments, ids, self.keys)
+
+    @functools.cached_property
+    def _picked(self) -> DataFrame:
+        """Segments with their representative's crop: only these rows' crops move."""
+        segments = self.segments if not self.options.merge else saved(self.segments, "merged")
+        crops = self.features.select(
+            *self.keys, F.col("fi").alias("rep_frame"), F.col("crop_w").alias("w"), F.col("crop_h").alias("h"), "fmt", "color_range", F.coalesce("data", "luma").alias("data")
+        )
+        return crops.join(few(segments), [*self.keys, "rep_frame"])
 
     def representatives(self) -> DataFrame:
-        """clip_id, keys, seg, w, h, fmt, color_range, data of each segment's representative: crops are joined back, never carried."""
-        picked = self.segments.select(*self.keys, "seg", F.col("rep_frame").alias("fi"))
-        return picked.join(self.samples.select("clip_id", "fi", "w", "h", "fmt", "color_range", "data"), ["clip_id", "fi"])
+        """clip_id, keys, seg, w, h, fmt, color_range, data of each segment's representative."""
+        return self._picked.select(*self.keys, F.col("rep_frame").alias("fi"), "seg", "w", "h", "fmt", "color_range", "data")
 
     def texts(self, make: Callable[[], Recogniser] = StandIn) -> DataFrame:
-        """Segments with text and confidence, in order: one recognition for each segment that is left."""
+        """Segments with text and confidence: one recognition for each segment that is left, in the pass that has its crop.
+
+        A chunk's segments get numbers that are unique in the clip and in order.
+        """
         o = self.options
-        reps = self.representatives()
-        # a chunk's segments get numbers that are unique in the clip
-        wide = (lambda c: F.col("chunk").cast("bigint") * (1 << 32) + F.col(c)) if o.chunks else F.col
-        read = recognise(reps.withColumn("seg", wide("seg")), make, o.force_aspect, o.input_gamma, o.input_separation)
-        out = self.segments.withColumn("seg", wide("seg")).join(read, ["clip_id", "seg"], "left")
-        out = out.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
-        if o.keep_crops:
-            crops = reps.withColumn("seg", wide("seg")).select("clip_id", "seg", F.col("data").alias("rep_crop"))
-            out = out.join(crops, ["clip_id", "seg"], "left")
-        else:
-            out = out.withColumn("rep_crop", F.lit(None).cast("binary"))
+        rows = self._picked
+        if o.chunks:
+            rows = rows.withColumn("seg", F.col("chunk").cast("bigint") * (1 << 32) + F.col("seg"))
+        read = recognise(rows, make, o.force_aspect, o.input_gamma, o.input_separation, o.fill_width)
+        columns = [*self.keys, "seg", "start", "end", "n", "rep_frame", "frames", "text", "confidence", "w", "h", "fmt"]
+        out = read.select(*columns, (F.col("data") if o.keep_crops else F.lit(None).cast("binary")).alias("rep_crop"))
         return out if o.keep_frames else out.withColumn("frames", F.array().cast("array<bigint>"))
 
 
 class FieldExtractor:
-    """One clip's segments as Python objects; for many clips or large ones use SegmentPlan."""
+    """One clip's segments as Python objects; for many clips or large ones use SegmentPlan.
+
+    video: a DataFrame of frames, or the path of a raw clip. C: the change score from which a segment
+    ends. dual_pipeline: calibrate and segment the clip in dual_pipeline_chunks (0: four) parts alone.
+    dual_backends, decode_backend and ocr_backend are kept in the result's metadata: there is one kind
+    of executor. progress and cancelled are called again and again while Spark runs; an exception of
+    cancelled ends the run.
+    """
+
+    #: Seconds between calls.
+    POLL = 0.5
 
-    def __init__(self, frames: DataFrame, roi: tuple | None = None, *, recogniser: Callable[[], Recogniser] = StandIn, fps: float = 30.0,
-                 progress: Callable[[str, int], None] | None = None, cancelled: Callable[[], Any] | None = None, **options: Any) -> None:
-        self._frames, self._fps, self._make = frames, fps if fps > 0 else 30.0, recogniser
+    def __init__(self, video: DataFrame | str, roi: tuple | None = None, *, recogniser: Callable[[], Recogniser] = StandIn, fps: float | None = None,
+                 progress: Callable[[str, float], None] | None = None, cancelled: Callable[[], Any] | None = None, C: float | None = None,
+                 gray_output: bool = False, yuv_output: bool = False, dual_pipeline: bool = False, dual_pipeline_chunks: int = 0,
+                 dual_backends: list | None = None, decode_backend: str = "auto", ocr_backend: str = "auto", **options: Any) -> None:
+        self._video, self._fps, self._make = video, fps if fps and fps > 0 else 30.0, recogniser
         self._progress, self._cancelled = progress or (lambda *_: None), cancelled or (lambda: None)
+        self._formats = {"gray_output": gray_output, "yuv_output": yuv_output}
+        if C is not None:
+            options["change"] = C
+        if dual_pipeline:
+            options["chunks"] = max(0, int(dual_pipeline_chunks or 0)) or 4
         self.options = Options(roi=tuple(roi) if roi is not None else None, **options)
+        pairs = [tuple(map(str, x)) for x in dual_backends] if dual_backends else [(decode_backend, ocr_backend)]
+        self._backends = pairs[:2]
         self.timing: dict[str, Any] = {}
         self.segment_frames: list = []
         self.ocr_texts: list = []
@@ -155,32 +226,79 @@ class FieldExtractor:
     def n_segments(self) -> int:
         return len(self.segments)
 
-    def extract(self) -> ExtractionResult:
-        """Runs the plan and collects its segments. A range without frames is an error."""
-        import time
+    def _plan(self) -> tuple[SegmentPlan, str]:
+        frames, o, codec = self._video, self.options, "raw"
+        if isinstance(frames, str):
+            head = Header(frames)
+            self._fps, codec = head.fps, head.fmt
+            # the reader takes the region and the range
+            frames = open_clip(SparkSession.active(), frames, roi=o.roi, start=o.frame_start, end=o.frame_end, stride=o.sample_stride, clip_id="clip", **self._formats)
+        first = frames.select("w", "h").head(1)
+        return SegmentPlan(frames, o, (first[0]["w"], first[0]["h"]) if first else None), codec
+
+    def _watched(self, spark: SparkSession, work: Callable[[], Any]) -> Any:
+        """What work returns, run in a job group of its own beside calls of progress and cancelled."""
+        import uuid
 
+        from pyspark import InheritableThread
+
+        group, out = f"extract-{uuid.uuid4().hex}", {}
+
+        def run() -> None:
+            spark.sparkContext.setJobGroup(group, "extract", True)
+            try:
+                out["value"] = work()
+            except BaseException as e:  # noqa: BLE001  raised again by the caller
+                out["error"] = e
+
+        thread = InheritableThread(target=run)
+        thread.start()
+        status, done = spark.sparkContext.statusTracker(), 0.0
+        while thread.is_alive():
+            thread.join(self.POLL)
+            try:
+                self._cancelled()
+            except BaseException:
+                spark.sparkContext.cancelJobGroup(group)
+                thread.join()
+                raise
+            stages = [s for j in status.getJobIdsForGroup(group) if (job := status.getJobInfo(j)) for i in job.stageIds if (s := status.getStageInfo(i))]
+            done = max(done, 100.0 * sum(s.numCompletedTasks for s in stages) / max(1, sum(s.numTasks for s in stages)))
+            self._progress(f"{len(stages)} stages", min(done, 99.0))
+        if "error" in out:
+            raise out["error"]
+        return out["value"]
+
+    def extract(self) -> ExtractionResult:
+        """Runs the plan and collects its segments. A range without frames, or a chunk without segments, is an error."""
         began = time.perf_counter()
         self._cancelled()
-        first = self._frames.select("w", "h").head(1)
-        plan = SegmentPlan(self._frames, self.options, (first[0]["w"], first[0]["h"]) if first else None)
-        rows = sorted((r.asDict() for r in plan.texts(self._make).collect()), key=lambda r: r["start"])
+        spark = SparkSession.active() if isinstance(self._video, str) else self._video.sparkSession
+
+        def work() -> tuple[list[dict], str]:
+            plan, codec = self._plan()
+            return [r.asDict() for r in plan.texts(self._make).collect()], codec
+
+        rows, codec = self._watched(spark, work)
         if not rows:
             raise ValueError("no frame in the range")
-        self._progress(f"{len(rows)} segments", 100)
+        if self.options.chunks:
+            check_chunks({r["chunk"] for r in rows}, sum(r["n"] for r in rows), self.options.chunks)
+        rows.sort(key=lambda r: r["start"])
         keep = self.options.keep_frames
-        kinds = {r["fi"]: r for r in plan.representatives().select("fi", "w", "h", "fmt").collect()} if self.options.keep_crops else {}
         for r in rows:
             crop_ = None
             if r["rep_crop"] is not None:
-                kind = kinds[r["rep_frame"]]
-                crop_ = shaped([bytes(r["rep_crop"])], kind["w"], kind["h"], kind["fmt"])[0]
+                crop_ = shaped([bytes(r["rep_crop"])], r["w"], r["h"], r["fmt"])[0]
             self.segments.append(ExtractedSegment(r["start"], r["end"], tuple(r["frames"]) if keep else (), r["rep_frame"], r["text"], r["confidence"], crop_))
         self.segment_frames = [list(s.frames) for s in self.segments]
         self.ocr_texts = [s.text for s in self.segments]
         self.ocr_confidences = [s.confidence for s in self.segments]
         self.frames = [f for s in self.segments for f in s.frames]
-        self.timing["total"] = time.perf_counter() - began
-        meta = {"n_segments": len(self.segments), "ocr_backend": getattr(self._make, "__name__", "custom"), "backend": "spark", "codec": "raw"}
+        self.timing |= {"total": time.perf_counter() - began, "rss_mb": rss_mb()}
+        self._progress(f"{len(rows)} segments", 100.0)
+        backend = "spark" if not self.options.chunks else "dual:spark"
+        meta = {"n_segments": len(self.segments), "ocr_backend": getattr(self._make, "__name__", "custom"), "backend": backend, "codec": codec, "asked": self._backends}
         return ExtractionResult(list(self.segments), list(self.frames), self._fps, dict(self.timing), meta)
 
     def prepare_review_rgb(self) -> None:

@@ -39,18 +39,31 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.frame_features(clips.sample(clip(spark, sf_dir)))
 
 
-def _planes(df: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """fi, y, x, v: a numpy function of each 8 x 8 frame, a row for each value it gives, in units of 1e-4."""
+def _values(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], names: str = "v") -> DataFrame:
+    """fi, y, x and a column for each name: a numpy function of 8 x 8 frames (n, 8, 8), all frames of a batch at once.
+
+    It gives whole numbers (n, h, w), or (n, h, w, names).
+    """
+    columns = names.split()
 
     def run(batches):
         for batch in batches:
-            for fi, data in zip(batch.column("fi").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                out = make(np.frombuffer(data, np.uint8).reshape(8, 8)).astype(np.float64)
-                y, x = np.divmod(np.arange(out.size), out.shape[1])
-                v = np.floor(out.ravel() * 1000 + 0.5).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(out.size, fi)), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(v)], ["fi", "y", "x", "v"])
+            if not batch.num_rows:
+                continue
+            out = make(np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(-1, 8, 8)).astype(np.int64)
+            out = out.reshape(*out.shape[:3], len(columns))
+            n, h, w, _ = out.shape
+            y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
+            fi = np.repeat(batch.column("fi").to_numpy(zero_copy_only=False), h * w)
+            values = [pa.array(out[..., k].ravel()) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(fi), pa.array(np.tile(y, n)), pa.array(np.tile(x, n)), *values], ["fi", "y", "x", *columns])
+
+    return df.select("fi", "data").mapInArrow(run, "fi bigint, y int, x int, " + ", ".join(f"{c} bigint" for c in columns))
 
-    return df.select("fi", "data").mapInArrow(run, "fi bigint, y int, x int, v bigint")
+
+def _planes(df: DataFrame, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """fi, y, x, v: as _values, in thousandths, rounded half up."""
+    return _values(df, lambda g: np.floor(make(g).astype(np.float64) * 1000 + 0.5))
 
 
 def luma_range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +89,7 @@ def roi_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips.sample(clip(spark, sf_dir), 10, 1000, 7).select("fi", "k")
+    return clips.sample(clip(spark, sf_dir), 10, None, 7).select("fi", "k")
 
 
 def stride_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +154,11 @@ def segments_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(plan(spark, sf_dir, merge=False, chunks=4).segments, "chunk")
 
 
+def segments_chunked_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are calibrated, segmented and merged alone, at a threshold that merges."""
+    return _rows(plan(spark, sf_dir, merge_threshold=LOOSE, chunks=4).segments, "chunk")
+
+
 def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = plan(spark, sf_dir, merge=False).segments
     return s.select("seg", F.array_join(F.transform("frames", lambda f: f.cast("string")), ",").alias("frames"))
@@ -167,10 +185,9 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("luma", "next", "threshold")), strict=True)
-            shape = lambda x: np.frombuffer(x, np.uint8).reshape(8, 8)
-            yes = [int(arrays.similar(shape(a), shape(b), "binary", t, 36.0, 32)) for a, b, t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("seg"), pa.array(yes, pa.int32())], ["seg", "similar"])
+            planes = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 8, 8) for c in ("luma", "next")]
+            yes = arrays.similar_planes(*planes, "binary", batch.column("threshold").to_numpy(zero_copy_only=False), 36.0, 32)
+            yield pa.RecordBatch.from_arrays([batch.column("seg"), pa.array(yes.astype(np.int32))], ["seg", "similar"])
 
     return pairs.mapInArrow(run, "seg bigint, similar int")
 
@@ -182,9 +199,9 @@ def mean_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            shape = lambda x: np.frombuffer(x, np.uint8).reshape(8, 8)
-            v = [int(np.floor(arrays.mean_abs_diff(shape(a), shape(b)) * 1000 + 0.5)) for a, b in zip(batch.column("luma").to_pylist(), batch.column("next").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(v, pa.int64())], ["k", "diff"])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 64).astype(np.float64) for c in ("luma", "next"))
+            v = np.floor(np.abs(a - b).mean(axis=1) * 1000 + 0.5).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(v)], ["k", "diff"])
 
     return pairs.mapInArrow(run, "k bigint, diff bigint")
 
@@ -194,39 +211,79 @@ def text_sep_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_sep_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In whole levels, as percentiles differ in the last bits."""
-    return _planes(clip(spark, sf_dir), lambda g: np.floor(arrays.separate(g, "contrast") / 255 * 100 + 0.001))
+    """In whole levels, cut from the exact fraction."""
+
+    def make(g: np.ndarray) -> np.ndarray:
+        value, unit = arrays.contrast(g)
+        return np.minimum(255, value // unit)
+
+    return _values(clip(spark, sf_dir), make)
 
 
 def box_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planes(clip(spark, sf_dir), lambda g: np.floor(arrays.box_blur(g, 3) * 9 + 0.5))
 
 
+def box_blur_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a square of 5."""
+    return _values(clip(spark, sf_dir), lambda g: np.floor(arrays.box_blur(g, 5).astype(np.float64) * 25 + 0.5))
+
+
 def resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 to 16 x 16: weights are sixteenths, so values are exact."""
-    return _planes(clip(spark, sf_dir), lambda g: arrays.resize(g, 16, 16))
+    return _planes(clip(spark, sf_dir), lambda g: arrays.resize_planes(g, 16, 16))
 
 
 def normalize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of each frame as a row of a 48-high input: normalised, filled with 0 to width 12 on the right."""
+    """Each frame as a 48-high input (each row six times) of three channels: normalised, filled with 0 to width 12 on the right.
+
+    A row of the result for each row of the frame.
+    """
 
     def make(g: np.ndarray) -> np.ndarray:
-        image = np.repeat(np.repeat(g[:1].astype(np.float32), 48, axis=0)[..., None], 3, axis=-1)
-        return np.floor(arrays.normalise(image, 12 / 48)[0, :1] * 255 + 0.5)
+        images = np.stack([g, 255 - g, g // 2], axis=-1).astype(np.float32).repeat(6, axis=1)
+        return np.stack([np.floor(arrays.normalise(x, 12 / 48)[:, ::6].astype(np.float64) * 255 + 0.5).transpose(1, 2, 0) for x in images])
 
-    return _planes(clip(spark, sf_dir), make)
+    return _values(clip(spark, sf_dir), make, "r g b")
 
 
 def nv12_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames read as packed 4:2:0 of 8 x 5, the red channel; exact halves are left to the numpy tests."""
-    return _planes(clip(spark, sf_dir), lambda g: arrays.nv12_to_rgb(g)[..., 0])
+    """Frames read as packed 4:2:0 of 8 x 5."""
+    return _values(clip(spark, sf_dir), arrays.packed_to_rgb, "r g b")
+
+
+def luma_of_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane that segmentation looks at, of gray and rgb frames, with and without a curve, and of packed 4:2:0 of limited range."""
+
+    def make(g: np.ndarray) -> np.ndarray:
+        rgb = np.stack([g, 255 - g, g // 2], axis=-1)
+        nv12 = np.zeros_like(g)
+        nv12[:, :5] = arrays.luma(g, "nv12", 0)
+        return np.stack([arrays.luma(g[..., None], "gray"), arrays.luma(rgb, "rgb"), arrays.luma(g[..., None], "gray", gamma=2.0), nv12], axis=-1)
+
+    return _values(clip(spark, sf_dir), make, "gray rgb curved nv12")
+
+
+def _prepared(spark: SparkSession, sf_dir: str, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Crops of representatives as recogniser's inputs of 48 x 16 without a curve (weights are 48ths); their segment as fi."""
+    crops = plan(spark, sf_dir, merge=False).representatives().select(F.col("seg").alias("fi"), "data")
+    return _values(crops, lambda g: np.stack([make(arrays.prepare(x[..., None], 16 / 48, 0.0)) for x in g])).withColumnRenamed("fi", "seg")
+
+
+def ocr_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs in units of 1/48."""
+    return _prepared(spark, sf_dir, lambda image: np.floor(image[..., 0].astype(np.float64) * 48 + 0.5))
+
+
+def ocr_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs, in whole units of 1/48, with text apart from its background."""
+    return _prepared(spark, sf_dir, lambda image: arrays.separate_input(np.floor(image * 48 + np.float32(0.5)), "binary")[..., 1])
 
 
 def ocr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of the recogniser's input for crops of many shapes, and with a fixed aspect."""
+    """Width of the recogniser's input for crops of many shapes, and that of a batch which is padded to it."""
     shape = vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 97 + 1).cast("int").alias("w"), (F.col("vec_id") % 31 + 1).cast("int").alias("h"))
-    width = F.greatest(F.lit(1), F.floor(F.col("w") * arrays.INPUT_HEIGHT / F.col("h"))).cast("int")
-    return shape.select("vec_id", width.alias("width"), columns.batch_width(F.col("w") / F.col("h")).alias("padded"))
+    return shape.select("vec_id", columns.input_width(F.col("w"), F.col("h")).alias("width"), columns.batch_width(F.col("w") / F.col("h")).alias("padded"))
 
 
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,8 +336,8 @@ def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         luma_range_expand, rgb_to_gray, seg_gamma, luma_plane, roi_crop, sample_stride, stride_clamp, sharpness, histogram, otsu_frame, otsu_frame_sql, otsu_pooled,
-        clip_threshold, clip_threshold_strided, binarize, change_score, segments_serial, segments_pooled, segments_chunked, segment_frames, rep_frame, merge_anchored,
-        merge_default, similar_pairs, mean_abs_diff, text_sep_binary, text_sep_contrast, box_blur, resize_bilinear, normalize_pad, nv12_to_rgb, ocr_input, ctc_decode,
+        clip_threshold, clip_threshold_strided, binarize, change_score, segments_serial, segments_pooled, segments_chunked, segments_chunked_merged, segment_frames, rep_frame, merge_anchored,
+        merge_default, similar_pairs, mean_abs_diff, text_sep_binary, text_sep_contrast, box_blur, box_blur_wide, luma_of_formats, ocr_prepare, ocr_separate, resize_bilinear, normalize_pad, nv12_to_rgb, ocr_input, ctc_decode,
         format_duration, frame_bytes, fps_fallback, chunk_bounds, hybrid_ranges, merge_cap, rep_crops, extract_texts,
     ]
     return {"segments": segments_default} | {f.__name__: f for f in own}

@@ -1,21 +1,25 @@
 """A Python data source for raw clips: a header line and frames of gray, rgb or packed 4:2:0 bytes.
 
 Header (ASCII, one line): `RAWCLIP w h fmt color_range fps_numerator fps_denominator`. Frames follow
-without gaps. Options: path (one file that every executor can read), clip_id, start, end, stride,
-roi (`x1,y1,x2,y2`, closed; gray and rgb), rows (frames of a partition). Ranges, stride and region
-are taken in the reader, so that other bytes are not read into rows.
+without gaps. Options: path (a file, or a folder of clips, that every executor can read), clip_id
+(default: the file), start, end, stride, roi (`x1,y1,x2,y2`, closed), fmt (`gray` or `nv12`), rows
+(frames of a partition), filters (`true`: take bounds on fi from filters, which needs
+spark.sql.python.filterPushdown.enabled). Range, stride, region and format are taken in the reader, so
+that other bytes are not read into rows.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from textframes.functions.arrays import gray
+from textframes.functions.arrays import expand_range, gray
 from textframes.sources.clips import FRAMES
 
 MAGIC = "RAWCLIP"
@@ -52,46 +56,120 @@ class RawClips(DataSource):
         return FRAMES
 
     def reader(self, schema) -> RawClipReader:  # noqa: ANN001
-        return RawClipReader(self.options)
+        return (FilteringReader if self.options.get("filters") == "true" else RawClipReader)(self.options)
 
 
 class RawClipReader(DataSourceReader):
+    #: Frames of a batch.
+    BATCH = 16
+
     def __init__(self, options: dict) -> None:
-        self.path, self.clip = options["path"], options.get("clip_id", options["path"])
+        self.path, self.clip = options["path"], options.get("clip_id")
         self.start, self.end = int(options.get("start", 0)), int(options.get("end", 0))
         self.stride, self.rows = max(1, int(options.get("stride", 1))), int(options.get("rows", 512))
         self.roi = tuple(map(int, options["roi"].split(","))) if options.get("roi") else None
         self.fmt = options.get("fmt", "")
+        self.least, self.most = 0, 1 << 62
 
     def partitions(self) -> list[InputPartition]:
-        n = Header(self.path).frames
-        end = min(n, self.end) if self.end else n
-        step = self.rows * self.stride
-        return [InputPartition((at, min(at + step, end))) for at in range(self.start, end, step)] or [InputPartition((0, 0))]
+        files = sorted(str(p) for p in Path(self.path).iterdir() if p.is_file()) if os.path.isdir(self.path) else [self.path]
+        out = []
+        for file in files:
+            n = Header(file).frames
+            end = min(n, self.end or n, self.most)
+            start = self.start + max(0, -(-(self.least - self.start) // self.stride)) * self.stride
+            step = self.rows * self.stride
+            out += [InputPartition((file, at, min(at + step, end))) for at in range(start, end, step)]
+        return out or [InputPartition((files[0] if files else "", 0, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        head = Header(self.path)
-        begin, end = partition.value
-        ids, data = [], []
-        fmt, (w, h) = head.fmt, (head.w, head.h)
-        with open(self.path, "rb") as f:
-            for fi in range(begin, end, self.stride):
-                f.seek(head.offset + fi * head.size)
-                raw = f.read(head.size)
-                if head.fmt != "nv12" and (self.roi or self.fmt == "gray"):
-                    frame = np.frombuffer(raw, np.uint8).reshape(head.h, head.w, -1)
-                    if self.roi:
-                        x1, y1, x2, y2 = self.roi
-                        frame = frame[y1 : y2 + 1, x1 : x2 + 1]
-                    if self.fmt == "gray":
-                        frame, fmt = gray(frame), "gray"
-                    h, w = frame.shape[:2]
-                    raw = np.ascontiguousarray(frame).tobytes()
-                ids.append(fi)
-                data.append(raw)
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([self.clip] * n, pa.string()), pa.array(ids, pa.int64()), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()),
-             pa.array([fmt] * n, pa.string()), pa.array([head.color_range] * n, pa.int8()), pa.array(data, pa.binary())],
-            ["clip_id", "fi", "w", "h", "fmt", "color_range", "data"],
-        )
+        file, begin, end = partition.value
+        if end <= begin:
+            return
+        head = Header(file)
+        clip = self.clip or (os.path.basename(file) if os.path.isdir(self.path) else self.path)
+        with open(file, "rb") as f:
+            for at in range(begin, end, self.BATCH * self.stride):
+                ids = [*range(at, min(at + self.BATCH * self.stride, end), self.stride)]
+                raw = []
+                for fi in ids:
+                    f.seek(head.offset + fi * head.size)
+                    raw.append(f.read(head.size))
+                fmt, frames = self.taken(head, np.frombuffer(b"".join(raw), np.uint8))
+                h, w = (head.h, frames.shape[2]) if fmt == "nv12" and not self.roi else (self.roi[3] - self.roi[1] + 1, frames.shape[2]) if self.roi else frames.shape[1:3]
+                n, data = len(ids), [np.ascontiguousarray(x).tobytes() for x in frames]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([clip] * n, pa.string()), pa.array(ids, pa.int64()), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()),
+                     pa.array([fmt] * n, pa.string()), pa.array([head.color_range] * n, pa.int8()), pa.array(data, pa.binary())],
+                    ["clip_id", "fi", "w", "h", "fmt", "color_range", "data"],
+                )
+
+    def taken(self, head: Header, flat: np.ndarray) -> tuple[str, np.ndarray]:
+        """Frames in the format asked for, cut to the region. `nv12` of a clip that isn't falls back to gray."""
+        if head.fmt == "nv12":
+            frames = flat.reshape(-1, head.h + (head.h + 1) // 2, head.w)
+            if self.fmt == "gray":
+                plane = expand_range(frames[:, : head.h], head.color_range)[..., None]
+                return "gray", self.cut(plane)
+            return "nv12", cut_packed(frames, head.h, self.roi) if self.roi else frames
+        frames = self.cut(flat.reshape(-1, head.h, head.w, 3 if head.fmt == "rgb" else 1))
+        if self.fmt in ("gray", "nv12") and head.fmt == "rgb":
+            return "gray", gray(frames)[..., None]
+        return head.fmt, frames
+
+    def cut(self, frames: np.ndarray) -> np.ndarray:
+        if not self.roi:
+            return frames
+        x1, y1, x2, y2 = self.roi
+        return frames[:, y1 : y2 + 1, x1 : x2 + 1]
+
+
+class FilteringReader(RawClipReader):
+    """Also takes bounds on fi from filters; Spark refuses such a reader unless spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds on fi narrow the range; Spark still applies all filters."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("fi",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, EqualTo | GreaterThanOrEqual):
+                    self.least = max(self.least, f.value)
+                if isinstance(f, GreaterThan):
+                    self.least = max(self.least, f.value + 1)
+                if isinstance(f, EqualTo | LessThanOrEqual):
+                    self.most = min(self.most, f.value + 1)
+                if isinstance(f, LessThan):
+                    self.most = min(self.most, f.value)
+            yield f
+
+
+def cut_packed(frames: np.ndarray, h: int, roi: tuple[int, ...]) -> np.ndarray:
+    """The closed box of packed 4:2:0 frames (n, rows, w), packed again.
+
+    Luma is exact; a 2 x 2 block of the box has the chroma of its first pixel.
+    """
+    x1, y1, x2, y2 = roi
+    y2 = min(y2, h - 1)
+    luma = frames[:, y1 : y2 + 1, x1 : x2 + 1]
+    n, rows, w = luma.shape
+    out = np.full((n, rows + (rows + 1) // 2, w), 128, np.uint8)
+    out[:, :rows] = luma
+    last = frames.shape[2] // 2 - 1  # an odd last column has no chroma
+    for i in range((rows + 1) // 2):
+        for j in range(w // 2):
+            y, x = h + (y1 + 2 * i) // 2, (x1 + 2 * j) // 2
+            if x <= last:
+                out[:, rows + i, 2 * j : 2 * j + 2] = frames[:, y, 2 * x : 2 * x + 2]
+    return out
+
+
+def open_clip(spark: SparkSession, path: str, *, gray_output: bool = False, yuv_output: bool = False, roi: tuple | None = None,
+              start: int = 0, end: int | None = None, stride: int = 1, clip_id: str | None = None) -> DataFrame:
+    """Frames of a raw clip, or of all clips in a folder. Formats: packed 4:2:0 before gray before what is stored."""
+    spark.dataSource.register(RawClips)
+    reader = spark.read.format(RawClips.name()).option("path", path).option("start", start).option("end", end or 0).option("stride", stride)
+    reader = reader.option("filters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if yuv_output or gray_output:
+        reader = reader.option("fmt", "nv12" if yuv_output else "gray")
+    if roi is not None:
+        reader = reader.option("roi", ",".join(map(str, roi)))
+    return (reader.option("clip_id", clip_id) if clip_id else reader).load()
