@@ -22,13 +22,16 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(*x, "clash") for x in rows + odd], "vec_id bigint, embedding array<float>, score string")
     valid = [(i, np.floor(np.float32(v).astype(float) * 256).astype(int)) for i, v in [*rows, (50, vectors[50]), (1150, [0.5] * 4 + [0.0] * 12)]]
     want = []
-    for q, v in {i: v for i, v in valid if i % 50 == 0}.items():
-        scores = sorted((-int(v @ w), i) for i, w in valid if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    for at, (q, v) in enumerate(valid):  # rows that repeat a vec_id ask, and are found, each by itself
+        if q % 50 == 0:
+            scores = sorted((-int(v @ w), i) for k, (i, w) in enumerate(valid) if k != at)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
     found = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_bitslice.top_k(df).collect()]
     assert sorted(found) == sorted(want)
     assert topk_bitslice.top_k(df.limit(0)).collect() == []
-    assert topk_bitslice.top_k(df.where("vec_id = 50")).collect() == []
+    own = sum(int(x) ** 2 for x in np.floor(np.float32(vectors[50]).astype(float) * 256))
+    assert [tuple(r) for r in topk_bitslice.top_k(df.where("vec_id = 50")).collect()] == [(50, 1, 50, own)] * 2
+    assert topk_bitslice.top_k(df.where("vec_id = 1150")).collect() == []
 
 
 def test_top_k_of_large_components(spark, monkeypatch):
@@ -164,6 +167,32 @@ def test_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_broken_markup_is_no_text():
+    for html, want in {
+        '<p class="a>Hello there</p>': "Hello there", "<p>hi there you</p": "hi there you", "<p>hello</a": "hello", '<div data-x="<b>x</b>">good</div>': "good",
+        '<p class="a>Hello</p><p title="x">more</p>': "Hello more", "<p>one</p><p id='two": "one", "a < b": "a < b",
+    }.items():
+        assert " ".join(b.text for b in html_extract.leaf_blocks(html)) == want
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20_000, '<p class="' * 20_000, '<p class="x>y' * 20_000, "<b>x" * 20_000 + "</i>" * 20_000, "<a href=x><div>x" * 10_000 + "</a>" * 10_000, "".join(f'<div class="c{k}q">x' for k in range(10_000))])
+def test_hostile_pages_in_linear_time(page):
+    import time
+
+    model, began = html_extract.trained(), time.process_time()
+    html_extract.main_text(model, page)
+    assert time.process_time() - began < 6
+
+
+def test_features_are_those_of_all_elements_above():
+    block = html_extract.leaf_blocks('<div class="main"><div class="main post"><p>words</p></div></div>')[0]
+    names = [f"above {t}" for t in ("div", "p")] + ["named main", "named post", "joined mainpost", "bias", "depth 3", "own p", "near0 p", "near1 div", "near1 main", "near1 post", "near2 div", "near2 main", "words 1", "links 0", "end "]
+    slots = {html_extract._slot(n) for n in names}
+    assert {*html_extract.features(block)} == slots
+    model = html_extract.ChainField(np.random.default_rng(1).normal(size=html_extract.SLOTS))
+    assert np.isclose(model.scores([html_extract.features(block)])[0], model.weight[sorted(slots)].sum())
+
+
 def test_mix_is_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, source string")
     plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()

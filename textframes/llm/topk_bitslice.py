@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import saved
+from textframes.llm.shared import saved, small
 
 #: Rows of an index block, and queries that are taken through a block together.
 BLOCK, QUERIES = 16_384, 128
@@ -103,12 +103,9 @@ class SliceIndex:
             out.pop()
         return out
 
-    def top(self, weights: np.ndarray, k: int, without: np.ndarray) -> np.ndarray:
-        """Rows that may be among the k best (those `without` apart): all that are, and few others."""
-        digits = self.sum_slices(weights)
-        packed = np.zeros(len(self.all) * 64, np.uint8)
-        packed[without] = 1
-        allowed = self.all & ~np.packbits(packed, bitorder="little").view(np.uint64)
+    def top(self, weights: np.ndarray, k: int) -> np.ndarray:
+        """Rows that may be among the k best: all that are, and few others."""
+        digits, allowed = self.sum_slices(weights), self.all
         sure, open_, kth = np.zeros_like(allowed), allowed, 0
         for b in range(len(digits) - 1, -1, -1):
             both = sure | (open_ & digits[b])
@@ -134,18 +131,18 @@ class SliceIndex:
         return np.flatnonzero(np.unpackbits(chosen.view(np.uint8), bitorder="little")[: self.n])
 
 
-def search(index: SliceIndex, ids: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def search(index: SliceIndex, ids: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and exact scores of the k best rows, best first, ties to the smaller id."""
     dims = min(len(query), index.values.shape[1])
     weights = np.zeros(index.values.shape[1], np.int64)
     weights[:dims] = query[:dims]
-    rows = index.top(weights, k, np.flatnonzero(ids == query_id))
+    rows = index.top(weights, k)
     score = index.values[rows] @ weights
     best = np.lexsort((ids[rows], -score))[:k]
     return ids[rows][best], score[best]
 
 
-def search_large(x: np.ndarray, scale: int, ids: np.ndarray, query: np.ndarray, query_scale: int, query_id: int, k: int) -> tuple[np.ndarray, list[int]]:
+def search_large(x: np.ndarray, scale: int, ids: np.ndarray, query: np.ndarray, query_scale: int, k: int) -> tuple[np.ndarray, list[int]]:
     """As search, for components of any size: float64 leaves few rows, which Python integers score."""
     dims = min(len(query), x.shape[1])
     x, query = x[:, :dims], query[:dims]
@@ -153,7 +150,7 @@ def search_large(x: np.ndarray, scale: int, ids: np.ndarray, query: np.ndarray,
         values, weights = floor(x, scale), floor(query, query_scale)
         about, off = values @ weights, np.abs(values) @ np.abs(weights) * (dims + 2) * 2.0**-51
         least, most = about - off, about + off
-    rows = np.flatnonzero(ids != query_id)
+    rows = np.arange(len(ids))
     if len(rows) > k:
         least = np.where(np.isfinite(least), least, -np.inf)[rows]
         rows = rows[~(most[rows] < np.partition(least, len(rows) - k)[len(rows) - k])]
@@ -165,15 +162,17 @@ def search_large(x: np.ndarray, scale: int, ids: np.ndarray, query: np.ndarray,
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for each query.
 
-    Queries are the rows whose vec_id is divisible by `every`, searched against all rows but their
-    own (all rows with their vec_id). Score: inner product of floor(scale x), as integers; ties to
-    the smaller vec_id. Vectors that are null or hold a null or non-finite component take no part,
-    nor do rows without a vec_id; a shorter vector is filled with 0. Of several rows with a query's
-    vec_id the smallest vector asks. Other columns are not read. Components may have any finite
-    size; only a score among the k best that a bigint can't hold is an error.
+    Queries are the rows whose vec_id is divisible by `every`, each searched against all other rows
+    (rows that repeat its vec_id among them). Score: inner product of floor(scale x), as integers;
+    ties to the smaller vec_id. Vectors that are null or hold a null or non-finite component take no
+    part, nor do rows without a vec_id; a shorter vector is filled with 0. Other columns are not read.
+    Components may have any finite size; only a score among the k best that a bigint can't hold is an
+    error.
 
     Index blocks and blocks of queries, each of bounded size, are written to the shared folder and
-    paired; each pair gives k rows for a query at most.
+    paired; each pair gives k + 1 rows for a query at most. A query finds itself, too: of its best
+    rows, one with its own vec_id and its product with itself is left out at the end. Queries are
+    broadcast where they are measured to be small; else Spark pairs partitions.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,43 +185,51 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256) ->
     schema = "ids binary, data binary, large boolean"
     index = saved(rows.mapInArrow(build, schema), "slice-index")
     asked = rows.where(F.col("vec_id") % every == 0)
-    plain = asked.where("not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    queries = plain.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(gather, schema)
-    queries = saved(queries.select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.col("large").alias("query_large")), "slice-queries")
+    queries = asked.mapInArrow(gather, schema).withColumn("query_block", F.monotonically_increasing_id())
+    queries = saved(queries.select(F.col("ids").alias("query_ids"), F.col("data").alias("query_data"), F.col("large").alias("query_large"), "query_block"), "slice-queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
             for at in range(batch.num_rows):
-                ids, data, large, query_ids, query_data, query_large = (batch.column(c)[at].as_py() for c in range(6))
+                ids, data, large, query_ids, query_data, query_large, query_block = (batch.column(c)[at].as_py() for c in range(7))
                 ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
                 asks = np.frombuffer(query_data, np.float64 if query_large else np.int32).reshape(len(query_ids), -1)
                 if large or query_large:
                     x = np.frombuffer(data, np.float64 if large else np.int32).astype(np.float64).reshape(len(ids), -1)
                     scales = scale if large else 1, scale if query_large else 1
-                    found = [search_large(x, scales[0], ids, q, scales[1], i, k) for q, i in zip(asks.astype(np.float64), query_ids.tolist(), strict=True)]
+                    found = [search_large(x, scales[0], ids, q, scales[1], k + 1) for q in asks.astype(np.float64)]
                 else:
                     if last is None or not np.array_equal(last, ids):
                         last, block = ids, SliceIndex(np.frombuffer(data, np.int32).astype(np.int64).reshape(len(ids), -1))
-                    found = [search(block, ids, q, i, k) for q, i in zip(asks.astype(np.int64), query_ids.tolist(), strict=True)]
+                    found = [search(block, ids, q, k + 1) for q in asks.astype(np.int64)]
                 sizes = [len(x) for x, _ in found]
+                square = [sum(x * x for x in own) for own in (whole(asks, scale) if query_large else asks).tolist()]
                 score = [s for _, part in found for s in (part if isinstance(part, list) else part.tolist())]
+                own = np.repeat(np.array([*square, None], object)[:-1], sizes).tolist()
                 over = [(s >= 1 << 63) - (s < -1 << 63) for s in score]  # such scores need no order among themselves
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate([x for x, _ in found])),
                         pa.array([0 if o else s for s, o in zip(score, over, strict=True)], pa.int64()), pa.array(over, pa.int32()),
+                        pa.array(np.full(len(score), query_block)), pa.array(np.repeat(np.arange(len(sizes)), sizes)),
+                        pa.array([s == x for s, x in zip(score, own, strict=True)], pa.bool_()),
                     ],
-                    ["query_id", "vec_id", "score", "over"],
+                    ["query_id", "vec_id", "score", "over", "query_block", "query_at", "square"],
                 )
 
     # the query set against all rows, in blocks
-    pairs = index.crossJoin(queries)
-    scored = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, over int")
-    order = Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = index.crossJoin(small(queries))
+    scored = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, over int, query_block bigint, query_at bigint, square boolean")
+    query = ["query_block", "query_at"]
+    own = F.col("square") & (F.col("vec_id") == F.col("query_id"))
+    order = Window.partitionBy(*query).orderBy(F.desc("over"), F.desc("score"), "vec_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    # the query itself: the first row that it can be
+    best = best.withColumn("self", F.min(F.when(own, F.col("rank"))).over(Window.partitionBy(*query)))
+    best = best.where("self is null or rank <> self").withColumn("rank", F.col("rank") - F.when(F.col("rank") > F.col("self"), 1).otherwise(0)).where(F.col("rank") <= k)
     score = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score of the k best is too large for a bigint")).cast("bigint"))
-    return best.select("query_id", "rank", "vec_id", score.alias("score"))
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], most: int, scale: int) -> Iterator[pa.RecordBatch]:
