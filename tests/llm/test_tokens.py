@@ -47,6 +47,19 @@ def test_counts_and_digests_against_the_library(docs, library):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in coded} == want
 
 
+def test_long_words(library):
+    """A text that is one pre-token, of any content, costs time in proportion to its length."""
+    import string
+    import time
+
+    r = random.Random(6)
+    coder, counter = bpe_codec.Codec(queries.vocab_path()), token_counts.UnitCounter(queries.vocab_path())
+    for text in ("a" * 200_000, "".join(r.choices(string.ascii_letters, k=200_000)), "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(60_000)), "-=" * 50_000):
+        want, began = library.encode(text, add_special_tokens=False).ids, time.process_time()
+        assert coder.encode(text) == want and counter.counts([text]).tolist() == [len(want)]
+        assert time.process_time() - began < 8
+
+
 def test_encode_keeps_columns_and_round_trips(docs):
     coder = bpe_codec.Codec(queries.vocab_path())
     rows = bpe_codec.encode(docs, queries.vocab_path()).collect()
@@ -68,6 +81,8 @@ def test_prefix_coder_equals_rank_merger():
     words = [bytes(r.choice(b"abcdetion \xc3\xa9") for _ in range(r.randint(1, 70))) for _ in range(2000)] + [b"", b"a" * 900]
     flat, counts = merger.encode(words)
     ends = counts.cumsum()
+    long = [bytes(r.choice(b"abcdetion \xc3\xa9") for _ in range(r.randint(1, 300))) for _ in range(200)] + [b"a" * 301, b"ab" * 150]
+    assert all(merger.encode_long(w).tolist() == merger.encode([w])[0].tolist() for w in long)
     assert coder.encode_many(words) == [flat[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
