@@ -11,15 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import WORD, BitFilter, WordHashes, blocks, mix, saved
+from textframes.llm.shared import BitFilter, blocks, dropped, mix, saved, slices, small
 from textframes.llm.suffix_automaton import SuffixAutomaton
+from textframes.llm.words import WordCutter
 
 #: Words of a k-gram; a window is represented by one of its k-grams.
 GRAM = 8
 #: k-grams that are known as common; only the order of preference depends on them.
 COMMON = 100_000
-#: Texts with repeats that are broadcast at most, once counted; more are joined by a shuffle.
-BROADCAST_TEXTS = 200_000
 #: Words in an automaton.
 SHARD_WORDS = 100_000
 _U = np.uint64
@@ -30,19 +29,19 @@ class Passages:
 
     def __init__(self, window: int, common: np.ndarray) -> None:
         self.window, self.gram, self.common = window, min(GRAM, window), common
-        self.hashes = WordHashes()
+        self.cutter = WordCutter(fold=False)
+        self.factor = np.random.default_rng(37).integers(1, 1 << 64, self.gram, dtype=_U) | _U(1)
 
-    def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        cut = [WORD.findall(t) for t in texts]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        return cut, np.fromiter((h for ws in cut for h in map(self.hashes.__getitem__, ws)), _U, int(n.sum())), n
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in a row, and the number of words of each text."""
+        return self.cutter.hashes(texts)
 
     def grams(self, flat: np.ndarray) -> np.ndarray:
         """Hash of the k-gram at each word (those that cross texts are never looked at)."""
         out = np.zeros(max(0, len(flat) - self.gram + 1), _U)
         for k in range(self.gram):
-            out = mix(out + flat[k : k + len(out)])
-        return out
+            out += flat[k : k + len(out)] * self.factor[k]
+        return mix(out)
 
     def anchors(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows with the same anchor: first window, windows in the run, anchor's place, its hash.
@@ -55,7 +54,7 @@ class Passages:
         if len(grams) < span:
             none = np.zeros(0, np.int64)
             return none, none, none, np.zeros(0, _U)
-        rank = mix(grams) >> _U(1)
+        rank = grams >> _U(1)
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
             rank |= (self.common[at] == grams).astype(_U) << _U(63)
@@ -81,8 +80,8 @@ def _common_grams(texts: DataFrame, window: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(window, np.zeros(0, _U))
         for batch in batches:
-            for _, rows in blocks(batch, "text"):
-                gram, count = np.unique(passages.grams(passages.words(rows)[1]), return_counts=True)
+            for part in slices(batch, "text"):
+                gram, count = np.unique(passages.grams(passages.words(part.column("text"))[0]), return_counts=True)
                 many = count >= 6
                 yield pa.RecordBatch.from_arrays([pa.array(gram[many].view(np.int64)), pa.array(count[many])], ["gram", "n"])
 
@@ -97,8 +96,8 @@ def _repeated_filter(texts: DataFrame, window: int, common) -> BitFilter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(window, common.value)
         for batch in batches:
-            for _, rows in blocks(batch, "text"):
-                _, flat, n = passages.words(rows)
+            for part in slices(batch, "text"):
+                flat, n = passages.words(part.column("text"))
                 anchor, count = np.unique(passages.anchors(flat, n)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(count)], ["anchor", "n"])
 
@@ -175,8 +174,8 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         passages = Passages(window, common.value)
         sent: set[int] = set()  # contexts whose words this task has sent
         for batch in batches:
-            for part, rows in blocks(batch, "text"):
-                _, flat, n = passages.words(rows)
+            for part in slices(batch, "text"):
+                flat, n = passages.words(part.column("text"))
                 start, size, _, anchor = passages.anchors(flat, n)
                 some = np.flatnonzero(known.value.holds(anchor))
                 data = [flat[s : s + k + window - 1].tobytes() for s, k in zip(start[some].tolist(), size[some].tolist(), strict=True)]
@@ -232,28 +231,42 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     repeats = saved(shards.mapInArrow(judge, "context bigint, a bigint, b bigint"), "passage-repeats")
     spans = places.select("k1", "k2", "start", "context").join(repeats, "context")
     spans = spans.select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") - 1 + window).alias("b")).distinct()
-    merged = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    merged = saved(merged, "passage-spans")
-    chosen = F.broadcast(merged) if merged.count() <= BROADCAST_TEXTS else merged
+    listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column("spans"):
+                a, b = (own.values.field(k).to_numpy() for k in range(2))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                first = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
+                out.append(np.stack([a[first], b[np.r_[first[1:] - 1, len(a) - 1]]], axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, pa.binary())], ["k1", "k2", "spans"])
+
+    merged = saved(listed.mapInArrow(join_up, "k1 bigint, k2 int, spans binary"), "passage-spans")
+    dropped(places, repeats)
+    chosen = small(merged)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, rows in blocks(batch, "text"):
                 n, removed, kept = [], [], []
                 for text, spans in zip(rows, part.column("spans").to_pylist(), strict=True):
-                    words = WORD.findall(text)
+                    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at ASCII white space only
                     n.append(len(words))
                     if spans:
                         left, at = [], 0
-                        for s in spans:
-                            left += words[at : s["a"]] if at < s["a"] else []
-                            at = max(at, s["b"])
+                        for a, b in np.frombuffer(spans, np.int64).reshape(-1, 2).tolist():
+                            left += words[at:a]
+                            at = b
                         words = left + words[at:]
                     removed.append(n[-1] - len(words))
-                    kept.append(" ".join(words))
-                digest = [hashlib.sha256(k.encode("utf-8")).hexdigest() for k in kept]
+                    kept.append(b" ".join(words))
+                digest = [hashlib.sha256(k).hexdigest() for k in kept]
+                kept = pa.array(kept, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept)],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), kept],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
