@@ -24,7 +24,43 @@ def test_language_held_out(spark):
     assert (both["held_out"] == both["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
     held = both[both["held_out"]]
     assert (held["lang_pred"] == held["lang"]).mean() > 0.99
-    assert out["score"].between(0, 1).all() and not out["rejected"].any()
+    assert out["score"].between(0, 1).all() and out["rejected"].mean() < 0.001
+
+
+def test_language_by_brute_force():
+    """Cosines from n-grams that are counted one by one, and rejection from the floors."""
+    from textframes.llm.shared import mix
+
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text", "lang"]).to_pylist()
+    docs = [r for r in docs if r["text"] and r["lang"]]
+    model = language_id.fit([r["text"] for r in docs], [r["lang"] for r in docs], size=512)
+    table = language_id.GramTable(model.size)
+    texts = [r["text"] for r in docs[::9]] + ["½ ② Ⅷ", "x", "a½b ½", "die und der"]
+    best, value, far = model.predict(table.vectors(texts)[0])
+    for k, text in enumerate(texts):
+        tf = np.zeros(model.size)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            word = "".join(c for c in word if c.isalpha())
+            code = [10, *map(ord, word), 10]
+            grams = [c for c in code[1:-1]]
+            grams += [a * 0x110000 + b + (1 << 62) for a, b in zip(code, code[1:], strict=False)] if word else []
+            grams += [((a * 0x110000 + b) * 0x110000 + c + (1 << 63)) % (1 << 64) for a, b, c in zip(code, code[1:], code[2:], strict=False)]
+            for g in grams:
+                tf[int(mix(np.array([g], np.uint64))[0] % np.uint64(model.size))] += 1
+        v = np.log1p(tf) * model.idf
+        cosine = model.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        assert np.isclose(cosine.max(), value[k], atol=1e-5)
+        assert cosine[best[k]] > cosine.max() - 1e-5
+    assert table.vectors(["½ ② Ⅷ", "½a"])[1].tolist() == [0, 1]
+
+
+def test_floors_come_from_each_centroids_texts():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    docs = [r for r in docs if r["text"] and r["lang"]]
+    model = language_id.fit([r["text"] for r in docs], [r["lang"] for r in docs])
+    assert len({*model.floor.round(6)}) > 1 and (model.floor > 0).all() and (model.rise >= 0).all()
+    far = model.predict(language_id.GramTable(model.size).vectors([r["text"] for r in docs])[0])[2]
+    assert far.mean() < 0.005
 
 
 def test_language_odd_rows(spark):
@@ -109,6 +145,40 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.train(docs, labels).languages == []
 
 
+def test_scores_by_brute_force():
+    """The network's score word by word, filter by filter."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["you", "idiot", "fine", "day", "good", "there", "été"]) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    model = toxicity.fit(texts, [int("idiot" in t) for t in texts], ["en", "fr"] * 30, epochs=3)
+    table = toxicity.WordTable(len(model.embedding))
+    score, lang = model.score(table, [*texts, "", "new words"])
+    for k, text in enumerate([*texts, "", "new words"]):
+        ids, _ = table.ids([text])
+        words = [model.embedding[table.features[i]].sum(axis=0) for i in ids]
+        z = model.out_bias
+        at = 0
+        for w, b in zip(model.filters, model.biases, strict=True):
+            padded = words + [np.zeros(w.shape[1])] * max(len(x) for x in model.filters)
+            places = range(max(1, len(words) + max(len(x) for x in model.filters) - len(w) + 1))
+            for f in range(w.shape[2]):
+                z += max(0.0, max(sum(padded[p + j] @ w[j, :, f] for j in range(len(w))) for p in places) + b[f]) * model.out[at + f]
+            at += w.shape[2]
+        t = model.threshold[lang[k]]
+        assert abs(score[k] - 1 / (1 + np.exp(-(z - t + np.log(0.7 / 0.3))))) < 1e-4
+
+
+def test_thresholds_by_brute_force():
+    r = np.random.default_rng(8)
+    z, lang, y = r.normal(size=80), r.integers(0, 2, 80), r.integers(0, 2, 80)
+    model = toxicity.TextCnn.start(50, 3, 2, (1, 2), r)
+    model.threshold = np.zeros(2)
+    toxicity.calibrate(model, z, lang, y)
+    for k in range(2):
+        w = np.where(lang == k, 1.0, toxicity.OTHERS)
+        measure = lambda t: 1.25 * (w * y)[z >= t].sum() / (w[z >= t].sum() + 0.25 * (w * y).sum())  # noqa: B023,E731
+        assert np.isclose(measure(model.threshold[k]), max(map(measure, z)))
+
+
 def test_gradient_of_the_network():
     """The step's direction against finite differences of the loss."""
     rng = np.random.default_rng(0)

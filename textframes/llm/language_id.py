@@ -21,7 +21,7 @@ UNKNOWN = "und"
 #: A text belongs to no language if its cosine to the nearest centroid exceeds what hash collisions
 #: alone give by less than the centroid's floor. Floors are shares of low quantiles of the centroid's own
 #: texts: SHORT_SHARE for texts of a word, LONG_SHARE for long ones, and of at most so many of its texts are below.
-SHORT_SHARE, LONG_SHARE, QUANTILE = 0.6, 0.45, 0.01
+SHORT_SHARE, LONG_SHARE, QUANTILE = 0.5, 0.38, 0.01
 #: Distinct n-grams up to which a text counts as short; from SHORT << DOUBLINGS on it is long.
 SHORT, DOUBLINGS = 32, 2
 
