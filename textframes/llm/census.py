@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Hashes that a task holds before it asks for them.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Rows that share one question at most: their places are sent as 16-bit numbers.
 FLUSH_ROWS = 60_000
 #: Columns of a question: hashes of one part of the hash space (32 bits each), who asks, and how often each occurs there.

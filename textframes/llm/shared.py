@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,18 +10,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: ASCII white space is the only separator of words.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Upper-case ASCII bytes to lower case; other bytes stay.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows of ids that are broadcast at most, once counted; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes that are broadcast at most, once summed.
 BROADCAST_BYTES = 32 << 20
+#: Bytes that Spark hands Python at a time in the stages of an operator that are written, and the setting for that.
+BATCH_BYTES, BATCH_CONF = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows that Python handles together; bounds a worker's memory.
 BLOCK_ROWS = 512
 #: Characters that Python handles together; a longer text stands alone.
@@ -47,10 +46,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it holds, Spark hands Python BATCH_BYTES at a time, so that long rows don't add up in a worker."""
+    before = spark.conf.get(BATCH_CONF)
+    size = before.rstrip("b")
+    spark.conf.set(BATCH_CONF, str(min(int(size), BATCH_BYTES) if size.isdigit() else BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -93,8 +105,8 @@ def lowest(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return few.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_rows", "_k")
 
 
-#: Bits of a filter at most: 8 MB to broadcast. A fuller filter lets more through, and loses nothing.
-FILTER_BITS = 26
+#: Bits of a filter at most: 32 MB to broadcast. A fuller filter lets more through, and loses nothing.
+FILTER_BITS = 28
 
 
 class BitFilter:
@@ -132,28 +144,15 @@ def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
-def hash_word(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
-class WordHashes(dict):
-    """Word to 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = hash_word(word)
-        return value
+#: The multipliers of a public 64-bit finaliser.
+MIX_FACTORS = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply) over unsigned integers."""
     x = x.copy()
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    for factor in (*MIX_FACTORS, None):
+        x ^= x >> np.uint64(33)
+        if factor is not None:
+            x *= factor
     return x
