@@ -74,6 +74,12 @@ def test_directory_splits_until_buckets_fit():
         assert len(at) & (len(at) - 1) == 0 and (np.diff(at) == 1).all()
         assert load[at].sum() <= 150 or len(at) == 1
     assert exact_dedup.Directory.build(load, 10**9).depth == 0
+    assert [b for k, b in enumerate(d.bucket.tolist()) if k == 0 or b != d.bucket[k - 1]] == [*range(d.bucket.max() + 1)]
+    even = np.full(256, 10)
+    d2 = exact_dedup.Directory.build(even, 40)
+    owners = d2.owners(even, 4)
+    assert (np.diff(owners) >= 0).all() and np.bincount(owners[d2.bucket]).tolist() == [16] * 4
+    assert exact_dedup.Directory.build(np.zeros(8, int), 5).owners(np.zeros(8, int), 3).tolist() == [0]
     hashes = np.array([0, 200 << 56, (1 << 64) - 1], np.uint64)
     assert d.lookup(hashes).tolist() == [d.bucket[0], d.bucket[200], d.bucket[255]]
 

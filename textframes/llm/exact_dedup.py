@@ -55,7 +55,14 @@ class Directory:
             local.append(local[b])
             bucket[entries[len(entries) // 2 :]] = new
             todo += [b, new]
-        return cls(depth, bucket)
+        first = np.unique(bucket, return_index=True)[1]
+        return cls(depth, np.argsort(np.argsort(first))[bucket])  # numbered in the order of their keys
+
+    def owners(self, load: np.ndarray, n: int) -> np.ndarray:
+        """The owner, 0 to n - 1, of each bucket: ranges of keys with about as many bytes each."""
+        of_bucket = np.bincount(self.bucket, weights=load.reshape(len(self.bucket), -1).sum(axis=1)).astype(np.int64)
+        before = np.cumsum(of_bucket) - of_bucket
+        return np.minimum(n - 1, before * n // max(1, int(of_bucket.sum())))
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         if self.depth == 0:
@@ -111,13 +118,15 @@ def exact_groups(docs: DataFrame, bits: int | None = None, bucket_bytes: int = B
     if not 1 <= bits <= MAX_DEPTH:
         raise ValueError(f"bits must be 1 to {MAX_DEPTH}")
     spark = docs.sparkSession
-    directory = spark.sparkContext.broadcast(Directory.build(prefix_load(docs, bits), bucket_bytes))  # 2^bits entries at most
+    load, tasks = prefix_load(docs, bits), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    built = Directory.build(load, bucket_bytes)
+    directory = spark.sparkContext.broadcast((built, built.owners(load, tasks)))  # 2^bits entries at most
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get().partitionId() << 36
+        task, (tree, owner) = TaskContext.get().partitionId() << 36, directory.value
         sent: dict[bytes, int] = {}  # digest of each text that this task has sent
         rows = 0
         for batch in batches:
@@ -141,7 +150,7 @@ def exact_groups(docs: DataFrame, bits: int | None = None, bucket_bytes: int = B
                     [
                         pa.array(page, pa.int64()),
                         pa.array(local, pa.int64()),
-                        pa.array(directory.value.lookup(hashes)),
+                        pa.array(owner[tree.lookup(hashes)].astype(np.int32)),
                         pa.array(hashes.view(np.int64)),
                         pa.array([k if new else None for k, new in zip(keys, first, strict=True)], pa.binary()),
                         pa.array([d.hexdigest() for d in digests]),
@@ -149,12 +158,12 @@ def exact_groups(docs: DataFrame, bits: int | None = None, bucket_bytes: int = B
                         pa.array([*map(len, groups.values())], pa.int64()),
                         pa.array([*groups.values()], pa.list_(ids)),
                     ],
-                    ["page", "local", "bucket", "hash", "data", "text_sha256", "best", "n", "ids"],
+                    ["page", "local", "owner", "hash", "data", "text_sha256", "best", "n", "ids"],
                 )
 
     folded = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         fold,
-        f"page bigint, local bigint, bucket bigint, hash bigint, data binary, text_sha256 string, best {kind}, n bigint, ids array<{kind}>",
+        f"page bigint, local bigint, owner int, hash bigint, data binary, text_sha256 string, best {kind}, n bigint, ids array<{kind}>",
     )
     pages = saved(folded, "exact-index")
 
@@ -171,9 +180,9 @@ def exact_groups(docs: DataFrame, bits: int | None = None, bucket_bytes: int = B
         if ids is not None:
             yield _resolved(chain.rows(), ids)
 
-    # an owner's rows come sorted by hash, texts before the short rows that refer to them
-    entries = pages.select("bucket", "hash", "page", "local", "data", "best", "n")
-    owned = entries.repartition("bucket").sortWithinPartitions("hash", "local", F.col("data").isNull(), "page")
+    # an owner has a range of keys; its rows come sorted by hash, texts before the short rows that refer to them
+    entries = pages.select("owner", "hash", "page", "local", "data", "best", "n")
+    owned = entries.repartitionById(tasks, "owner").sortWithinPartitions("hash", "local", F.col("data").isNull(), "page")
     resolved = owned.select("hash", "page", "local", "data", "best", "n").mapInArrow(own, f"local bigint, keep_id {kind}, keep_page bigint, group_size bigint")
     members = pages.select("page", "local", "text_sha256", F.posexplode("ids").alias("pos", "doc_id"))
     kept = (F.col("page") == F.col("keep_page")) & (F.col("pos") == 0)
