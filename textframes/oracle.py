@@ -169,5 +169,12 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_ranges": f"""WITH {CLIP}, n AS (SELECT least(count(*), greatest(50, CAST(floor(count(*) * CAST(0.4 AS DOUBLE)) AS BIGINT))) AS s FROM f)
             SELECT CASE WHEN fi < least(50, s) THEN 0 WHEN fi < s THEN 1 ELSE 2 END AS side, min(fi) AS start_fi, max(fi) AS end_fi, count(*) AS n FROM f, n GROUP BY 1""",
         "merge_cap": "SELECT vec_id, greatest(32, CAST(floor((vec_id + 1) * (vec_id % 90 + 2) * CAST(0.01 AS DOUBLE)) AS INTEGER)) AS cap FROM embeddings",
+        "extract_texts": f"""WITH RECURSIVE {FEATURES} {first} {_merged(3)} {LEVELS} {_steps("ty_", 48)} {_steps("tx_", 16)},
+            pr AS (SELECT seg, tx.i AS x, CAST(floor(48 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM mg JOIN lv ON fi = rep_frame, ty_ ty, tx_ tx),
+            st AS (SELECT seg, x // 2 AS s, CAST(sum(v) // (48 * 96) AS BIGINT) AS level FROM pr GROUP BY seg, x // 2),
+            cl AS (SELECT *, level // 8 % 5 AS c, lag(level // 8 % 5) OVER (PARTITION BY seg ORDER BY s) AS before FROM st),
+            tx AS (SELECT seg, string_agg(chr(CAST(c + 96 AS INTEGER)), '' ORDER BY s) AS text, round(avg(CAST(50 + level % 50 AS DOUBLE) / 100), 5) AS confidence
+                   FROM cl WHERE c <> 0 AND (before IS NULL OR before <> c) GROUP BY seg)
+            SELECT seg, start_fi, end_fi, rep_frame, text, coalesce(confidence, 0) AS confidence FROM mg LEFT JOIN tx USING (seg)""",
         "rep_crops": f"""WITH RECURSIVE {FEATURES} {first} {_merged(3)} SELECT seg, rep_frame, string_agg(lower(printf('%02x', g)), '' ORDER BY y, x) AS crop FROM mg JOIN px ON fi = rep_frame GROUP BY seg, rep_frame""",
     }

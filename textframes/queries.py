@@ -329,8 +329,9 @@ def rep_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan with the stand-in recogniser; there is no model to compare texts with."""
-    return plan(spark, sf_dir).texts().select("seg", F.col("start").alias("start_fi"), F.col("end").alias("end_fi"), "rep_frame", "text", "confidence")
+    """The whole plan, with merge, inputs of 48 x 16 and the stand-in recogniser; there is no model to compare texts with."""
+    texts = plan(spark, sf_dir, force_aspect=16 / 48, input_gamma=0.0).texts()
+    return texts.select("seg", F.col("start").alias("start_fi"), F.col("end").alias("end_fi"), "rep_frame", "text", "confidence")
 
 
 def queries() -> dict[str, Query]:
