@@ -113,6 +113,15 @@ def test_mix(spark, block, monkeypatch):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mix_of_large_weights(spark):
+    """Weights whose sum is far above the slots of a run."""
+    df = spark.createDataFrame([(k, "a" if k % 3 else "b") for k in range(3000)] + [(k, "c") for k in range(3000, 3600)], "doc_id bigint, source string")
+    weights = {"a": 9000, "b": 4001, "c": 700}
+    found = mixing.mix(df, spark.createDataFrame([*weights.items()], "source string, weight int"), block=1).collect()
+    assert len(found) == 3600
+    check_mix(found, weights, 1)
+
+
 def test_pages_like_those_of_the_table(spark):
     """The article of each page of the table, cut out by its own tags."""
     import html

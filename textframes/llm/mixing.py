@@ -9,23 +9,27 @@ from textframes.llm.shared import saved
 
 #: Rows of a source that are ranked together; a source has as many such parts as it needs.
 PART_ROWS = 4096
-#: The weights of all sources together, and so the slots of a frame, at most.
-MOST_WEIGHT = 10_000
+#: Slots that are scheduled in a row, before they join the slots so far.
+RUN_SLOTS = 256
 
 #: One frame: at each slot, of the sources with a released block, the one with the earliest deadline
 #: (then the first source) gives its next block. c: blocks of each source in the frame, p: their sum.
-EARLIEST_DEADLINE_FIRST = """
+EARLIEST_DEADLINE_FIRST = f"""
 aggregate(
-  sequence(0, cast(p AS INT) - 1),
-  named_struct('done', transform(c, x -> 0L), 'slots', cast(array() AS ARRAY<STRUCT<t: INT, s: INT, j: BIGINT>>)),
-  (state, t) -> transform(array(array_min(filter(
-      transform(c, (n, i) -> named_struct('deadline', if(state.done[i] < n, -floor(-(state.done[i] + 1) * p / n), NULL),
-                                          'ready', state.done[i] < n AND floor(state.done[i] * p / n) <= t, 'i', i)),
-      x -> x.ready)).i),
-    k -> named_struct(
-      'done', transform(state.done, (d, i) -> if(i = k, d + 1, d)),
-      'slots', concat(state.slots, array(named_struct('t', t, 's', k, 'j', state.done[k])))))[0],
-  state -> state.slots)
+  sequence(0L, (p - 1) div {RUN_SLOTS}),
+  named_struct('done', transform(c, x -> 0L), 'runs', cast(array() AS ARRAY<ARRAY<STRUCT<t: BIGINT, s: INT, j: BIGINT>>>)),
+  (state, run) -> transform(array(aggregate(
+      sequence(run * {RUN_SLOTS}, least(p, (run + 1) * {RUN_SLOTS}) - 1),
+      named_struct('done', state.done, 'slots', cast(array() AS ARRAY<STRUCT<t: BIGINT, s: INT, j: BIGINT>>)),
+      (own, t) -> transform(array(array_min(filter(
+          transform(c, (n, i) -> named_struct('deadline', if(own.done[i] < n, -floor(-(own.done[i] + 1) * p / n), NULL),
+                                              'ready', own.done[i] < n AND floor(own.done[i] * p / n) <= t, 'i', i)),
+          x -> x.ready)).i),
+        k -> named_struct(
+          'done', transform(own.done, (d, i) -> if(i = k, d + 1, d)),
+          'slots', concat(own.slots, array(named_struct('t', t, 's', k, 'j', own.done[k])))))[0])),
+    own -> named_struct('done', own.done, 'runs', concat(state.runs, array(own.slots))))[0],
+  state -> flatten(state.runs))
 """
 
 
@@ -41,8 +45,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, alph
     """docs with slot, block and place: the order in which sources are mixed. Every row stays.
 
     weights: source and weight (positive integers); sources that it doesn't name get 1. Without it,
-    weights follow the sources' sizes to the power alpha. They add up to MOST_WEIGHT at most, which
-    also bounds the number of sources. Each source's rows, in the order of md5(doc_id), are cut
+    weights follow the sources' sizes to the power alpha. A frame's schedule is made in one row, in time
+    that grows with the sum of the weights times the number of sources. Each source's rows, in the order of md5(doc_id), are cut
     into blocks. Time is cut into frames. In a frame each source has as many blocks as its weight,
     or what it has left. Block j of c in a frame of p slots is released at floor(j p / c) and due at
     ceil((j + 1) p / c); earliest deadline first meets all of them, so that at any slot a source is
@@ -70,9 +74,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, alph
     plan = sources.agg(
         F.sort_array(F.collect_list(F.struct("source", "weight", "n", "frames"))).alias("sources"),
         F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.collect_list("frames"), F.collect_list(F.col("frames") + 1)))).alias("starts"),
-        F.sum("weight").alias("weight"),
     ).where(F.size("sources") > 0)
-    plan = plan.withColumn("starts", F.when(F.col("weight") <= MOST_WEIGHT, F.col("starts")).otherwise(F.raise_error(F.lit("the weights add up to too much"))))
     phase = plan.select("sources", "starts", F.posexplode("starts").alias("phase", "start"))
     phase = phase.withColumn("c", F.expr("transform(sources, s -> if(start < s.frames, s.weight, if(start = s.frames, s.n - s.frames * s.weight, 0L)))"))
     phase = phase.withColumn("p", F.expr("aggregate(c, 0L, (a, x) -> a + x)")).where("p > 0")
