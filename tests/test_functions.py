@@ -9,11 +9,12 @@ from textframes.functions import arrays as a
 from textframes.plans.extractor import Options
 
 
-def test_gray_cuts():
-    rgb = np.zeros((2, 4, 4, 3), np.uint8)
-    rgb[..., 0] = 255
-    assert (a.gray(rgb) == 76).all()
-    assert (a.gray(np.full((2, 4, 4, 1), 7, np.uint8)) == 7).all()
+def test_gray_is_cut_and_keeps_one_channel():
+    rgb = np.random.default_rng(21).integers(0, 256, (3, 6, 7, 3)).astype(np.uint8)
+    weighed = rgb.astype(float) @ [0.299, 0.587, 0.114]
+    sure = np.abs(weighed - weighed.round()) > 1e-3
+    assert (a.gray(rgb) == np.floor(weighed))[sure].all()
+    assert a.gray(rgb[..., 1:2]) is not None and (a.gray(rgb[..., 1:2]) == rgb[..., 1]).all()
 
 
 @pytest.mark.parametrize("color_range", [0, 1])
@@ -49,23 +50,27 @@ def test_nv12_chroma_counts_for_its_square():
     assert (red[:2, :2] > red[2, 2]).all() and (red[:2, 2:] == red[2, 2]).all()
 
 
-def test_otsu():
-    two = np.full((1, 64, 64), 70, np.uint8)
-    two[:, 32:] = 180
-    assert a.otsu(a.histograms(two)).tolist() == [70]
-    assert a.otsu(a.histograms(np.full((1, 8, 8), 100, np.uint8))).tolist() == [a.FLAT]
-    assert a.otsu(np.zeros((1, 256), int)).tolist() == [a.FLAT]
+def test_otsu_by_definition():
+    """Every level is tried; the first best one counts."""
+    r = np.random.default_rng(22)
+    planes = [r.choice([30, 31, 90, 200, 251], (5, 9)) for _ in range(6)] + [np.where(r.random((5, 9)) < 0.3, 12, 13), r.integers(0, 256, (5, 9))]
+    for g in planes:
+        best, at = -1.0, None
+        for t in range(256):
+            low, high = g[g <= t], g[g > t]
+            if low.size and high.size and (s := low.size * high.size * (low.mean() - high.mean()) ** 2) > best * (1 + 1e-12):
+                best, at = s, t
+        assert a.otsu(a.histograms(g[None].astype(np.uint8))).tolist() == [at]
+    for empty in (np.zeros((1, 256), int), a.histograms(np.full((1, 3, 11), 254, np.uint8))):
+        assert a.otsu(empty).tolist() == [a.FLAT]
 
 
-def test_cluster():
-    block = np.zeros((1, 10, 10), bool)
-    block[0, 3:6, 4:7] = True
-    assert a.cluster(block).tolist() == [9]
-    assert a.cluster(np.zeros((1, 5, 5), bool)).tolist() == [0]
-    assert a.cluster(np.random.default_rng(0).random((1, 20, 20)) < 0.03)[0] < 5
-    corner = np.zeros((1, 5, 5), bool)
-    corner[0, :2, :2] = True
-    assert a.cluster(corner).tolist() == [4]
+def test_cluster_by_definition():
+    r = np.random.default_rng(23)
+    masks = np.stack([r.random((7, 12)) < p for p in (0.0, 0.05, 0.3, 0.6, 1.0)])
+    for mask, found in zip(masks, a.cluster(masks).tolist(), strict=True):
+        around = np.pad(mask, 1)
+        assert found == max(int(around[y : y + 3, x : x + 3].sum()) for y in range(7) for x in range(12))
 
 
 @pytest.mark.parametrize("gamma", [0, 1, 2])
@@ -77,24 +82,21 @@ def test_curve(gamma):
 
 
 def test_mean_abs_diff():
-    x = np.zeros((4, 5), np.uint8)
-    y = x.copy()
-    y[1, 1] = 10
-    assert a.mean_abs_diff(x, y) == 0.5
-    assert a.mean_abs_diff(None, y) == math.inf and a.mean_abs_diff(x, y[:3]) == math.inf
+    x, y = np.random.default_rng(24).integers(0, 256, (2, 6, 9)).astype(np.uint8)
+    assert math.isclose(a.mean_abs_diff(x, y), sum(abs(int(p) - int(q)) for p, q in zip(x.ravel(), y.ravel(), strict=True)) / 54, rel_tol=1e-6)
+    assert a.mean_abs_diff(y, None) == math.inf and a.mean_abs_diff(x[:, :8], y) == math.inf
 
 
 def test_similar():
-    x = np.zeros((50, 100), np.uint8)
-    few, many = x.copy(), x.copy()
-    few[:5, :5] = 255
-    many[:10, :10] = 255
-    cap = Options(roi=(0, 0, 100, 50)).most_changed(0, 0)
-    assert cap == 51
-    assert a.similar(x, few, "binary", 127, 3.0, cap)
-    assert not a.similar(x, many, "binary", 127, 3.0, cap)
-    assert not a.similar(x, x + 255, "binary", 127, 3.0, cap)
-    assert not a.similar(x, few[:20], "binary", 127, 3.0, cap) and not a.similar(None, x, "binary", 127, 3.0, cap)
+    """A region of 80 x 60 allows 48 changed pixels, and the mean 56."""
+    cap = Options(roi=(10, 20, 89, 79)).most_changed(0, 0)
+    assert cap == 48
+    base = np.random.default_rng(25).choice([20, 230], (60, 80)).astype(np.uint8)
+    for n, same in ((1, True), (48, True), (49, False), (600, False)):
+        other = base.ravel().copy()
+        other[17 : 17 + n] = 250 - other[17 : 17 + n]
+        assert a.similar(base, other.reshape(60, 80), "binary", 99, 3.0, cap) == same
+    assert not a.similar(base, base[:, :79], "binary", 99, 3.0, cap) and not a.similar(None, base, "binary", 99, 3.0, cap)
 
 
 def test_similar_by_changed_pixels_alone():
