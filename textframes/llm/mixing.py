@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import saved
+from textframes.llm.shared import saved, small
 
 #: Rows of a source that are ranked together; a source has as many such parts as it needs.
 PART_ROWS = 4096
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, alph
     starts = plan.select("starts")
     number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint")
     part = F.floor(number * F.col("parts") / F.lit(1 << 32)).cast("bigint")
-    dealt = names.join(F.broadcast(known), "_source").withColumn("_part", part)
+    dealt = names.join(small(known), "_source").withColumn("_part", part)
     sizes = dealt.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
