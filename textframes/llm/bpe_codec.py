@@ -318,12 +318,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """docs with a column of the tokens of each whole text (array of int). A null text has none.
 
-    A column of that name is replaced. One pass without a shuffle.
+    A column of that name is replaced. keep_text: whether the text comes back, too. One pass without a
+    shuffle.
     """
     others = [f for f in docs.schema.fields if f.name != ids]
+    kept = [f for f in others if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocab_path)
@@ -331,9 +333,10 @@ def encode(docs: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
             for part, texts in blocks(batch, "text"):
                 flat, counts = coder.id_arrays(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+                names = [f.name for f in kept]
+                yield pa.RecordBatch.from_arrays([*map(part.column, names), lists], [*names, ids])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select(*[F.col(f"`{f.name}`") for f in others]).mapInArrow(run, f"{schema}, `{ids}` array<int>")
 
 

@@ -18,6 +18,8 @@ from textframes.llm.shared import blocks, fold, lowest, mix
 #: Words: letters, and numerals that are no digits (fractions, circled digits); add() takes the latter out.
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: Texts whose dense vectors are held together.
+DENSE_ROWS = 128
 #: A text belongs to no language if its cosine to the nearest centroid exceeds what hash collisions
 #: alone give by less than the centroid's floor. Floors are shares of low quantiles of the centroid's own
 #: texts: SHORT_SHARE for texts of a word, LONG_SHARE for long ones, and of at most so many of its texts are below.
@@ -228,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
             grams.append(GramTable(m.size))
         labels = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            for part, texts in blocks(batch, "text"):
+            for part, texts in blocks(batch, "text", DENSE_ROWS):
                 tf, n_words = grams[0].vectors(texts)
                 if len(m.languages):
                     best, score, far = m.predict(tf)

@@ -127,20 +127,21 @@ class BitFilter:
         return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, bounded in rows and characters of a column."""
+def slices(batch: pa.RecordBatch, column: str, rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded in rows and characters of a column. Memory that Arrow no longer uses goes back after each batch."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = 0
     while start < batch.num_rows:
-        total = np.cumsum(lengths[start : start + BLOCK_ROWS])
+        total = np.cumsum(lengths[start : start + rows])
         n = max(1, int(np.searchsorted(total, BLOCK_CHARS, "right")))
         yield batch.slice(start, n)
         start += n
+    pa.default_memory_pool().release_unused()
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def blocks(batch: pa.RecordBatch, column: str, rows: int = BLOCK_ROWS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with their texts (null: empty)."""
-    for part in slices(batch, column):
+    for part in slices(batch, column, rows):
         yield part, [t or "" for t in part.column(column).to_pylist()]
 
 
