@@ -54,7 +54,7 @@ class Passages:
         if len(grams) < span:
             none = np.zeros(0, np.int64)
             return none, none, none, np.zeros(0, _U)
-        rank = grams >> _U(1)
+        rank = mix(grams) >> _U(1)  # not the hash itself: smallest hashes would crowd a filter by their first bits
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, grams), len(self.common) - 1)
             rank |= (self.common[at] == grams).astype(_U) << _U(63)
