@@ -16,10 +16,15 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, Fraction(4, 5)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those too far from every language of the corpus."""
-    names = ("_pred", "_score", "_rejected")
-    found = language_id.identify(docs, language_id.train(docs), names)
-    return found.where("not _rejected").select(*[f"`{c}`" for c in docs.columns])
+    """Drops documents without a letter, and those too far from every language of the corpus.
+
+    The decision rests on the text alone: rejected texts are named by hash and length, and docs go
+    through one anti-join.
+    """
+    name = [F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_length")]
+    found = language_id.identify(docs.select("text", *name), language_id.train(docs), ("_pred", "_score", "_rejected"))
+    far = small(saved(found.where("_rejected").select("_hash", "_length").distinct(), "pipeline-far"))
+    return docs.select(*[f"`{c}`" for c in docs.columns], *name).join(far, ["_hash", "_length"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ def _position(docs: DataFrame) -> F.Column:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and position of each document: ordered by position they are the mix."""
-    coded = bpe_codec.encode(docs.select("doc_id", "lang", "source", "text", _position(docs).alias("position")), vocab_path())
+    coded = bpe_codec.encode(docs.select("doc_id", "lang", "source", "text", _position(docs).alias("position")), vocab_path(), keep_text=False)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "position")
 
 
