@@ -20,7 +20,7 @@ SIMILAR = 3.0
 #: Samples that one task compares in a row.
 RANGE = 1024
 #: Segments that are folded in a row.
-MERGE_RANGE = 1024
+MERGE_RANGE = 8192
 
 
 def _ranges(features: DataFrame, thresholds: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
