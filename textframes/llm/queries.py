@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textframes.llm import bpe_codec, exact_dedup, html_extract, jaccard_join, language_id, mixing, substring_dedup, token_counts, topk_bitslice, toxicity
+from textframes.llm import bpe_codec, exact_dedup, html_extract, importance, jaccard_join, language_id, mixing, phrases, quality, substring_dedup, token_counts, topk_bitslice, toxicity
 from textframes.llm.shared import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, target, order=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, share=100, top=2000)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.quality(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -84,12 +99,18 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": op8_source_mixing,
         "op9_html_extract": op9_html_extract,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_phrase_mining": op12_phrase_mining,
+        "op13_quality_classifier": op13_quality_classifier,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5, "op6_exact_top_k": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8, "op10_substring_dedup": OP10}
+    return {
+        "op5_jaccard_join": OP5, "op6_exact_top_k": OP6, "op7_exact_dedup": OP7, "op8_source_mixing": OP8, "op10_substring_dedup": OP10,
+        "op11_importance_resampling": OP11, "op12_phrase_mining": OP12,
+    }
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -165,3 +186,48 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS
   sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
 FROM o
 """
+
+GRAM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, {GRAM.format(LOWER)} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS x FROM w),
+b AS (SELECT unnest({GRAM.format(LOWER)}) AS x FROM benchmark),
+tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS v FROM range(0, 256) u(i))),
+byte AS (SELECT x, list_transform(range(0, CAST(len(h) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS y
+         FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM (SELECT x FROM f UNION ALL SELECT x FROM b)))),
+k AS (SELECT x, xor(list_reduce(y, lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS k FROM byte, tab),
+s AS (SELECT k, count(*) AS s FROM f JOIN k USING (x) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN k USING (x) GROUP BY k),
+n AS (SELECT (SELECT count(*) FROM f) AS s, (SELECT count(*) FROM b) AS t),
+g AS (SELECT s.k, CAST(floor(1000 * ln((CAST(coalesce(t.t, 0) AS DOUBLE) + 1) * (CAST(n.s AS DOUBLE) + 10000) / ((CAST(s.s AS DOUBLE) + 1) * (CAST(n.t AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+      FROM s LEFT JOIN t ON t.k = s.k, n),
+m AS (SELECT r, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN k USING (x) JOIN g USING (k) GROUP BY r),
+e AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(total, 0) AS total, CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS h FROM w LEFT JOIN m USING (r)),
+v AS (SELECT *, (total - ((total % greatest(n_features, 1)) + greatest(n_features, 1)) % greatest(n_features, 1)) // greatest(n_features, 1) AS weight FROM e),
+c AS (SELECT r, doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM v),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM c WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM o) // 100 THEN place END AS rank FROM c LEFT JOIN o USING (r)
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+w AS (SELECT p, lang, unnest(w) AS w, unnest(range(0, CAST(len(w) AS BIGINT))) AS i FROM p),
+y AS (SELECT lang, w AS w1, lead(w, 1) OVER z AS w2, lead(w, 2) OVER z AS w3, lead(w, 3) OVER z AS w4, lead(w, 4) OVER z AS w5 FROM w WINDOW z AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w1 AS phrase FROM y UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM y WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM y WHERE w3 IS NOT NULL
+      UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM y WHERE w4 IS NOT NULL
+      UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM y WHERE w5 IS NOT NULL),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE m >= 2 AND f >= 100),
+k AS (SELECT c.*, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : m], ' ') AS tail FROM c, range(1, 5) t(k) WHERE k < m),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * k.a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head JOIN f y ON y.lang = k.lang AND y.phrase = k.tail JOIN n ON n.lang = k.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM s),
+i AS (SELECT lang, part, max(a) AS longer FROM (
+        SELECT lang, a, array_to_string(w[i : i + j - 1], ' ') AS part FROM c, range(1, 5) u(i), range(2, 5) v(j) WHERE j < m AND i + j - 1 <= m) GROUP BY lang, part),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.part = b.phrase WHERE best = 1 AND coalesce(100 * longer < 100 * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+"""
