@@ -11,6 +11,7 @@ from textframes.operators.ordered import running_total
 from textframes.operators.recognise import OnnxRecogniser, StandIn
 from textframes.plans.extractor import FieldExtractor, Options, SegmentPlan
 from textframes.sources import clips
+from textframes.sources.frames import FileFrames
 from textframes.sources.raw_clip import Header, RawClips, write_clip
 
 
@@ -120,7 +121,7 @@ def test_extractor(spark):
     for s in result.segments:
         assert (s.rep_crop[..., 0] == g[s.rep_frame]).all()
         assert (s.text or "", s.confidence) == StandIn()([arrays.prepare(s.rep_crop)])[0]
-    assert set(e.timing_flat()) == {"total", "rss_mb"}
+    assert set(e.timing_flat()) == {"total", "rss_mb", "decode", "segment", "ocr"}
     bare = FieldExtractor(frames_of(spark, g), keep_frames=False, keep_crops=False).extract()
     assert bare.frames == [] and all(s.frames == () and s.rep_crop is None for s in bare.segments)
     with pytest.raises(ValueError):
@@ -204,37 +205,91 @@ def test_live_segments(spark, tmp_path):
     assert [(r["start"], r["end"], r["rep_frame"], r["n"]) for r in rows] == [(a, b, rep, len(fs)) for a, b, rep, fs in want]
 
 
-def test_frames_are_read_once(spark, monkeypatch):
-    """All plans that a run needs, those of written tables included: one scan of the frames, few Python stages and shuffles."""
+def plans_of_a_run(monkeypatch, work) -> str:
+    """The executed plans of all that a run writes, and of its result."""
+    from textframes.operators import segments as segs
     from textframes.plans import extractor
+    from textframes.sources import shared
 
     ran: list[str] = []
 
-    def recorded(df, name, write=extractor.saved):
-        ran.append(df._jdf.queryExecution().optimizedPlan().toString())
-        return write(df, name)
+    def recorded(df, name, paths=None, write=shared.saved):
+        ran.append(f"@@ {name}\n" + df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, paths)
 
     monkeypatch.setattr(extractor, "saved", recorded)
-    frames = frames_of(spark, made(12, 60)).withColumn("data", F.expr("concat(data, x'')"))  # a mark to count
-    plan = SegmentPlan(frames, Options(merge=False), (60, 48))
-    out = plan.texts()
+    monkeypatch.setattr(segs, "saved", recorded)
+    out = work()
     out.collect()
-    ran.append(out._jdf.queryExecution().optimizedPlan().toString())
-    text = "\n".join(ran)
-    assert text.count("LogicalRDD") + text.count("LocalRelation") <= 1
-    assert text.count("MapInArrow") <= 3
-    assert sum(text.count(x) for x in ("RepartitionByExpression", "Window [", "Join ")) <= 6
-
-
-@pytest.mark.parametrize("rows", [5])
+    return "\n".join([*ran, "@@ result\n" + out._jdf.queryExecution().executedPlan().toString()])
+
+
+def part(text: str, name: str) -> str:
+    """The plan of one written table, up to its end in the adaptive part."""
+    own = next(x for x in text.split("@@ ") if x.startswith(name + "\n"))
+    return own.split("+- == Initial Plan")[0]
+
+
+def test_samples_move_once(spark, monkeypatch):
+    """A table's samples are dealt by ranges once, as they come; features, scores and segments are made in one Python stage after it."""
+    frames = frames_of(spark, made(12, 60))
+    text = plans_of_a_run(monkeypatch, lambda: SegmentPlan(frames, Options(merge=False), (60, 48)).texts())
+    ranges = part(text, "ranges")
+    assert ranges.count("MapInArrow") == 1 and ranges.count("Exchange hashpartitioning") == 1
+    assert "luma" not in ranges.split("MapInArrow")[1]  # no plane below the stage that makes it
+    assert [part(text, n).count("MapInArrow") for n in ("thresholds", "ranges", "segments", "result")] == [1, 1, 0, 1]
+
+
+def test_a_file_is_scanned_without_an_exchange(spark, tmp_path, monkeypatch):
+    """Ranges of a file know the sample before them: neither frames nor planes are shuffled, and only calibration's samples are read for it."""
+    g, path = made(12, 300), str(tmp_path / "c.raw")
+    write_clip(path, g[..., None], "gray")
+    plan = SegmentPlan(FileFrames(spark, path, rows=50), Options(), (60, 48))
+    text = plans_of_a_run(monkeypatch, plan.texts)
+    ranges = part(text, "ranges")
+    assert ranges.count("MapInArrow") == 1 and "Exchange hashpartitioning" not in ranges and "BatchScan" in ranges
+    assert got(plan) == brute(g)
+    reader = plan.source._reader()
+    reader.first = features.CALIBRATION
+    assert sum(b - a for a, b, _ in reader.spans(300)) == 50
+    assert plan.source.first(50).count() == 50
+    plan.close()
+
+
+def test_what_a_run_writes_holds_no_crop(spark, tmp_path):
+    """Bytes written grow with segments and ranges, not with samples; crops are fetched by number, and folders go when the plan is closed."""
+    import os
+
+    g, path = np.repeat(made(12, 40), 16, axis=0), str(tmp_path / "c.raw")
+    write_clip(path, np.stack([g] * 3, axis=-1), "rgb")
+    plan = SegmentPlan(FileFrames(spark, path, rows=100), Options(), (60, 48))
+    rows = plan.texts().collect()
+    assert all(bytes(r["rep_crop"]) == np.stack([g[r["rep_frame"]]] * 3, axis=-1).tobytes() for r in rows)
+    folders = [p.removeprefix("file://") for p in plan._paths]
+    size = sum(os.path.getsize(os.path.join(d, f)) for p in folders for d, _, files in os.walk(p) for f in files)
+    plane = 60 * 48
+    written = len(rows) + 7  # a plane for each segment, and one more for each range that begins inside one
+    assert size < 8 * written * plane < len(g) * plane * 3 / 4
+    assert all("data" not in spark.read.parquet(p).columns for p in folders)
+    plan.close()
+    assert not any(os.path.exists(p) for p in folders)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7])
 def test_merge_by_ranges(spark, rows, monkeypatch):
     """Ranges that are folded alone and repaired give what one fold gives."""
     monkeypatch.setattr(segments, "MERGE_RANGE", rows)
-    for seed, g in ((13, made(13)), (15, made(15)[:, :, ::-1])):
-        for limit in (3.0, 254.0):
-            plan = SegmentPlan(frames_of(spark, g), Options(merge_threshold=limit, merge_separation="raw"), (600, 480))
-            want = brute_raw(g, limit)
-            assert got(plan) == want, (seed, limit)
+    clips_ = {"a": made(13), "b": np.repeat(made(14, 12), 7, axis=0), "c": made(15)[:, :, ::-1]}
+    frames = None
+    for name, g in clips_.items():
+        frames = frames_of(spark, g, name) if frames is None else frames.union(frames_of(spark, g, name))
+    for limit in (3.0, 60.0, 254.0):
+        plan = SegmentPlan(frames, Options(merge_threshold=limit, merge_separation="raw"), (600, 480))
+        found = plan.segments.collect()
+        for name, g in clips_.items():
+            own = sorted((r["start"], r["end"], r["rep_frame"], tuple(r["frames"])) for r in found if r["clip_id"] == name)
+            assert own == brute_raw(g, limit), (name, limit)
+        plan.close()
 
 
 def brute_raw(g, limit):
@@ -258,7 +313,7 @@ def brute_raw(g, limit):
 
 def test_long_ranges(spark, monkeypatch):
     """A segment that spans several ranges of samples is one."""
-    monkeypatch.setattr(segments, "RANGE", 4)
+    monkeypatch.setattr(clips, "RANGE", 4)
     g = np.repeat(made(16, 30), 5, axis=0)
     plan = SegmentPlan(frames_of(spark, g), Options(merge=False), (60, 48))
     assert got(plan) == brute(g, merge=False)

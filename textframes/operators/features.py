@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from textframes.functions import arrays
 
 FEATURES = "clip_id string, fi bigint, k bigint, w int, h int, sharp double, otsu int, luma binary"
-#: With the crops, which recognition needs.
-WITH_CROPS = FEATURES + ", crop_w int, crop_h int, fmt string, color_range tinyint, data binary"
 #: Samples that set a clip's threshold.
 CALIBRATION = 50
 
@@ -26,12 +24,13 @@ def shaped(data: list[bytes], w: int, h: int, fmt: str) -> np.ndarray:
     return flat.reshape(len(data), h, w, 3 if fmt == "rgb" else 1)
 
 
-def frame_features(frames: DataFrame, gamma: float = 0.0, crops: bool = False) -> DataFrame:
+def frame_features(frames: DataFrame, gamma: float = 0.0, more: str = "") -> DataFrame:
     """One row for each frame (clip_id, fi, k, w, h, fmt, color_range, data): one pass, fused with the scan.
 
     Frames of the same size in a batch are computed together. A frame without data is left out.
-    crops: also crop_w, crop_h, fmt, color_range and data, as they came (data is null where luma is the same).
+    more: an int column that is carried.
     """
+    carried = [more] if more else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,24 +40,26 @@ def frame_features(frames: DataFrame, gamma: float = 0.0, crops: bool = False) -
                 part = batch.take(at)
                 w, h, fmt, color_range = kind
                 g = arrays.luma(shaped(part.column("data").to_pylist(), w, h, fmt), fmt, color_range, gamma)
-                same = fmt == "gray" and gamma <= 0
-                own = [part.column(c) for c in ("w", "h", "fmt", "color_range")] + [pa.nulls(len(g), pa.binary()) if same else part.column("data")] if crops else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("clip_id"), part.column("fi"), part.column("k"), pa.array(np.full(len(g), g.shape[2], np.int32)), pa.array(np.full(len(g), g.shape[1], np.int32)),
-                        pa.array(arrays.sharpness(g)), pa.array(arrays.otsu(arrays.histograms(g)).astype(np.int32)), pa.array([x.tobytes() for x in g], pa.binary()), *own,
+                        pa.array(arrays.sharpness(g)), pa.array(arrays.otsu(arrays.histograms(g)).astype(np.int32)), pa.array([x.tobytes() for x in g], pa.binary()), *(part.column(c) for c in carried),
                     ],
-                    ["clip_id", "fi", "k", "w", "h", "sharp", "otsu", "luma", *(["crop_w", "crop_h", "fmt", "color_range", "data"] if crops else [])],
+                    ["clip_id", "fi", "k", "w", "h", "sharp", "otsu", "luma", *carried],
                 )
 
-    columns = ("clip_id", "fi", "k", "w", "h", "fmt", "color_range", "data")
-    return frames.where("data is not null").select(*columns).mapInArrow(run, WITH_CROPS if crops else FEATURES)
+    columns = ("clip_id", "fi", "k", "w", "h", "fmt", "color_range", "data", *carried)
+    return frames.where("data is not null").select(*columns).mapInArrow(run, FEATURES + "".join(f", {c} int" for c in carried))
+
+
+def median_thresholds(features: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """keys, threshold: the median of the samples' own thresholds, cut to an int."""
+    return features.groupBy(*keys).agg(F.floor(F.percentile("otsu", F.lit(0.5))).cast("int").alias("threshold"))
 
 
 def clip_thresholds(features: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
     """keys, threshold: the median of the first CALIBRATION samples' own thresholds, cut to an int."""
-    first = features.where(F.col("k") < CALIBRATION)
-    return first.groupBy(*keys).agg(F.floor(F.percentile("otsu", F.lit(0.5))).cast("int").alias("threshold"))
+    return median_thresholds(features.where(F.col("k") < CALIBRATION), keys)
 
 
 def clip_thresholds_strided(features: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 
 from textframes.functions import arrays
 from textframes.functions.arrays import INPUT_HEIGHT
+from textframes.operators.models import characters, found
+from textframes.operators.timing import Clock
 
 #: Takes images (48 x w x 3, float32 0..255, in order) and gives text and score of each.
 Recogniser = Callable[[list[np.ndarray]], list[tuple[str, float]]]
@@ -40,10 +43,14 @@ class StandIn:
 
 
 class OnnxRecogniser:
-    """A CTC model file and a character table, run by onnxruntime: padded batches, then arrays.ctc."""
+    """A CTC model file and a character table, run by onnxruntime: padded batches, then arrays.ctc.
 
-    def __init__(self, model: str, charset: list[str], fill_width: int = 224, threads: int = 1) -> None:
-        self.model, self.charset, self.fill_width, self.threads, self.session = model, charset, fill_width, threads, None
+    model, and charset if it is a path, are found where the recogniser runs: as paths, in folders, or
+    among the files that models.ship() sent.
+    """
+
+    def __init__(self, model: str, charset: list[str] | str, fill_width: int = 224, threads: int = 1, folders: tuple[str, ...] = ()) -> None:
+        self.model, self.charset, self.fill_width, self.threads, self.folders, self.session = model, charset, fill_width, threads, folders, None
 
     def __call__(self, images: list[np.ndarray]) -> list[tuple[str, float]]:
         if self.session is None:
@@ -51,22 +58,24 @@ class OnnxRecogniser:
 
             options = onnxruntime.SessionOptions()
             options.intra_op_num_threads = self.threads
-            self.session = onnxruntime.InferenceSession(self.model, options, providers=["CPUExecutionProvider"])
+            self.session = onnxruntime.InferenceSession(found(self.model, self.folders), options, providers=["CPUExecutionProvider"])
+            if isinstance(self.charset, str):
+                self.charset = characters(found(self.charset, self.folders))
         if not images:
             return []
         order = np.argsort([i.shape[1] / i.shape[0] for i in images], kind="stable").tolist()
         ratio = arrays.batch_ratio([i.shape[:2] for i in images], self.fill_width)
         batch = np.stack([arrays.normalise(images[k], ratio) for k in order])
-        found: list[tuple[str, float]] = [("", 0.0)] * len(images)
+        texts: list[tuple[str, float]] = [("", 0.0)] * len(images)
         for at in range(0, len(batch), BATCH):
             (p,) = self.session.run(None, {self.session.get_inputs()[0].name: batch[at : at + BATCH]})
             for k, one in zip(order[at : at + BATCH], p, strict=True):
-                found[k] = arrays.ctc(one, self.charset)
-        return found
+                texts[k] = arrays.ctc(one, self.charset)
+        return texts
 
 
 def recognise(reps: DataFrame, make: Callable[[], Recogniser], aspect: float = 0.0, gamma: float = 2.0, separation: str = "",
-              fill_width: int = 0, batch_rows: int = BATCH) -> DataFrame:
+              fill_width: int = 0, batch_rows: int = BATCH, clock: Clock | None = None) -> DataFrame:
     """reps (w, h, fmt, data and other columns, which are carried; a row for each segment) with text and confidence.
 
     make() builds the recogniser once in each Python worker. It gets batch_rows images at most,
@@ -85,6 +94,7 @@ def recognise(reps: DataFrame, make: Callable[[], Recogniser], aspect: float = 0
             if fill_width and hasattr(held[0], "fill_width"):
                 held[0].fill_width = fill_width
         for batch in batches:
+            began = time.perf_counter()
             text: list[str | None] = [None] * batch.num_rows
             score = [0.0] * batch.num_rows
             data = batch.column("data")
@@ -100,6 +110,9 @@ def recognise(reps: DataFrame, make: Callable[[], Recogniser], aspect: float = 0
                     images.append(arrays.separate_input(image, separation) if separation else image)
                 for i, (t, s) in zip(rows, held[0](images), strict=True):
                     text[i], score[i] = t or None, float(s)
+            if clock:
+                chunk = batch.column("chunk")[0].as_py() if "chunk" in batch.schema.names and batch.num_rows else 0
+                clock.add("ocr", time.perf_counter() - began, chunk)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(score)], [*batch.schema.names, "text", "confidence"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

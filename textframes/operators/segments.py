@@ -17,124 +17,12 @@ from textframes.sources.shared import few, saved
 CHANGE = 5.0
 #: Mean difference up to which neighbouring segments are similar.
 SIMILAR = 3.0
-#: Samples that one task compares in a row.
-RANGE = 1024
-#: Segments that are folded in a row.
-MERGE_RANGE = 8192
-
-
-def _ranges(features: DataFrame, thresholds: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
-    """Samples with their threshold, dealt by ranges of k; the last of a range also goes to the next one."""
-    part = F.floor(F.col("k") / RANGE)
-    twice = F.when(F.col("k") % RANGE == RANGE - 1, F.array(part, part + 1)).otherwise(F.array(part))
-    rows = features.join(thresholds, list(keys))
-    rows = rows.select(*keys, "fi", "k", "h", "w", "luma", "threshold", *more, F.explode(twice).alias("part"))
-    return rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "k")
-
-
-class Scorer:
-    """Scores of samples that come in order, batch after batch: pairs of the same size are compared together."""
-
-    def __init__(self, keys: tuple[str, ...]) -> None:
-        self.keys, self.last = keys, None
-
-    def scores(self, batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
-        """(keys, part, k) of each row, and its score: -1 without a sample before it."""
-        names = [*zip(*(batch.column(c).to_pylist() for c in (*self.keys, "part", "k")), strict=True)]
-        sizes = [*zip(*(batch.column(c).to_pylist() for c in ("h", "w", "threshold")), strict=True)]
-        luma = batch.column("luma").to_pylist()
-        before = [self.last, *zip(names, sizes, luma, strict=True)][: len(names)]
-        score = np.full(len(names), -1, np.int64)
-        alike: dict[tuple, list[int]] = {}
-        for i, (x, own, name) in enumerate(zip(before, sizes, names, strict=True)):
-            if x is not None and x[0][:-1] == name[:-1] and x[0][-1] == name[-1] - 1:
-                if x[1][:2] == own[:2]:
-                    alike.setdefault(own, []).append(i)
-                else:
-                    score[i] = 9  # another size is a change of everything
-        for (h, w, threshold), rows in alike.items():
-            for at in range(0, len(rows), max(1, (1 << 24) // (h * w))):
-                part = rows[at : at + max(1, (1 << 24) // (h * w))]
-                bits = [(np.frombuffer(b"".join(x), np.uint8) > threshold).reshape(-1, h, w) for x in ([luma[i] for i in part], [before[i][2] for i in part])]
-                score[part] = arrays.cluster(bits[0] != bits[1])
-        if names:
-            self.last = (names[-1], sizes[-1], luma[-1])
-        return names, score
-
-
-def change_scores(features: DataFrame, thresholds: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
-    """keys, fi, k, score: the largest 3 x 3 cluster of pixels whose bit (luma > threshold) differs from the sample before.
-
-    The first sample of a key has no score. Samples are dealt by ranges of k, the last of a range
-    also to the next one: one shuffle, and a long clip is many tasks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(keys)
-        for batch in batches:
-            names, score = scorer.scores(batch)
-            keep = [k // RANGE == part for *_, part, k in names]  # a range's first row may be the last of the one before
-            out = [*(batch.column(c) for c in keys), batch.column("fi"), batch.column("k"), pa.array(score.astype(np.int32), mask=score < 0)]
-            yield pa.RecordBatch.from_arrays(out, [*keys, "fi", "k", "score"]).filter(pa.array(keep, pa.bool_()))
-
-    types = {"clip_id": "string", "chunk": "int"}
-    rows = _ranges(features, thresholds, keys).drop("sharp")
-    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keys) + ", fi bigint, k bigint, score int")
-
-
-def range_segments(features: DataFrame, thresholds: DataFrame, change: float = CHANGE, keys: tuple[str, ...] = ("clip_id",), keep_frames: bool = True) -> DataFrame:
-    """keys, part, seg, changes, start, end, n, best, frames: the segments of each range of samples, in one pass over features.
-
-    seg counts the changes in the range up to the segment, changes are those of the whole range.
-    best: sharp and -fi of the sharpest sample, the first of equals.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(keys)
-        name: tuple | None = None
-        held: list[list] = []  # segments of the range: start, end, n, sharp, fi, frames
-        changes = 0
-
-        def out() -> pa.RecordBatch:
-            n, first = len(held), changes - len(held) + 1
-            start, end, count, sharp, fi, frames = zip(*held, strict=True)
-            columns = [pa.array([x] * n) for x in name[: len(keys)]] + [pa.array([name[-1]] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array([changes] * n, pa.int64())]
-            if "chunk" in keys:
-                columns[keys.index("chunk")] = columns[keys.index("chunk")].cast(pa.int32())
-            best = pa.StructArray.from_arrays([pa.array(sharp, pa.float64()), pa.array([-x for x in fi], pa.int64())], ["sharp", "at"])
-            columns += [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(count, pa.int64()), best, pa.array(frames, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, [*keys, "part", "seg", "changes", "start", "end", "n", "best", "frames"])
-
-        for batch in batches:
-            names, score = scorer.scores(batch)
-            for (*own, k), s, fi, sharp in zip(names, score.tolist(), batch.column("fi").to_pylist(), batch.column("sharp").to_pylist(), strict=True):
-                if k // RANGE != own[-1]:
-                    continue
-                if name != tuple(own):
-                    if held:
-                        yield out()
-                    name, held, changes = tuple(own), [], 0
-                if s >= change:
-                    changes += 1
-                if not held or s >= change:
-                    held.append([fi, fi, 0, -1.0, fi, []])
-                last = held[-1]
-                last[1], last[2] = fi, last[2] + 1
-                if sharp > last[3]:
-                    last[3], last[4] = sharp, fi
-                if keep_frames:
-                    last[5].append(fi)
-        if held:
-            yield out()
-
-    types = {"clip_id": "string", "chunk": "int"}
-    schema = ", ".join(f"{c} {types[c]}" for c in keys)
-    schema += ", part bigint, seg bigint, changes bigint, start bigint, end bigint, n bigint, best struct<sharp: double, at: bigint>, frames array<bigint>"
-    return _ranges(features, thresholds, keys, "sharp").mapInArrow(run, schema)
+#: Segments that are folded in a row; rounds after which ranges get longer, and how many times.
+MERGE_RANGE, ROUNDS, LONGER = 8192, 6, 16
 
 
 def joined_segments(ranges: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
-    """keys, seg (from 0), start, end, n, rep_frame, frames: segments of ranges, joined over their borders.
+    """keys, seg (from 0), start, end, n, rep_frame, h, w, luma, frames: segments of ranges, joined over their borders, with their representative's plane.
 
     A range's segments are numbered on from the changes of the ranges before it: a sum over ranges, not frames.
     """
@@ -143,7 +31,7 @@ def joined_segments(ranges: DataFrame, keys: tuple[str, ...] = ("clip_id",)) ->
     sums = sums.select(*keys, "part", F.coalesce(F.sum("changes").over(before), F.lit(0)).alias("_before"))
     rows = ranges.join(sums, [*keys, "part"]).withColumn("seg", F.col("seg") + F.col("_before"))
     best = F.max("best")
-    out = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), (-best["at"]).alias("rep_frame")]
+    out = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), (-best["at"]).alias("rep_frame"), *(best[c].alias(c) for c in ("h", "w", "luma"))]
     return rows.groupBy(*keys, "seg").agg(*out, F.array_sort(F.flatten(F.collect_list("frames"))).alias("frames"))
 
 
@@ -167,9 +55,9 @@ def chunk_bounds(n: int, chunks: int = 4, least: int = 16) -> list[tuple[int, in
     return [(i * n // count, (i + 1) * n // count) for i in range(count)]
 
 
-def with_chunks(features: DataFrame, chunks: int = 4, least: int = 16) -> DataFrame:
-    """features with chunk, and k counted in it: chunk_bounds in each clip."""
-    total = features.groupBy("clip_id").agg(F.count("*").alias("n"))
+def with_chunks(features: DataFrame, chunks: int = 4, least: int = 16, totals: DataFrame | None = None) -> DataFrame:
+    """features with chunk, and k counted in it: chunk_bounds in each clip. totals (clip_id, n): samples of each clip, if known."""
+    total = totals if totals is not None else features.groupBy("clip_id").agg(F.count("*").alias("n"))
     count = F.least(F.col("n"), F.greatest(F.lit(2), F.least(F.lit(chunks or 4), F.greatest(F.lit(2), F.floor(F.col("n") / least)))))
     # k is in chunk i if i n div c <= k < (i + 1) n div c, so i = (k c + c - 1) div n
     rows = features.join(total, "clip_id").withColumn("_c", count)
@@ -185,24 +73,14 @@ def hybrid_ranges(samples: DataFrame, calibration: int, ratio: float) -> DataFra
     return samples.join(total, "clip_id").select("clip_id", "fi", "k", side.alias("side"))
 
 
-def merged_ids(segs: DataFrame, features: DataFrame, thresholds: DataFrame, mode: str = "binary", most_mean: float = SIMILAR,
-               most_changed: int = 32, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
-    """keys, seg, first_seg: the segment that each one is folded into.
+class AnchorFold:
+    """Folds a range of representatives that come in order: each is folded into the anchor if it is similar, else is the next anchor."""
 
-    In order, a segment whose representative is similar to that of the last one kept is folded into
-    it; the one kept stays the anchor. Only the representatives' luma moves.
+    def __init__(self, mode: str, most_mean: float, most_changed: int) -> None:
+        self.rule = (mode, most_mean, most_changed)
 
-    Segments are folded by ranges, each as if its first segment were kept. Then each range learns
-    the anchor that the range before ends with, and folds again; where that changes its own last
-    anchor, the next range follows, until none changes. A range of an unchanging picture costs a round.
-    """
-    types = {"clip_id": "string", "chunk": "int"}
-    luma = features.select(*keys, F.col("fi").alias("rep_frame"), "h", "w", "luma")
-    named = segs.select(*keys, "seg", "rep_frame", F.floor(F.col("seg") / MERGE_RANGE).alias("part"))
-    rows = luma.join(few(named), [*keys, "rep_frame"]).join(thresholds, list(keys))
-    rows = saved(rows.select(*keys, "part", "seg", "h", "w", "luma", "threshold"), "merge-reps")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(self, batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+        mode, most_mean, most_changed = self.rule
         name, anchor, anchor_seg = None, None, -1
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
@@ -215,27 +93,89 @@ def merged_ids(segs: DataFrame, features: DataFrame, thresholds: DataFrame, mode
                 first.append(anchor_seg)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "part", "seg")), pa.array(first, pa.int64())], [*keys, "part", "seg", "first_seg"])
 
+
+def merged_ids(segs: DataFrame, thresholds: DataFrame, mode: str = "binary", most_mean: float = SIMILAR, most_changed: int = 32,
+               keys: tuple[str, ...] = ("clip_id",), paths: list[str] | None = None, rounds: list[int] | None = None) -> DataFrame:
+    """keys, seg, first_seg: the segment that each one is folded into. segs: with the planes (h, w, luma) of their representatives.
+
+    In order, a segment whose representative is similar to that of the last one kept is folded into
+    it; the one kept stays the anchor.
+
+    Segments are folded by ranges, each as if its first segment were kept: that is the range's own result. To
+    an anchor that comes in a range does one of three things. If its first segment isn't similar to it, the own result
+    holds, whatever the anchor. Else the range is folded again with it, and either passes it through,
+    or ends with an anchor of its own. What comes into a range is the end of the last range before it
+    that doesn't pass through: a window over one row for each range. So where one picture goes on over many ranges,
+    all of them get its anchor in the round after they are known to pass. Rounds go on until no
+    range gets another anchor; each folds only the ranges that do, and keeps the results of the others. Where
+    ROUNDS rounds don't settle it, which takes anchors that each end some ranges later, ranges get LONGER
+    times longer: the number of rounds grows with the logarithm of a clip's segments.
+
+    paths: gets what is written to the shared folder. rounds: gets the number of ranges that each round folds again.
+    """
+    reps = segs.select(*keys, "seg", "h", "w", "luma").join(few(thresholds), list(keys))
+    reps = saved(reps, "merge-reps", paths)
+    size, done = MERGE_RANGE, None
+    most = reps.agg(F.max("seg")).head()[0] or 0
+    while done is None:
+        done = _folded_by_ranges(reps, AnchorFold(mode, most_mean, most_changed), keys, size, size > most, [] if paths is None else paths, [] if rounds is None else rounds)
+        size *= LONGER
+    return done
+
+
+def _folded_by_ranges(reps: DataFrame, fold: AnchorFold, keys: tuple[str, ...], size: int, whole: bool, paths: list[str], rounds: list[int]) -> DataFrame | None:
+    """merged_ids by ranges of `size` segments, or None if that isn't settled after ROUNDS rounds and a clip has more than one."""
+    types, order = {"clip_id": "string", "chunk": "int"}, [*keys, "part"]
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", part bigint, seg bigint, first_seg bigint"
+    rows = reps.withColumn("part", F.floor(F.col("seg") / size))
+
     def folded(some: DataFrame) -> DataFrame:
-        order = [*keys, "part"]
         dealt = some.repartition(*order).sortWithinPartitions(*order, "seg")
-        return dealt.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keys) + ", part bigint, seg bigint, first_seg bigint")
-
-    done = saved(folded(rows), "merge-folded")
-    last = F.max_by("first_seg", "seg").alias("anchor")
-    came = done.select(*keys, "part").distinct().select(*keys, "part", F.lit(None).cast("bigint").alias("anchor"))
-    while True:
-        ends = done.groupBy(*keys, "part").agg(last)
-        comes = ends.select(*keys, (F.col("part") + 1).alias("part"), F.col("anchor").alias("now"))
-        wrong = came.join(comes, [*keys, "part"]).where(~F.col("anchor").eqNullSafe(F.col("now"))).select(*keys, "part", "now")
-        wrong = saved(wrong, "merge-wrong")
-        if wrong.isEmpty():
-            return done.drop("part")
-        again = rows.join(few(wrong), [*keys, "part"]).drop("now")
-        anchors = rows.drop("part").join(few(wrong.withColumnRenamed("now", "seg")), [*keys, "seg"])
-        new = folded(again.unionByName(anchors)).where(F.floor(F.col("seg") / MERGE_RANGE) == F.col("part"))
-        done = saved(done.join(few(wrong.drop("now")), [*keys, "part"], "left_anti").unionByName(new), "merge-folded")
-        came = came.join(wrong, [*keys, "part"], "left").select(*keys, "part", F.coalesce("now", "anchor").alias("anchor"))
-        came = saved(came, "merge-anchors")
+        return dealt.mapInArrow(lambda batches: fold.run(batches, keys), schema)
+
+    def with_anchor(some: DataFrame, ids: DataFrame) -> DataFrame:
+        """Rows of some ranges, each range after the anchor that comes in (ids: keys, part, comes)."""
+        anchors = reps.join(few(ids.select(*keys, "part", F.col("comes").alias("seg"))), [*keys, "seg"])
+        return some.unionByName(anchors.select(*some.columns))
+
+    def ends(some: DataFrame) -> DataFrame:
+        return some.groupBy(*order).agg(F.max_by("first_seg", "seg").alias("end"))
+
+    own = saved(folded(rows), "merge-own", paths)
+    if whole:
+        return own.drop("part")
+    # of each range: its own end, and by which round's fold (0: its own) it ends how
+    state = saved(ends(own).select(*order, F.col("end").alias("own"), "end", F.lit(None).cast("bigint").alias("comes"), F.lit(False).alias("passes"), F.lit(0).alias("round")), "merge-state", paths)
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    refolded: list[DataFrame] = []
+    for number in range(1, ROUNDS + 1):
+        now = F.last(F.when(~F.col("passes"), F.col("end")), ignorenulls=True).over(before)
+        state = state.withColumn("_now", now)
+        changed = state.where(~F.col("_now").eqNullSafe(F.col("comes")) & F.col("_now").isNotNull()).select(*order, F.col("_now").alias("comes"))
+        changed = saved(changed, "merge-changed", paths)
+        rounds.append(changed.count())
+        if not rounds[-1]:
+            chosen = state.select(*order, "round")
+            every = own.withColumn("round", F.lit(0))
+            for k, some in enumerate(refolded, 1):
+                every = every.unionByName(some.withColumn("round", F.lit(k)))
+            return every.join(few(chosen), [*order, "round"]).select(*keys, "seg", "first_seg")
+        # of these, which begin with a segment that is similar to what comes
+        heads = rows.where(F.col("seg") % size == 0).join(few(changed.select(*order)), order).select(*rows.columns)
+        near = folded(with_anchor(heads, changed)).where(F.floor(F.col("seg") / size) == F.col("part")).where("first_seg <> seg")
+        near = saved(near.select(*order, F.col("first_seg").alias("comes")), "merge-near", paths)
+        again = rows.join(few(near.select(*order)), order).select(*rows.columns)
+        again = saved(folded(with_anchor(again, near)).where(F.floor(F.col("seg") / size) == F.col("part")), "merge-folded", paths)
+        refolded.append(again)
+        result = near.join(ends(again), order).select(*order, F.col("end").alias("_end"), (F.col("end") == F.col("comes")).alias("_passes"))
+        both = state.join(few(changed.select(*order, F.col("comes").alias("_comes"))), order, "left").join(few(result), order, "left")
+        hit, touched = F.col("_end").isNotNull(), F.col("_comes").isNotNull()
+        state = both.select(
+            *order, "own", F.when(hit, F.col("_end")).when(touched, F.col("own")).otherwise(F.col("end")).alias("end"), F.coalesce("_comes", "comes").alias("comes"),
+            F.when(touched, F.coalesce("_passes", F.lit(False))).otherwise(F.col("passes")).alias("passes"), F.when(hit, number).when(touched, 0).otherwise(F.col("round")).alias("round"),
+        )
+        state = saved(state, "merge-state", paths)
+    return None
 
 
 def merge(segs: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:

@@ -178,9 +178,8 @@ def merge_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring segments whose representatives are similar in binary mode, at 36."""
-    p = plan(spark, sf_dir, merge=False)
-    luma = p.features.select(F.col("fi").alias("rep_frame"), "luma")
-    reps = p.segments.select("clip_id", "seg", "rep_frame").join(luma, "rep_frame").join(p.thresholds, "clip_id")
+    p = plan(spark, sf_dir)
+    reps = p.raw_segments.select("clip_id", "seg", "luma").join(p.thresholds, "clip_id")
     pairs = reps.select("seg", "luma", "threshold").join(reps.select((F.col("seg") - 1).alias("seg"), F.col("luma").alias("next")), "seg")
 
     def run(batches):

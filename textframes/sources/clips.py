@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from textframes.operators.ordered import running_total
 
 FRAMES = "clip_id string, fi bigint, w int, h int, fmt string, color_range tinyint, data binary"
+#: Samples dealt by ranges: k counts samples, own is false for the last sample of the range before.
+HALO = FRAMES + ", k bigint, part bigint, own boolean"
+#: Samples of a range.
+RANGE = 1024
 
 
 def bytes_of(values: Column) -> Column:
@@ -66,6 +70,14 @@ def sample(frames: DataFrame, start: int = 0, end: int | None = None, stride: in
     return kept.where((F.col("fi") - start) % stride == 0).withColumn("k", F.expr(f"(fi - {start}L) div {stride}"))
 
 
+def with_halo(samples: DataFrame) -> DataFrame:
+    """Samples with the range of k that they are in (part); the last of a range also goes to the next one, as not its own."""
+    part = F.floor(F.col("k") / RANGE)
+    own, next_ = F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part + 1).alias("part"), F.lit(False).alias("own"))
+    twice = F.when(F.col("k") % RANGE == RANGE - 1, F.array(own, next_)).otherwise(F.array(own))
+    return samples.withColumn("_to", F.explode(twice)).select(*samples.columns, "_to.part", "_to.own")
+
+
 def charset(spark, path: str) -> DataFrame:
     """idx, ch: the blank, the lines of a text file in order, a space."""
     lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("lines"))

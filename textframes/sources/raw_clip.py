@@ -6,6 +6,11 @@ without gaps. Options: path (a file, or a folder of clips, that every executor c
 (frames of a partition), filters (`true`: take bounds on fi from filters, which needs
 spark.sql.python.filterPushdown.enabled). Range, stride, region and format are taken in the reader, so
 that other bytes are not read into rows.
+
+Samples for a plan (`halo` set to `true`): rows also have k (the sample's number), part (the
+partition's number in its clip) and own; a partition begins with the last sample of the one before (own is
+false). first: only so many samples at the start of each of `chunks` parts of a clip. spread: only about
+so many samples, at equal steps.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from textframes.functions.arrays import expand_range, gray
-from textframes.sources.clips import FRAMES
+from textframes.operators.segments import chunk_bounds
+from textframes.sources.clips import FRAMES, HALO
 
 MAGIC = "RAWCLIP"
 
@@ -53,7 +59,7 @@ class RawClips(DataSource):
         return "rawclip"
 
     def schema(self) -> str:
-        return FRAMES
+        return HALO if self.options.get("halo") == "true" else FRAMES
 
     def reader(self, schema) -> RawClipReader:  # noqa: ANN001
         return (FilteringReader if self.options.get("filters") == "true" else RawClipReader)(self.options)
@@ -69,40 +75,72 @@ class RawClipReader(DataSourceReader):
         self.stride, self.rows = max(1, int(options.get("stride", 1))), int(options.get("rows", 512))
         self.roi = tuple(map(int, options["roi"].split(","))) if options.get("roi") else None
         self.fmt = options.get("fmt", "")
+        self.halo, self.first, self.spread, self.chunks = options.get("halo") == "true", int(options.get("first", 0)), int(options.get("spread", 0)), int(options.get("chunks", 0))
         self.least, self.most = 0, 1 << 62
 
+    def files(self) -> list[str]:
+        return sorted(str(p) for p in Path(self.path).iterdir() if p.is_file()) if os.path.isdir(self.path) else [self.path]
+
+    def clip_id(self, file: str) -> str:
+        return self.clip or (os.path.basename(file) if os.path.isdir(self.path) else self.path)
+
+    def samples(self, head: Header) -> int:
+        """Samples of a file in the range."""
+        end = min(head.frames, self.end or head.frames)
+        return max(0, -(-(end - self.start) // self.stride))
+
+    def spans(self, n: int, head: Header | None = None) -> list[tuple[int, int, int]]:
+        """First sample, end and step of what is read of n samples, for each partition."""
+        if self.first:
+            bounds = chunk_bounds(n, self.chunks) if self.chunks and n else [(0, n)]
+            return [(a, min(b, a + self.first), 1) for a, b in bounds]
+        if self.spread:
+            step = max(1, n // self.spread)
+            return [(0, min(n, step * self.spread), step)]
+        least = max(0, -(-(self.least - self.start) // self.stride))
+        most = min(n, max(0, -(-(self.most - self.start) // self.stride)))
+        return [(at, min(at + self.rows, most), 1) for at in range(least, most, self.rows)]
+
     def partitions(self) -> list[InputPartition]:
-        files = sorted(str(p) for p in Path(self.path).iterdir() if p.is_file()) if os.path.isdir(self.path) else [self.path]
         out = []
-        for file in files:
-            n = Header(file).frames
-            end = min(n, self.end or n, self.most)
-            start = self.start + max(0, -(-(self.least - self.start) // self.stride)) * self.stride
-            step = self.rows * self.stride
-            out += [InputPartition((file, at, min(at + step, end))) for at in range(start, end, step)]
-        return out or [InputPartition((files[0] if files else "", 0, 0))]
+        for file in self.files():
+            head = self.header(file)
+            out += [InputPartition((file, a, b, step, part)) for part, (a, b, step) in enumerate(self.spans(self.samples(head), head)) if b > a]
+        return out or [InputPartition(("", 0, 0, 1, 0))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        file, begin, end = partition.value
+        file, begin, end, step, part = partition.value
         if end <= begin:
             return
-        head = Header(file)
-        clip = self.clip or (os.path.basename(file) if os.path.isdir(self.path) else self.path)
+        head = self.header(file)
+        before = [begin - 1] if self.halo and begin and not self.first and not self.spread else []
+        wanted = [*before, *range(begin, end, step)]
+        for at in range(0, len(wanted), self.BATCH):
+            k = wanted[at : at + self.BATCH]
+            ids = [self.start + x * self.stride for x in k]
+            more = [pa.array(k, pa.int64()), pa.array([part] * len(k), pa.int64()), pa.array([x >= begin for x in k])] if self.halo else []
+            yield self.batch(head, self.clip_id(file), ids, self.frames(file, head, ids), more)
+
+    @staticmethod
+    def header(file: str) -> Header:
+        return Header(file)
+
+    def frames(self, file: str, head: Header, ids: list[int]) -> np.ndarray:
+        """Bytes of frames, which are found by their place in the file."""
         with open(file, "rb") as f:
-            for at in range(begin, end, self.BATCH * self.stride):
-                ids = [*range(at, min(at + self.BATCH * self.stride, end), self.stride)]
-                raw = []
-                for fi in ids:
-                    f.seek(head.offset + fi * head.size)
-                    raw.append(f.read(head.size))
-                fmt, frames = self.taken(head, np.frombuffer(b"".join(raw), np.uint8))
-                h, w = (head.h, frames.shape[2]) if fmt == "nv12" and not self.roi else (self.roi[3] - self.roi[1] + 1, frames.shape[2]) if self.roi else frames.shape[1:3]
-                n, data = len(ids), [np.ascontiguousarray(x).tobytes() for x in frames]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([clip] * n, pa.string()), pa.array(ids, pa.int64()), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()),
-                     pa.array([fmt] * n, pa.string()), pa.array([head.color_range] * n, pa.int8()), pa.array(data, pa.binary())],
-                    ["clip_id", "fi", "w", "h", "fmt", "color_range", "data"],
-                )
+            raw = []
+            for fi in ids:
+                f.seek(head.offset + fi * head.size)
+                raw.append(f.read(head.size))
+        return np.frombuffer(b"".join(raw), np.uint8)
+
+    def batch(self, head: Header, clip: str, ids: list[int], flat: np.ndarray, more: list[pa.Array]) -> pa.RecordBatch:
+        fmt, frames = self.taken(head, flat)
+        h, w = (head.h, frames.shape[2]) if fmt == "nv12" and not self.roi else (self.roi[3] - self.roi[1] + 1, frames.shape[2]) if self.roi else frames.shape[1:3]
+        n, data = len(ids), [np.ascontiguousarray(x).tobytes() for x in frames]
+        columns = [pa.array([clip] * n, pa.string()), pa.array(ids, pa.int64()), pa.array([w] * n, pa.int32()), pa.array([h] * n, pa.int32()),
+                   pa.array([fmt] * n, pa.string()), pa.array([head.color_range] * n, pa.int8()), pa.array(data, pa.binary()), *more]
+        return pa.RecordBatch.from_arrays(columns, ["clip_id", "fi", "w", "h", "fmt", "color_range", "data", "k", "part", "own"][: len(columns)])
 
     def taken(self, head: Header, flat: np.ndarray) -> tuple[str, np.ndarray]:
         """Frames in the format asked for, cut to the region. `nv12` of a clip that isn't falls back to gray."""
@@ -163,13 +201,15 @@ def cut_packed(frames: np.ndarray, h: int, roi: tuple[int, ...]) -> np.ndarray:
 
 
 def open_clip(spark: SparkSession, path: str, *, gray_output: bool = False, yuv_output: bool = False, roi: tuple | None = None,
-              start: int = 0, end: int | None = None, stride: int = 1, clip_id: str | None = None) -> DataFrame:
-    """Frames of a raw clip, or of all clips in a folder. Formats: packed 4:2:0 before gray before what is stored."""
-    spark.dataSource.register(RawClips)
-    reader = spark.read.format(RawClips.name()).option("path", path).option("start", start).option("end", end or 0).option("stride", stride)
+              start: int = 0, end: int | None = None, stride: int = 1, clip_id: str | None = None, source: type[DataSource] = RawClips, **more: object) -> DataFrame:
+    """Frames of a clip, or of all clips in a folder. Formats: packed 4:2:0 before gray before what is stored. more: further options."""
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("path", path).option("start", start).option("end", end or 0).option("stride", stride)
     reader = reader.option("filters", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     if yuv_output or gray_output:
         reader = reader.option("fmt", "nv12" if yuv_output else "gray")
     if roi is not None:
         reader = reader.option("roi", ",".join(map(str, roi)))
+    for name, value in more.items():
+        reader = reader.option(name, str(value).lower())
     return (reader.option("clip_id", clip_id) if clip_id else reader).load()

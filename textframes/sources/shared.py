@@ -5,17 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of ids that are broadcast at most, once counted.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a table that are broadcast at most, once measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """df, written to a new path in spark.checkpoint.dir and read again: computed once, and executors may be lost.
 
-    Where that is unset, only a local session gets a folder of its own.
+    Where that is unset, only a local session gets a folder of its own. paths: gets the path, for removed().
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,9 +25,32 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         base = "file://" + tempfile.gettempdir() + "/textframes-shared"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark, paths: list[str]) -> None:
+    """Deletes folders that saved() wrote, once nothing reads them any more."""
+    while paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _bytes(name: str, kind: str) -> Column:
+    """Bytes of a column's value, about; what isn't flat is measured as text."""
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(name), F.lit(0)).cast("bigint")
+    if kind.startswith(("array<", "struct<", "map<")):
+        flat = kind.removeprefix("array<")[:-1] in ("bigint", "int", "double", "float", "smallint", "tinyint", "boolean")
+        return F.coalesce(8 * F.size(name) if flat else F.length(F.to_json(name)), F.lit(0)).cast("bigint")
+    return F.lit(8).cast("bigint")
+
+
 def few(ids: DataFrame) -> DataFrame:
-    """A table of ids, marked for broadcast if it is counted to be small; else left to a shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    """A table, marked for broadcast if its counted rows and measured bytes are few; else left to a shuffle."""
+    size = F.lit(0).cast("bigint")
+    for name, kind in ids.dtypes:
+        size = size + _bytes(name, kind)
+    rows, total = ids.agg(F.count("*"), F.sum(size)).head()
+    return F.broadcast(ids) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else ids
