@@ -62,13 +62,13 @@ class SuffixStates:
     whose suffix link is the suffix's state. So there are no transitions: only lengths, links and numbers of end places.
     """
 
-    def __init__(self, words: np.ndarray, room: np.ndarray, shortest: int, deepest: int) -> None:
-        """words: of all sequences in a row. room: words up to each that a substring ending there may have."""
+    def __init__(self, words: np.ndarray, room: np.ndarray, marks: np.ndarray, shortest: int, deepest: int) -> None:
+        """words: of all sequences in a row. room: words up to each that a substring ending there may have. A state keeps the least mark of its places."""
         self.keys = [words[:0], words]
         for k in range(2, shortest):
             self.keys.append(self._level(k))
         none = np.zeros(0, np.int64)
-        first, last, count, link, end = none, none, none, none, none
+        first, last, count, link, end, mark = none, none, none, none, none, marks[:0]
         state_at, n_at = np.full(len(words), -1, np.int64), np.full(len(words), -1, np.int64)
         for k in range(shortest, deepest + 1):
             if k > 1:
@@ -82,22 +82,23 @@ class SuffixStates:
             group = np.cumsum(new) - 1
             n = np.diff(np.r_[np.flatnonzero(new), len(key)])
             where = at[order[new]]  # a place where it ends
+            least = np.minimum.reduceat(marks[at[order]], np.flatnonzero(new))
             suffix = state_at[where]
             own = (suffix < 0) | (n_at[where] != n)
             state = np.where(own, len(first) + np.cumsum(own) - 1, suffix)
             last[suffix[~own]] = k
             first, last = np.r_[first, np.full(own.sum(), k)], np.r_[last, np.full(own.sum(), k)]
-            count, link, end = np.r_[count, n[own]], np.r_[link, suffix[own]], np.r_[end, where[own]]
+            count, link, end, mark = np.r_[count, n[own]], np.r_[link, suffix[own]], np.r_[end, where[own]], np.r_[mark, least[own]]
             state_at[at[order]], n_at[at[order]] = state[group], n[group]
-        self.first, self.last, self.count, self.link, self.end = first, last, count, link, end
+        self.first, self.last, self.count, self.link, self.end, self.mark = first, last, count, link, end, mark
 
     def _level(self, k: int) -> np.ndarray:
         out = np.zeros(len(self.keys[1]), _U)
         out[k - 1 :] = longer(self.keys[k - 1][k - 1 :], self.keys[1][: len(out) - k + 1])
         return out
 
-    def substrings(self) -> tuple[np.ndarray, np.ndarray]:
-        """Key and number of end places of every substring: a state's are those of each of its lengths."""
+    def substrings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, number of end places and least mark of every substring: a state's are those of each of its lengths."""
         wide = self.last - self.first + 1
         state = np.repeat(np.arange(len(wide)), wide)
         length = self.first[state] + np.arange(len(state)) - np.repeat(np.cumsum(wide) - wide, wide)
@@ -105,7 +106,7 @@ class SuffixStates:
         for k in range(int(length.max(initial=0)) + 1):
             at = length == k
             key[at] = self.keys[k][self.end[state[at]]] if k else 0
-        return key, self.count[state]
+        return key, self.count[state], self.mark[state]
 
 
 def state_of(lang: np.ndarray) -> np.ndarray:
@@ -153,14 +154,16 @@ def _allowed(words: np.ndarray, room: np.ndarray, length: int, frequent: Frequen
 
 def _texts(docs: DataFrame) -> DataFrame:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("_lang"), F.col("text").cast("string").alias("text")).where("text is not null")
+    text = F.col("text").cast("string")
+    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("_lang"), text.alias("text"), F.hash(lang, text).alias("_at")).where("text is not null")
 
 
 def counts(texts: DataFrame, shortest: int, deepest: int, frequent: Frequent | None) -> DataFrame:
-    """key, n: how often each substring of shortest to deepest words occurs, leaving out those that hold a rare one of shortest - 1.
+    """key, n, at: how often each substring of shortest to deepest words occurs, and the least hash of a text that it occurs in.
 
-    Each slice of texts is a shard with an automaton of its own; numbers of shards are summed, first in
-    each task. With shortest 1, a language's empty phrase has the number of its words.
+    Substrings that hold a rare one of shortest - 1 words are left out. Each slice of texts is a shard with an
+    automaton of its own; numbers of shards are summed, first in each task. With shortest 1, a language's empty
+    phrase has the number of its words.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent) if frequent else None
     cutters: list[PieceCutter] = []
@@ -171,6 +174,7 @@ def counts(texts: DataFrame, shortest: int, deepest: int, frequent: Frequent | N
         for batch in batches:
             for part in slices(batch, "text"):
                 words, room, doc, *_ = _sequences(part, cutters[0])
+                marks = part.column("_at").to_numpy(zero_copy_only=False)[doc]
                 if shared:
                     room = _allowed(words, room, shortest - 1, shared.value)
                     keep = np.flatnonzero(room >= shortest)  # with the words that lead up to these
@@ -178,65 +182,63 @@ def counts(texts: DataFrame, shortest: int, deepest: int, frequent: Frequent | N
                     np.add.at(near, keep - shortest + 1, 1)
                     np.add.at(near, keep + 1, -1)
                     inside = np.cumsum(near[:-1]) > 0
-                    words, room = words[inside], room[inside]
-                key, n = SuffixStates(words, room, shortest, deepest).substrings()
+                    words, room, marks = words[inside], room[inside], marks[inside]
+                key, n, at = SuffixStates(words, room, marks, shortest, deepest).substrings()
                 if shortest == 1:
-                    lang, times = np.unique(part.column("_lang").to_numpy(zero_copy_only=False).view(_U)[doc], return_counts=True)
-                    key, n = np.r_[key, state_of(lang)], np.r_[n, times]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+                    lang, first, of, times = np.unique(part.column("_lang").to_numpy(zero_copy_only=False).view(_U)[doc], return_index=True, return_inverse=True, return_counts=True)
+                    least = np.full(len(lang), np.iinfo(np.int32).max, np.int32)
+                    np.minimum.at(least, of, marks)
+                    key, n, at = np.r_[key, state_of(lang)], np.r_[n, times], np.r_[at, least]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(at.astype(np.int32))], ["key", "n", "at"])
 
-    return texts.select("_lang", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("_lang", "text", "_at").mapInArrow(run, "key bigint, n bigint, at int").groupBy("key").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
 
 
-def named(texts: DataFrame, deepest: int, frequent: Frequent) -> DataFrame:
-    """key, lang, phrase, m, link, stem, heads, tails of each frequent phrase, once from each task, and of some others.
+def named(texts: DataFrame, wanted: DataFrame, deepest: int) -> DataFrame:
+    """key, lang, phrase, m, link, stem, heads, tails of each wanted phrase (key, at), perhaps several times, and perhaps of others.
 
     link: key without the first word, the suffix link's way; stem: without the last. heads and tails: keys of
-    its first 1, 2, ... words and of the rest.
+    its first 1, 2, ... words and of the rest. Only the texts with the hashes `at` are looked at, equal ones once: the least hashes
+    of all, so that few texts name all phrases.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    lists = wanted.groupBy("at").agg(F.collect_list("key").alias("keys"))  # of one text's phrases
+    lists = small(saved(lists, "phrases-lists"))
+    owners = texts.join(lists.select(F.col("at").alias("_at")), "_at", "left_semi").dropDuplicates(["_at", "lang", "text"])
+    rows = owners.join(lists.withColumnRenamed("at", "_at"), "_at").select("lang", "_lang", "text", "keys")
     cutters: list[PieceCutter] = []
     names = ["key", "lang", "phrase", "m", "link", "stem", "heads", "tails"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    signed = lambda x: np.array(x, _U).view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not cutters:
             cutters.append(PieceCutter())
-        told: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 words, room, doc, data, starts, ends = _sequences(part, cutters[0])
+                wanted_here = np.unique(part.column("keys").flatten().to_numpy(zero_copy_only=False)).view(_U)
                 langs, small_text = part.column("lang").to_pylist(), data.tobytes().translate(ASCII_LOWER)
-                keys, rows = [words[:0], words], []
+                keys, out = [words[:0], words], []
                 lang = part.column("_lang").to_numpy(zero_copy_only=False).view(_U)
                 for k, at in zip(*np.unique(lang[doc], return_index=True), strict=True):
-                    key = int(state_of(np.array([k], _U)).view(np.int64)[0])
-                    if key not in told:
-                        told.add(key)
-                        rows.append((key, langs[doc[at]], "", 0, None, None, [], []))
+                    out.append((signed(state_of(np.array([k], _U)))[0], langs[doc[at]], "", 0, None, None, [], []))
                 for k in range(1, deepest + 1):
                     if k > 1:
-                        room = _allowed(words, room, k - 1, shared.value)
                         grown = np.zeros(len(words), _U)
                         grown[k - 1 :] = longer(keys[-1][k - 1 :], words[: len(words) - k + 1])
                         keys.append(grown)
                     at = np.flatnonzero(room >= k)
-                    at = at[shared.value.holds(keys[k][at])]
+                    at = at[np.isin(keys[k][at], wanted_here)]
                     found, first = np.unique(keys[k][at], return_index=True)
                     for key, i in zip(found.view(np.int64).tolist(), at[first].tolist(), strict=True):
-                        if key in told:
-                            continue
-                        told.add(key)
                         s = i - k + 1
                         phrase = b" ".join(small_text[starts[j] : ends[j]] for j in range(s, i + 1)).decode("utf-8", "replace")
-                        heads, tails = [keys[c][s + c - 1] for c in range(1, k)], [keys[k - c][i] for c in range(1, k)]
-                        signed = lambda x: np.array(x, _U).view(np.int64).tolist()
-                        heads, tails = signed(heads), signed(tails)
-                        rows.append((key, langs[doc[i]], phrase, k, tails[0] if k > 1 else None, heads[-1] if k > 1 else None, heads, tails))
-                if rows:
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        heads, tails = signed([keys[c][s + c - 1] for c in range(1, k)]), signed([keys[k - c][i] for c in range(1, k)])
+                        out.append((key, langs[doc[i]], phrase, k, tails[0] if k > 1 else None, heads[-1] if k > 1 else None, heads, tails))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return texts.mapInArrow(run, "key bigint, lang string, phrase string, m int, link bigint, stem bigint, heads array<bigint>, tails array<bigint>")
+    return rows.mapInArrow(run, "key bigint, lang string, phrase string, m int, link bigint, stem bigint, heads array<bigint>, tails array<bigint>")
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -272,14 +274,14 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, share: int
             break
         level = counts(texts, shortest, min(deepest or longest, longest), frequent).where(F.col("n") >= least)
         found.append(saved(level, "phrases-counts"))
-        frequent = Frequent(found[-1])
+        frequent = Frequent(found[-1])  # the driver gets two filters of 32 MB at most
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
     every = saved(every, "phrases-all")
     dropped(*found)
-    of_key = small(every)
-    rows = named(texts, longest, Frequent(every)).join(of_key, "key")
+    of_key = small(every.select("key", "n"))
+    rows = named(texts, every, longest).join(of_key, "key")
     one = F.min(F.struct("lang", "phrase", "m", "link", "stem", "heads", "tails", F.col("n").alias("a"))).alias("x")
     rows = saved(rows.groupBy("key").agg(one).select("key", "x.*"), "phrases-named")
     long = rows.where("m >= 2")

@@ -82,6 +82,8 @@ def small(df: DataFrame) -> DataFrame:
     for c, kind in df.dtypes:
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith("array<"):  # of numbers
+            size = size + 8 * F.coalesce(F.size(c), F.lit(0))
     rows, total = df.agg(F.count("*"), F.sum(size)).head()
     return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES else df
 
