@@ -21,11 +21,12 @@ def words(text: Column) -> Column:
 
 def grams(of: Column, order: int) -> Column:
     """All runs of 1 to order consecutive words, joined by a space."""
-    runs = [of]
-    for k in range(2, order + 1):
-        some = F.transform(F.sequence(F.lit(1), F.size(of) - (k - 1)), lambda i, k=k: F.array_join(F.slice(of, i, F.lit(k)), " "))
-        runs.append(F.when(F.size(of) >= k, some).otherwise(F.array().cast("array<string>")))
-    return F.concat(*runs)
+
+    def of_length(k: int) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(of) - (k - 1)), lambda i: F.array_join(F.slice(of, i, F.lit(k)), " "))
+        return F.when(F.size(of) >= k, some).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(of, *map(of_length, range(2, order + 1)))
 
 
 def bucketed(texts: DataFrame, order: int, buckets: int) -> DataFrame:
