@@ -154,3 +154,38 @@ def cut(g, threshold):
         groups[-1].append(f)
         last = bits
     return groups
+
+
+def test_clips_are_written_by_tasks(spark, tmp_path):
+    """Each clip becomes a file that appears whole; writing again gives the same; rows come in any order."""
+    from textframes.sources import clips
+    from textframes.sources.raw_clip import Header, write_clips
+
+    g = moving(30, (5, 4, 1))
+    rows = [(f"c{k % 3}", k // 3, 4, 5, "gray", 1, bytearray(g[k].tobytes())) for k in range(30)] + [("c0", 99, 4, 5, "gray", 1, None)]
+    frames = spark.createDataFrame(rows[::-1], clips.FRAMES).repartition(4)
+    folder = str(tmp_path / "out")
+    for write in (write_clip, write_keyclip):
+        for _ in range(2):
+            assert sorted(tuple(r) for r in write_clips(frames, folder, write, fps=(25, 1)).collect()) == [("c0", 10), ("c1", 10), ("c2", 10)]
+        head = Header if write is write_clip else CodedHeader
+        assert head(f"{folder}/c1").frames == 10 and head(f"{folder}/c1").fps == 25.0
+        back = open_clip(spark, folder, source=source_of(folder)).collect()
+        assert {(r["clip_id"], r["fi"]): bytes(r["data"]) for r in back} == {(r[0], r[1]): bytes(r[6]) for r in rows[:30]}
+
+
+def test_linear_recogniser_by_hand():
+    from textframes.operators.recognise import LinearRecogniser
+
+    r = np.random.default_rng(9)
+    weight, bias, letters = r.integers(-5, 6, (2, 4)), r.integers(-9, 9, 4), ["", "x", "y", "z"]
+    own = LinearRecogniser(weight.tolist(), bias.tolist(), letters, steps=4, heat=32.0)
+    image = np.repeat(r.integers(0, 255, (48, 22, 1)), 3, axis=-1).astype(np.float32)
+    p = own.outputs(image)
+    for k in range(4):
+        cols = range(k * 22 // 4, (k + 1) * 22 // 4)
+        level = [sum(int(image[y, x, 0]) for y in range(b * 24, b * 24 + 24) for x in cols) // (24 * len(cols)) for b in range(2)]
+        z = [(sum(level[b] * int(weight[b, c]) for b in range(2)) + int(bias[c])) / 32 for c in range(4)]
+        e = [np.exp(v - max(z)) for v in z]
+        assert np.allclose(p[k], [np.floor(v / sum(e) * 100 + 0.5) / 100 for v in e])
+    assert own([image]) == [arrays.ctc(p, letters)] and own([]) == []

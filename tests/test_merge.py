@@ -61,13 +61,14 @@ def test_one_picture_needs_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 12 and sum(rounds) <= 2 * 1000 and rounds[-1] == 0
 
 
-def test_written_tables_are_named(spark, tmp_path):
+def test_written_tables_are_named(spark, monkeypatch):
     """What the merge writes can be removed afterwards."""
     import os
 
     from textframes.sources.shared import removed
 
     paths: list[str] = []
+    monkeypatch.setattr(segments, "MERGE_RANGE", 8)
     segments.merged_ids(*planes_of(spark, {"c": cases()["held"]}), "raw", 3.0, 100, paths=paths).count()
     assert paths and all(os.path.isdir(p.removeprefix("file://")) for p in paths)
     gone = list(paths)

@@ -42,6 +42,33 @@ class StandIn:
         return out
 
 
+class LinearRecogniser:
+    """A CTC recogniser of one linear layer: each step sees the mean levels of its part of the width in bands of the height.
+
+    weight: bands x classes, bias: classes; logits are their product with the levels (cut to whole ones), divided by
+    `heat`. Probabilities are a softmax, rounded half up to hundredths. Class 0 is blank. The same product can be written in SQL.
+    """
+
+    def __init__(self, weight: list[list[int]], bias: list[int], charset: list[str], steps: int = 8, heat: float = 64.0) -> None:
+        self.weight, self.bias, self.charset, self.steps, self.heat = np.array(weight), np.array(bias), charset, steps, heat
+
+    def outputs(self, image: np.ndarray) -> np.ndarray:
+        """Probabilities (steps, classes) of one image."""
+        bands, w = len(self.weight), image.shape[1]
+        units = np.floor(image[..., 0].astype(np.float64) * INPUT_HEIGHT + 0.5).astype(np.int64)  # bilinear weights leave whole units
+        rows = np.add.reduceat(units, np.arange(bands) * INPUT_HEIGHT // bands, axis=0)
+        cuts = np.arange(self.steps + 1) * w // self.steps
+        sums = np.pad(rows.cumsum(axis=1), ((0, 0), (1, 0)))
+        wide = np.maximum(1, np.diff(cuts))
+        levels = (sums[:, cuts[1:]] - sums[:, cuts[:-1]]) // (INPUT_HEIGHT * (INPUT_HEIGHT // bands) * wide)
+        z = (levels.T @ self.weight + self.bias) / self.heat
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return np.floor(p / p.sum(axis=1, keepdims=True) * 100 + 0.5) / 100
+
+    def __call__(self, images: list[np.ndarray]) -> list[tuple[str, float]]:
+        return [arrays.ctc(self.outputs(image), self.charset) for image in images]
+
+
 class OnnxRecogniser:
     """A CTC model file and a character table, run by onnxruntime: padded batches, then arrays.ctc.
 

@@ -114,9 +114,10 @@ def merged_ids(segs: DataFrame, thresholds: DataFrame, mode: str = "binary", mos
     paths: gets what is written to the shared folder. rounds: gets the number of ranges that each round folds again.
     """
     reps = segs.select(*keys, "seg", "h", "w", "luma").join(few(thresholds), list(keys))
-    reps = saved(reps, "merge-reps", paths)
+    most = segs.agg(F.max("seg")).head()[0] or 0
     size, done = MERGE_RANGE, None
-    most = reps.agg(F.max("seg")).head()[0] or 0
+    if size <= most:
+        reps = saved(reps, "merge-reps", paths)  # several passes read it
     while done is None:
         done = _folded_by_ranges(reps, AnchorFold(mode, most_mean, most_changed), keys, size, size > most, [] if paths is None else paths, [] if rounds is None else rounds)
         size *= LONGER
@@ -141,9 +142,9 @@ def _folded_by_ranges(reps: DataFrame, fold: AnchorFold, keys: tuple[str, ...],
     def ends(some: DataFrame) -> DataFrame:
         return some.groupBy(*order).agg(F.max_by("first_seg", "seg").alias("end"))
 
-    own = saved(folded(rows), "merge-own", paths)
     if whole:
-        return own.drop("part")
+        return folded(rows).drop("part")
+    own = saved(folded(rows), "merge-own", paths)
     # of each range: its own end, and by which round's fold (0: its own) it ends how
     state = saved(ends(own).select(*order, F.col("end").alias("own"), "end", F.lit(None).cast("bigint").alias("comes"), F.lit(False).alias("passes"), F.lit(0).alias("round")), "merge-state", paths)
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

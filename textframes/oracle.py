@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from textframes.queries import BIAS, WEIGHT
+
 #: The clip of queries.clip as pixels, and its frames.
 CLIP = """
 r AS (SELECT vec_id AS v, embedding AS e, unnest(range(0, CAST(vec_id % 4 + 1 AS BIGINT))) AS j FROM embeddings),
@@ -74,16 +76,22 @@ mg AS (SELECT chunk, first AS seg, min(start_fi) AS start_fi, max(end_fi) AS end
 LEVELS = ", lv AS (SELECT fi, list(g ORDER BY y, x) AS g FROM px GROUP BY fi)"
 
 
-def _steps(name: str, to: int) -> str:
-    """CTE `name` (i, lo, hi, w): between which of 8 places the i-th of `to` lies, and the share of the second."""
-    return f""", {name} AS (SELECT i, CAST(floor(s) AS INTEGER) AS lo, least(CAST(floor(s) AS INTEGER) + 1, 7) AS hi, s - floor(s) AS w
-              FROM (SELECT i, greatest(0, least(7, (i + CAST(0.5 AS DOUBLE)) * 8 / {to} - CAST(0.5 AS DOUBLE))) AS s FROM range(0, {to}) r(i)))"""
+def _steps(name: str, to: int, of: int = 8) -> str:
+    """CTE `name` (i, lo, hi, w): between which of `of` places the i-th of `to` lies, and the share of the second."""
+    return f""", {name} AS (SELECT i, CAST(floor(s) AS INTEGER) AS lo, least(CAST(floor(s) AS INTEGER) + 1, {of - 1}) AS hi, s - floor(s) AS w
+              FROM (SELECT i, greatest(0, least({of - 1}, (i + CAST(0.5 AS DOUBLE)) * {of} / {to} - CAST(0.5 AS DOUBLE))) AS s FROM range(0, {to}) r(i)))"""
 
 
 #: Bilinear value of list g at steps ty, tx.
 BETWEEN = "((1 - ty.w) * ((1 - tx.w) * g[ty.lo * 8 + tx.lo + 1] + tx.w * g[ty.lo * 8 + tx.hi + 1]) + ty.w * ((1 - tx.w) * g[ty.hi * 8 + tx.lo + 1] + tx.w * g[ty.hi * 8 + tx.hi + 1]))"
 
 
+#: Frames of clips in files of 250 frames: c (clip), fi of the frame in it, at in the whole.
+IN_FILES = ", cf AS (SELECT lpad(CAST(fi // 250 AS VARCHAR), 6, '0') AS clip_id, fi % 250 AS fi, fi AS at FROM f)"
+#: The SQL of the segments by any key: features of the frames at x1..x4, y1..y6 alone, as a clip of its own.
+REGION = "px0 AS (SELECT fi, y - 1 AS y, x - 1 AS x, g FROM px WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 4)"
+
+
 def _plane(value: str, rows: int = 8) -> str:
     """SQL of a query that gives 1000 x a value of each pixel."""
     return f"WITH {CLIP} SELECT fi, y, x, CAST(floor(1000 * CAST({value} AS DOUBLE) + 0.5) AS BIGINT) AS v FROM px WHERE y < {rows}"
@@ -170,11 +178,36 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN fi < least(50, s) THEN 0 WHEN fi < s THEN 1 ELSE 2 END AS side, min(fi) AS start_fi, max(fi) AS end_fi, count(*) AS n FROM f, n GROUP BY 1""",
         "merge_cap": "SELECT vec_id, greatest(32, CAST(floor((vec_id + 1) * (vec_id % 90 + 2) * CAST(0.01 AS DOUBLE)) AS INTEGER)) AS cap FROM embeddings",
         "extract_texts": f"""WITH RECURSIVE {FEATURES} {first} {_merged(3)} {LEVELS} {_steps("ty_", 48)} {_steps("tx_", 16)},
-            pr AS (SELECT seg, tx.i AS x, CAST(floor(48 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM mg JOIN lv ON fi = rep_frame, ty_ ty, tx_ tx),
-            st AS (SELECT seg, x // 2 AS s, CAST(sum(v) // (48 * 96) AS BIGINT) AS level FROM pr GROUP BY seg, x // 2),
-            cl AS (SELECT *, level // 8 % 5 AS c, lag(level // 8 % 5) OVER (PARTITION BY seg ORDER BY s) AS before FROM st),
-            tx AS (SELECT seg, string_agg(chr(CAST(c + 96 AS INTEGER)), '' ORDER BY s) AS text, round(avg(CAST(50 + level % 50 AS DOUBLE) / 100), 5) AS confidence
+            pr AS (SELECT seg, ty.i AS y, tx.i AS x, CAST(floor(48 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM mg JOIN lv ON fi = rep_frame, ty_ ty, tx_ tx),
+            bd AS (SELECT seg, x // 2 AS s, y // 24 AS b, CAST(sum(v) // (48 * 48) AS BIGINT) AS level FROM pr GROUP BY seg, x // 2, y // 24),
+            wt AS (SELECT * FROM (VALUES {", ".join(f"({b}, {c}, {w})" for b, row in enumerate(WEIGHT) for c, w in enumerate(row))}) t(b, c, w)),
+            bs AS (SELECT * FROM (VALUES {", ".join(f"({c}, {w})" for c, w in enumerate(BIAS))}) t(c, bias)),
+            zz AS (SELECT seg, s, c, (sum(level * w) + any_value(bias)) / CAST(64 AS DOUBLE) AS z FROM bd JOIN wt USING (b) JOIN bs USING (c) GROUP BY seg, s, c),
+            ez AS (SELECT seg, s, c, exp(z - max(z) OVER (PARTITION BY seg, s)) AS e FROM zz),
+            so AS (SELECT seg, s, c, CAST(floor(e / sum(e) OVER (PARTITION BY seg, s) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS q FROM ez),
+            tp AS (SELECT *, row_number() OVER (PARTITION BY seg, s ORDER BY q DESC, c) AS best FROM so),
+            cl AS (SELECT *, lag(c) OVER (PARTITION BY seg ORDER BY s) AS before FROM tp WHERE best = 1),
+            tx AS (SELECT seg, string_agg(chr(CAST(c + 96 AS INTEGER)), '' ORDER BY s) AS text, round(avg(CAST(q AS DOUBLE) / 100), 5) AS confidence
                    FROM cl WHERE c <> 0 AND (before IS NULL OR before <> c) GROUP BY seg)
             SELECT seg, start_fi, end_fi, rep_frame, text, coalesce(confidence, 0) AS confidence FROM mg LEFT JOIN tx USING (seg)""",
+        "ocr_prepare_free": f"""WITH {CLIP.replace("px AS", "whole AS")}, {REGION.replace("px0", "px").replace("FROM px ", "FROM whole ")},
+            {FEATURES[len(CLIP) + 2:]} {first}, lr AS (SELECT fi, list(g ORDER BY y, x) AS g FROM px GROUP BY fi) {_steps("ty_", 48, 6)} {_steps("tx_", 32, 4)}
+            SELECT seg, CAST(ty.i AS INTEGER) AS y, CAST(tx.i AS INTEGER) AS x, CAST(floor(256 * {BETWEEN.replace("* 8 +", "* 4 +")} + 0.5) AS BIGINT) AS v FROM sg JOIN lr ON fi = rep_frame, ty_ ty, tx_ tx""",
+        "ocr_separate_contrast": f"""WITH {FEATURES} {first} {LEVELS} {_steps("ty_", 48)} {_steps("tx_", 16)},
+            pr AS (SELECT seg, ty.i AS y, tx.i AS x, CAST(floor(48 * {BETWEEN} + 0.5) AS BIGINT) AS v FROM sg JOIN lv ON fi = rep_frame, ty_ ty, tx_ tx),
+            rw AS (SELECT seg, y, list(v ORDER BY x) AS r FROM pr GROUP BY seg, y),
+            hs AS (SELECT seg, y, x, list_sum(list_transform(range(-14, 15), lambda d: r[greatest(0, least(15, x + d)) + 1])) AS h FROM rw, range(0, 16) t(x)),
+            co AS (SELECT seg, x, list(h ORDER BY y) AS c FROM hs GROUP BY seg, x),
+            sq AS (SELECT seg, y, x, list_sum(list_transform(range(-14, 15), lambda d: c[greatest(0, least(47, y + d)) + 1])) AS s FROM co, range(0, 48) t(y)),
+            ap AS (SELECT pr.seg, pr.y, pr.x, CAST(abs(841 * v - s) AS BIGINT) AS a FROM pr JOIN sq ON sq.seg = pr.seg AND sq.y = pr.y AND sq.x = pr.x),
+            so AS (SELECT seg, list_sort(list(a)) AS a FROM ap GROUP BY seg), hi AS (SELECT seg, 100 * a[729] + 65 * (a[730] - a[729]) AS hi FROM so)
+            SELECT seg, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(CASE WHEN hi > 84100 THEN least(255, 25500 * a // hi) ELSE least(255, a // 841) END AS BIGINT) AS v FROM ap JOIN hi USING (seg)""",
+        "clip_files_gray": f"""WITH {CLIP} {IN_FILES} SELECT clip_id, cf.fi, CAST(y - 1 AS INTEGER) AS y, CAST(x - 1 AS INTEGER) AS x, greatest(0, least(255, CAST(floor((CAST(g AS DOUBLE) - 16) * 255 / 219 + 0.5) AS INTEGER))) AS g
+            FROM cf JOIN px ON px.fi = cf.at WHERE cf.fi >= 3 AND (cf.fi - 3) % 2 = 0 AND y BETWEEN 1 AND 3 AND x BETWEEN 1 AND 5""",
+        "clip_files_packed": f"""WITH {CLIP} {IN_FILES} SELECT clip_id, cf.fi, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS x, px.g
+            FROM cf CROSS JOIN range(0, 5) a(r) CROSS JOIN range(0, 4) b(c) JOIN px ON px.fi = cf.at AND px.y = CASE WHEN r < 3 THEN r + 2 ELSE 5 + (2 + 2 * (r - 3)) // 2 END AND px.x = c + 2""",
+        "segments_of_files": f"""WITH {FEATURES}, ck AS (SELECT fi, fi // 250 AS chunk, fi % 250 AS k FROM f)
+            {_segments("SELECT chunk, CAST(floor(quantile_cont(CAST(threshold AS DOUBLE), 0.5)) AS INTEGER) AS threshold FROM o JOIN ck USING (fi) WHERE k < 50 GROUP BY chunk", True).replace(CHUNKS, "")}
+            SELECT lpad(CAST(chunk AS VARCHAR), 6, '0') AS clip_id, seg, start_fi - 250 * chunk AS start_fi, end_fi - 250 * chunk AS end_fi, rep_frame - 250 * chunk AS rep_frame, n FROM sg""",
         "rep_crops": f"""WITH RECURSIVE {FEATURES} {first} {_merged(3)} SELECT seg, rep_frame, string_agg(lower(printf('%02x', g)), '' ORDER BY y, x) AS crop FROM mg JOIN px ON fi = rep_frame GROUP BY seg, rep_frame""",
     }

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from textframes.functions import arrays, columns
 from textframes.operators import ctc, features, segments
+from textframes.operators.recognise import LinearRecogniser
 from textframes.plans.extractor import Options, SegmentPlan
-from textframes.sources import clips
+from textframes.sources import clips, coded_clip, raw_clip
+from textframes.sources.frames import FileFrames
+from textframes.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A threshold of similarity at which 8 x 8 frames merge, and at which the order of merging matters.
@@ -39,8 +42,8 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.frame_features(clips.sample(clip(spark, sf_dir)))
 
 
-def _values(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], names: str = "v") -> DataFrame:
-    """fi, y, x and a column for each name: a numpy function of 8 x 8 frames (n, 8, 8), all frames of a batch at once.
+def _values(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], names: str = "v", shape: tuple[int, int] = (8, 8)) -> DataFrame:
+    """fi, y, x and a column for each name: a numpy function of frames (n, *shape), all frames of a batch at once.
 
     It gives whole numbers (n, h, w), or (n, h, w, names).
     """
@@ -50,7 +53,7 @@ def _values(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], names: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = make(np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(-1, 8, 8)).astype(np.int64)
+            out = make(np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(-1, *shape)).astype(np.int64)
             out = out.reshape(*out.shape[:3], len(columns))
             n, h, w, _ = out.shape
             y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
@@ -274,11 +277,64 @@ def ocr_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepared(spark, sf_dir, lambda image: np.floor(image[..., 0].astype(np.float64) * 48 + 0.5))
 
 
+def ocr_prepare_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of a region of 4 x 6 at the recogniser's height, their width in proportion (32), in units of 1/256."""
+    plan_ = plan(spark, sf_dir, merge=False, roi=(1, 1, 4, 6))
+    crops = plan_.representatives().select(F.col("seg").alias("fi"), "data")
+
+    def make(g: np.ndarray) -> np.ndarray:
+        return np.stack([np.floor(arrays.prepare(x[..., None], 0.0, 0.0)[..., 0].astype(np.float64) * 256 + 0.5) for x in g])
+
+    return _values(crops, make, shape=(6, 4)).withColumnRenamed("fi", "seg")
+
+
 def ocr_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inputs, in whole units of 1/48, with text apart from its background."""
     return _prepared(spark, sf_dir, lambda image: arrays.separate_input(np.floor(image * 48 + np.float32(0.5)), "binary")[..., 1])
 
 
+def ocr_separate_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs, in whole units of 1/48, by contrast with a square of 29; cut to whole levels."""
+
+    def make(image: np.ndarray) -> np.ndarray:
+        value, unit = arrays.contrast(np.floor(image[..., 0] * 48 + np.float32(0.5)).astype(np.int64))
+        return np.minimum(255, value // unit)
+
+    return _prepared(spark, sf_dir, make)
+
+
+def _files(spark: SparkSession, sf_dir: str, fmt: str, write: Callable, **options: object) -> str:
+    """A folder of clips in files, written by tasks: 250 frames to a clip, as gray frames or as packed 4:2:0 of limited range."""
+    frames = clip(spark, sf_dir)
+    if fmt == "nv12":
+        frames = frames.withColumns({"fmt": F.lit("nv12"), "h": F.lit(5), "color_range": F.lit(0).cast("tinyint")})
+    parts = frames.withColumn("clip_id", F.lpad(F.floor(F.col("fi") / 250).cast("string"), 6, "0"))
+    folder = shared_path(spark, "clips").removeprefix("file://")
+    raw_clip.write_clips(parts, folder, write, **options).count()
+    return folder
+
+
+def clip_files_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of packed clips of limited range, read from files as gray: expanded to the full range."""
+    folder = _files(spark, sf_dir, "nv12", raw_clip.write_clip)
+    frames = raw_clip.open_clip(spark, folder, roi=(1, 1, 5, 3), gray_output=True, start=3, stride=2)
+    return clips.pixels(frames)
+
+
+def clip_files_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of packed clips, read from coded files as packed frames: all bytes, chroma included."""
+    folder = _files(spark, sf_dir, "nv12", coded_clip.write_keyclip, every=16)
+    frames = raw_clip.open_clip(spark, folder, roi=(2, 2, 5, 4), yuv_output=True, source=coded_clip.CodedClips, rows=40)
+    return clips.pixels(frames).select("clip_id", "fi", F.col("y").alias("row"), "x", "g")
+
+
+def segments_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of clips in coded files: partitions begin at key frames and know the frame before; each clip has its own threshold."""
+    folder = _files(spark, sf_dir, "gray", coded_clip.write_keyclip, every=16)
+    source = FileFrames(spark, folder, rows=40)
+    return _rows(SegmentPlan(source, Options(merge=False), (8, 8)).segments, "clip_id")
+
+
 def ocr_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of the recogniser's input for crops of many shapes, and that of a batch which is padded to it."""
     shape = vectors(spark, sf_dir).select("vec_id", (F.col("vec_id") % 97 + 1).cast("int").alias("w"), (F.col("vec_id") % 31 + 1).cast("int").alias("h"))
@@ -327,9 +383,13 @@ def rep_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir).representatives().select("seg", F.col("fi").alias("rep_frame"), F.lower(F.hex("data")).alias("crop"))
 
 
+#: A recogniser's weights: two bands of a step's height by blank and four letters.
+WEIGHT, BIAS, LETTERS = [[1, -3, 4, -2, 0], [1, 4, -3, 0, -2]], [40, 0, 10, 300, 290], ["", "a", "b", "c", "d"]
+
+
 def extract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan, with merge, inputs of 48 x 16 and the stand-in recogniser; there is no model to compare texts with."""
-    texts = plan(spark, sf_dir, force_aspect=16 / 48, input_gamma=0.0).texts()
+    """The whole plan, with merge, inputs of 48 x 16 and a recogniser of one linear layer."""
+    texts = plan(spark, sf_dir, force_aspect=16 / 48, input_gamma=0.0).texts(lambda: LinearRecogniser(WEIGHT, BIAS, LETTERS))
     return texts.select("seg", F.col("start").alias("start_fi"), F.col("end").alias("end_fi"), "rep_frame", "text", "confidence")
 
 
@@ -337,7 +397,8 @@ def queries() -> dict[str, Query]:
     own = [
         luma_range_expand, rgb_to_gray, seg_gamma, luma_plane, roi_crop, sample_stride, stride_clamp, sharpness, histogram, otsu_frame, otsu_frame_sql, otsu_pooled,
         clip_threshold, clip_threshold_strided, binarize, change_score, segments_serial, segments_pooled, segments_chunked, segments_chunked_merged, segment_frames, rep_frame, merge_anchored,
-        merge_default, similar_pairs, mean_abs_diff, text_sep_binary, text_sep_contrast, box_blur, box_blur_wide, luma_of_formats, ocr_prepare, ocr_separate, resize_bilinear, normalize_pad, nv12_to_rgb, ocr_input, ctc_decode,
+        merge_default, similar_pairs, mean_abs_diff, text_sep_binary, text_sep_contrast, box_blur, box_blur_wide, luma_of_formats, ocr_prepare, ocr_prepare_free, ocr_separate, ocr_separate_contrast, resize_bilinear, normalize_pad, nv12_to_rgb, ocr_input, ctc_decode,
         format_duration, frame_bytes, fps_fallback, chunk_bounds, hybrid_ranges, merge_cap, rep_crops, extract_texts,
+        clip_files_gray, clip_files_packed, segments_of_files,
     ]
     return {"segments": segments_default} | {f.__name__: f for f in own}

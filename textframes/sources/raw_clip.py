@@ -16,7 +16,7 @@ so many samples, at equal steps.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -39,6 +39,41 @@ def write_clip(path: str, frames: np.ndarray, fmt: str, color_range: int = 1, fp
         f.write(np.ascontiguousarray(frames, np.uint8).tobytes())
 
 
+def write_clips(frames: DataFrame, folder: str, write: Callable = write_clip, **options: object) -> DataFrame:
+    """Writes each clip of a table of frames to a file of its own in a folder that all tasks share: clip_id, frames of each.
+
+    Frames of a clip go to one task in order, so a clip must fit a task's memory: long recordings are
+    many clips. A file appears whole, under the clip's name, and a task that runs again writes the same.
+    """
+    columns = ("clip_id", "fi", "w", "h", "fmt", "color_range", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clip, held = None, []
+        os.makedirs(folder, exist_ok=True)
+
+        def put() -> pa.RecordBatch:
+            _, w, h, fmt, color_range, _ = held[0]
+            shape = (-1, w) if fmt == "nv12" else (h, w, 3 if fmt == "rgb" else 1)
+            g = np.stack([np.frombuffer(x[-1], np.uint8).reshape(shape) for x in held])
+            temporary = os.path.join(folder, f".{clip}.{os.getpid()}")
+            write(temporary, g, fmt, color_range, **options)
+            os.replace(temporary, os.path.join(folder, clip))
+            return pa.RecordBatch.from_arrays([pa.array([clip]), pa.array([len(held)], pa.int64())], ["clip_id", "frames"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row[0] != clip:
+                    if held:
+                        yield put()
+                    clip, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield put()
+
+    dealt = frames.where("data is not null").select(*columns).repartition("clip_id").sortWithinPartitions("clip_id", "fi")
+    return dealt.mapInArrow(run, "clip_id string, frames bigint")
+
+
 class Header:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -79,7 +114,7 @@ class RawClipReader(DataSourceReader):
         self.least, self.most = 0, 1 << 62
 
     def files(self) -> list[str]:
-        return sorted(str(p) for p in Path(self.path).iterdir() if p.is_file()) if os.path.isdir(self.path) else [self.path]
+        return sorted(str(p) for p in Path(self.path).iterdir() if p.is_file() and not p.name.startswith(".")) if os.path.isdir(self.path) else [self.path]
 
     def clip_id(self, file: str) -> str:
         return self.clip or (os.path.basename(file) if os.path.isdir(self.path) else self.path)

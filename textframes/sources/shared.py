@@ -5,32 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a table that are broadcast at most, once measured.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
-def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
-    """df, written to a new path in spark.checkpoint.dir and read again: computed once, and executors may be lost.
-
-    Where that is unset, only a local session gets a folder of its own. paths: gets the path, for removed().
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; where that is unset, only a local session gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/textframes-shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df, written to a new path in the shared folder and read again: computed once, and executors may be lost.
+
+    paths: gets the path, for removed().
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
     if paths is not None:
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark, paths: list[str]) -> None:
+def removed(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that saved() wrote, once nothing reads them any more."""
     while paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
