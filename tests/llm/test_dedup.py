@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from fractions import Fraction
@@ -124,7 +125,7 @@ def brute_components(rows, width, t):
 
 @pytest.mark.parametrize(("width", "t", "chunk"), [(3, Fraction(9, 10), 256), (5, Fraction(4, 5), 256), (5, Fraction(4, 5), 3), (3, Fraction(1, 2), 5)])
 def test_similar_groups_by_brute_force(docs, width, t, chunk, monkeypatch):
-    if chunk < 256:  # runs that are not compared, chunks of clusters, guests
+    if chunk < 256:  # crowds that are parted, chunks of clusters, guests
         monkeypatch.setattr(jaccard_join, "CHUNK_ROWS", chunk)
         monkeypatch.setattr(jaccard_join, "RUN_ROWS", chunk + 1)
         monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
@@ -132,6 +133,78 @@ def test_similar_groups_by_brute_force(docs, width, t, chunk, monkeypatch):
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in rows) == brute_components(corpus(1), width, t)
 
 
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)])
+def test_linked_sets_have_a_block_in_common(t):
+    """Sets that differ as much as linked sets can share a key, for any seed; so do those of neighbouring bands."""
+    r = np.random.default_rng(3)
+    for seed in range(3):
+        for n in [1, 2, 3, 9, 10, 11, 40, 100, 333, 1000]:
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            for m in {n, n + 1, int(n / t)}:
+                for _ in range(8):
+                    # as few in common as a link allows: i >= t (n + m - i)
+                    i = min(n, m, math.ceil(t * (n + m) / (1 + t)))
+                    b = np.r_[r.permutation(a)[:i], r.integers(0, 1 << 63, m - i).astype(np.uint64)]
+                    if i < t * (n + m - i):
+                        continue
+                    keys = [set(jaccard_join.block_keys(x, np.array([len(x)]), t, seed)[0].tolist()) for x in (a, b)]
+                    assert keys[0] & keys[1], (n, m, i)
+    both = [r.integers(0, 1 << 63, n).astype(np.uint64) for n in (7, 90, 1, 30)]
+    key, owner = jaccard_join.block_keys(np.concatenate(both), np.array([7, 90, 1, 30]), t, 5)
+    for k, x in enumerate(both):
+        assert sorted(key[owner == k].tolist()) == sorted(jaccard_join.block_keys(x, np.array([len(x)]), t, 5)[0].tolist())
+
+
+def templates(n: int, seed: int) -> list[str]:
+    """Ten of sixty sentences each: every sentence is common, and no two texts link."""
+    r = random.Random(seed)
+    sentences = [" ".join(f"w{r.randrange(5000)}" for _ in range(11)) for _ in range(60)]
+    return [" ".join(sentences[k] for k in r.sample(range(60), 10)) for _ in range(n)]
+
+
+def boilerplate(n: int, seed: int) -> list[str]:
+    """Two thirds of each text are the same in all, the rest comes from a pool."""
+    r = random.Random(seed)
+    same = " ".join(f"b{r.randrange(5000)}" for _ in range(90))
+    pool = [" ".join(f"p{r.randrange(5000)}" for _ in range(4)) for _ in range(40)]
+    return [same + " " + " ".join(pool[k] for k in r.sample(range(40), 10)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("make", [templates, boilerplate])
+def test_common_keys_are_parted(spark, monkeypatch, make):
+    """Crowds with a common key in which nothing links: hardly a set is left to be searched, none visits other chunks; a planted pair is found."""
+    monkeypatch.setattr(jaccard_join, "RUN_ROWS", 64)
+    texts = make(1500, 4)
+    texts += [texts[10] + " extra", texts[20].replace(texts[20].split()[5], "changed", 1)]
+    left: list[int] = []
+
+    def counted(placed, threshold, links=jaccard_join._links):
+        left.append(placed.count())
+        return links(placed, threshold)
+
+    monkeypatch.setattr(jaccard_join, "_links", counted)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(df).collect()}
+    assert {k: v for k, v in rows.items() if k != v} == {1500: 10, 1501: 20}
+    assert left[0] <= 40
+
+
+def test_families_of_near_copies_stay_whole(spark, monkeypatch):
+    """A crowd of near copies, which no key parts, is one cluster and one component."""
+    monkeypatch.setattr(jaccard_join, "RUN_ROWS", 32)
+    r = random.Random(6)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        own = base.copy()
+        own[r.randrange(120)] = f"z{r.randrange(200)}"
+        texts.append(" ".join(own))
+    texts += templates(50, 7)
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_groups(df).collect()}
+    assert {rows[k] for k in range(300)} == {0} and all(rows[k] == k for k in range(300, 350))
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     """Links of every text count, also of texts that share an id."""
     r = random.Random(8)

@@ -19,8 +19,10 @@ from textframes.llm.words import WordCutter
 
 #: Groups that elements are hashed to: the coordinates of a point.
 GROUPS = 64
-#: Sets with a key in common that are compared as points; more are one cluster without that.
-RUN_ROWS = 1024
+#: Sets with a key in common that are compared as points in one task; more are parted by further keys, so many times at most.
+RUN_ROWS, PARTINGS = 1024, 3
+#: Share of its further keys that a set has in common with a crowd, on average over the crowd, from which it is a family of near copies.
+FAMILY = 0.25
 #: Sets, and elements, of a chunk of a cluster.
 CHUNK_ROWS, CHUNK_ELEMENTS = 256, 1 << 20
 #: Growth of set sizes from band to band of a cluster.
@@ -221,7 +223,8 @@ def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fracti
 
     Sets that are equal become one class. A class can link only if the threshold's share of its
     elements occurs elsewhere (_signed), which a census of all elements tells. Those that are left
-    emit their rarest elements as keys (prefix). Classes with a key in common are compared as points
+    emit their rarest elements as keys (prefix); where a key is common, further keys part its sets
+    (block_keys). Classes with a key in common are compared as points
     of an R-tree (CountTree); pairs whose counts allow a link make clusters, outside of which nothing
     links, and clusters are searched by such trees and verified on whole sets (_links). Only spanning
     forests leave a task.
@@ -231,7 +234,7 @@ def similar_groups(docs: DataFrame, width: int = 3, threshold: Fraction = Fracti
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     sets = _sets(docs, classes.where("alive and rep is not null"), width)
     keyed = _keyed(sets, threshold)
-    cluster = _clusters(keyed, threshold)
+    cluster = _clusters(keyed, sets, threshold)
     placed = sets.withColumn("band", F.floor(F.log(BAND, F.col("n"))).cast("int"))
     placed = saved(placed.join(small(cluster), "cid"), "jaccard-placed")
     dropped(sets, keyed, cluster)
@@ -393,15 +396,85 @@ def _keyed(sets: DataFrame, threshold: Fraction) -> DataFrame:
     return saved(census.census(asked, np.uint32, settle, "cid bigint, n bigint, point binary, keys array<bigint>"), "jaccard-keyed")
 
 
-def _clusters(keyed: DataFrame, threshold: Fraction) -> DataFrame:
-    """cid, cluster: classes connected by pairs with a key in common whose counts allow a link; written."""
-    flat = keyed.select("cid", F.explode("keys").alias("key"))
-    # keys with the same classes are one run
+def size_bands(largest: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of bands of set sizes, and each band's number of blocks.
+
+    A set links only with sets of its own band and the two beside it. Linked sets of which the smaller is in a band differ in fewer
+    elements than the band has blocks.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    edges = [1]
+    while edges[-1] <= largest:
+        edges.append(max(edges[-1] + 1, -(-edges[-1] * den // num)))
+    blocks = [(e - 1) * (den - num) // num + 1 for e in edges[1:]]
+    return np.array(edges, np.int64), np.array(blocks, np.int64)
+
+
+def block_keys(values: np.ndarray, sizes: np.ndarray, threshold: Fraction, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets by whole blocks of their elements, and whose they are: linked sets have one in common.
+
+    Elements are dealt to as many blocks by hash as linked sets can differ in elements, and one more: so
+    one block, perhaps an empty one, is the same in both. A set is cut by the blocks of its own band, and of the one
+    below, in which a smaller partner may be.
+    """
+    edges, blocks = size_bands(int(sizes.max(initial=1)), threshold)
+    band = np.searchsorted(edges, sizes, "right") - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place, content = mix(values ^ mix(np.array([seed + 101], _U))), mix(values ^ mix(np.array([seed + 211], _U)))
+    keys, owners = [], []
+    for down in range(2):
+        own = np.flatnonzero((band >= down) & (sizes > 0))
+        label = band[own] - down
+        n = blocks[label]
+        first = np.full(len(sizes), -1, np.int64)
+        first[own] = np.cumsum(n) - n
+        some = first[owner] >= 0
+        each = blocks[np.maximum(0, band[owner[some]] - down)]
+        at = first[owner[some]] + (place[some] % each.astype(_U)).astype(np.int64)
+        sums = np.zeros(int(n.sum()), _U)
+        np.add.at(sums, at, content[some])
+        which = np.arange(len(sums)) - np.repeat(np.cumsum(n) - n, n)
+        name = mix(which.astype(_U) + (np.repeat(label, n).astype(_U) << _U(32)) + _U(seed + 1) * _U(0x9E3779B97F4A7C15))
+        keys.append(mix(sums ^ name))
+        owners.append(np.repeat(own, n))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _parted(sets: DataFrame, crowd: DataFrame, threshold: Fraction, seed: int) -> DataFrame:
+    """cid, key: block keys of the sets of a crowd (cid, parent), each with every parent that it has there."""
+    lists = small(saved(crowd.groupBy("cid").agg(F.collect_list("parent").alias("parents")), "jaccard-crowd"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                values, sizes = np.frombuffer(b"".join(part.column("data").to_pylist()), _U), part.column("n").to_numpy()
+                key, owner = block_keys(values, sizes, threshold, seed)
+                cids = part.column("cid").to_numpy()[owner]
+                parents = part.column("parents").to_pylist()
+                times = np.fromiter(map(len, parents), np.int64, len(parents))
+                wide = np.repeat(np.arange(len(key)), times[owner])
+                begin = np.cumsum(times) - times
+                nth = np.arange(len(wide)) - np.repeat(np.cumsum(times[owner]) - times[owner], times[owner])
+                parent = np.array([x for p in parents for x in p], np.int64).view(_U)[begin[owner[wide]] + nth]
+                out = mix(key[wide] ^ mix(parent + _U(7)))
+                yield pa.RecordBatch.from_arrays([pa.array(cids[wide]), pa.array(out.view(np.int64))], ["cid", "key"])
+
+    return sets.select("cid", "n", "data").join(lists, "cid").mapInArrow(run, "cid bigint, key bigint")
+
+
+def _clusters(keyed: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """cid, cluster: classes connected by pairs with a key in common whose counts allow a link; written.
+
+    Sets with a key in common are compared as points of an R-tree in one task, if they are RUN_ROWS at
+    most. A larger crowd is parted by keys of which linked sets share one, too (block_keys), then those that are still large by
+    other blocks, within their crowd. What is left are families of near copies, whose sets share most
+    blocks: such a family is one cluster, as most of its sets are one component anyway.
+    """
+    flat, near, families = keyed.select("cid", F.explode("keys").alias("key")), [], []
     mark = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    runs = flat.groupBy("key").agg(F.count("*").alias("run"), F.min("cid").alias("hub"), *mark).where("run > 1")
-    runs = saved(runs.groupBy("run", "m0", "m1").agg(F.min(F.struct("key", "hub")).alias("x")).select("run", "x.key", "x.hub"), "jaccard-runs")
-    held = flat.join(runs, "key")
-    large = held.where(F.col("run") > RUN_ROWS).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    share = float(1 / threshold - 1)
+    written: list[DataFrame] = []
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for rows in _groups(batches, 1):
@@ -410,11 +483,40 @@ def _clusters(keyed: DataFrame, threshold: Fraction) -> DataFrame:
             for x, y in may_link(points, np.array([x[2] for x in rows]), threshold):
                 yield cids[x], cids[y]
 
-    few = held.where(F.col("run") <= RUN_ROWS).select("key", "cid").join(keyed.select("cid", "n", "point"), "cid")
-    few = few.select("key", "cid", "n", "point").repartition("key").sortWithinPartitions("key", "cid")
-    near = saved(few.mapInArrow(_pairs(compare), "a bigint, b bigint").union(large).distinct(), "jaccard-near")
-    found = components(near, "jaccard-clusters").select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    dropped(runs, near)
+    for level in range(PARTINGS + 1):
+        # keys with the same classes are one run
+        runs = flat.groupBy("key").agg(F.count("*").alias("run"), F.min("cid").alias("hub"), *mark).where("run > 1")
+        runs = saved(runs.groupBy("run", "m0", "m1").agg(F.min(F.struct("key", "hub")).alias("x")).select("run", "x.key", "x.hub"), "jaccard-runs")
+        held = flat.join(runs, "key")
+        few = held.where(F.col("run") <= RUN_ROWS).select("key", "cid").join(keyed.select("cid", "n", "point"), "cid")
+        few = few.select("key", "cid", "n", "point").repartition("key").sortWithinPartitions("key", "cid")
+        near.append(saved(few.mapInArrow(_pairs(compare), "a bigint, b bigint").distinct(), "jaccard-near"))
+        written += [runs, near[-1]]
+        if runs.where(F.col("run") > RUN_ROWS).isEmpty():
+            break
+        crowd = saved(held.where(F.col("run") > RUN_ROWS).select("cid", "key", "hub"), "jaccard-crowds")
+        written.append(crowd)
+        if level == 0:
+            crowd = crowd.select("cid").distinct().withColumn("parent", F.lit(0).cast("bigint"))
+        else:
+            mine = crowd.groupBy("cid").agg(F.count("*").alias("_m")).join(keyed.select("cid", "n"), "cid")
+            mine = mine.select("cid", (F.col("_m") / (2 * (F.col("n") * share + 1))).alias("_share"))
+            alike = crowd.join(mine, "cid").groupBy("key").agg(F.avg("_share").alias("_share"))
+            last = F.lit(level == PARTINGS)
+            alike = saved(alike.select("key", (last | (F.col("_share") > FAMILY)).alias("family")), "jaccard-alike")
+            written.append(alike)
+            both = crowd.join(small(alike), "key")
+            families.append(both.where("family").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+            crowd = both.where("not family").select("cid", F.col("key").alias("parent"))
+            if level == PARTINGS or crowd.isEmpty():
+                break
+        flat = saved(_parted(sets, crowd, threshold, level), "jaccard-parted")
+        written.append(flat)
+    every = near[0]
+    for more in [*near[1:], *families]:
+        every = every.union(more)
+    found = components(every.distinct(), "jaccard-clusters").select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    dropped(*written)
     return found
 
 
