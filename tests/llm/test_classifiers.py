@@ -54,13 +54,43 @@ def test_language_by_brute_force():
     assert table.vectors(["½ ② Ⅷ", "½a"])[1].tolist() == [0, 1]
 
 
-def test_floors_come_from_each_centroids_texts():
+def test_floors_lie_between_random_letters_and_unseen_texts():
     docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
     docs = [r for r in docs if r["text"] and r["lang"]]
-    model = language_id.fit([r["text"] for r in docs], [r["lang"] for r in docs])
-    assert len({*model.floor.round(6)}) > 1 and (model.floor > 0).all() and (model.rise >= 0).all()
-    far = model.predict(language_id.GramTable(model.size).vectors([r["text"] for r in docs])[0])[2]
-    assert far.mean() < 0.005
+    seen, unseen = docs[::2], docs[1::2]
+    model = language_id.fit([r["text"] for r in seen], [r["lang"] for r in seen])
+    assert len(model.floor) == len(language_id.LENGTHS) and (np.diff(model.marks) > 0).all() and (model.floor > 0).all()
+    table = language_id.GramTable(model.size)
+    far = model.predict(table.vectors([r["text"] for r in unseen])[0])[2]
+    assert far.mean() < 0.005  # of texts that took no part
+    rng = np.random.default_rng(5)
+    words = [w for r in seen for w in re.findall(r"[^\W\d_]+", r["text"].lower())]
+    for n in (16, 100, 400):
+        texts = language_id.random_texts(words, n, 200, rng)
+        assert {len(t.split()) for t in texts} == {n}
+        assert model.predict(table.vectors(texts)[0])[2].mean() > 0.98
+
+
+def test_real_sentences_stay_and_foreign_ones_go(spark):
+    """Plain sentences of the learnt languages, whose words the corpus doesn't have, and the pipeline's first stage; other scripts and noise."""
+    import corpus_pipeline
+
+    sentences = {
+        "en": ["The weather was very nice yesterday, so we walked along the river and had lunch in the garden of an old house.", "She would like to know when the next train leaves and whether there is still a seat near the window."],
+        "de": ["Am Wochenende fahren wir mit den Kindern an den See, denn dort kann man schwimmen und in der Sonne liegen.", "Ich habe gestern ein Buch gelesen, das mir meine Schwester vor einem Jahr zum Geburtstag geschenkt hatte."],
+        "fr": ["Ça va très bien mon ami merci beaucoup", "Nous avons mangé dans un petit restaurant près de la gare, puis nous sommes rentrés à la maison sous la pluie."],
+        "es": ["Los niños juegan en el parque mientras sus padres hablan de las vacaciones y toman un café en la terraza.", "Ayer por la tarde visitamos el museo de la ciudad y después cenamos con unos amigos en una casa antigua."],
+    }
+    foreign = ["Привет, как дела сегодня? Мы идём домой.", "今天天气很好，我们去公园散步。", "Καλημέρα σας, τι κάνετε σήμερα;", "xq zvw kkj wqx zzq jvk qqw xkz vjq wzx kqz jxw zqk vwx qjz kxv wqj zxk jqv xwz"]
+    rows = [(10**9 + k, t, None, "new", len(t)) for k, t in enumerate([s for v in sentences.values() for s in v] + foreign)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(docs.columns))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, both, "/root/testdata/sf0.01").select("doc_id").collect()}
+    assert {r[0] for r in rows} & kept == {r[0] for r in rows[:8]}
+    assert docs.count() - len(kept - {r[0] for r in rows}) <= 2
+    model = language_id.train(docs)
+    found = language_id.identify(spark.createDataFrame(rows[:8], "doc_id bigint, text string, lang string, source string, n_chars bigint"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in found] == [lang for lang, v in sentences.items() for _ in v]
 
 
 def test_language_odd_rows(spark):

@@ -21,11 +21,12 @@ UNKNOWN = "und"
 #: Texts whose dense vectors are held together.
 DENSE_ROWS = 128
 #: A text belongs to no language if its cosine to the nearest centroid exceeds what hash collisions
-#: alone give by less than the centroid's floor. Floors are shares of low quantiles of the centroid's own
-#: texts: SHORT_SHARE for texts of a word, LONG_SHARE for long ones, and of at most so many of its texts are below.
-SHORT_SHARE, LONG_SHARE, QUANTILE = 0.5, 0.38, 0.01
-#: Distinct n-grams up to which a text counts as short; from SHORT << DOUBLINGS on it is long.
-SHORT, DOUBLINGS = 32, 2
+#: alone give by less than a floor, which depends on its length. The floor is what texts of random letters reach: their mean and
+#: DEVIATIONS standard deviations; or, if that is less, what the share QUANTILE of texts of the languages stays below, which the model
+#: has not seen (cross-fitted in FOLDS parts).
+DEVIATIONS, QUANTILE, FOLDS = 3.0, 0.01, 2
+#: Words of the texts that floors are measured on, and random texts of each length.
+LENGTHS, RANDOM_TEXTS = tuple(1 << k for k in range(10)), 128
 
 
 class GramTable:
@@ -104,8 +105,8 @@ class LanguageModel:
     languages: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
-    floor: np.ndarray  # of each centroid: of short texts
-    rise: np.ndarray  # of each centroid: for each doubling of a text's n-grams up to a long text
+    marks: np.ndarray  # lengths, in doublings of distinct n-grams
+    floor: np.ndarray  # at each of these; in between in proportion
 
     @property
     def size(self) -> int:
@@ -116,16 +117,15 @@ class LanguageModel:
 
     def predict(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest centroid, cosine, and whether it is too far from that centroid."""
-        best, value, margin, doublings = self.measure(tf)
-        return best, value, margin < self.floor[best] + self.rise[best] * doublings
+        best, value, margin = self.measure(tf)
+        return best, value, margin < np.interp(doublings(tf), self.marks, self.floor)
 
-    def measure(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest centroid, cosine, how far that is above chance, and how often a short text's n-grams are doubled."""
+    def measure(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest centroid, cosine, and how far that is above chance."""
         cosine = self.weigh(tf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         value = cosine[np.arange(len(tf)), best]
-        grams = np.minimum((tf > 0).sum(axis=1), (self.centroids > 0).sum(axis=1)[best])
-        return best, value, value - self.chance(tf, best), np.minimum(np.log2(np.maximum(grams, SHORT) / SHORT), DOUBLINGS)
+        return best, value, value - self.chance(tf, best)
 
     def chance(self, tf: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Expected cosine to centroid `best` of n-grams that are strange to it: of the same counts in any slots."""
@@ -134,12 +134,24 @@ class LanguageModel:
         return w.mean(axis=1) * (self.centroids @ self.idf)[best] / np.maximum(norm, 1e-12)
 
 
+def doublings(tf: np.ndarray) -> np.ndarray:
+    """A text's length: how often one distinct n-gram is doubled."""
+    return np.log2(np.maximum(1, (tf > 0).sum(axis=1)))
+
+
 def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3, seed: int = 7) -> LanguageModel:
-    """Spherical k-means in each language. Without texts the model has no centroid and rejects all."""
+    """Spherical k-means in each language, and floors. Without texts the model has no centroid and rejects all."""
+    model = _centroids(texts, langs, size, clusters, seed)
+    if model.languages:
+        model.marks, model.floor = _floors(model, texts, langs, clusters, seed)
+    return model
+
+
+def _centroids(texts: list[str], langs: list[str], size: int, clusters: int, seed: int) -> LanguageModel:
     grams = GramTable(size)
     names = sorted(set(langs))
     if not names:
-        return LanguageModel([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(0), np.zeros(0))
+        return LanguageModel([], np.ones(size, np.float32), np.zeros((0, size), np.float32), np.zeros(1), np.zeros(1))
     rows: dict[str, list[str]] = {name: [] for name in names}
     for text, lang in zip(texts, langs, strict=True):
         rows[lang].append(text)
@@ -162,31 +174,51 @@ def fit(texts: list[str], langs: list[str], size: int = 4096, clusters: int = 3,
             c = unit_rows(np.stack([own[nearest == k].sum(axis=0) if (nearest == k).any() else c[k] for k in range(len(c))]))
         labels += [name] * len(c)
         centres += [*c]
-    model = LanguageModel(labels, idf, np.array(centres, np.float32).reshape(-1, size), np.zeros(len(labels)), np.zeros(len(labels)))
-    _set_floors(model, grams, texts)
-    return model
-
-
-def _set_floors(model: LanguageModel, grams: GramTable, texts: list[str]) -> None:
-    """From the distances of the training texts, and of single words of them, to the centroids nearest to them."""
-    short: list[np.ndarray] = []
-    long: list[np.ndarray] = []
-    for at in range(0, len(texts), 256):
-        part = texts[at : at + 256]
-        words = [w[len(w) // 2] for w in map(LETTERS.findall, part) if w]
-        for kind, tf in ((long, grams.vectors(part)[0]), (short, grams.vectors(words)[0] if words else None)):
-            if tf is not None:
-                best, _, margin, doublings = model.measure(tf)
-                use = (tf.sum(axis=1) > 0) & ((doublings == DOUBLINGS) if kind is long else True)
-                kind.append(np.stack([best[use], margin[use]]))
-    ends = []
-    for found, share in ((short, SHORT_SHARE), (long, LONG_SHARE)):
-        best, margin = np.concatenate(found, axis=1) if found else np.zeros((2, 0))
-        every = np.quantile(margin, QUANTILE) if len(margin) else 0.0
-        own = [margin[best == k] for k in range(len(model.languages))]
-        # a centroid with few such texts has the floor of all
-        ends.append(np.array([max(0.0, share * (np.quantile(m, QUANTILE) if len(m) >= 30 else every)) for m in own]))
-    model.floor, model.rise = ends[0], np.maximum(0, ends[1] - ends[0]) / DOUBLINGS
+    return LanguageModel(labels, idf, np.array(centres, np.float32).reshape(-1, size), np.zeros(1), np.zeros(1))
+
+
+def _measured(model: LanguageModel, grams: GramTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How far above chance texts are, and their lengths."""
+    found = [(model.measure(tf)[2], doublings(tf)) for k in range(0, len(texts), 256) for tf in [grams.vectors(texts[k : k + 256])[0]]]
+    return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (np.zeros(0), np.zeros(0))
+
+
+def random_texts(words: list[str], n: int, count: int, rng: np.random.Generator) -> list[str]:
+    """Texts of n words that are as long as the given ones, of letters that occur in these, each as likely."""
+    alphabet = np.array(sorted({c for w in words for c in w}))
+    lengths = rng.choice(np.fromiter(map(len, words), np.int64, len(words)), n * count)
+    letters = "".join(rng.choice(alphabet, int(lengths.sum())))
+    ends = np.cumsum(lengths)
+    cut = [letters[b - k : b] for b, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    return [" ".join(cut[k * n : (k + 1) * n]) for k in range(count)]
+
+
+def _floors(model: LanguageModel, texts: list[str], langs: list[str], clusters: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and the floor at each: from texts of random letters, and from texts that a model of the others has not seen."""
+    rng, grams = np.random.default_rng(seed), GramTable(model.size)
+    cut = [LETTERS.findall(t.lower()) for t in texts]
+    part = rng.permutation(len(texts)) % FOLDS
+    unseen: dict[int, list[np.ndarray]] = {n: [] for n in LENGTHS}
+    for k in range(FOLDS):
+        others = np.flatnonzero(part != k)
+        own = _centroids([texts[i] for i in others], [langs[i] for i in others], model.size, clusters, seed)
+        if own.languages:
+            for n in LENGTHS:
+                some = [cut[i] for i in np.flatnonzero(part == k) if len(cut[i]) >= n]
+                some = [w[(len(w) - n) // 2 :][:n] for w in some]  # n words of the middle
+                unseen[n].append(_measured(own, grams, [" ".join(w) for w in some])[0])
+    words = [w for c in cut for w in c[:50]]  # letters and lengths
+    marks, floor = [], []
+    for n in LENGTHS:
+        if not words:
+            break
+        margin, length = _measured(model, grams, random_texts(words, n, RANDOM_TEXTS, rng))
+        top = float(margin.mean() + DEVIATIONS * margin.std())
+        own = np.concatenate(unseen[n]) if unseen[n] else np.zeros(0)
+        marks.append(float(length.mean()))
+        floor.append(max(0.0, min(top, float(np.quantile(own, QUANTILE))) if len(own) >= 1 / QUANTILE else top))
+    order = np.argsort(marks)
+    return (np.array(marks)[order], np.array(floor)[order]) if marks else (np.zeros(1), np.zeros(1))
 
 
 def train(docs: DataFrame, per_language: int = 300, hold_out: bool = True) -> LanguageModel:
@@ -215,7 +247,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
 
     lang_pred is a learned language, or `und` if the text is null or has no letter; score is the
     cosine to the nearest centroid, 0 for `und`; rejected says that the text is `und` or that this
-    cosine exceeds what collisions of n-grams give by less than the centroid's floor (_set_floors). Equal texts get equal answers; columns of docs with the
+    cosine exceeds what collisions of n-grams give by less than the floor of texts of its length (_floors). Equal texts get equal answers; columns of docs with the
     names of the new ones are replaced; other columns, lang, source and doc_id are carried, never
     used. One pass without a shuffle; the model's size depends on languages and n-gram slots only.
     """
