@@ -162,6 +162,33 @@ def test_toxicity_held_out(spark, scored):
     assert ((scored["score"] >= 0.7) == (scored["predicted"] == 1)).all() and scored["score"].between(0, 1).all()
 
 
+def test_toxicity_with_few_labels(spark):
+    """33 toxic texts to learn from; the same model again, and the query's scores by a forward pass word by word."""
+    few = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{few}/documents.parquet"), spark.read.parquet(f"{few}/labels.parquet")
+    scored = queries.op2_toxicity(spark, few).toPandas()
+    both = scored.merge(labels.toPandas(), on="doc_id")
+    held = both[both["held_out"] & both["toxic"].isin([0, 1])]
+    hit = ((held["predicted"] == 1) & (held["toxic"] == 1)).sum()
+    assert hit / (held["predicted"] == 1).sum() > 0.8
+    assert hit / (held["toxic"] == 1).sum() > 0.6
+    model = toxicity.train(docs.repartition(3), labels.repartition(5))  # tasks in another order
+    score, table = scored.set_index("doc_id")["score"], toxicity.WordTable(len(model.embedding))
+    for row in docs.where("doc_id % 97 = 5").collect():
+        ids, _ = table.ids([row["text"] or ""])
+        words = [model.embedding[table.features[i]].sum(axis=0) for i in ids]
+        profile = sum((model.profile[table.features[i][0]].astype(float) for i in ids), np.zeros(len(model.languages)))
+        z, at, pad = model.out_bias, 0, max(len(x) for x in model.filters)
+        for w, b in zip(model.filters, model.biases, strict=True):
+            padded = np.array(words + [np.zeros(w.shape[1])] * pad)
+            places = range(max(1, len(words) + pad - len(w) + 1))
+            response = np.array([sum(padded[p + j] @ w[j] for j in range(len(w))) for p in places]).max(axis=0) + b
+            z += np.maximum(0, response) @ model.out[at : at + w.shape[2]]
+            at += w.shape[2]
+        expected = 1 / (1 + np.exp(-(z - model.threshold[int(profile.argmax())] + np.log(0.7 / 0.3))))
+        assert abs(score[row["doc_id"]] - expected) < 2e-4
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(*r, "clash") for r in ODD], SCHEMA + ", score string")
     model = toxicity.fit(["you idiot", "fine day", "idiot there", "good day"] * 10, [1, 0, 1, 0] * 10, ["en", None] * 20, epochs=3)
@@ -222,7 +249,8 @@ def test_gradient_of_the_network():
     y = np.array([1.0, 0.0, 1.0])
 
     def loss():
-        z = toxicity._z(model, table, docs)
+        distinct, own, n = toxicity._pack(docs)
+        z = model.logits(own + 1, model.vectors(table.features[distinct]), n)
         return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
 
     seen = {}
