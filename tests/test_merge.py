@@ -40,8 +40,7 @@ def cases() -> dict[str, np.ndarray]:
     }
 
 
-@pytest.mark.parametrize("size", [1, 3, 7])
-@pytest.mark.parametrize("limit", [3.0, 20.0, 254.0])
+@pytest.mark.parametrize(("size", "limit"), [(1, 20.0), (3, 3.0), (3, 60.0), (3, 254.0), (7, 20.0)])
 def test_ranges_give_what_one_fold_gives(spark, monkeypatch, size, limit):
     monkeypatch.setattr(segments, "MERGE_RANGE", size)
     clips = cases()

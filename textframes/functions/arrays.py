@@ -197,17 +197,22 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.ascontiguousarray(resize_planes(image.transpose(2, 0, 1), width, height).transpose(1, 2, 0))
 
 
-def prepare(crop: np.ndarray, aspect: float = 0.0, gamma: float = 2.0) -> np.ndarray:
-    """A crop (h, w, channels) at the recogniser's height, float32; gamma > 0 makes it gray and applies it."""
-    h, w = crop.shape[:2]
+def prepare_all(crops: np.ndarray, aspect: float = 0.0, gamma: float = 2.0) -> np.ndarray:
+    """Crops of one size (n, h, w, channels) at the recogniser's height, float32; gamma > 0 makes them gray and applies it."""
+    h, w = crops.shape[1:3]
     width = max(1, round(INPUT_HEIGHT * aspect)) if aspect > 0 else max(1, int(w * INPUT_HEIGHT / h)) if h else w
-    out = resize(crop, width, INPUT_HEIGHT)
+    out = np.ascontiguousarray(resize_planes(crops.transpose(0, 3, 1, 2), width, INPUT_HEIGHT).transpose(0, 2, 3, 1))
     if gamma <= 0:
         return out
     plane = out[..., 0] if out.shape[-1] == 1 else out[..., :3] @ np.array(GRAY_WEIGHTS, np.float32)
     return np.repeat((255 * np.power(plane / 255, gamma)).astype(np.float32)[..., None], 3, axis=-1)
 
 
+def prepare(crop: np.ndarray, aspect: float = 0.0, gamma: float = 2.0) -> np.ndarray:
+    """prepare_all of one crop (h, w, channels)."""
+    return prepare_all(crop[None], aspect, gamma)[0]
+
+
 def separate_input(image: np.ndarray, mode: str, threshold: int | None = None) -> np.ndarray:
     plane = image[..., 0] if image.shape[-1] == 1 else image[..., :3] @ np.array(GRAY_WEIGHTS, np.float32)
     return np.repeat(separate(plane, mode, threshold)[..., None], 3, axis=-1)

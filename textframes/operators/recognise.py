@@ -129,12 +129,13 @@ def recognise(reps: DataFrame, make: Callable[[], Recogniser], aspect: float = 0
             full = [i for i in range(batch.num_rows) if data[i].is_valid]
             full.sort(key=lambda i: kinds[i][0] / max(1, kinds[i][1]))
             for at in range(0, len(full), batch_rows):
-                rows, images = full[at : at + batch_rows], []
-                for i in rows:
-                    w, h, fmt = kinds[i]
-                    crop = shaped([data[i].as_py()], w, h, fmt)[0]
-                    image = arrays.prepare(arrays.nv12_to_rgb(crop) if fmt == "nv12" else crop, aspect, gamma)
-                    images.append(arrays.separate_input(image, separation) if separation else image)
+                rows = full[at : at + batch_rows]
+                of: dict[int, np.ndarray] = {}
+                for kind in dict.fromkeys(kinds[i] for i in rows):  # crops of one size and format together
+                    alike = [i for i in rows if kinds[i] == kind]
+                    crops = shaped([data[i].as_py() for i in alike], *kind)
+                    of.update(zip(alike, arrays.prepare_all(arrays.packed_to_rgb(crops) if kind[2] == "nv12" else crops, aspect, gamma), strict=True))
+                images = [arrays.separate_input(of[i], separation) if separation else of[i] for i in rows]
                 for i, (t, s) in zip(rows, held[0](images), strict=True):
                     text[i], score[i] = t or None, float(s)
             if clock:

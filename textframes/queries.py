@@ -269,12 +269,12 @@ def luma_of_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepared(spark: SparkSession, sf_dir: str, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Crops of representatives as recogniser's inputs of 48 x 16 without a curve (weights are 48ths); their segment as fi."""
     crops = plan(spark, sf_dir, merge=False).representatives().select(F.col("seg").alias("fi"), "data")
-    return _values(crops, lambda g: np.stack([make(arrays.prepare(x[..., None], 16 / 48, 0.0)) for x in g])).withColumnRenamed("fi", "seg")
+    return _values(crops, lambda g: make(arrays.prepare_all(g[..., None], 16 / 48, 0.0))).withColumnRenamed("fi", "seg")
 
 
 def ocr_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inputs in units of 1/48."""
-    return _prepared(spark, sf_dir, lambda image: np.floor(image[..., 0].astype(np.float64) * 48 + 0.5))
+    return _prepared(spark, sf_dir, lambda images: np.floor(images[..., 0].astype(np.float64) * 48 + 0.5))
 
 
 def ocr_prepare_free(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,22 +282,19 @@ def ocr_prepare_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan_ = plan(spark, sf_dir, merge=False, roi=(1, 1, 4, 6))
     crops = plan_.representatives().select(F.col("seg").alias("fi"), "data")
 
-    def make(g: np.ndarray) -> np.ndarray:
-        return np.stack([np.floor(arrays.prepare(x[..., None], 0.0, 0.0)[..., 0].astype(np.float64) * 256 + 0.5) for x in g])
-
-    return _values(crops, make, shape=(6, 4)).withColumnRenamed("fi", "seg")
+    return _values(crops, lambda g: np.floor(arrays.prepare_all(g[..., None], 0.0, 0.0)[..., 0].astype(np.float64) * 256 + 0.5), shape=(6, 4)).withColumnRenamed("fi", "seg")
 
 
 def ocr_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inputs, in whole units of 1/48, with text apart from its background."""
-    return _prepared(spark, sf_dir, lambda image: arrays.separate_input(np.floor(image * 48 + np.float32(0.5)), "binary")[..., 1])
+    return _prepared(spark, sf_dir, lambda images: arrays.separate_input(np.floor(images * 48 + np.float32(0.5)), "binary")[..., 1])
 
 
 def ocr_separate_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inputs, in whole units of 1/48, by contrast with a square of 29; cut to whole levels."""
 
-    def make(image: np.ndarray) -> np.ndarray:
-        value, unit = arrays.contrast(np.floor(image[..., 0] * 48 + np.float32(0.5)).astype(np.int64))
+    def make(images: np.ndarray) -> np.ndarray:
+        value, unit = arrays.contrast(np.floor(images[..., 0] * 48 + np.float32(0.5)).astype(np.int64))
         return np.minimum(255, value // unit)
 
     return _prepared(spark, sf_dir, make)
