@@ -21,8 +21,8 @@ from textframes.llm.words import WordCutter
 GROUPS = 64
 #: Sets with a key in common that are compared as points in one task; more are parted by further keys, so many times at most.
 RUN_ROWS, PARTINGS = 1024, 3
-#: Share of its further keys that a set has in common with a crowd, on average over the crowd, from which it is a family of near copies.
-FAMILY = 0.25
+#: Crowds that the sets of a crowd are in, on average: from so many further keys in common on, it is a family of near copies.
+FAMILY = 3
 #: Sets, and elements, of a chunk of a cluster.
 CHUNK_ROWS, CHUNK_ELEMENTS = 256, 1 << 20
 #: Growth of set sizes from band to band of a cluster.
@@ -152,9 +152,15 @@ class Forest:
         return x != y
 
 
-def may_link(points: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose counts allow a link."""
+def may_link(points: np.ndarray, sizes: np.ndarray, threshold: Fraction, known: list[int | None] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose counts allow a link; known: equal marks are connected already."""
     tree, forest, out = CountTree(points, sizes, threshold), Forest(len(points)), []
+    first: dict[int, int] = {}
+    for x, mark in enumerate(known or []):
+        if mark is not None:
+            forest.join(first.setdefault(mark, x), x)
+    if known and None not in known and len(first) == 1:
+        return out
     for x in range(len(points)):
         out += [(x, y) for y in tree.search(points[x], int(sizes[x])).tolist() if forest.join(x, y)]
     return out
@@ -434,7 +440,7 @@ def block_keys(values: np.ndarray, sizes: np.ndarray, threshold: Fraction, seed:
         sums = np.zeros(int(n.sum()), _U)
         np.add.at(sums, at, content[some])
         which = np.arange(len(sums)) - np.repeat(np.cumsum(n) - n, n)
-        name = mix(which.astype(_U) + (np.repeat(label, n).astype(_U) << _U(32)) + _U(seed + 1) * _U(0x9E3779B97F4A7C15))
+        name = mix(which.astype(_U) + (np.repeat(label, n).astype(_U) << _U(32)) + _U((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         keys.append(mix(sums ^ name))
         owners.append(np.repeat(own, n))
     return np.concatenate(keys), np.concatenate(owners)
@@ -468,50 +474,54 @@ def _clusters(keyed: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFra
 
     Sets with a key in common are compared as points of an R-tree in one task, if they are RUN_ROWS at
     most. A larger crowd is parted by keys of which linked sets share one, too (block_keys), then those that are still large by
-    other blocks, within their crowd. What is left are families of near copies, whose sets share most
+    other blocks, within their crowd. Where sets are in many crowds at once they are a family of near copies, which share most
     blocks: such a family is one cluster, as most of its sets are one component anyway.
     """
-    flat, near, families = keyed.select("cid", F.explode("keys").alias("key")), [], []
+    flat, near, family = keyed.select("cid", F.explode("keys").alias("key")), [], None
     mark = [F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"m{k}") for k in range(2)]
-    share = float(1 / threshold - 1)
     written: list[DataFrame] = []
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for rows in _groups(batches, 1):
             cids = [x[1] for x in rows]
             points = np.frombuffer(b"".join([x[3] for x in rows]), np.uint32).astype(np.int64).reshape(-1, GROUPS)
-            for x, y in may_link(points, np.array([x[2] for x in rows]), threshold):
+            for x, y in may_link(points, np.array([x[2] for x in rows]), threshold, [x[4] for x in rows]):
                 yield cids[x], cids[y]
 
     for level in range(PARTINGS + 1):
         # keys with the same classes are one run
         runs = flat.groupBy("key").agg(F.count("*").alias("run"), F.min("cid").alias("hub"), *mark).where("run > 1")
         runs = saved(runs.groupBy("run", "m0", "m1").agg(F.min(F.struct("key", "hub")).alias("x")).select("run", "x.key", "x.hub"), "jaccard-runs")
+        written.append(runs)
         held = flat.join(runs, "key")
+        crowd = None
+        if not runs.where(F.col("run") > RUN_ROWS).isEmpty():
+            crowd = saved(held.where(F.col("run") > RUN_ROWS).select("cid", "key", "hub"), "jaccard-crowds")
+            written.append(crowd)
+            if level == 0:
+                crowd = crowd.select("cid").distinct().withColumn("parent", F.lit(0).cast("bigint"))
+            else:
+                mine = crowd.groupBy("cid").agg(F.count("*").alias("_m"))
+                alike = crowd.join(mine, "cid").groupBy("key").agg(F.avg("_m").alias("_m"))
+                alike = saved(alike.select("key", (F.lit(level == PARTINGS) | (F.col("_m") > FAMILY)).alias("family")), "jaccard-alike")
+                both = crowd.join(small(alike), "key")
+                more = both.where("family").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+                family = saved(more if family is None else family.union(more), "jaccard-family")
+                crowd = saved(both.where("not family").select("cid", F.col("key").alias("parent")), "jaccard-parents")
+                written += [alike, family, crowd]
         few = held.where(F.col("run") <= RUN_ROWS).select("key", "cid").join(keyed.select("cid", "n", "point"), "cid")
-        few = few.select("key", "cid", "n", "point").repartition("key").sortWithinPartitions("key", "cid")
+        if family is None:
+            few = few.withColumn("known", F.lit(None).cast("bigint"))
+        else:  # what a family holds needn't be connected again
+            few = few.join(small(saved(family.groupBy(F.col("a").alias("cid")).agg(F.min("b").alias("known")), "jaccard-known")), "cid", "left")
+        few = few.select("key", "cid", "n", "point", "known").repartition("key").sortWithinPartitions("key", "cid")
         near.append(saved(few.mapInArrow(_pairs(compare), "a bigint, b bigint").distinct(), "jaccard-near"))
-        written += [runs, near[-1]]
-        if runs.where(F.col("run") > RUN_ROWS).isEmpty():
+        written.append(near[-1])
+        if crowd is None or crowd.isEmpty():
             break
-        crowd = saved(held.where(F.col("run") > RUN_ROWS).select("cid", "key", "hub"), "jaccard-crowds")
-        written.append(crowd)
-        if level == 0:
-            crowd = crowd.select("cid").distinct().withColumn("parent", F.lit(0).cast("bigint"))
-        else:
-            mine = crowd.groupBy("cid").agg(F.count("*").alias("_m")).join(keyed.select("cid", "n"), "cid")
-            mine = mine.select("cid", (F.col("_m") / (2 * (F.col("n") * share + 1))).alias("_share"))
-            alike = crowd.join(mine, "cid").groupBy("key").agg(F.avg("_share").alias("_share"))
-            last = F.lit(level == PARTINGS)
-            alike = saved(alike.select("key", (last | (F.col("_share") > FAMILY)).alias("family")), "jaccard-alike")
-            written.append(alike)
-            both = crowd.join(small(alike), "key")
-            families.append(both.where("family").select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-            crowd = both.where("not family").select("cid", F.col("key").alias("parent"))
-            if level == PARTINGS or crowd.isEmpty():
-                break
-        flat = saved(_parted(sets, crowd, threshold, level), "jaccard-parted")
+        flat = saved(_parted(sets, crowd, threshold, level + 1), "jaccard-parted")
         written.append(flat)
+    families = [] if family is None else [family]
     every = near[0]
     for more in [*near[1:], *families]:
         every = every.union(more)
