@@ -4,7 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from textframes import queries
 from textframes.functions import arrays as a
 from textframes.plans.extractor import Options
 
@@ -187,3 +189,10 @@ def test_range_errors(start, end):
 def test_range_to_the_end_and_stride():
     assert Options(frame_start=10, frame_end=0).frame_end == 0
     assert [Options(sample_stride=n).sample_stride for n in (0, -2, 3)] == [1, 1, 3]
+
+
+def test_values_hand_over_few_frames(spark):
+    """A batch may hold 10,000 frames: a numpy function never gets them all."""
+    frames = spark.range(0, 1000, 1, 1).select(F.col("id").alias("fi"), F.lit(bytes(64)).alias("data"))
+    out = queries._values(frames, lambda g: np.full((len(g), 1, 1), len(g))).toPandas()
+    assert sorted(out["fi"]) == [*range(1000)] and out["v"].max() <= 128

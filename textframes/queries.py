@@ -20,6 +20,8 @@ from textframes.sources.shared import shared_path
 Query = Callable[[SparkSession, str], DataFrame]
 #: A threshold of similarity at which 8 x 8 frames merge, and at which the order of merging matters.
 LOOSE = 90.0
+#: Frames that a numpy function gets together: bounds a worker's memory, whatever the rows of a batch.
+TOGETHER = 128
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,16 +45,14 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values(df: DataFrame, make: Callable[[np.ndarray], np.ndarray], names: str = "v", shape: tuple[int, int] = (8, 8)) -> DataFrame:
-    """fi, y, x and a column for each name: a numpy function of frames (n, *shape), all frames of a batch at once.
+    """fi, y, x and a column for each name: a numpy function of frames (n, *shape), TOGETHER at most at once.
 
     It gives whole numbers (n, h, w), or (n, h, w, names).
     """
     columns = names.split()
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, TOGETHER) for whole in batches for at in range(0, whole.num_rows, TOGETHER)):
             out = make(np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(-1, *shape)).astype(np.int64)
             out = out.reshape(*out.shape[:3], len(columns))
             n, h, w, _ = out.shape
