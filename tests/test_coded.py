@@ -189,3 +189,19 @@ def test_linear_recogniser_by_hand():
         e = [np.exp(v - max(z)) for v in z]
         assert np.allclose(p[k], [np.floor(v / sum(e) * 100 + 0.5) / 100 for v in e])
     assert own([image]) == [arrays.ctc(p, letters)] and own([]) == []
+
+
+def test_many_short_ranges_share_partitions(tmp_path):
+    """90 clips of 50 frames, in ranges of 20: partitions hold several ranges, and give the rows of each."""
+    rng = np.random.default_rng(8)
+    for k in range(90):
+        write_keyclip(str(tmp_path / f"{k:03d}"), rng.integers(0, 256, (50, 4, 4, 1), np.uint8), "gray", every=8)
+    reader = CodedClips({"path": str(tmp_path), "rows": "20", "halo": "true"}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) <= 45
+    many = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    alone = []
+    for k in range(90):
+        one = CodedClips({"path": str(tmp_path / f"{k:03d}"), "clip_id": f"{k:03d}", "rows": "20", "halo": "true"}).reader(None)
+        alone += [r for p in one.partitions() for b in one.read(p) for r in b.to_pylist()]
+    assert many == alone and sum(r["own"] for r in many) == 90 * 50

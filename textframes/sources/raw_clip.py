@@ -103,6 +103,8 @@ class RawClips(DataSource):
 class RawClipReader(DataSourceReader):
     #: Frames of a batch.
     BATCH = 16
+    #: Ranges up to which each is a partition of its own. Of more, short ones share partitions, each up to so many frames and bytes.
+    ALONE, FILLED, FILLED_BYTES = 32, 8192, 32 << 20
 
     def __init__(self, options: dict) -> None:
         self.path, self.clip = options["path"], options.get("clip_id")
@@ -137,17 +139,34 @@ class RawClipReader(DataSourceReader):
         return [(at, min(at + self.rows, most), 1) for at in range(least, most, self.rows)]
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        spans, sizes = [], []
         for file in self.files():
             head = self.header(file)
-            out += [InputPartition((file, a, b, step, part)) for part, (a, b, step) in enumerate(self.spans(self.samples(head), head)) if b > a]
-        return out or [InputPartition(("", 0, 0, 1, 0))]
+            for part, (a, b, step) in enumerate(self.spans(self.samples(head), head)):
+                if b > a:
+                    spans.append((file, a, b, step, part))
+                    sizes.append((-(-(b - a) // step), -(-(b - a) // step) * head.size))
+        most = (0, 0) if len(spans) <= self.ALONE else (min(self.FILLED, sum(n for n, _ in sizes) // self.ALONE), self.FILLED_BYTES)
+        out: list[list[tuple]] = []
+        frames = size = 0
+        for span, (n, m) in zip(spans, sizes, strict=True):
+            if not out or frames + n > most[0] or size + m > most[1]:
+                out.append([])
+                frames = size = 0
+            out[-1].append(span)
+            frames, size = frames + n, size + m
+        return [InputPartition((*first, tuple(rest))) for first, *rest in out] or [InputPartition(("", 0, 0, 1, 0, ()))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        file, begin, end, step, part = partition.value
-        if end <= begin:
-            return
-        head = self.header(file)
+        last = head = None
+        for span in (partition.value[:5], *partition.value[5]):
+            if span[2] <= span[1]:
+                continue
+            if span[0] != last:
+                last, head = span[0], self.header(span[0])
+            yield from self._span(head, *span)
+
+    def _span(self, head: Header, file: str, begin: int, end: int, step: int, part: int) -> Iterator[pa.RecordBatch]:
         before = [begin - 1] if self.halo and begin and not self.first and not self.spread else []
         wanted = [*before, *range(begin, end, step)]
         for at in range(0, len(wanted), self.BATCH):
