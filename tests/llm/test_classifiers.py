@@ -277,3 +277,24 @@ def test_gradient_of_the_network():
         down = loss()
         model.embedding[slot, 0] += 1e-5
         assert abs((up - down) / 2e-5 - grad[row, 0]) < 1e-3
+
+
+def test_toxicity_learns_from_all_rows(spark):
+    """Toxic words are many and each in few texts: a sample of them can't tell the others."""
+    rng, rows = random.Random(5), []
+    bad = [f"{a}{b}rk" for a in ("zu", "vo", "qi", "xe", "ju", "wy") for b in ("bal", "dem", "fin", "gop", "hus", "kyl", "lam", "nep", "rit", "sov")]
+    plain = [a + b + c for a in "bdfglm" for b in "aeiou" for c in ("n", "s", "t", "ma")]
+    for i in range(3000):
+        words = rng.choices(plain, k=12)
+        if i % 3 == 0:
+            words[rng.randrange(12)] = rng.choice(bad)
+        rows.append((i, " ".join(words), "en", "s", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(3000)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels, per_class=40)
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    score, _ = model.score(toxicity.WordTable(len(model.embedding)), [r[1] for r in held])
+    toxic = np.array([r[0] % 3 == 0 for r in held])
+    assert (score[toxic] >= toxicity.CUT).mean() > 0.8 and (score[~toxic] >= toxicity.CUT).mean() < 0.1
+    again = toxicity.train(docs.repartition(7), labels, per_class=40)
+    assert np.allclose(again.score(toxicity.WordTable(len(model.embedding)), [r[1] for r in held])[0], score, atol=1e-4)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textframes.llm.shared import blocks, fold, lowest, mix
+from textframes.llm.shared import blocks, dropped, fold, lowest, mix, saved, small
 
 TOKENS = re.compile(r"\w+")
 #: Score at and above which a text is predicted toxic; each language's threshold is mapped to it.
@@ -25,6 +25,10 @@ OTHERS = 0.1
 DROPPED = 0.5
 #: Texts below which a sample is small: it is cross-fitted in more parts, and learnt in smaller steps. Texts that training sees at least, repeats counted.
 SMALL, SEEN = 1024, 11_500
+#: Rows that one task goes on learning from, rate of its steps, and rounds at most (a round sees every row once).
+SHARD_ROWS, SHARD_RATE, SHARD_ROUNDS = 16_384, 0.004, 6
+#: Numbers that a task gives away together, and steps of a logit that thresholds are told apart by.
+PIECE, STEPS = 1 << 16, 256
 FEATURES = 1 + len(PREFIXES)
 
 
@@ -131,6 +135,25 @@ class TextCnn:
         ends = np.cumsum(n)
         return (sums[ends] - sums[ends - n]).argmax(axis=1)
 
+    def know(self, names: list[str], seen: np.ndarray) -> None:
+        """Takes over the languages' words: how often each language has words of each slot."""
+        p = (seen + 1) / (seen + 1).sum(axis=0)
+        self.languages, self.threshold = names, np.zeros(len(names))
+        self.profile = np.log(p / p.mean(axis=1, keepdims=True)).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        """All that training moves, in a row."""
+        return np.concatenate([*(x.ravel() for x in (self.embedding, *self.filters, *self.biases, self.out)), [self.out_bias]]).astype(np.float32)
+
+    def moved(self, flat: np.ndarray) -> TextCnn:
+        """The same model with other numbers of flat()."""
+        own, at = [], 0
+        for x in (self.embedding, *self.filters, *self.biases, self.out):
+            own.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            at += x.size
+        k = len(self.filters)
+        return replace(self, embedding=own[0], filters=own[1 : 1 + k], biases=own[1 + k : 1 + 2 * k], out=own[-1], out_bias=float(flat[at]))
+
     def score(self, table: WordTable, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, n = table.ids(texts)
         distinct, words = np.unique(ids, return_inverse=True)
@@ -165,6 +188,8 @@ class Sample:
     texts: list[str]
     toxic: np.ndarray
     langs: list[str | None]
+    parts: np.ndarray | None = None  # of each text, if its part is fixed
+    languages: list[str] | None = None  # of all texts there are, if the sample isn't all
 
     @property
     def folds(self) -> int:
@@ -172,7 +197,7 @@ class Sample:
         return 6 if len(self.texts) < SMALL else 3
 
     def part(self, seed: int = 3) -> np.ndarray:
-        return np.random.default_rng(seed).permutation(len(self.texts)) % self.folds
+        return self.parts if self.parts is not None else np.random.default_rng(seed).permutation(len(self.texts)) % self.folds
 
     @property
     def flat(self) -> bool:
@@ -181,7 +206,7 @@ class Sample:
 
     def learn(self, rows: np.ndarray, **options: int) -> TextCnn:
         own = Sample([self.texts[k] for k in rows], self.toxic[rows], [self.langs[k] for k in rows])
-        return learn(own, sorted({x for x in self.langs if x is not None}), **options)
+        return learn(own, self.languages if self.languages is not None else sorted({x for x in self.langs if x is not None}), **options)
 
     def judged(self, model: TextCnn, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The model's logits and languages of rows."""
@@ -215,14 +240,11 @@ def learn(sample: Sample, names: list[str], slots: int = 1 << 15, d: int = 12, f
     ends = np.cumsum(n)
     docs = [ids[e - k : e] for e, k in zip(ends, n, strict=True)]
     if names:
-        model.languages = names
-        seen = np.ones((slots, len(names)))
+        seen = np.zeros((slots, len(names)))
         for words, lang in zip(docs, sample.langs, strict=True):
             if lang is not None:
                 np.add.at(seen[:, names.index(lang)], table.features[words, 0], 1)
-        p = seen / seen.sum(axis=0)
-        model.profile = np.log(p / p.mean(axis=1, keepdims=True)).astype(np.float32)
-        model.threshold = np.zeros(len(names))
+        model.know(names, seen)
     weight = np.where(y > 0, (y == 0).sum() / (y > 0).sum(), 1.0).astype(np.float32) ** 0.5
     order, adam = rng.permutation(len(docs)), Adam(0.004)
     for epoch in range(epochs):
@@ -291,28 +313,32 @@ def _learn(model: TextCnn, table: WordTable, adam: Adam, docs: list[np.ndarray],
     adam.step("e", model.embedding, ge[keep], slots[keep])
 
 
-def calibrate(model: TextCnn, z: np.ndarray, lang: np.ndarray, y: np.ndarray) -> None:
+def calibrate(model: TextCnn, z: np.ndarray, lang: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> None:
     """Each language's threshold: the best F-measure that weighs precision twice, midway to the next text.
 
     Texts of other languages count too, with the weight OTHERS, so that a language with few texts
-    follows the rest.
+    follows the rest. n: texts that each row stands for, if not one; equal logits then aren't parted.
     """
     order = np.argsort(-z, kind="stable")
     value = z[order]
+    last = np.ones(len(value), bool) if n is None else np.r_[value[1:] != value[:-1], True]
     for k in range(len(model.threshold)):
         w = np.where(lang[order] == k, 1.0, OTHERS)
+        if n is not None:
+            w = w * n[order]
         hits = np.cumsum(w * y[order])
-        measure = 1.25 * hits / (np.cumsum(w) + 0.25 * hits[-1])
+        measure = np.where(last, 1.25 * hits / (np.cumsum(w) + 0.25 * hits[-1]), -1.0)
         at = int(measure.argmax())
         model.threshold[k] = (value[at] + value[at + 1]) / 2 if at + 1 < len(value) else value[at] - 1
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> TextCnn:
-    """Fits on at most per_class toxic and per_class other labelled documents.
+    """Fits on all labelled documents whose crc32(doc_id) mod 3 is not 1, whole texts.
 
-    Bounded sample (a documented parameter): of the rows whose crc32(doc_id) mod 3 is not 1, about
-    those lowest by hash of the id in each class, whole texts. Rows of one id with different labels, and
-    null ids, labels or texts, are left out. lang serves to learn which words a language has.
+    Rows of one id with different labels, and null ids, labels or texts, are left out. lang serves to learn which words a
+    language has. A model is begun on per_class documents of each class at most, those lowest by hash of the id. Where that
+    leaves some out, it only is a start: all rows are dealt to shards, a task of each goes on from there, and the
+    shards' models are averaged by their numbers of rows (_on_all). Languages' words are counted, and thresholds set, on all rows.
     """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_max"))
     marked = marked.where((F.col("toxic") == F.col("_max")) & (fold("doc_id", 3) != 1)).select("doc_id", "toxic")
@@ -326,8 +352,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> TextCnn:
     picked = docs.select("doc_id", "lang", "text").join(F.broadcast(keys), "doc_id").where("text is not null")
     # of several texts of an id one, always the same
     picked = picked.groupBy("doc_id", "_toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "lang", "text")).alias("x"))
-    got = picked.orderBy("doc_id").select("x.text", "_toxic", "x.lang").collect()
+    got = picked.orderBy("doc_id").select("x.text", "_toxic", "x.lang", _part(3).alias("part")).collect()
     sample = Sample([r[0] for r in got], np.array([r[1] for r in got], np.int64), [r[2] for r in got])
+    every, more = None, known.groupBy("doc_id", "toxic").agg(F.count("*").alias("n")).groupBy("toxic").agg(F.count("*").alias("ids"), F.sum("n").alias("n")).collect()
+    if any(r["ids"] > per_class for r in more):
+        every = docs.select("doc_id", "lang", "text").join(small(marked), "doc_id").where("text is not null")
+        sample.languages = sorted(r[0] for r in every.where("lang is not null").select("lang").distinct().collect())
+        if len(sample.texts) >= SMALL:
+            sample.parts = np.array([r[3] for r in got], np.int64)
+        else:  # six parts
+            sample.parts = np.array([r[0] for r in picked.orderBy("doc_id").select(_part(sample.folds)).collect()], np.int64)
     if sample.flat:
         return sample.learn(np.arange(len(got)))
     shared = spark.sparkContext.broadcast(sample)
@@ -337,11 +371,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> TextCnn:
         for batch in batches:
             for k in batch.column("id").to_pylist():
                 model = own.learn(np.flatnonzero(part != k))
-                result = pickle.dumps(model if k == own.folds else own.judged(model, np.flatnonzero(part == k)))
+                result = pickle.dumps(model if k == own.folds or own.parts is not None else own.judged(model, np.flatnonzero(part == k)))
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([result], pa.binary())], ["k", "result"])
 
     # the model, and one for each part that is left out, each in a task of its own
     found = {r["k"]: pickle.loads(r["result"]) for r in spark.range(0, sample.folds + 1, 1, sample.folds + 1).mapInArrow(run, "k bigint, result binary").collect()}
+    if every is not None:
+        return _on_all(every, [found[k] for k in range(sample.folds + 1)], sample.languages, {r["toxic"]: r["n"] for r in more})
     model, part = found[sample.folds], sample.part()
     z, lang = np.zeros(len(part)), np.zeros(len(part), np.int64)
     for k in range(sample.folds):
@@ -350,6 +386,123 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> TextCnn:
     return model
 
 
+def _part(folds: int) -> F.Column:
+    """A document's part in cross-fitting."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(folds)).cast("int")
+
+
+def _on_all(rows: DataFrame, models: list[TextCnn], names: list[str], n: dict[int, int]) -> TextCnn:
+    """The last of the models, learnt on from all rows (doc_id, lang, text, toxic), with its thresholds.
+
+    The others each leave a part out, on which they are judged. n: rows of each class, about. A text goes to a shard by its id's hash, so
+    models don't depend on how rows were parted. What leaves a shard is of fixed size, is summed by tasks, and only sums reach the driver.
+    """
+    folds, total = len(models) - 1, sum(n.values())
+    dealt = rows.select(_part(folds).alias("part"), "toxic", "lang", "text", F.xxhash64("doc_id", F.lit(1)).alias("place"), F.xxhash64("text").alias("h"))
+    count = -(-total // SHARD_ROWS)
+    dealt = dealt.withColumn("shard", F.pmod("place", F.lit(count)).cast("int")).repartition(max(2, count), "shard").sortWithinPartitions("shard", "place", "h")
+    rounds = min(SHARD_ROUNDS, -(-SEEN // total))
+    written = dealt = saved(dealt, "toxicity-rows") if rounds > 1 else dealt
+    for number in range(rounds):
+        models = _round(dealt, models, names if not number else None, (n.get(0, 1) / max(1, n.get(1, 1))) ** 0.5, number, rounds > 1)
+    if rounds > 1:
+        dropped(written)
+    model = models[-1]
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = shared.value, WordTable(len(shared.value[-1].embedding))
+        for batch in batches:
+            for rows_, texts in blocks(batch, "text", 256):
+                ids, size = table.ids(texts)
+                distinct, words = np.unique(ids, return_inverse=True)
+                features, part = table.features[distinct], rows_.column("part").to_numpy()
+                lang, of = own[-1].language(words, features, size), np.repeat(part, size)
+                z = np.zeros(len(texts))
+                for k in np.unique(part).tolist():
+                    z[part == k] = own[k].logits(words[of == k] + 1, own[k].vectors(features), size[part == k])
+                step = np.floor(np.clip(z, -100, 100) * STEPS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(step), rows_.column("toxic")], ["lang", "step", "toxic"])
+
+    judged = rows.select(_part(folds).alias("part"), F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(judge, "lang int, step int, toxic int")
+    got = judged.groupBy("lang", "step", "toxic").count().orderBy("lang", "step", "toxic").toArrow()  # steps of languages at most, not rows
+    lang, step, toxic, number = (got.column(c).to_numpy() for c in ("lang", "step", "toxic", "count"))
+    calibrate(model, (step + 0.5) / STEPS, lang, toxic, number)
+    return model
+
+
+def _round(dealt: DataFrame, models: list[TextCnn], names: list[str] | None, weight: float, number: int, small_: bool) -> list[TextCnn]:
+    """The models after each shard went on from them over its rows, averaged. names: also count the languages' words. small_: there are few rows."""
+    shared = dealt.sparkSession.sparkContext.broadcast(models)
+    steps, slots, index = 16 if small_ else 32, len(models[0].embedding), {x: i for i, x in enumerate(names or [])}
+    schema = "k int, piece int, shard int, weight double, data binary"
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, table = None, WordTable(slots)
+        own: list[TextCnn] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            counts = [] if names is None else [(-1, 1.0, seen)]
+            for k, w, flat in [*((k, float(m_rows[k]), m.flat()) for k, m in enumerate(own)), *counts]:
+                for at in range(0, len(flat), PIECE):
+                    values = [pa.array([k], pa.int32()), pa.array([at // PIECE], pa.int32()), pa.array([shard], pa.int32()), pa.array([w]), pa.array([flat[at : at + PIECE].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(values, ["k", "piece", "shard", "weight", "data"])
+
+        for batch in batches:
+            for rows, texts in blocks(batch, "text", 256):
+                of, toxic, part, langs = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "toxic", "part", "lang"))
+                ids, size = table.ids(texts)
+                ends = np.cumsum(size)
+                words = [ids[e - k : e] for e, k in zip(ends, size, strict=True)]
+                for at in np.unique(of).tolist():
+                    if at != shard:
+                        if own:
+                            yield from out()
+                        shard, own = at, [pickle.loads(pickle.dumps(m)) for m in shared.value]
+                        adams, m_rows = [Adam(SHARD_RATE) for _ in own], [0] * len(own)
+                        rng, seen = np.random.default_rng([11, number, at]), np.zeros(slots * len(index))
+                    here = np.flatnonzero(of == at)
+                    for i in here.tolist() if names is not None else []:
+                        if langs[i] is not None:
+                            np.add.at(seen, table.features[words[i], 0] * len(index) + index[langs[i]], 1)
+                    for k, model in enumerate(own):
+                        some = here[part[here] != k]
+                        m_rows[k] += len(some)
+                        for b in range(0, len(some), steps):
+                            step = some[b : b + steps]
+                            y = toxic[step].astype(np.float32)
+                            kept = [words[i][rng.random(len(words[i])) >= DROPPED] for i in step.tolist()]
+                            _learn(model, table, adams[k], kept, y, np.where(y > 0, weight, 1.0).astype(np.float32))
+        if own:
+            yield from out()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, w = None, np.zeros(0), 0.0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([0], pa.int32()), pa.array([w]), pa.array([total.tobytes()], pa.binary())], ["k", "piece", "shard", "weight", "data"])
+
+        for batch in batches:
+            for k, piece, _, weight_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, piece) != key:
+                    if key is not None:
+                        yield out()
+                    key, total, w = (k, piece), 0.0, 0.0
+                total, w = total + weight_ * np.frombuffer(data, np.float64 if k < 0 else np.float32).astype(np.float64), w + weight_
+        if key is not None:
+            yield out()
+
+    pieces = dealt.mapInArrow(learnt, schema).repartition("k", "piece").sortWithinPartitions("k", "piece", "shard").mapInArrow(summed, schema)
+    got: dict[int, list] = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["k"], r["piece"])):  # as many as the models and the languages' words have pieces
+        values = np.frombuffer(r["data"], np.float64)
+        got.setdefault(r["k"], []).append(values if r["k"] < 0 else values / max(1.0, r["weight"]))
+    out = [m.moved(np.concatenate(got[k])) for k, m in enumerate(models)]
+    if index:
+        out[-1].know(names, np.concatenate(got[-1]).reshape(slots, len(index)))
+    return out
+
+
 def toxicity(docs: DataFrame, model: TextCnn) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= CUT) of each whole text.
 
