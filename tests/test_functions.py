@@ -196,3 +196,17 @@ def test_values_hand_over_few_frames(spark):
     frames = spark.range(0, 1000, 1, 1).select(F.col("id").alias("fi"), F.lit(bytes(64)).alias("data"))
     out = queries._values(frames, lambda g: np.full((len(g), 1, 1), len(g))).toPandas()
     assert sorted(out["fi"]) == [*range(1000)] and out["v"].max() <= 128
+
+
+def test_crops_of_free_width_are_prepared_by_few(spark):
+    """300 crops of 4 x 6 in one batch, as in ocr_prepare_free: 128 at most are prepared together, and each as it is alone."""
+    g = np.random.default_rng(4).integers(0, 256, (300, 6, 4), np.uint8)
+    frames = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(g)], "fi bigint, data binary").coalesce(1)
+
+    def make(crops):
+        v = np.floor(a.prepare_all(crops[..., None], 0.0, 0.0)[..., 0].astype(np.float64) * 256 + 0.5)
+        return np.stack([v, np.full_like(v, len(crops))], axis=-1)
+
+    out = queries._values(frames, make, "v n", (6, 4)).toPandas().sort_values(["fi", "y", "x"])
+    want = np.concatenate([make(x[None])[..., 0] for x in g])
+    assert (out["v"].to_numpy().reshape(want.shape) == want).all() and out["n"].max() <= 128
