@@ -9,7 +9,7 @@ from textframes.functions import arrays
 from textframes.plans.extractor import FieldExtractor, Options, SegmentPlan
 from textframes.sources.coded_clip import CodedClips, CodedHeader, CodedReader, Decoder, source_of, write_keyclip, write_y4m
 from textframes.sources.frames import FileFrames
-from textframes.sources.raw_clip import RawClips, open_clip, write_clip
+from textframes.sources.raw_clip import RawClips, cut_packed, open_clip, write_clip
 
 
 def moving(n: int, shape: tuple, seed: int = 1) -> np.ndarray:
@@ -205,3 +205,16 @@ def test_many_short_ranges_share_partitions(tmp_path):
         one = CodedClips({"path": str(tmp_path / f"{k:03d}"), "clip_id": f"{k:03d}", "rows": "20", "halo": "true"}).reader(None)
         alone += [r for p in one.partitions() for b in one.read(p) for r in b.to_pylist()]
     assert many == alone and sum(r["own"] for r in many) == 90 * 50
+
+
+def test_short_ranges_of_packed_clips_share_partitions(tmp_path):
+    """100 packed clips of 90 frames, read as clip_files_packed does: partitions hold several ranges, and give every frame's bytes once."""
+    rng, want = np.random.default_rng(9), []
+    for k in range(100):
+        frames = rng.integers(0, 256, (90, 8, 8), np.uint8)
+        write_keyclip(str(tmp_path / f"{k:03d}"), frames, "nv12", 0, every=16)
+        want += [(f"{k:03d}", fi, x.tobytes()) for fi, x in enumerate(cut_packed(frames, 5, (2, 2, 5, 4)))]
+    reader = CodedClips({"path": str(tmp_path), "rows": "40", "fmt": "nv12", "roi": "2,2,5,4"}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) <= 60
+    assert [(r["clip_id"], r["fi"], r["data"]) for p in parts for b in reader.read(p) for r in b.to_pylist()] == want
